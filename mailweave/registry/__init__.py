@@ -1,2 +1,2 @@
-from . import scalars
+from . import scalars, extraction
 from .core import ORACLE, QUERIES
