@@ -61,7 +61,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
 
 def main(argv):
     from mailweave.session import local_session
-    from mailweave.registry import ORACLE, QUERIES
+    from mailweave.registry import QUERIES, oracle_sql
+
+    ORACLE = oracle_sql()
 
     sf = argv[0] if argv else "0.01"
     wanted = argv[1:] or list(QUERIES)

@@ -167,14 +167,19 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
     return rows.filter(F.col("branch") == 1).unionByName(firsts.filter(F.col("branch") != 1).select(*rows.columns))
 
 
-def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
-    """All branches of X32 before de-duplication: mailto, text, staff table; missing names inferred."""
+def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+    """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
     branches = [
         _named(mailto_links(domains, strict), near_name),
         _named(text_emails(domains, strict), near_name),
         staff_rows(domains, strict),
     ]
-    rows = _branches(_pages_with_email(doc), keys, branches)
+    return _branches(_pages_with_email(doc), keys, branches)
+
+
+def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+    """X32 before de-duplication: missing names are inferred from the address."""
+    rows = near_names(doc, domains, keys, strict)
     return rows.withColumn("profesor", F.coalesce("profesor", t.infer_name(F.col("email"))))
 
 

@@ -415,3 +415,20 @@ def anchor_links(pages: DataFrame, keys=("page_id", "url"), html: str = "html")
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))
     unescaped = lambda h: F.replace(F.replace(h, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     return pages.select(*keys, F.posexplode(hrefs).alias("pos", "raw")).select(*keys, unescaped(F.col("raw")).alias("href"), "pos")
+
+
+def subtree_members(dom_nodes: DataFrame, roots: DataFrame, keys=("page_id",)) -> DataFrame:
+    """Entries inside the given roots, ``(…keys, root_id, node_id, …)``.
+
+    Containment becomes an equi-join: each entry is listed under its ancestors and
+    matched on ``(page, ancestor)``; entries and roots are never compared pairwise.
+    """
+    listed = dom_nodes.withColumn("root_id", F.explode("path")).filter(F.col("root_id") != F.col("node_id"))
+    wanted = roots.select(*keys, F.col("node_id").alias("root_id"))
+    return listed.join(wanted, [*keys, "root_id"], "left_semi")
+
+
+def siblings(dom_nodes: DataFrame, keys=("page_id",)) -> DataFrame:
+    """Each entry with its following sibling, an equi-join on ids inside the page."""
+    after = dom_nodes.select(*keys, F.col("node_id").alias("next_id"), F.col("tag").alias("next_tag"), F.col("text").alias("next_text"))
+    return dom_nodes.join(after, [*keys, "next_id"], "left")

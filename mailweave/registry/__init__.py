@@ -1,2 +1,4 @@
-from . import scalars, extraction
-from .core import ORACLE, QUERIES
+"""Registered queries: each operator applied to the given tables, with its SQL check."""
+
+from . import aggregates, extraction, joins, scalars, sites  # noqa: F401
+from .core import QUERIES, oracle_sql  # noqa: F401

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_CHECKS: dict[str, str] = {}
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -28,12 +28,17 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = duck(sql)
+            _CHECKS[name] = sql
         return fn
 
     return wrap
 
 
+def oracle_sql() -> dict[str, str]:
+    """The checks with all derived inputs written out."""
+    return {name: duck(sql) for name, sql in _CHECKS.items()}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
