@@ -27,66 +27,80 @@ def _first_found(items: Column, attempt) -> Column:
 def _text_without(text: Column, email: Column) -> Column:
     """The text with the address taken out, whatever its case."""
     pattern = F.concat(F.lit(r"(?i)\Q"), email, F.lit(r"\E"))
-    return t.strip(F.when(F.contains(F.lower(text), email), F.regexp_replace(text, pattern, F.lit(""))).otherwise(text))
+
+    def cut(x: Column) -> Column:
+        return (
+            F.when(F.contains(x, email), t.text_without(x, email))
+            .when(F.contains(F.lower(x), email), t.strip(F.regexp_replace(x, pattern, F.lit(""))))
+            .otherwise(x)
+        )
+
+    return H.let(text, cut)
 
 
 def _page_text() -> Column:
     """Text of the whole document, the last ancestor of every node."""
-    own = F.filter(F.transform(F.col("chunks"), t.strip), lambda x: x != "")
-    return F.array_join(own, " ")
+    return F.array_join(F.filter(F.col("clean"), lambda x: x != ""), " ")
+
+
+def _name(text: Column) -> Column:
+    """F6 with its intermediate text evaluated once."""
+    return H.let(text, t.normalize_name)
 
 
 def climb_name(node: Column, email: Column) -> Column:
     """Text of the nearest ancestor-or-self with three to eight words besides the address."""
 
     def fits(text: Column) -> Column:
-        rest = _text_without(text, email)
-        return F.when(t.word_count(rest).between(3, 8), rest)
+        return H.let(_text_without(text, email), lambda rest: F.when(t.word_count(rest).between(3, 8), rest))
 
     inside = _first_found(F.reverse(node["path"]), lambda i: fits(H.subtree_text(H.node_at(i))))
     return F.when(node.isNotNull(), F.coalesce(inside, fits(_page_text())))
 
 
 def near_name(node: Column, email: Column) -> Column:
-    """Ordered look-ups around the node, then around each ancestor in turn."""
+    """Ordered look-ups around the node, then around each ancestor in turn.
+
+    Around an ancestor, its own text and its siblings were tried one step earlier as
+    the parent's, so from the second step on only the parent's side is new.
+    """
 
     def name_of(entry: Column) -> Column:
-        return F.when(entry.isNotNull(), t.normalize_name(_text_without(H.subtree_text(entry), email)))
+        return F.when(entry.isNotNull(), _name(_text_without(H.subtree_text(entry), email)))
 
     def from_row(parent: Column) -> Column:
         # an ancestor row's cells that do not hold the address
         row = F.try_element_at(F.filter(parent["path"], lambda i: H.node_at(i)["tag"] == "tr"), F.lit(-1))
-        cells = H.descendants(H.node_at(row), "td", "th")
 
         def cell_name(c: Column) -> Column:
-            text = H.subtree_text(c)
-            return F.when(~F.contains(F.lower(text), email), t.normalize_name(text))
+            return H.let(H.subtree_text(c), lambda x: F.when(~F.contains(F.lower(x), email), _name(x)))
 
-        found = _first_found(cells, cell_name)
-        return F.when(parent["tag"].isin("td", "th") & row.isNotNull(), found)
+        found = H.let(H.node_at(row), lambda r: F.when(r.isNotNull(), _first_found(H.descendants(r, "td", "th"), cell_name)))
+        return F.when(parent["tag"].isin("td", "th"), found)
 
     def from_container(entry: Column) -> Column:
         above = F.filter(entry["path"], lambda i: H.node_at(i)["tag"].isin("div", "span", "p") & (i != entry["node_id"]))
-        text = H.subtree_text(H.node_at(F.try_element_at(above, F.lit(-1))))
-        tail = t.last_words(t.strip(t.text_before(text, email)))
-        return F.when((F.size(above) > 0) & (t.word_count(tail) >= 2), t.normalize_name(tail))
+        container = H.node_at(F.try_element_at(above, F.lit(-1)))
+        before = H.let(H.let(container, lambda c: F.when(c.isNotNull(), H.subtree_text(c))), lambda x: t.strip(t.text_before(x, email)))
+        return H.let(H.let(before, t.last_words), lambda w: F.when(t.word_count(w) >= 2, _name(w)))
 
-    def around(index: Column) -> Column:
+    def above(index: Column) -> Column:
         entry = H.node_at(index)
-        parent = H.node_at(entry["parent_id"])
+        pair = F.struct(entry.alias("entry"), H.node_at(entry["parent_id"]).alias("parent"))
+        return H.let(pair, lambda p: around(p["entry"], p["parent"]))
+
+    def around(entry: Column, parent: Column) -> Column:
         parent_text = F.when(entry["parent_id"] >= 0, H.subtree_text(parent)).otherwise(_page_text())
         return F.coalesce(
-            name_of(entry),
-            name_of(H.node_at(entry["prev_id"])),
-            name_of(H.node_at(entry["next_id"])),
             name_of(H.node_at(parent["prev_id"])),
             name_of(H.node_at(parent["next_id"])),
-            t.normalize_name(_text_without(parent_text, email)),
+            _name(_text_without(parent_text, email)),
             from_row(parent),
             from_container(entry),
         )
 
-    return F.when(node.isNotNull(), _first_found(F.reverse(node["path"]), around))
+    here = F.coalesce(name_of(node), name_of(H.node_at(node["prev_id"])), name_of(H.node_at(node["next_id"])))
+    return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(node["path"]), above)))
 
 
 def mailto_links(domains=None, strict: bool = False) -> Column:
@@ -107,12 +121,13 @@ def text_emails(domains=None, strict: bool = False) -> Column:
     cleaned = F.transform(found, lambda e: em.clean_email(e) if domains is None else em.clean_domain_email(e, domains, strict))
     known = F.array_distinct(F.filter(cleaned, lambda e: e.isNotNull()))
     texts = F.filter(F.col("nodes"), lambda n: (n["tag"] == H.TEXT) & F.contains(n["text"], F.lit("@")))
+    lowered = F.transform(texts, lambda n: F.struct(F.lower(n["text"]).alias("text"), n["parent_id"].alias("parent_id")))
 
-    def holder(email: Column) -> Column:
-        hit = F.get(F.filter(texts, lambda n: F.contains(F.lower(n["text"]), email)), F.lit(0))
+    def holder(places: Column, email: Column) -> Column:
+        hit = F.get(F.filter(places, lambda n: F.contains(n["text"], email)), F.lit(0))
         return F.struct(email.alias("email"), H.node_at(hit["parent_id"]).alias("node"))
 
-    return F.transform(known, holder)
+    return H.let(lowered, lambda places: F.transform(known, lambda e: holder(places, e)))
 
 
 def staff_rows(domains, strict: bool = False) -> Column:
@@ -124,13 +139,16 @@ def staff_rows(domains, strict: bool = False) -> Column:
 
     def from_row(row: Column) -> Column:
         cells = F.transform(H.descendants(row, "td", "th"), lambda c: H.subtree_text(c, sep=""))
-        pairs = F.transform(cells, lambda c: F.struct(c.alias("text"), em.clean_domain_email(c, domains, strict).alias("email")))
+        return H.let(
+            F.transform(cells, lambda c: F.struct(c.alias("text"), em.clean_domain_email(c, domains, strict).alias("email"))), pick
+        )
+
+    def pick(pairs: Column) -> Column:
         emails = F.filter(pairs, lambda p: p["email"].isNotNull())
         names = F.filter(pairs, lambda p: p["email"].isNull() & (t.word_count(p["text"]) >= 2))
-        return F.struct(
-            F.when(F.size(cells) >= 2, F.try_element_at(emails, F.lit(-1))["email"]).alias("email"),
-            t.normalize_name(F.try_element_at(names, F.lit(-1))["text"]).alias("profesor"),
-        )
+        email = F.when(F.size(pairs) >= 2, F.try_element_at(emails, F.lit(-1))["email"])
+        name = F.when(F.size(emails) > 0, _name(F.try_element_at(names, F.lit(-1))["text"]))
+        return F.struct(email.alias("email"), name.alias("profesor"))
 
     return F.filter(F.transform(rows, from_row), lambda p: p["email"].isNotNull())
 
@@ -140,11 +158,11 @@ def _named(pairs: Column, find) -> Column:
 
 
 def _branches(doc: DataFrame, keys, branches: list[Column]) -> DataFrame:
-    return doc.select(*keys, F.inline(H.numbered(branches, ("profesor", "email"))))
+    return H.rows_of(doc, keys, H.numbered(branches, ("profesor", "email")), "email")
 
 
 def _pages_with_email(doc: DataFrame) -> DataFrame:
-    in_text = F.exists("chunks", lambda c: F.contains(c, F.lit("@")))
+    in_text = F.exists("clean", lambda c: F.contains(c, F.lit("@")))
     in_link = F.exists("nodes", lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:"))
     return doc.filter(in_text | in_link)
 

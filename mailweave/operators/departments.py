@@ -48,9 +48,9 @@ def id_names(doc: DataFrame, site: SiteProfile) -> DataFrame:
 
 def single_page_name(site: SiteProfile) -> Column:
     """First heading, else the title without the site's suffix; longer than 3."""
-    heading = H.first_text("h1", sep="")
     title = u.without_site_suffix(H.first_text("title", sep=""), site.site_suffix)
-    return F.coalesce(F.when(F.length(heading) > 3, heading), F.when(F.length(title) > 3, title))
+    texts = F.array(H.first_text("h1", sep=""), title)
+    return F.get(F.filter(texts, lambda x: F.length(x) > 3), F.lit(0))
 
 
 def single_page_names(doc: DataFrame, site: SiteProfile) -> DataFrame:
@@ -62,9 +62,9 @@ def card_mail(from_text: bool = False, domains=None) -> Column:
     """X22, first half: the first ``mailto:`` link, read from its text or its target."""
     link = F.get(F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:")), F.lit(0))
     if from_text:
-        return t.blank_to_null(H.subtree_text(link, sep=""))
-    raw = H.attr(link, "href")
-    return em.clean_email(raw) if domains is None else em.clean_domain_email(raw, domains)
+        return H.let(link, lambda n: t.blank_to_null(H.subtree_text(n, sep="")))
+    clean = em.clean_email if domains is None else (lambda raw: em.clean_domain_email(raw, domains))
+    return H.let(H.attr(link, "href"), clean)
 
 
 def card_web(site: SiteProfile) -> Column:
@@ -74,16 +74,16 @@ def card_web(site: SiteProfile) -> Column:
     )
 
     def target(dt: Column) -> Column:
-        dd = F.get(F.filter(F.col("nodes"), lambda n: (n["tag"] == "dd") & (n["pos"] > dt["pos"])), F.lit(0))
-        link = F.filter(
-            F.col("nodes"),
-            lambda n: (n["tag"] == "a") & H.attr(n, "href").isNotNull() & F.array_contains(n["path"], dd["node_id"]),
-        )
-        return H.attr(F.get(link, F.lit(0)), "href")
+        next_dd = F.get(F.filter(F.col("nodes"), lambda n: (n["tag"] == "dd") & (n["pos"] > dt["pos"])), F.lit(0))
+        return H.let(next_dd, first_href)
+
+    def first_href(dd: Column) -> Column:
+        link = F.filter(H.subtree(dd), lambda n: (n["tag"] == "a") & H.attr(n, "href").isNotNull())
+        return F.when(dd.isNotNull(), H.attr(F.get(link, F.lit(0)), "href"))
 
     found = F.filter(F.transform(labels, target), lambda h: h.isNotNull())
     last = F.try_element_at(found, F.lit(-1))
-    return F.when(last.isNotNull(), u.url_join(F.lit(site.base_url), last))
+    return H.let(last, lambda h: F.when(h.isNotNull(), u.url_join(F.lit(site.base_url), h)))
 
 
 def cards(doc: DataFrame, site: SiteProfile, keys=("page_id", "url"), from_text: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ def card_names(doc: DataFrame, keys=("page_id", "url"), selectors=sp.CARD_NAME_S
     """Distinct names of two to four words on list cards."""
     texts = F.flatten(F.array(*[H.select_texts(s) for s in selectors]))
     names = F.array_distinct(F.filter(texts, lambda x: t.word_count(x).between(2, 4)))
-    return doc.select(*keys, F.explode(names).alias("full_name"))
+    return H.rows_of(doc, keys, F.transform(names, lambda x: F.struct(x.alias("full_name"))), "full_name")
 
 
 def card_links(doc: DataFrame, domain: str, selector: str = sp.CARD_LINK_SELECTOR, keys=("page_id", "url")) -> DataFrame:
@@ -23,7 +23,7 @@ def card_links(doc: DataFrame, domain: str, selector: str = sp.CARD_LINK_SELECTO
     hrefs = F.transform(
         H.select_nodes(selector), lambda n: F.struct(H.attr(n, "href").alias("href"), n["pos"].alias("pos"))
     )
-    rows = doc.select(*keys, F.inline(hrefs)).filter(u.usable_href(F.col("href")))
+    rows = H.rows_of(doc, keys, hrefs, "href").filter(u.usable_href(F.col("href")))
     links = rows.withColumn("link", u.url_join(F.col("url"), F.col("href")))
     links = links.filter(u.mentions_domain(F.col("link"), domain) & u.profile_like(F.col("link")))
     return links.groupBy(*keys, "link").agg(F.min("pos").alias("pos"))

@@ -3,8 +3,8 @@
 ``dom`` is the only Python step on the data path. It turns each page into one row
 that holds its DOM as an array in document order plus the visible text chunks.
 ``node_id`` is the array index, so parent, sibling and ancestor look-ups are array
-accesses, and a node's text is a slice of ``chunks``: extraction needs no join and
-no shuffle. ``nodes`` flattens the same thing into one row per DOM entry.
+accesses, a node's text is a slice of the chunks and its descendants are a slice of
+the DOM: extraction needs no join and no shuffle. ``nodes`` flattens the same thing into one row per DOM entry.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ class _DomRows(HTMLParser):
         shown = len(self.chunks)
         classes = (attrs.get("class") or "").split()
         self.rows.append(
-            [node, parent, len(path) - 1, tag, attrs.get("id"), classes, attrs, path, before, -1, text, shown, shown]
+            [node, parent, len(path) - 1, tag, attrs.get("id"), classes, attrs, path, before, -1, text, shown, shown, node]
         )
         return node
 
@@ -85,6 +85,7 @@ class _DomRows(HTMLParser):
     def _pop(self) -> None:
         row = self.rows[self.open.pop()]
         row[12] = len(self.chunks)
+        row[13] = len(self.rows) - 1
         if row[3] in HIDDEN:
             self.hidden -= 1
 
@@ -133,11 +134,31 @@ def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(map(len, values)), pa.array([x for v in values for x in v], kind))
 
 
-def _dom_batch(htmls: list[str | None]) -> list[pa.Array]:
-    """Parse one Arrow batch into the three DOM columns, built column by column."""
+def _node_array(pages: list[list[list]]) -> pa.Array:
+    """All pages' DOM entries as one list column, built field by field."""
+    rows = [row for page in pages for row in page]
+    col = list(zip(*rows)) if rows else [[]] * 14
+    attrs = col[6]
+    attr_map = pa.MapArray.from_arrays(
+        _offsets(map(len, attrs)),
+        pa.array([k for a in attrs for k in a], pa.string()),
+        pa.array([v for a in attrs for v in a.values()], pa.string()),
+    )
+    ints = {i: pa.array(col[i], pa.int32()) for i in (0, 1, 2, 8, 9, 11, 12, 13)}
+    fields = {
+        "node_id": ints[0], "parent_id": ints[1], "pos": ints[0], "depth": ints[2],
+        "tag": pa.array(col[3], pa.string()), "id_attr": pa.array(col[4], pa.string()),
+        "classes": _lists(col[5], pa.string()), "attrs": attr_map, "text": pa.array(col[10], pa.string()),
+        "path": _lists(col[7], pa.int32()), "prev_id": ints[8], "next_id": ints[9], "last_id": ints[13],
+        "t_from": ints[11], "t_to": ints[12],
+    }
+    return pa.ListArray.from_arrays(_offsets(map(len, pages)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+
+
+def _dom_batch(htmls: list[str | None], parts) -> list[pa.Array]:
+    """Parse one Arrow batch into the wanted DOM columns."""
     parser = _DomRows()
-    rows: list[list] = []
-    row_counts, chunk_lists, errors = [], [], []
+    pages, chunk_lists, errors = [], [], []
     for html in htmls:
         found, chunks, error = [], [], None
         if html is None:
@@ -147,54 +168,43 @@ def _dom_batch(htmls: list[str | None]) -> list[pa.Array]:
                 found, chunks = parser.load(html)
             except Exception as exc:  # a broken page is reported, not fatal
                 error = f"{type(exc).__name__}: {exc}"
-                found, chunks = [], []
-        rows += found
-        row_counts.append(len(found))
+        pages.append(found)
         chunk_lists.append(chunks)
         errors.append(error)
-    col = list(zip(*rows)) if rows else [[]] * 13
-    attrs = col[6]
-    attr_map = pa.MapArray.from_arrays(
-        _offsets(map(len, attrs)),
-        pa.array([k for a in attrs for k in a], pa.string()),
-        pa.array([v for a in attrs for v in a.values()], pa.string()),
-    )
-    ints = {i: pa.array(col[i], pa.int32()) for i in (0, 1, 2, 8, 9, 11, 12)}
-    fields = {
-        "node_id": ints[0], "parent_id": ints[1], "pos": ints[0], "depth": ints[2],
-        "tag": pa.array(col[3], pa.string()), "id_attr": pa.array(col[4], pa.string()),
-        "classes": _lists(col[5], pa.string()), "attrs": attr_map, "text": pa.array(col[10], pa.string()),
-        "path": _lists(col[7], pa.int32()), "prev_id": ints[8], "next_id": ints[9],
-        "t_from": ints[11], "t_to": ints[12],
+    make = {
+        "nodes": lambda: _node_array(pages),
+        "chunks": lambda: _lists(chunk_lists, pa.string()),
+        "clean": lambda: _lists([[c.strip() for c in chunks] for chunks in chunk_lists], pa.string()),
+        "_error": lambda: pa.array(errors, pa.string()),
     }
-    nodes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
-    return [
-        pa.ListArray.from_arrays(_offsets(row_counts), nodes),
-        _lists(chunk_lists, pa.string()),
-        pa.array(errors, pa.string()),
-    ]
+    return [make[part]() for part in parts]
 
 
-def dom(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``nodes``, ``chunks`` and ``_error`` to each page; the HTML itself is dropped."""
+def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean")) -> DataFrame:
+    """Add the DOM columns and ``_error`` to each page; the HTML itself is dropped.
+
+    A Python step's output cannot be pruned by the optimizer, so callers that need
+    only some of ``nodes``, ``chunks`` and ``clean`` say so in ``parts``.
+    """
     keep = [c for c in pages.columns if c != html]
-    schema = T.StructType([pages.schema[c] for c in keep] + DOM_FIELDS)
+    wanted = [f for f in DOM_FIELDS if f.name in (*parts, "_error")]
+    names = [f.name for f in wanted]
+    schema = T.StructType([pages.schema[c] for c in keep] + wanted)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(h) if h is not None else 0 for h in batch.column(html).to_pylist()]
+            htmls = batch.column(html).to_pylist()
             start = 0
             while start < batch.num_rows:
                 # a few hundred pages or some MB of markup at a time keep the DOM of a batch small
                 stop, budget = start, 4_000_000
                 while stop < batch.num_rows and stop - start < 256 and (budget > 0 or stop == start):
-                    budget -= sizes[stop]
+                    budget -= len(htmls[stop] or "")
                     stop += 1
                 part = batch.slice(start, stop - start)
+                columns = [part.column(c) for c in keep] + _dom_batch(htmls[start:stop], names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
                 start = stop
-                parsed = _dom_batch(part.column(html).to_pylist())
-                columns = [part.column(c) for c in keep] + parsed
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "nodes", "chunks", "_error"])
 
     return spread(pages.select(*keep, html)).mapInArrow(parse, schema)
 
@@ -212,7 +222,7 @@ def spread(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
 
 def nodes(doc: DataFrame) -> DataFrame:
     """The DOM as a relation: one row per element, text chunk or comment."""
-    others = [c for c in doc.columns if c not in ("nodes", "chunks", "_error")]
+    others = [c for c in doc.columns if c not in ("nodes", "chunks", "clean", "_error")]
     return doc.select(*others, F.inline("nodes"))
 
 
@@ -229,11 +239,25 @@ def visible_text(sep: str = " ", chunks: Column | None = None) -> Column:
     return F.array_join(F.col("chunks") if chunks is None else chunks, sep)
 
 
-def subtree_text(node: Column, sep: str = " ", chunks: Column | None = None) -> Column:
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; lambda bodies have no common-subexpression step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rows_of(df: DataFrame, keys, array: Column, required: str) -> DataFrame:
+    """One row per struct of ``array``.
+
+    The outer form keeps the optimizer from adding a size test on the array, which
+    would evaluate the whole extraction a second time.
+    """
+    return df.select(*keys, F.inline_outer(array)).filter(F.col(required).isNotNull())
+
+
+def subtree_text(node: Column, sep: str = " ", clean: Column | None = None) -> Column:
     """A node's text, each chunk trimmed and empty ones dropped."""
-    chunks = F.col("chunks") if chunks is None else chunks
-    own = F.slice(chunks, node["t_from"] + 1, node["t_to"] - node["t_from"])
-    return F.array_join(F.filter(F.transform(own, t.strip), lambda x: x != ""), sep)
+    clean = F.col("clean") if clean is None else clean
+    own = F.slice(clean, node["t_from"] + 1, node["t_to"] - node["t_from"])
+    return F.array_join(F.filter(own, lambda x: x != ""), sep)
 
 
 def raw_subtree_text(node: Column, sep: str = "", chunks: Column | None = None) -> Column:
@@ -356,7 +380,8 @@ def select_texts(selector: str, sep: str = " ") -> Column:
 
 def first_text(selector: str, sep: str = " ") -> Column:
     """Text of the first match only; NULL when nothing matches or its text is empty."""
-    return t.blank_to_null(F.get(select_texts(selector, sep), F.lit(0)))
+    first = F.get(select_nodes(selector), F.lit(0))
+    return let(first, lambda n: F.when(n.isNotNull(), let(subtree_text(n, sep), t.blank_to_null)))
 
 
 def tagged(*tags: str, all_nodes: Column | None = None) -> Column:
@@ -369,14 +394,14 @@ def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-def inside(inner: Column, outer: Column) -> Column:
-    """Is ``inner`` a proper descendant of ``outer``?"""
-    return F.array_contains(inner["path"], outer["node_id"]) & (inner["node_id"] != outer["node_id"])
+def subtree(node: Column, all_nodes: Column | None = None) -> Column:
+    """All entries below the node, in document order: a slice of the DOM array."""
+    all_nodes = F.col("nodes") if all_nodes is None else all_nodes
+    return F.slice(all_nodes, node["node_id"] + 2, node["last_id"] - node["node_id"])
 
 
-def descendants(outer: Column, *tags: str, all_nodes: Column | None = None) -> Column:
-    all_nodes = F.col("nodes") if all_nodes is None else all_nodes
-    return F.filter(all_nodes, lambda n: n["tag"].isin(*tags) & inside(n, outer))
+def descendants(outer: Column, *tags: str) -> Column:
+    return F.filter(subtree(outer), lambda n: n["tag"].isin(*tags))
 
 
 def numbered(branches: list[Column], fields: tuple[str, ...]) -> Column:
@@ -403,7 +428,7 @@ def anchor_structs(sep: str = " ") -> Column:
 
 def anchors(doc: DataFrame, keys=("page_id", "url"), sep: str = " ") -> DataFrame:
     """One row per ``<a href>``."""
-    return doc.select(*keys, F.inline(anchor_structs(sep)))
+    return rows_of(doc, keys, anchor_structs(sep), "href")
 
 
 def anchor_links(pages: DataFrame, keys=("page_id", "url"), html: str = "html") -> DataFrame:

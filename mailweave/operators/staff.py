@@ -34,19 +34,22 @@ def _per_email(text: Column, make) -> Column:
 def row_contacts() -> Column:
     """The name stands before the address in its cell, in the cell before, or in the row."""
 
-    def from_row(row: Column) -> Column:
-        cells = F.transform(H.descendants(row, "td", "th"), lambda c: H.subtree_text(c))
-        joined = F.array_join(cells, " ")
+    def from_cells(cells: Column) -> Column:
+        return H.let(F.array_join(cells, " "), lambda joined: _per_email(joined, lambda email: contact(cells, joined, email)))
 
-        def contact(email: Column) -> Column:
-            at = F.array_position(F.transform(cells, lambda c: F.contains(F.lower(c), F.lower(email))), F.lit(True)).cast("int")
-            in_cell = t.strip(F.call_function("substring_index", F.get(cells, at - 1), email, F.lit(1)))
-            before_cell = F.when(at > 1, F.get(cells, at - 2))
-            in_row = t.collapse_ws(t.strip(t.text_before(joined, email)))
-            name = F.coalesce(t.blank_to_null(in_cell), t.blank_to_null(before_cell), t.blank_to_null(in_row))
-            return _contact(t.strip_symbols(name), email)
+    def contact(cells: Column, joined: Column, email: Column) -> Column:
+        at = F.array_position(F.transform(cells, lambda c: F.contains(F.lower(c), F.lower(email))), F.lit(True)).cast("int")
+        in_cell = t.strip(F.call_function("substring_index", F.get(cells, at - 1), email, F.lit(1)))
+        before_cell = F.when(at > 1, F.get(cells, at - 2))
+        in_row = t.collapse_ws(t.strip(t.text_before(joined, email)))
+        name = F.coalesce(t.blank_to_null(in_cell), t.blank_to_null(before_cell), t.blank_to_null(in_row))
+        return _contact(t.strip_symbols(name), email)
 
-        return F.when(F.size(cells) >= 2, _per_email(joined, contact)).otherwise(_nothing())
+    def from_row(row: Column) -> Column:
+        cells = F.transform(H.descendants(row, "td", "th"), lambda c: H.subtree_text(c))
+        found = H.let(cells, lambda cs: F.when(F.size(cs) >= 2, from_cells(cs)))
+        # rows without an address are skipped before their cells are put together
+        return F.when(_mentions_at(row), F.coalesce(found, _nothing())).otherwise(_nothing())
 
     rows = F.filter(H.tagged("tr"), lambda r: _under(r, "table"))
     return _good(F.flatten(F.transform(rows, from_row)))
@@ -56,6 +59,11 @@ def _under(node: Column, *tags: str) -> Column:
     return F.exists(node["path"], lambda i: H.node_at(i)["tag"].isin(*tags) & (i != node["node_id"]))
 
 
+def _mentions_at(node: Column) -> Column:
+    own = F.slice(F.col("clean"), node["t_from"] + 1, node["t_to"] - node["t_from"])
+    return F.exists(own, lambda x: F.contains(x, F.lit("@")))
+
+
 def _nothing() -> Column:
     return F.array().cast("array<struct<nombre:string,correo:string>>")
 
@@ -64,8 +72,8 @@ def list_contacts() -> Column:
     """The text of the list item before the address."""
 
     def from_item(item: Column) -> Column:
-        text = H.subtree_text(item)
-        return _per_email(text, lambda e: _contact(t.strip_symbols(t.text_before(text, e)), e))
+        found = H.let(H.subtree_text(item), lambda x: _per_email(x, lambda e: _contact(t.strip_symbols(t.text_before(x, e)), e)))
+        return F.when(_mentions_at(item), found).otherwise(_nothing())
 
     items = F.filter(H.tagged("li"), lambda i: _under(i, "ul", "ol"))
     return _good(F.flatten(F.transform(items, from_item)))
@@ -74,17 +82,20 @@ def list_contacts() -> Column:
 def block_contacts(selectors=PROFILE_BLOCK_SELECTORS) -> Column:
     """A heading inside the profile block, else the last words before the address."""
 
+    def contact(text: Column, heading: Column, email: Column) -> Column:
+        tail = H.let(
+            t.strip_symbols(t.text_before(text, email)), lambda b: F.when(t.word_count(b) > 4, t.last_words(b)).otherwise(b)
+        )
+        return _contact(F.coalesce(heading, tail), email)
+
     def from_block(block: Column) -> Column:
-        text = H.subtree_text(block)
         headings = F.transform(H.descendants(block, "h1", "h2", "h3", "h4", "h5", "strong", "b"), lambda h: H.subtree_text(h))
-        heading = F.get(F.filter(headings, lambda h: ~F.contains(h, F.lit("@")) & t.good_name_length(h)), F.lit(0))
-
-        def contact(email: Column) -> Column:
-            before = t.strip_symbols(t.text_before(text, email))
-            tail = F.when(t.word_count(before) > 4, t.last_words(before)).otherwise(before)
-            return _contact(F.coalesce(heading, tail), email)
-
-        return _per_email(text, contact)
+        first = F.get(F.filter(headings, lambda h: ~F.contains(h, F.lit("@")) & t.good_name_length(h)), F.lit(0))
+        found = H.let(
+            F.struct(H.subtree_text(block).alias("text"), first.alias("heading")),
+            lambda b: _per_email(b["text"], lambda e: contact(b["text"], b["heading"], e)),
+        )
+        return F.when(_mentions_at(block), found).otherwise(_nothing())
 
     blocks = F.flatten(F.array(*[H.select_nodes(s) for s in selectors]))
     return _good(F.flatten(F.transform(blocks, from_block)))
@@ -92,11 +103,8 @@ def block_contacts(selectors=PROFILE_BLOCK_SELECTORS) -> Column:
 
 def free_text_contacts() -> Column:
     """The nearest plausible line in the 300 characters before, else the last four words of 80."""
-    text = H.visible_text(" ")
 
-    def contact(email: Column) -> Column:
-        at = F.instr(F.lower(text), F.lower(email))
-        context = F.substr(text, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)))
+    def name_before(context: Column) -> Column:
         lines = F.split(context, "\n")
         near = F.transform(F.slice(lines, F.greatest(F.size(lines) - 7, F.lit(1)), F.lit(8)), t.strip)
         cleaned = F.transform(F.filter(F.reverse(near), t.plausible_line), t.strip_symbols)
@@ -104,25 +112,35 @@ def free_text_contacts() -> Column:
         # a plausible line that cleans to one or two letters blocks the fallback, an empty one does not
         stub = t.blank_to_null(F.try_element_at(cleaned, F.lit(-1)))
         words = t.strip_symbols(t.last_words(F.substr(context, F.greatest(F.length(context) - 79, F.lit(1)), F.lit(80))))
-        return _contact(F.when(at > 1, F.coalesce(line, stub, words)), email)
+        return F.coalesce(line, stub, words)
 
-    return _good(_per_email(text, contact))
+    def from_text(x: Column) -> Column:
+        def contact(email: Column) -> Column:
+            at = F.instr(x["low"], F.lower(email))
+            context = F.substr(x["text"], F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)))
+            return _contact(F.when(at > 1, H.let(context, name_before)), email)
+
+        return _per_email(x["text"], contact)
+
+    text = H.visible_text(" ")
+    return _good(H.let(F.struct(text.alias("text"), F.lower(text).alias("low")), from_text))
 
 
 def page_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
     """All branches of a page with their gates, first contact per address."""
     # pages without an address anywhere in their text skip the layout work
-    with_email = doc.filter(F.exists("chunks", lambda c: F.contains(c, F.lit("@"))))
-    step = with_email.select(*keys, "nodes", "chunks", row_contacts().alias("_rows"), block_contacts().alias("_blocks"))
+    dom_columns = ("nodes", "chunks", "clean")
+    with_email = doc.filter(F.exists("clean", lambda c: F.contains(c, F.lit("@"))))
+    step = with_email.select(*keys, *dom_columns, row_contacts().alias("_rows"), block_contacts().alias("_blocks"))
     few = F.size("_rows") < LISTS_WANTED_BELOW
-    step = step.select(*keys, "nodes", "chunks", "_rows", "_blocks", F.when(few, list_contacts()).otherwise(_nothing()).alias("_items"))
+    step = step.select(*keys, *dom_columns, "_rows", "_blocks", F.when(few, list_contacts()).otherwise(_nothing()).alias("_items"))
     none = F.size("_rows") + F.size("_blocks") + F.size("_items") == 0
     step = step.select(*keys, "_rows", "_items", "_blocks", F.when(none, free_text_contacts()).otherwise(_nothing()).alias("_free"))
     branches = [F.col(b) for b in ("_rows", "_items", "_blocks", "_free")]
-    rows = step.select(*keys, F.inline(H.numbered(branches, ("nombre", "correo"))))
+    rows = H.rows_of(step, keys, H.numbered(branches, ("nombre", "correo")), "correo")
     return dedup.first_per_key(rows, [*keys, "correo"], ["branch", "idx"]).select(*keys, "branch", "idx", "nombre", "correo")
 
 
 def branch_contacts(doc: DataFrame, branch: Column, keys=("page_id", "url")) -> DataFrame:
     """One branch on its own, as rows: ``(nombre, correo)`` in page order ``idx``."""
-    return doc.select(*keys, F.posexplode(branch).alias("idx", "_c")).select(*keys, "idx", "_c.nombre", "_c.correo")
+    return H.rows_of(doc, keys, H.numbered([branch], ("nombre", "correo")), "correo").drop("branch")

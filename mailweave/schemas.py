@@ -45,7 +45,8 @@ ROBOTS_RULES = T.StructType(
 )
 
 # One DOM entry. ``t_from``/``t_to`` delimit the entry's own visible text inside
-# the page's ``chunks`` array, so subtree text is a slice and never a join.
+# the page's text arrays, so subtree text is a slice and never a join; ``last_id`` is
+# its last descendant, so its descendants are a slice of the DOM array too.
 NODE = T.StructType(
     [
         T.StructField("node_id", T.IntegerType()),
@@ -60,6 +61,7 @@ NODE = T.StructType(
         T.StructField("path", T.ArrayType(T.IntegerType())),
         T.StructField("prev_id", T.IntegerType()),
         T.StructField("next_id", T.IntegerType()),
+        T.StructField("last_id", T.IntegerType()),
         T.StructField("t_from", T.IntegerType()),
         T.StructField("t_to", T.IntegerType()),
     ]
@@ -67,6 +69,7 @@ NODE = T.StructType(
 
 DOM_FIELDS = [
     T.StructField("nodes", T.ArrayType(NODE)),
-    T.StructField("chunks", T.ArrayType(T.StringType())),
+    T.StructField("chunks", T.ArrayType(T.StringType())),  # visible text as it stands
+    T.StructField("clean", T.ArrayType(T.StringType())),  # the same, each chunk trimmed
     T.StructField("_error", T.StringType()),
 ]
