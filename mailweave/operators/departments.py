@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails as em
@@ -111,6 +111,12 @@ def pattern_urls(name: Column, site: SiteProfile, legacy_key: bool = False) -> C
     return out
 
 
+def guessed_pages(departments: DataFrame, site: SiteProfile, legacy_key: bool = False) -> DataFrame:
+    """Pattern URLs of each department, existing or not."""
+    urls = pattern_urls(F.col("dept_name"), site, legacy_key)
+    return departments.select("dept_url", "dept_name", F.explode_outer(urls).alias("staff_url")).filter(F.col("staff_url").isNotNull())
+
+
 def existing_contact_pages(candidates: DataFrame, doc: DataFrame, site: SiteProfile, url: str = "staff_url") -> DataFrame:
     """Candidates whose page exists and mentions contact words."""
     text = F.lower(H.visible_text(""))
@@ -118,18 +124,24 @@ def existing_contact_pages(candidates: DataFrame, doc: DataFrame, site: SiteProf
     return candidates.join(relevant, url, "left_semi").select(*candidates.columns)
 
 
-def staff_pages(departments: DataFrame, doc: DataFrame, site: SiteProfile, legacy_key: bool = False) -> DataFrame:
+def staff_pages(departments: DataFrame, dept_doc: DataFrame, guess_doc: DataFrame, site: SiteProfile, legacy_key: bool = False) -> DataFrame:
     """Staff pages of each department: keyword links, specific links and existing
-    pattern URLs; the department page itself where nothing was found."""
+    pattern URLs; the department page itself where nothing was found.
+
+    ``dept_doc`` holds the parsed department pages, ``guess_doc`` any parsed pages that
+    may stand behind pattern URLs.
+    """
     depts = departments.select("dept_url", "dept_name")
-    links = H.anchors(doc.join(depts.select(F.col("dept_url").alias("url")), "url", "left_semi"), ("url",))
-    links = links.withColumn("staff_url", u.url_join(F.col("url"), F.col("href")))
+    links = H.anchors(dept_doc, ("url",)).withColumn("staff_url", u.url_join(F.col("url"), F.col("href")))
     wanted = (u.under_base(F.col("staff_url"), site.base_url) & u.has_keyword(site.staff_keywords, F.col("text"), F.col("href"))) | (
         u.internal_and_specific(F.col("staff_url"), F.col("href"), site.base_url, site.specific_link_words)
     )
-    linked = links.filter(wanted).select(F.col("url").alias("dept_url"), "staff_url")
-    linked = depts.join(linked, "dept_url").select("dept_url", "dept_name", "staff_url")
-    guesses = depts.select("dept_url", "dept_name", F.explode(pattern_urls(F.col("dept_name"), site, legacy_key)).alias("staff_url"))
-    found = linked.unionByName(existing_contact_pages(guesses, doc, site)).distinct()
-    alone = depts.join(found.select("dept_url").distinct(), "dept_url", "left_anti")
-    return found.unionByName(alone.select("dept_url", "dept_name", F.col("dept_url").alias("staff_url")).distinct())
+    linked = depts.join(links.filter(wanted).select(F.col("url").alias("dept_url"), "staff_url"), "dept_url")
+    guesses = existing_contact_pages(guessed_pages(depts, site, legacy_key), guess_doc, site)
+    found = linked.select("dept_url", "dept_name", "staff_url").unionByName(guesses)
+    # the department's own page is a candidate of last resort: it counts where nothing else did
+    own = depts.select("dept_url", "dept_name", F.lit(None).cast("string").alias("staff_url"))
+    every = F.count("staff_url").over(Window.partitionBy("dept_url"))
+    rows = found.unionByName(own).distinct().withColumn("_found", every)
+    rows = rows.filter(F.col("staff_url").isNotNull() | (F.col("_found") == 0))
+    return rows.select("dept_url", "dept_name", F.coalesce("staff_url", "dept_url").alias("staff_url"))

@@ -17,34 +17,47 @@ from ..operators import merge as M
 from ..operators import report
 from ..operators import staff
 from ..operators import walk as W
+from ..session import cut_lineage
 from ..siteprofile import SiteProfile
 
 
-def _docs(pages: DataFrame) -> DataFrame:
-    return H.dom(X.usable_pages(pages).select("page_id", "url", "html"))
+def _usable(pages: DataFrame) -> DataFrame:
+    return X.usable_pages(pages).select("page_id", "url", "html")
+
+
+def _doc_of(pages: DataFrame, urls: DataFrame, url: str = "url", parts=("nodes", "chunks", "clean")) -> DataFrame:
+    """Parse only the wanted pages: the join goes below the Python step, where the optimizer cannot move it."""
+    return H.dom(pages.join(urls.select(F.col(url).alias("url")).distinct(), "url", "left_semi"), parts=parts)
+
+
+def _host_pages(pages: DataFrame, starts: DataFrame, web: str = "web") -> DataFrame:
+    """Pages on the hosts where walks start; a walk never leaves its host."""
+    hosts = starts.filter(F.col(web).isNotNull()).select(u.netloc(F.col(web)).alias("_host")).distinct()
+    return pages.withColumn("_host", u.netloc(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
 
 
 def contacts_by_structure(pages: DataFrame, list_urls: DataFrame, directory_urls: DataFrame | None, site: SiteProfile) -> DataFrame:
     """Q4: ``(nombre, correo, departamento)`` by page layout, sorted by address."""
-    doc = _docs(pages)
-    lists = doc.join(list_urls.select("url"), "url", "left_semi")
-    depts = DP.by_keyword(lists, site)
+    pages = _usable(pages)
+    depts = cut_lineage(DP.by_keyword(_doc_of(pages, list_urls, parts=("nodes", "clean")), site))
     ranked = depts.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no"))
-    targets = DP.staff_pages(depts, doc, site).join(ranked.select("dept_url", "dept_no"), "dept_url")
-    found = staff.page_contacts(doc.join(targets.select(F.col("staff_url").alias("url")).distinct(), "url", "left_semi"), ("url",))
+    dept_doc = _doc_of(pages, depts, "dept_url", ("nodes", "clean"))
+    guess_doc = _doc_of(pages, DP.guessed_pages(depts, site), "staff_url", ("chunks",))
+    targets = DP.staff_pages(depts, dept_doc, guess_doc, site).join(ranked.select("dept_url", "dept_no"), "dept_url")
+    targets = cut_lineage(targets)
+    found = staff.page_contacts(_doc_of(pages, targets, "staff_url"), ("url",))
     rows = targets.join(found, targets["staff_url"] == found["url"]).select(
         "nombre", "correo", F.col("dept_name").alias("departamento"), "dept_no", "staff_url", "branch", "idx"
     )
     best = dedup.first_named_per_email(rows, order=("dept_no", "staff_url", "branch", "idx")).select("nombre", "correo", "departamento")
     if directory_urls is not None:
-        best = M.add_unseen(best, directory_contacts(doc, directory_urls, site))
+        best = M.add_unseen(best, directory_contacts(_doc_of(pages, directory_urls), site))
     return best.orderBy("correo")
 
 
-def directory_contacts(doc: DataFrame, directory_urls: DataFrame, site: SiteProfile) -> DataFrame:
+def directory_contacts(directory_doc: DataFrame, site: SiteProfile) -> DataFrame:
     """Contacts of the general directory under one label."""
-    pages = doc.join(directory_urls.select("url"), "url", "left_semi")
-    rows = staff.page_contacts(pages, ("page_id", "url"))
+    rows = staff.page_contacts(directory_doc, ("page_id", "url"))
     first = dedup.first_per_key(rows, "correo", ["page_id", "branch", "idx"])
     return first.select("nombre", "correo", F.lit(site.directory_label).alias("departamento"))
 
@@ -56,22 +69,24 @@ class DepartmentRun:
     visited: DataFrame
 
 
-def _sites(doc: DataFrame, depts: DataFrame, site: SiteProfile, from_text: bool) -> DataFrame:
-    pages = doc.join(depts.select(F.col("dept_url").alias("url")), "url", "left_semi")
-    cards = DP.cards(pages, site, ("url",), from_text)
-    return depts.join(cards.withColumnRenamed("url", "dept_url"), "dept_url", "left")
+def _sites(pages: DataFrame, depts: DataFrame, site: SiteProfile) -> DataFrame:
+    """Departments with mailbox and web address; written once, as the walk and the result both read it."""
+    depts = cut_lineage(depts)
+    cards = DP.cards(_doc_of(pages, depts, "dept_url"), site, ("url",))
+    return cut_lineage(depts.join(cards.withColumnRenamed("url", "dept_url"), "dept_url", "left"))
 
 
 def contacts_by_walk(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_pages: int | None = 40) -> DepartmentRun:
     """Q5: every mailto link and every new text address of each department's web, mailboxes first."""
-    doc = _docs(pages)
-    depts = DP.by_marker(doc.join(list_urls.select("url"), "url", "left_semi"), site)
+    pages = _usable(pages)
+    depts = DP.by_marker(_doc_of(pages, list_urls, parts=("nodes", "clean")), site)
     # the id names the department; the second-last segment only where there is no id
     label = F.coalesce(u.department_id(F.col("dept_url"), site.department_marker), u.second_last_segment(F.col("dept_url")))
-    depts = _sites(doc, depts.withColumn("departamento", label), site, from_text=False)
-    visited = W.walk_hosts(W.co_locate(W.page_links(doc)), depts, max_pages=max_pages)
+    depts = _sites(pages, depts.withColumn("departamento", label), site)
+    links = W.page_links(H.dom(_host_pages(pages, depts), parts=("nodes", "clean")))
+    visited = W.walk_hosts(W.co_locate(links), depts, max_pages=max_pages)
     trail = visited.select("walk", "url", "level", "trail")
-    rows = A.climbed_contacts(doc.join(visited.select("url").distinct(), "url", "left_semi"), ("url",))
+    rows = A.climbed_contacts(_doc_of(pages, visited), ("url",))
     rows = trail.join(rows, "url").select(F.col("walk").alias("dept_url"), F.struct("level", "trail").alias("page_ord"), "branch", "idx", "profesor", "email")
     personal = A.drop_known_text_emails(rows, "dept_url", ["page_ord", "branch", "idx"]).join(depts.select("dept_url", "departamento"), "dept_url")
     boxes = depts.filter(F.col("mail").isNotNull()).select(
@@ -85,11 +100,12 @@ def contacts_by_walk(pages: DataFrame, list_urls: DataFrame, site: SiteProfile,
 
 def contacts_clean(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_pages: int = 50) -> DepartmentRun:
     """Q6: one contact per address over all departments, names normalised or inferred."""
-    doc = _docs(pages)
-    named = DP.by_marker_named(doc.join(list_urls.select("url"), "url", "left_semi"), site)
-    depts = _sites(doc, named.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no")), site, from_text=False)
-    visited = W.walk_relevant(W.co_locate(W.page_links(doc)), depts, site.walk_keywords, max_pages=max_pages)
-    rows = A.near_contacts(doc.join(visited.select("url").distinct(), "url", "left_semi"), site.email_domains, ("url",), strict=False)
+    pages = _usable(pages)
+    named = DP.by_marker_named(_doc_of(pages, list_urls, parts=("nodes", "clean")), site)
+    depts = _sites(pages, named.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no")), site)
+    links = W.page_links(H.dom(_host_pages(pages, depts), parts=("nodes", "clean")))
+    visited = W.walk_relevant(W.co_locate(links), depts, site.walk_keywords, max_pages=max_pages)
+    rows = A.near_contacts(_doc_of(pages, visited), site.email_domains, ("url",), strict=False)
     personal = visited.select(F.col("walk").alias("dept_url"), "url", "ord").join(rows, "url").join(depts.select("dept_url", "dept_name", "dept_no"), "dept_url")
     personal = personal.select("dept_no", F.col("ord").alias("page_ord"), "branch", "idx", F.col("dept_name").alias("departamento"), "profesor", "email")
     boxes = depts.filter(F.col("mail").isNotNull()).select(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import urls as u
 from ..operators import extract as X
 from ..operators import html as H
 from ..operators import walk as W
@@ -25,10 +27,10 @@ def email_index(
 ) -> DataFrame:
     """``seeds``: ``(url, seed_no)``. Result sorted by address."""
     pages = X.usable_pages(pages).select("page_id", "url", "html")
-    doc = H.dom(pages)
-    links = W.co_locate(W.page_links(doc, base_url=site.base_url))
+    inside = pages.filter(u.is_internal(F.col("url"), site.domain, site.strict))
+    links = W.co_locate(W.page_links(H.dom(inside, parts=("nodes", "clean")), base_url=site.base_url))
     visited = W.walk_site(links, seeds.selectExpr("'all' AS walk", "url", "seed_no"), site.domain, rules, user_agent, max_pages, site.strict)
     reached = pages.join(visited.select("url"), "url", "left_semi")
-    mailto = X.mailto_emails(H.dom(reached)).select("email", "url")
+    mailto = X.mailto_emails(H.dom(reached, parts=("nodes", "clean"))).select("email", "url")
     pairs = address_pages(reached).select("email", "url").unionByName(mailto)
     return X.inverted_index(pairs).orderBy("email")

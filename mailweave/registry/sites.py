@@ -109,9 +109,8 @@ UNION ALL SELECT s, dept_url, dept_name, dept_url FROM {{@v2_depts}} WHERE s % 7
 
 @query("x23_staff_pages", "SELECT dept_url, dept_name, staff_url FROM {@v2_staff}")
 def x23(spark, d):
-    doc = H.dom(webs.everything(spark, d))
     depts = DP.by_keyword(H.dom(webs.department_lists(spark, d)), SITE)
-    return DP.staff_pages(depts, doc, SITE)
+    return DP.staff_pages(depts, H.dom(webs.department_cards(spark, d)), H.dom(webs.listed_staff_pages(spark, d)), SITE)
 
 
 @query("j8_existing_contact_pages", f"SELECT dept_url, '{_PATTERN}' AS staff_url FROM {{@depts}} WHERE s % 4 = 0")
@@ -178,8 +177,7 @@ def ud5(spark, d):
 def p30(spark, d):
     from ..plans import departments as P
 
-    pages = webs.directory_pages(spark, d)
-    return P.directory_contacts(H.dom(pages), pages.select("url"), SITE)
+    return P.directory_contacts(H.dom(webs.directory_pages(spark, d)), SITE)
 
 
 # -- whose address is this: climbing -----------------------------------------------------------------
