@@ -65,8 +65,13 @@ def near_name(node: Column, email: Column) -> Column:
     the parent's, so from the second step on only the parent's side is new.
     """
 
-    def name_of(entry: Column) -> Column:
-        return F.when(entry.isNotNull(), _name(_text_without(H.subtree_text(entry), email)))
+    def name_at(index: Column) -> Column:
+        # -1 is a missing neighbour, -2 stands for the document itself
+        text = F.when(index == -2, _page_text()).when(index >= 0, H.let(H.node_at(index), lambda n: H.subtree_text(n)))
+        return _name(_text_without(text, email))
+
+    def first_name(*indexes: Column) -> Column:
+        return _first_found(F.array(*indexes), name_at)
 
     def from_row(parent: Column) -> Column:
         # an ancestor row's cells that do not hold the address
@@ -82,7 +87,7 @@ def near_name(node: Column, email: Column) -> Column:
         above = F.filter(entry["path"], lambda i: H.node_at(i)["tag"].isin("div", "span", "p") & (i != entry["node_id"]))
         container = H.node_at(F.try_element_at(above, F.lit(-1)))
         before = H.let(H.let(container, lambda c: F.when(c.isNotNull(), H.subtree_text(c))), lambda x: t.strip(t.text_before(x, email)))
-        return H.let(H.let(before, t.last_words), lambda w: F.when(t.word_count(w) >= 2, _name(w)))
+        return H.let(H.let(before, lambda b: t.last_words(b)), lambda w: F.when(t.word_count(w) >= 2, _name(w)))
 
     def above(index: Column) -> Column:
         entry = H.node_at(index)
@@ -90,16 +95,15 @@ def near_name(node: Column, email: Column) -> Column:
         return H.let(pair, lambda p: around(p["entry"], p["parent"]))
 
     def around(entry: Column, parent: Column) -> Column:
-        parent_text = F.when(entry["parent_id"] >= 0, H.subtree_text(parent)).otherwise(_page_text())
+        holder = F.when(entry["parent_id"] >= 0, entry["parent_id"]).otherwise(-2)
+        none = F.lit(-1)
         return F.coalesce(
-            name_of(H.node_at(parent["prev_id"])),
-            name_of(H.node_at(parent["next_id"])),
-            _name(_text_without(parent_text, email)),
+            first_name(F.coalesce(parent["prev_id"], none), F.coalesce(parent["next_id"], none), holder),
             from_row(parent),
             from_container(entry),
         )
 
-    here = F.coalesce(name_of(node), name_of(H.node_at(node["prev_id"])), name_of(H.node_at(node["next_id"])))
+    here = first_name(node["node_id"], node["prev_id"], node["next_id"])
     return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(node["path"]), above)))
 
 
@@ -153,12 +157,28 @@ def staff_rows(domains, strict: bool = False) -> Column:
     return F.filter(F.transform(rows, from_row), lambda p: p["email"].isNotNull())
 
 
-def _named(pairs: Column, find) -> Column:
-    return F.transform(pairs, lambda p: F.struct(p["email"].alias("email"), find(p["node"], p["email"]).alias("profesor")))
+def _named(mailto: Column, text: Column, find) -> Column:
+    """Name both kinds of hits; ``find`` is built once for the two branches together."""
+
+    def tagged(pairs: Column, from_text: bool) -> Column:
+        return F.transform(pairs, lambda p: F.struct(p["email"].alias("email"), p["node"].alias("node"), F.lit(from_text).alias("from_text")))
+
+    both = F.concat(tagged(mailto, False), tagged(text, True))
+    return F.transform(
+        both, lambda p: F.struct(p["email"].alias("email"), find(p["node"], p["email"]).alias("profesor"), p["from_text"].alias("from_text"))
+    )
 
 
-def _branches(doc: DataFrame, keys, branches: list[Column]) -> DataFrame:
-    return H.rows_of(doc, keys, H.numbered(branches, ("profesor", "email")), "email")
+def _branches(doc: DataFrame, keys, named: Column, rows: Column | None = None) -> DataFrame:
+    """``(…keys, branch, idx, profesor, email)``: mailto links are branch 1, text 2, table rows 3."""
+    hits = F.transform(
+        named,
+        lambda c, i: F.struct(F.when(c["from_text"], 2).otherwise(1).alias("branch"), i.alias("idx"), c["profesor"].alias("profesor"), c["email"].alias("email")),
+    )
+    if rows is not None:
+        third = F.transform(rows, lambda c, i: F.struct(F.lit(3).alias("branch"), i.alias("idx"), c["profesor"].alias("profesor"), c["email"].alias("email")))
+        hits = F.concat(hits, third)
+    return H.rows_of(doc, keys, hits, "email")
 
 
 def _pages_with_email(doc: DataFrame) -> DataFrame:
@@ -172,8 +192,7 @@ def climbed_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
 
     Both branches are whole; see :func:`drop_known_text_emails` for rule J5.
     """
-    branches = [_named(mailto_links(), climb_name), _named(text_emails(), climb_name)]
-    return _branches(_pages_with_email(doc), keys, branches)
+    return _branches(_pages_with_email(doc), keys, _named(mailto_links(), text_emails(), climb_name))
 
 
 def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
@@ -187,12 +206,8 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
 
 def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
     """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
-    branches = [
-        _named(mailto_links(domains, strict), near_name),
-        _named(text_emails(domains, strict), near_name),
-        staff_rows(domains, strict),
-    ]
-    return _branches(_pages_with_email(doc), keys, branches)
+    named = _named(mailto_links(domains, strict), text_emails(domains, strict), near_name)
+    return _branches(_pages_with_email(doc), keys, named, staff_rows(domains, strict))
 
 
 def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:

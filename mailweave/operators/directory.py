@@ -11,24 +11,35 @@ from ..functions import urls as u
 from . import html as H
 
 
-def card_names(doc: DataFrame, keys=("page_id", "url"), selectors=sp.CARD_NAME_SELECTORS) -> DataFrame:
-    """Distinct names of two to four words on list cards."""
+def card_name_array(selectors=sp.CARD_NAME_SELECTORS) -> Column:
+    """X13 for one page: distinct names of two to four words on list cards."""
     texts = F.flatten(F.array(*[H.select_texts(s) for s in selectors]))
-    names = F.array_distinct(F.filter(texts, lambda x: t.word_count(x).between(2, 4)))
-    return H.rows_of(doc, keys, F.transform(names, lambda x: F.struct(x.alias("full_name"))), "full_name")
+    return F.array_distinct(F.filter(texts, lambda x: t.word_count(x).between(2, 4)))
 
 
-def card_links(doc: DataFrame, domain: str, selector: str = sp.CARD_LINK_SELECTOR, keys=("page_id", "url")) -> DataFrame:
-    """Distinct profile links on list cards, with their first position."""
-    hrefs = F.transform(
-        H.select_nodes(selector), lambda n: F.struct(H.attr(n, "href").alias("href"), n["pos"].alias("pos"))
-    )
-    rows = H.rows_of(doc, keys, hrefs, "href").filter(u.usable_href(F.col("href")))
-    links = rows.withColumn("link", u.url_join(F.col("url"), F.col("href")))
+def card_names(doc: DataFrame, keys=("page_id", "url"), selectors=sp.CARD_NAME_SELECTORS) -> DataFrame:
+    """X13 as rows."""
+    named = F.transform(card_name_array(selectors), lambda x: F.struct(x.alias("full_name")))
+    return H.rows_of(doc, keys, named, "full_name")
+
+
+def card_hrefs(selector: str = sp.CARD_LINK_SELECTOR) -> Column:
+    """Link targets on list cards, as they stand."""
+    return F.transform(H.select_nodes(selector), lambda n: F.struct(H.attr(n, "href").alias("href"), n["pos"].alias("pos")))
+
+
+def profile_links(rows: DataFrame, domain: str, keys=("page_id", "url")) -> DataFrame:
+    """Distinct resolved links of the domain that look like profiles, with their first position."""
+    links = rows.filter(u.usable_href(F.col("href"))).withColumn("link", u.url_join(F.col("url"), F.col("href")))
     links = links.filter(u.mentions_domain(F.col("link"), domain) & u.profile_like(F.col("link")))
     return links.groupBy(*keys, "link").agg(F.min("pos").alias("pos"))
 
 
+def card_links(doc: DataFrame, domain: str, selector: str = sp.CARD_LINK_SELECTOR, keys=("page_id", "url")) -> DataFrame:
+    """Profile links on list cards."""
+    return profile_links(H.rows_of(doc, keys, card_hrefs(selector), "href"), domain, keys)
+
+
 def page_title() -> Column:
     """The first selector whose first match has text; a Person's name last."""
     return F.coalesce(*[H.first_text(s) for s in (*sp.TITLE_SELECTORS, sp.PERSON_NAME_SELECTOR)])

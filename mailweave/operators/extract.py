@@ -21,7 +21,9 @@ def usable_pages(pages: DataFrame) -> DataFrame:
 def emails_at_domain(pages: DataFrame, domain: str, keys=("page_id", "url"), text: str = "html") -> DataFrame:
     """Distinct lower-cased addresses of one domain in the raw markup."""
     found = em.find_distinct_lower(F.col(text), em.domain_email_pattern(domain))
-    return pages.select(*keys, F.explode(found).alias("email"))
+    # a plain substring test spares most texts the pattern with its word boundaries
+    likely = pages.filter(F.contains(F.lower(text), F.lit("@" + domain.lower())))
+    return likely.select(*keys, F.explode(found).alias("email"))
 
 
 def emails_in(df: DataFrame, text: str, keys=()) -> DataFrame:

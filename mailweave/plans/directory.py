@@ -14,6 +14,7 @@ from ..operators import directory as D
 from ..operators import extract as X
 from ..operators import html as H
 from ..operators import merge as M
+from ..session import cut_lineage
 from ..siteprofile import SiteProfile
 
 _SHAPE = (
@@ -58,28 +59,39 @@ def union_contacts(*parts: DataFrame) -> DataFrame:
     return out.select(*_SHAPE)
 
 
+def _parsed(pages: DataFrame, domain: str) -> DataFrame:
+    """Pages with their addresses (read from the markup) and their DOM, in one pass."""
+    emails = em.find_distinct_lower(F.col("html"), em.domain_email_pattern(domain))
+    return H.dom(pages.withColumn("emails", emails), parts=("nodes", "clean"))
+
+
+def _emails(facts: DataFrame) -> DataFrame:
+    return facts.select("url", F.explode("emails").alias("email"))
+
+
 def extract_directory(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_profiles: int | None = None) -> Directory:
-    """``list_urls``: one column ``url``. Only pages of the site's registered domain are read."""
+    """``list_urls``: one column ``url``. Only pages of the site's registered domain are read.
+
+    List pages and profile pages are parsed once each; what was read from them (not
+    the pages) is written down, and contacts and profiles are both built from that.
+    """
     pages = X.usable_pages(pages).select("page_id", "url", "html")
     starts = list_urls.filter(u.same_registered_domain(F.col("url"), site.domain)).select("url").distinct()
-    listing = pages.join(starts, "url", "left_semi")
-    list_doc = H.dom(listing)
-    links = D.card_links(list_doc, site.domain).select(F.col("link").alias("url"), "page_id", "pos")
-    links = links.groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("seq"))
+    lists = _parsed(pages.join(starts, "url", "left_semi"), site.domain)
+    lists = cut_lineage(lists.select("page_id", "url", "emails", D.card_name_array().alias("names"), D.card_hrefs().alias("hrefs")))
+    links = D.profile_links(lists.select("page_id", "url", F.inline("hrefs")), site.domain)
+    links = links.select(F.col("link").alias("url"), "page_id", "pos").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("seq"))
     if max_profiles is not None:
         links = links.orderBy("seq", "url").limit(max_profiles)
-    details = pages.join(links.select("url"), "url", "left_semi")
-    facts = D.profiles(H.dom(details), ("url",))
-    titled = facts.withColumn("_s", t.split_first_last(F.col("full_name")))
-    list_mail = X.emails_at_domain(listing, site.domain)
-    page_mail = X.emails_at_domain(details, site.domain)
-    names = D.card_names(list_doc)
-    own_names = titled.filter(F.col("_s.first_name").isNotNull())
+    details = _parsed(pages.join(links.select("url"), "url", "left_semi"), site.domain)
+    details = cut_lineage(details.select("url", "emails", D.page_title().alias("full_name"), D.page_department().alias("department")))
+    split = details.withColumn("_s", t.split_first_last(F.col("full_name")))
+    names = lists.select("url", F.explode("names").alias("full_name"))
     contacts = union_contacts(
-        found_rows(list_mail, "email_found_list", "list page"),
+        found_rows(_emails(lists), "email_found_list", "list page"),
         named_rows(names, site.domain, "card_name_generated", "name from list card", 0.5, 0.25),
-        found_rows(page_mail, "email_found_profile", "profile page"),
-        named_rows(own_names, site.domain, "profile_name_generated", "name from profile", 0.6, 0.3),
+        found_rows(_emails(details), "email_found_profile", "profile page"),
+        named_rows(split.filter(F.col("_s.first_name").isNotNull()), site.domain, "profile_name_generated", "name from profile", 0.6, 0.3),
     )
     # one list page or profile page gives one row per value, so the method order decides ties
     order = F.array_position(
@@ -87,7 +99,7 @@ def extract_directory(pages: DataFrame, list_urls: DataFrame, site: SiteProfile,
         F.col("method"),
     )
     fresh = M.upsert_contacts(None, contacts.withColumn("seq", order)).select("id", *_SHAPE)
-    profiles = titled.select(
+    profiles = split.select(
         F.col("url").alias("source_url"), "full_name", F.col("_s.first_name").alias("first_name"),
         F.col("_s.last_name").alias("last_name"), F.lit(site.university).alias("university"),
         t.blank_to_null(F.col("department")).alias("department"),

@@ -17,6 +17,7 @@ def local_session(app: str = "mailweave", cpus: str | int = "*", **conf) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # call sites per column expression cost a round trip each; DOM expressions have thousands
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("MAILWEAVE_DRIVER_MEMORY", "8g"))
