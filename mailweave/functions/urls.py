@@ -52,7 +52,8 @@ def _resolve_dots(path: Column, rel: bool) -> Column:
     )
     tail = F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
     joined = F.concat(F.array_join(stack, "/"), tail)
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    # more ".." than segments end at the root
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def url_join(base: Column, href: Column) -> Column:
