@@ -36,9 +36,21 @@ def page_links(doc_or_pages: DataFrame, parsed: bool = True, base_url: str | Non
     return rows.select("url", u.url_join(base, F.col("href")).alias("target"), "href", "text", "pos")
 
 
-def co_locate(links: DataFrame, url: str = "url") -> DataFrame:
-    """Hash the edge table by page once, so that each level only moves its frontier."""
-    return cut_lineage(links.repartition(F.col(url)))
+def co_locate(links: DataFrame, url: str = "url", partitions: int | None = None) -> DataFrame:
+    """Hash and sort the edge table by page once, so that each level only moves its frontier.
+
+    Adaptive execution hides how a checkpointed table is laid out, which would shuffle
+    all edges again at every level; it is off for this one write.
+    """
+    spark = links.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = links.repartition(n, F.col(url)).sortWithinPartitions(url)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(laid_out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _empty_like(df: DataFrame) -> DataFrame:

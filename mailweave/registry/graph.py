@@ -44,12 +44,9 @@ def l8(spark, d):
 
 @query("w9_discovery_order", f"SELECT s, {_URL} AS url, CAST(ord AS INT) AS ord FROM {{@queue}}")
 def w9(spark, d):
-    """Uncapped walks carry no numbers; the trail alone gives the queue order."""
-    from pyspark.sql import Window
-
-    out = W.walk_hosts(_web_links(spark, d), _starts(spark, d), "s", "web", None)
-    ord_ = F.row_number().over(Window.partitionBy("walk").orderBy("level", "trail")).cast("int")
-    return out.select(F.col("walk").alias("s"), "url", ord_.alias("ord"))
+    """The visit number is the rank of the page's trail among its department's pages."""
+    out = W.walk_hosts(_web_links(spark, d), _starts(spark, d), "s", "web", 1000)
+    return out.select(F.col("walk").alias("s"), "url", "ord")
 
 
 @query("g3_walk_relevant", f"""
