@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 
 def local_session(app: str = "mailweave", cpus: str | int = "*", **conf) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own settings."""
@@ -24,7 +27,23 @@ def local_session(app: str = "mailweave", cpus: str | int = "*", **conf) -> Spar
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("to") != sc.applicationId:
+        top = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="mailweave-package-"), "mailweave.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(top):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("mailweave", os.path.relpath(full, top)))
+        sc.addPyFile(path)
+        _SHIPPED["to"] = sc.applicationId
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
