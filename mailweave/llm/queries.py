@@ -2,14 +2,18 @@
 
 from .decontam import op9_decontamination
 from .packing import op4_packing
+from .quality import op10_quality
 from .sharding import op3_sharding
 from .simhash import op8_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
