@@ -2,6 +2,7 @@
 
 from .decontam import op9_decontamination
 from .packing import op4_packing
+from .pii import op6_pii
 from .quality import op10_quality
 from .sharding import op3_sharding
 from .simhash import op8_simhash
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_pii": op6_pii,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
