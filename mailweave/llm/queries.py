@@ -7,11 +7,13 @@ from .quality import op10_quality
 from .sharding import op3_sharding
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
+from .vectors import op5_embeddings
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_embeddings": op5_embeddings,
     "op6_pii": op6_pii,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
