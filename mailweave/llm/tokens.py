@@ -6,7 +6,9 @@ import os
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: ASCII signs that the splitter keeps apart from letters; the apostrophe begins endings such as 's
+_SIGNS = "".join(map(chr, (*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
 _LOADED: dict[str, "WordCache"] = {}
 
 
@@ -14,8 +16,9 @@ class WordCache(dict):
     """Word -> its ids as little-endian unsigned 32-bit bytes; :meth:`ids` does whole texts.
 
     The tokenizer's splitter never joins across a space and its normalizer turns white space
-    into spaces, so a text's ids are those of its space-separated words one after another. A word not met
-    before goes to the tokenizer. The cache is emptied when full.
+    into spaces, so a text's ids are those of its space-separated words one after another. Signs around a run of letters
+    are apart too, and case is folded, so such a word is put together from parts met before. Only new parts go
+    to the tokenizer. The caches are emptied when full.
     """
 
     def __init__(self, path: str):
@@ -24,14 +27,29 @@ class WordCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _part(self, part: str) -> bytes:
+        code = self.parts.get(part)
+        if code is None:
+            code = self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return code
 
     def __missing__(self, word: str) -> bytes:
-        code = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = word.strip(_SIGNS)
+        if letters.isalpha() and "\u03a3" not in letters:  # a capital sigma's small form depends on its place
+            before = word[: word.index(letters)]
+            code = self._part(before) + self._part(letters.lower()) + self._part(word[len(before) + len(letters) :])
+        else:
+            code = self._part(word)
+        self[word] = code
         return code
 
     def ids(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
