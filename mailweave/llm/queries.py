@@ -1,6 +1,7 @@
 """The operators of this folder as queries, and the SQL that checks them where SQL can."""
 
 from .decontam import op9_decontamination
+from .maintext import op1_main_text
 from .packing import op4_packing
 from .pii import op6_pii
 from .quality import op10_quality
@@ -10,6 +11,7 @@ from .toxicity import op2_toxicity
 from .vectors import op5_embeddings
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
