@@ -108,6 +108,9 @@ class BiLstm:
             label, _ = self._padded([y.astype(np.float32) for _, _, y in some])
             used, at = np.unique(path, return_inverse=True)
             at = at.reshape(path.shape)
+            shown = mask * (rng.random(mask.shape) > 0.3)  # some blocks show no text, and all show only some of their words
+            numbers = numbers * shown[:, :, None] * np.concatenate([rng.random(WORD_SIZE) > 0.5, np.ones(NUMBERS)]).astype(np.float32)
+            numbers = numbers.astype(np.float32)
             known = vectors[used].astype(np.float32) * (rng.random(vectors[used].shape) > 0.1)  # some names go missing
             x = (known @ self.p["path"])[at] + numbers @ self.p["text"] + self.p["bias"]
             states, p, kf, kb = self._states(x, mask, True)

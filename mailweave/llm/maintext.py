@@ -16,7 +16,7 @@ from .common import load, plain, slices
 SAMPLE_PAGES = 300
 SAMPLE_BYTES = 100_000
 VARIANTS = 4
-STEPS = 500
+STEPS = 700
 PATHS = 20_000
 
 # fixed values: element and name of the boxes that training pages are rebuilt with

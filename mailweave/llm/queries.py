@@ -2,6 +2,7 @@
 
 from .decontam import op9_decontamination
 from .maintext import op1_main_text
+from .ngrams import op7_lm_scores
 from .packing import op4_packing
 from .pii import op6_pii
 from .quality import op10_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_embeddings": op5_embeddings,
     "op6_pii": op6_pii,
+    "op7_lm_scores": op7_lm_scores,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
