@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,17 @@ class QualityModel:
     bad: bytes
     calibration: Logistic | Share
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "measure"}
+
+    @cached_property
+    def measure(self) -> _Sizes:
+        """Compressors cannot travel; each worker makes its own."""
+        return _Sizes(self)
+
 
 class _Sizes:
-    """Compressed sizes under both dictionaries; built once per task."""
+    """Compressed sizes under both dictionaries."""
 
     def __init__(self, model: QualityModel):
         self.both = [self._compressor(d).compress if d else None for d in (model.good, model.bad)]
@@ -85,8 +94,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = ROWS, seed: in
 
 
 def _measured(held, rows: pa.RecordBatch) -> np.ndarray:
-    measure = _sizes_of(held.value)
-    return np.array([measure.features(t) for t in raw_texts(rows)], float).reshape(-1, 4)
+    return np.array([held.value.measure.features(t) for t in raw_texts(rows)], float).reshape(-1, 4)
 
 
 def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -104,16 +112,6 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     return map_slices(plain(docs, "doc_id", "text"), run, "doc_id long, score double")
 
 
-_LAST: dict[int, _Sizes] = {}
-
-
-def _sizes_of(model: QualityModel) -> _Sizes:
-    if id(model) not in _LAST:
-        _LAST.clear()
-        _LAST[id(model)] = _Sizes(model)
-    return _LAST[id(model)]
-
-
 def good_documents(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
     """The documents that score ``least`` or more, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)

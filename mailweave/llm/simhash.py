@@ -59,21 +59,16 @@ def _steps(radius: int) -> list[int]:
 
 
 def near_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Star links that join what pairs of ``a`` and ``b`` within ``radius`` bits join: no more than there are points."""
-    points = np.concatenate([a, b])
+    """Star links that join what pairs of ``a`` and ``b`` within ``radius`` bits join: fewer than there are points. ``same``: both are one list."""
+    points, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
     ua, ub = a.view(np.uint64), b.view(np.uint64)
-    root = np.arange(len(points))
+    own = root = np.arange(len(points))
     step = max(1, BLOCK // max(1, len(b)))
     for start in range(0, len(a), step):
         i, j = np.nonzero(np.bitwise_count(ua[start : start + step, None] ^ ub[None, :]) <= radius)
-        i, j = i + start, j
-        if same:
-            i, j = i[i < j], j[i < j]
         if len(i):
-            root = local_roots(len(points), np.concatenate([np.arange(len(points)), i]), np.concatenate([root, j + len(a)]))
-    if same:  # a and b are the same fingerprints
-        root = local_roots(len(points), np.concatenate([np.arange(len(points)), np.arange(len(a))]), np.concatenate([root, np.arange(len(a)) + len(a)]))
-    linked = np.flatnonzero(root != np.arange(len(points)))
+            root = local_roots(len(points), np.concatenate([own, i + start]), np.concatenate([root, j + shift]))
+    linked = np.flatnonzero(root != own)
     u, v = points[linked], points[root[linked]]
     return u[u != v], v[u != v]
 
@@ -125,9 +120,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest doc_id of their group, with all their columns; where ids repeat, all rows of that id. Null ids go unless a group has no other."""
-    kept = simhash_groups(docs, shingle, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents with the smallest doc_id of their group, with all their columns.
+
+    Where ids repeat, all rows of a kept id stay; rows with a null id stay, since nothing tells them apart.
+    """
+    kept = simhash_groups(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.where("doc_id IS NULL"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
