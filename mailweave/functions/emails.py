@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,18 +39,20 @@ def clean_email(c: Column) -> Column:
 def at_domains(email: Column, domains, strict: bool = True) -> Column:
     """P10: is the address at one of the domains?
 
-    ``strict`` compares the part after ``@``; otherwise look-alikes with a longer
-    ending pass too.
+    ``strict`` takes the domains and what is below them (:func:`_below`); otherwise look-alikes
+    with a longer ending pass too.
     """
-    if strict:
-        return F.substring_index(email, "@", -1).isin(*domains)
-    test = F.lit(False)
-    for domain in domains:
-        test = test | F.contains(email, F.lit("@" + domain))
-    return test
+    tests = [_below(email, d) if strict else F.contains(email, F.lit("@" + d)) for d in domains]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def clean_domain_email(c: Column, domains, strict: bool = False) -> Column:
+def _below(email: Column, domain: str) -> Column:
+    """The one rule for institutions: the part after ``@`` is the domain, or ends with a dot and the domain."""
+    host = F.substring_index(email, "@", -1)
+    return (host == domain) | host.endswith("." + domain)
+
+
+def clean_domain_email(c: Column, domains, strict: bool = True) -> Column:
     """F1 restricted to the institution's domains."""
     email = clean_email(c)
     return F.when(at_domains(email, domains, strict), email)
@@ -59,8 +62,7 @@ def foreign(email: Column, domain: str, strict: bool = True) -> Column:
     """Not an address of the institution (sub-domains count as its own)."""
     if not strict:
         return ~F.coalesce(email, F.lit("")).rlike("@" + domain)
-    host = F.substring_index(F.coalesce(email, F.lit("")), "@", -1)
-    return ~((host == domain) | host.endswith("." + domain))
+    return ~_below(F.coalesce(email, F.lit("")), domain)
 
 
 def malformed(email: Column, suffixes) -> Column:

@@ -85,19 +85,32 @@ def url_join(base: Column, href: Column) -> Column:
     return F.when(joined.rlike(r"[?#]$"), F.regexp_replace(joined, r"\??#?$", "")).otherwise(joined)
 
 
-def registered_domain(url: Column, suffixes=PUBLIC_SUFFIXES, max_labels: int = 4) -> Column:
-    """Longest known suffix plus one label; the last two labels when no suffix is known.
+def registered_domain(url: Column, suffixes=PUBLIC_SUFFIXES) -> Column:
+    """Longest matching suffix plus one label; the last two labels when no suffix matches.
 
-    The suffix list is a constant, so the test is a hash-set lookup in generated code
-    rather than a join.
+    ``suffixes`` follow the public list's rules: ``*.x`` makes every name below x a suffix, ``!y.x`` makes y.x an
+    exception to that (see :func:`mailweave.sources.tables.read_suffixes`). The rules are constants, so each test
+    is a hash-set look-up, and a host of any depth is cut at all its dots.
     """
-    h = host(url)
-    out = F.substring_index(h, ".", -2)
-    for k in range(1, max_labels + 1):
-        tail = F.substring_index(h, ".", -k)
-        deep = F.substring_index(h, ".", -(k + 1))
-        out = F.when((deep != tail) & tail.isin(*suffixes), deep).otherwise(out)
-    return out
+    exact = [s for s in suffixes if s[0] not in "*!"]
+    below = [s[2:] for s in suffixes if s.startswith("*.")]
+    except_ = [s[1:] for s in suffixes if s.startswith("!")]
+    labels = F.split(host(url), r"\.")
+    n = F.size(labels)
+
+    def tail(i: Column) -> Column:
+        return F.array_join(F.slice(labels, n - i + 1, i), ".")
+
+    def is_suffix(i: Column) -> Column:
+        test = tail(i).isin(*exact) if exact else F.lit(False)
+        if below:
+            test = test | ((i > 1) & tail(i - 1).isin(*below) & ~(tail(i).isin(*except_) if except_ else F.lit(False)))
+        if except_:
+            test = test | tail(i + 1).isin(*except_)
+        return test
+
+    longest = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n - 1), is_suffix)), F.lit(1))
+    return F.when(n > 1, tail(longest + 1)).otherwise(host(url))
 
 
 def same_registered_domain(url: Column, domain: str, suffixes=PUBLIC_SUFFIXES) -> Column:

@@ -107,7 +107,7 @@ def near_name(node: Column, email: Column) -> Column:
     return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(node["path"]), above)))
 
 
-def mailto_links(domains=None, strict: bool = False) -> Column:
+def mailto_links(domains=None, strict: bool = True) -> Column:
     """Mailto anchors as ``(email, node)``; restricted to ``domains`` when given."""
     links = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:"))
 
@@ -119,7 +119,7 @@ def mailto_links(domains=None, strict: bool = False) -> Column:
     return F.filter(F.transform(links, pair), lambda p: p["email"].isNotNull())
 
 
-def text_emails(domains=None, strict: bool = False) -> Column:
+def text_emails(domains=None, strict: bool = True) -> Column:
     """Addresses of the page's glued text with the element whose text holds them (NULL if split)."""
     found = em.find_all(H.visible_text(""))
     cleaned = F.transform(found, lambda e: em.clean_email(e) if domains is None else em.clean_domain_email(e, domains, strict))
@@ -134,7 +134,7 @@ def text_emails(domains=None, strict: bool = False) -> Column:
     return H.let(lowered, lambda places: F.transform(known, lambda e: holder(places, e)))
 
 
-def staff_rows(domains, strict: bool = False) -> Column:
+def staff_rows(domains, strict: bool = True) -> Column:
     """Per staff-table row the last address and the last multi-word cell's name.
 
     A later multi-word cell that is no name resets the name to NULL.
@@ -204,19 +204,19 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
     return rows.filter(F.col("branch") == 1).unionByName(firsts.filter(F.col("branch") != 1).select(*rows.columns))
 
 
-def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
     named = _named(mailto_links(domains, strict), text_emails(domains, strict), near_name)
     return _branches(_pages_with_email(doc), keys, named, staff_rows(domains, strict))
 
 
-def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """X32 before de-duplication: missing names are inferred from the address."""
     rows = near_names(doc, domains, keys, strict)
     return rows.withColumn("profesor", F.coalesce("profesor", t.infer_name(F.col("email"))))
 
 
-def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """First contact per address of a page."""
     rows = near_contacts(doc, domains, keys, strict)
     return dedup.first_per_key(rows, [*keys, "email"], ["branch", "idx"]).select(*keys, "branch", "idx", "profesor", "email")

@@ -58,12 +58,12 @@ def single_page_names(doc: DataFrame, site: SiteProfile) -> DataFrame:
     return rows.filter(F.col("dep_id").isNotNull() & F.col("nombre").isNotNull()).dropDuplicates(["dep_id"])
 
 
-def card_mail(from_text: bool = False, domains=None) -> Column:
+def card_mail(from_text: bool = False, domains=None, strict: bool = True) -> Column:
     """X22, first half: the first ``mailto:`` link, read from its text or its target."""
     link = F.get(F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:")), F.lit(0))
     if from_text:
         return H.let(link, lambda n: t.blank_to_null(H.subtree_text(n, sep="")))
-    clean = em.clean_email if domains is None else (lambda raw: em.clean_domain_email(raw, domains))
+    clean = em.clean_email if domains is None else (lambda raw: em.clean_domain_email(raw, domains, strict))
     return H.let(H.attr(link, "href"), clean)
 
 
@@ -88,7 +88,7 @@ def card_web(site: SiteProfile) -> Column:
 
 def cards(doc: DataFrame, site: SiteProfile, keys=("page_id", "url"), from_text: bool = False) -> DataFrame:
     """Mailbox and web address of each department page."""
-    mail = card_mail(from_text, None if from_text else site.email_domains)
+    mail = card_mail(from_text, None if from_text else site.email_domains, site.strict)
     return doc.select(*keys, mail.alias("mail"), card_web(site).alias("web"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails as em
+from ..session import cut_lineage
 from . import html as H
 
 
@@ -18,6 +21,19 @@ def usable_pages(pages: DataFrame) -> DataFrame:
     return pages
 
 
+def pages_among(pages: DataFrame, keys: DataFrame, column: str = "url", most: int = 200_000) -> DataFrame:
+    """Rows of ``pages`` whose ``column`` is in ``keys`` (one column of that name), without moving their HTML.
+
+    The distinct keys are written down and counted. Up to ``most``, some 20 MB, they are broadcast; beyond that, by
+    hash in blocks of that size, each against its own scan of the pages.
+    """
+    keys = cut_lineage(keys.select(column).filter(F.col(column).isNotNull()).distinct())
+    blocks = max(1, -(-keys.count() // most))
+    block = F.pmod(F.xxhash64(column), F.lit(blocks))
+    parts = [pages.join(F.broadcast(keys.filter(block == i) if blocks > 1 else keys), column, "left_semi") for i in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
 def emails_at_domain(pages: DataFrame, domain: str, keys=("page_id", "url"), text: str = "html") -> DataFrame:
     """Distinct lower-cased addresses of one domain in the raw markup."""
     found = em.find_distinct_lower(F.col(text), em.domain_email_pattern(domain))
@@ -36,7 +52,7 @@ def emails_in_text(df: DataFrame, text: str, keys=()) -> DataFrame:
     return df.filter(F.contains(text, F.lit("@"))).select(*keys, F.posexplode(em.find_all(F.col(text))).alias("idx", "email"))
 
 
-def clean_emails_in_text(df: DataFrame, text: str, domains, keys=(), strict: bool = False) -> DataFrame:
+def clean_emails_in_text(df: DataFrame, text: str, domains, keys=(), strict: bool = True) -> DataFrame:
     """X9, cleaned and restricted to the institution's domains."""
     rows = emails_in_text(df, text, keys)
     cleaned = em.clean_domain_email(F.col("email"), domains, strict)
@@ -49,22 +65,29 @@ def mailto_emails(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
     return links.select(*keys, "pos", em.clean_email(F.col("href")).alias("email")).filter(F.col("email").isNotNull())
 
 
+def url_pairs(pairs: DataFrame, email: str = "email", url: str = "url") -> DataFrame:
+    """The index itself: distinct ``(email, url)`` rows, of bounded width at every size."""
+    return pairs.select(F.col(email).alias("email"), F.col(url).alias("url")).distinct()
+
+
 def url_sets(pairs: DataFrame, email: str = "email", url: str = "url", urls_per_row: int = 100_000) -> DataFrame:
-    """Address -> sorted set of URLs.
+    """``(email, part, urls)``: the sorted URLs of each address, in parts of ``urls_per_row``.
 
-    An address found on more than ``urls_per_row`` pages (a shared mailbox in every
-    footer) gets several rows that together hold all its URLs, so no task has to
-    collect an unbounded list.
+    ``part`` counts from 0 and is always there: part p holds the URLs of rank p * ``urls_per_row`` and on, so parts
+    in order are the whole sorted list, and an address on few pages has part 0 alone. The pairs are sorted once over the
+    whole cluster, which spreads an address that stands on very many pages; an address's ranks then follow from how many
+    of its URLs earlier partitions hold.
     """
-    distinct = pairs.select(F.col(email).alias("email"), F.col(url).alias("url")).distinct()
-    counts = distinct.groupBy("email").agg(F.count(F.lit(1)).alias("_n"))
-    parts = counts.filter(F.col("_n") > urls_per_row).select("email", F.ceil(F.col("_n") / urls_per_row).alias("_parts"))
-    split = distinct.join(parts, "email", "left").withColumn(
-        "_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("url"), F.col("_parts")))
-    )
-    return split.groupBy("email", "_part").agg(F.array_sort(F.collect_list("url")).alias("urls")).drop("_part")
+    ranged = url_pairs(pairs, email, url).repartitionByRange("email", "url").sortWithinPartitions("email", "url")
+    placed = cut_lineage(ranged.select("email", "url", F.spark_partition_id().alias("_at"), F.monotonically_increasing_id().alias("_id")))
+    earlier = Window.partitionBy("email").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("email", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    rank = F.col("_before") + F.col("_id") - F.col("_first")
+    parts = placed.join(first, ["email", "_at"]).select("email", "url", F.floor(rank / urls_per_row).alias("part"))
+    return parts.groupBy("email", "part").agg(F.array_sort(F.collect_list("url")).alias("urls"))
 
 
 def inverted_index(pairs: DataFrame, email: str = "email", url: str = "url", urls_per_row: int = 100_000) -> DataFrame:
-    """Address -> sorted distinct URLs joined by `` | `` (see :func:`url_sets`)."""
-    return url_sets(pairs, email, url, urls_per_row).select("email", F.array_join("urls", " | ").alias("found_on_urls"))
+    """The sink form of :func:`url_sets`, ``(email, part, found_on_urls)`` with the URLs joined by `` | ``."""
+    return url_sets(pairs, email, url, urls_per_row).select("email", "part", F.array_join("urls", " | ").alias("found_on_urls"))

@@ -417,6 +417,10 @@ def numbered(branches: list[Column], fields: tuple[str, ...]) -> Column:
 # -- anchors ------------------------------------------------------------------------
 
 
+#: the ampersand comes last, so that nothing is decoded twice
+_REFERENCES = (("quot", '"'), ("apos", "'"), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
+
+
 def anchor_structs(sep: str = " ") -> Column:
     """X4 as an array of ``(href, text, pos)``."""
     found = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull())
@@ -432,14 +436,22 @@ def anchors(doc: DataFrame, keys=("page_id", "url"), sep: str = " ") -> DataFram
 
 
 def anchor_links(pages: DataFrame, keys=("page_id", "url"), html: str = "html") -> DataFrame:
-    """X4, links only: quoted hrefs straight from the markup, with no parser.
+    """X4, links only: hrefs straight from the markup, with no parser.
 
-    Good for link graphs over well-formed pages; hrefs inside comments or scripts
-    count too, so use :func:`anchors` where that matters.
+    A value ends at the quote it began with, or at white space if it has none. Pages whose hrefs hold
+    character references beyond the five of XML go to the parser. Good for link graphs; hrefs inside
+    comments or scripts count too, so use :func:`anchors` where that matters.
     """
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    unescaped = lambda h: F.replace(F.replace(h, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    return pages.select(*keys, F.posexplode(hrefs).alias("pos", "raw")).select(*keys, unescaped(F.col("raw")).alias("href"), "pos")
+    value = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+    rare = r"""(?i)<a\b[^>]*?\shref\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)&(?!(?:amp|quot|apos|lt|gt|#39);)(?:#[0-9]|#x[0-9a-f]|[a-z]+;)"""
+    plain = pages.filter(~F.coalesce(F.col(html).rlike(rare), F.lit(False)))
+    hrefs = F.regexp_extract_all(F.col(html), F.lit(value), F.lit(1))
+    href = F.regexp_replace("raw", r"""^["']|["']$""", "")
+    for name, sign in _REFERENCES:
+        href = F.replace(href, F.lit(f"&{name};"), F.lit(sign))
+    fast = plain.select(*keys, F.posexplode(hrefs).alias("pos", "raw")).select(*keys, href.alias("href"), "pos")
+    parsed = dom(pages.filter(F.col(html).rlike(rare)).select(*keys, html), html, ("nodes", "clean"))
+    return fast.unionByName(anchors(parsed, keys).select(*keys, "href", "pos"))
 
 
 def subtree_members(dom_nodes: DataFrame, roots: DataFrame, keys=("page_id",)) -> DataFrame:
@@ -451,9 +463,3 @@ def subtree_members(dom_nodes: DataFrame, roots: DataFrame, keys=("page_id",)) -
     listed = dom_nodes.withColumn("root_id", F.explode("path")).filter(F.col("root_id") != F.col("node_id"))
     wanted = roots.select(*keys, F.col("node_id").alias("root_id"))
     return listed.join(wanted, [*keys, "root_id"], "left_semi")
-
-
-def siblings(dom_nodes: DataFrame, keys=("page_id",)) -> DataFrame:
-    """Each entry with its following sibling, an equi-join on ids inside the page."""
-    after = dom_nodes.select(*keys, F.col("node_id").alias("next_id"), F.col("tag").alias("next_tag"), F.col("text").alias("next_text"))
-    return dom_nodes.join(after, [*keys, "next_id"], "left")

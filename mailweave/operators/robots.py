@@ -24,31 +24,25 @@ def rules_for_agent(rules: DataFrame, user_agent: str) -> DataFrame:
     )
 
 
-def allowed(urls: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url") -> DataFrame:
-    """Keep the URLs that their host's rules allow; hosts without readable rules are blocked.
+def prepared(rules: DataFrame, user_agent: str = "*") -> DataFrame:
+    """``(_host, _rules)``: each host with readable rules, and those that apply in their order. A host's rules are one file, so the list is short."""
+    mine = rules_for_agent(rules, user_agent)
+    lists = mine.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rule_no", "path_prefix", "allow"))).alias("_rules"))
+    return rules.select("host").distinct().join(lists, "host", "left").select(F.col("host").alias("_host"), "_rules")
+
 
-    The first rule, by ``rule_no``, whose prefix starts the path decides; no match
-    means allowed. A prefix test is an equality once the path is cut to the prefix
-    length, so each URL is cut to the few prefix lengths its host uses and joined on
-    ``(host, prefix)``: URLs and rules never meet as all pairs.
+def allowed_by(urls: DataFrame, prepared: DataFrame, url: str = "url") -> DataFrame:
+    """Keep the URLs that :func:`prepared` rules allow: one join on the host.
+
+    The first rule whose prefix starts the path decides; no match means allowed, and hosts
+    without readable rules are blocked. URLs of one host are many, its row is one: a skewed
+    join, which adaptive execution splits.
     """
-    mine = rules_for_agent(rules, user_agent)
-    lengths = rules.groupBy("host").agg(F.lit(True).alias("_known")).join(
-        mine.groupBy("host").agg(F.collect_set(F.length("path_prefix")).alias("_lengths")), "host", "left"
-    )
-    # a rule table is small next to the URLs; distinct (host, prefix) rows make the join a look-up
-    table = mine.groupBy("host", F.col("path_prefix").alias("_prefix")).agg(
-        F.min_by(F.struct("rule_no", "allow"), "rule_no").alias("_rule")
-    )
-    paths = urls.select(F.col(url).alias("_url")).distinct().withColumn("host", u.host(F.col("_url")))
-    paths = paths.withColumn("_path", u.path_and_query(F.col("_url"))).join(lengths, "host")
-    cuts = paths.select(
-        "_url", "host", F.explode_outer(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"), "_path"
-    ).withColumn("_prefix", F.substr("_path", F.lit(1), F.col("_n")))
-    verdict = (
-        cuts.join(table, ["host", "_prefix"], "left")
-        .groupBy("_url")
-        .agg(F.min_by("_rule.allow", "_rule.rule_no").alias("_allow"))
-        .filter(F.coalesce("_allow", F.lit(True)))
-    )
-    return urls.join(verdict.select(F.col("_url").alias(url)), url, "left_semi").select(*urls.columns)
+    rows = urls.withColumns({"_host": u.host(F.col(url)), "_path": u.path_and_query(F.col(url))}).join(prepared, "_host")
+    hit = F.get(F.filter("_rules", lambda r: F.col("_path").startswith(r["path_prefix"])), F.lit(0))
+    return rows.filter(F.coalesce(hit["allow"], F.lit(True))).select(*urls.columns)
+
+
+def allowed(urls: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url") -> DataFrame:
+    """Keep the URLs that their host's rules allow; see :func:`allowed_by`."""
+    return allowed_by(urls, prepared(rules, user_agent), url)

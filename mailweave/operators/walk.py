@@ -11,6 +11,7 @@ level at most.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,11 @@ def page_links(doc_or_pages: DataFrame, parsed: bool = True, base_url: str | Non
         rows = H.anchors(doc_or_pages, ("url",), sep)
     else:
         rows = H.anchor_links(doc_or_pages, ("url",)).withColumn("text", F.lit(""))
-    # follow what can be a page: no pure fragments, no mail links
+    return links_of(rows, base_url)
+
+
+def links_of(rows: DataFrame, base_url: str | None = None) -> DataFrame:
+    """Edges from anchors ``(url, href, text, pos)``; mail links are none."""
     rows = rows.withColumn("href", F.trim("href")).filter(~F.col("href").startswith("mailto:"))
     base = F.col("url") if base_url is None else F.lit(base_url)
     return rows.select("url", u.url_join(base, F.col("href")).alias("target"), "href", "text", "pos")
@@ -53,17 +58,12 @@ def co_locate(links: DataFrame, url: str = "url", partitions: int | None = None)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def _empty_like(df: DataFrame) -> DataFrame:
-    return df.filter(F.lit(False))
-
-
 def walk(
     links: DataFrame,
     seeds: DataFrame,
     max_pages: int | None,
     admit: Filter | None = None,
     follow: Column | None = None,
-    max_levels: int = 10_000,
     compact_every: int = 16,
 ) -> DataFrame:
     """Visit pages level by level: ``(walk, url, level, trail, ord)``.
@@ -79,7 +79,7 @@ def walk(
     frontier = dedup.first_per_key(seeds.select("walk", "url", *extra, trail.alias("trail")), ["walk", "url"], "trail")
     levels: list[DataFrame] = []
     base: DataFrame | None = None  # levels already written together
-    for level in range(max_levels):
+    for level in count():  # an empty frontier ends it
         if admit is not None:
             frontier = admit(frontier)
         done = _union([base, *levels])
@@ -102,7 +102,7 @@ def walk(
         frontier = _next_frontier(current, links, _union([base, *levels]), follow, extra)
     out = _union([base, *levels])
     if out is None:
-        out = _empty_like(current)
+        out = current.limit(0)
     return out.select("walk", "url", *extra, "level", "trail", "ord")
 
 
@@ -124,12 +124,6 @@ def _next_frontier(current: DataFrame, links: DataFrame, visited: DataFrame, fol
     return first.join(visited.select("walk", "url"), ["walk", "url"], "left_anti")
 
 
-def seeds_from(df: DataFrame, url: str = "url", order=None) -> DataFrame:
-    """One walk over a list of start pages, in the stated order (a bounded list)."""
-    order = F.col(url) if order is None else order
-    return df.select(F.lit("all").alias("walk"), F.col(url).alias("url"), order.cast("int").alias("seed_no"))
-
-
 def walk_site(
     links: DataFrame,
     seeds: DataFrame,
@@ -145,9 +139,11 @@ def walk_site(
     choice of the caller.
     """
 
+    prepared = None if rules is None else cut_lineage(R.prepared(rules, user_agent))
+
     def admit(frontier: DataFrame) -> DataFrame:
         inside = frontier.filter(u.is_internal(F.col("url"), domain, strict))
-        return inside if rules is None else R.allowed(inside, rules, user_agent)
+        return inside if prepared is None else R.allowed_by(inside, prepared)
 
     follow = u.usable_href(F.col("href")) & u.is_internal(F.col("target"), domain, strict)
     return walk(links, seeds, max_pages, admit, follow)
@@ -169,8 +165,3 @@ def walk_relevant(
     """Like G2, but after the first pages only links with a staff word are pursued."""
     relevant = u.has_keyword(keywords, F.col("text"), F.col("href")) | (F.col("ord") < free_pages)
     return walk(links, _start_hosts(starts, key, url), max_pages, None, (u.netloc(F.col("target")) == F.col("home")) & relevant)
-
-
-def visited_pages(visited: DataFrame, pages: DataFrame) -> DataFrame:
-    """Content of the visited pages; a missing page is a failed fetch and drops out."""
-    return visited.join(pages, "url")

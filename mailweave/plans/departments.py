@@ -27,13 +27,13 @@ def _usable(pages: DataFrame) -> DataFrame:
 
 def _doc_of(pages: DataFrame, urls: DataFrame, url: str = "url", parts=("nodes", "chunks", "clean")) -> DataFrame:
     """Parse only the wanted pages: the join goes below the Python step, where the optimizer cannot move it."""
-    return H.dom(pages.join(urls.select(F.col(url).alias("url")).distinct(), "url", "left_semi"), parts=parts)
+    return H.dom(X.pages_among(pages, urls.select(F.col(url).alias("url"))), parts=parts)
 
 
 def _host_pages(pages: DataFrame, starts: DataFrame, web: str = "web") -> DataFrame:
     """Pages on the hosts where walks start; a walk never leaves its host."""
-    hosts = starts.filter(F.col(web).isNotNull()).select(u.netloc(F.col(web)).alias("_host")).distinct()
-    return pages.withColumn("_host", u.netloc(F.col("url"))).join(hosts, "_host", "left_semi").drop("_host")
+    hosts = starts.select(u.netloc(F.col(web)).alias("_host"))
+    return X.pages_among(pages.withColumn("_host", u.netloc(F.col("url"))), hosts, "_host").drop("_host")
 
 
 def contacts_by_structure(pages: DataFrame, list_urls: DataFrame, directory_urls: DataFrame | None, site: SiteProfile) -> DataFrame:
@@ -105,7 +105,7 @@ def contacts_clean(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, ma
     depts = _sites(pages, named.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no")), site)
     links = W.page_links(H.dom(_host_pages(pages, depts), parts=("nodes", "clean")))
     visited = W.walk_relevant(W.co_locate(links), depts, site.walk_keywords, max_pages=max_pages)
-    rows = A.near_contacts(_doc_of(pages, visited), site.email_domains, ("url",), strict=False)
+    rows = A.near_contacts(_doc_of(pages, visited), site.email_domains, ("url",), site.strict)
     personal = visited.select(F.col("walk").alias("dept_url"), "url", "ord").join(rows, "url").join(depts.select("dept_url", "dept_name", "dept_no"), "dept_url")
     personal = personal.select("dept_no", F.col("ord").alias("page_ord"), "branch", "idx", F.col("dept_name").alias("departamento"), "profesor", "email")
     boxes = depts.filter(F.col("mail").isNotNull()).select(

@@ -77,13 +77,13 @@ def extract_directory(pages: DataFrame, list_urls: DataFrame, site: SiteProfile,
     """
     pages = X.usable_pages(pages).select("page_id", "url", "html")
     starts = list_urls.filter(u.same_registered_domain(F.col("url"), site.domain)).select("url").distinct()
-    lists = _parsed(pages.join(starts, "url", "left_semi"), site.domain)
+    lists = _parsed(X.pages_among(pages, starts), site.domain)
     lists = cut_lineage(lists.select("page_id", "url", "emails", D.card_name_array().alias("names"), D.card_hrefs().alias("hrefs")))
     links = D.profile_links(lists.select("page_id", "url", F.inline("hrefs")), site.domain)
     links = links.select(F.col("link").alias("url"), "page_id", "pos").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("seq"))
     if max_profiles is not None:
         links = links.orderBy("seq", "url").limit(max_profiles)
-    details = _parsed(pages.join(links.select("url"), "url", "left_semi"), site.domain)
+    details = _parsed(X.pages_among(pages, links), site.domain)
     details = cut_lineage(details.select("url", "emails", D.page_title().alias("full_name"), D.page_department().alias("department")))
     split = details.withColumn("_s", t.split_first_last(F.col("full_name")))
     names = lists.select("url", F.explode("names").alias("full_name"))

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import emails as em
 from ..functions import urls as u
 from ..operators import extract as X
 from ..operators import html as H
 from ..operators import walk as W
+from ..session import cut_lineage
 from ..siteprofile import SiteProfile
 
 
-def address_pages(pages: DataFrame) -> DataFrame:
-    """``(email, url)`` from markup and mailto links; links hidden by entities are caught by the parser."""
-    return X.emails_in(pages, "html", ("url",))
-
-
 def email_index(
     pages: DataFrame,
     seeds: DataFrame,
@@ -25,12 +22,18 @@ def email_index(
     max_pages: int | None = 200,
     user_agent: str = "*",
 ) -> DataFrame:
-    """``seeds``: ``(url, seed_no)``. Result sorted by address."""
+    """``seeds``: ``(url, seed_no)``. Result sorted by address.
+
+    The site's pages are read and parsed once. What the walk and the index need of them is written down: links,
+    addresses in the markup, and those of ``mailto:`` links, where entities may hide them. HTML stays behind.
+    """
     pages = X.usable_pages(pages).select("page_id", "url", "html")
     inside = pages.filter(u.is_internal(F.col("url"), site.domain, site.strict))
-    links = W.co_locate(W.page_links(H.dom(inside, parts=("nodes", "clean")), base_url=site.base_url))
+    doc = H.dom(inside.withColumn("emails", em.find_distinct_lower(F.col("html"))), parts=("nodes", "clean"))
+    facts = cut_lineage(doc.select("url", "emails", H.anchor_structs("").alias("links")))
+    links = W.co_locate(W.links_of(facts.select("url", F.inline("links")), site.base_url))
     visited = W.walk_site(links, seeds.selectExpr("'all' AS walk", "url", "seed_no"), site.domain, rules, user_agent, max_pages, site.strict)
-    reached = pages.join(visited.select("url"), "url", "left_semi")
-    mailto = X.mailto_emails(H.dom(reached, parts=("nodes", "clean"))).select("email", "url")
-    pairs = address_pages(reached).select("email", "url").unionByName(mailto)
-    return X.inverted_index(pairs).orderBy("email")
+    reached = facts.join(visited.select("url"), "url", "left_semi")
+    mailto = F.transform(F.filter("links", lambda a: F.trim(a["href"]).startswith("mailto:")), lambda a: em.clean_email(a["href"]))
+    pairs = reached.select("url", F.explode(F.concat("emails", mailto)).alias("email")).filter(F.col("email").isNotNull())
+    return X.inverted_index(pairs).orderBy("email", "part")

@@ -17,7 +17,7 @@ def foreign_contacts(final: DataFrame, domain: str, strict: bool = True) -> Data
 
 def malformed_sample(raw: DataFrame, n: int = 10, seq: str = "seq", suffixes=MALFORMED_SUFFIXES) -> DataFrame:
     """The first raw addresses with glued text (a sample by design)."""
-    return raw.filter(em.malformed(F.col("email"), suffixes)).orderBy(seq).select("email").limit(n)
+    return raw.filter(em.malformed(F.col("email"), suffixes)).orderBy(seq).select(seq, "email").limit(n)
 
 
 def quality_report(final: DataFrame, domain: str, strict: bool = True) -> DataFrame:

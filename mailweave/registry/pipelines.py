@@ -130,7 +130,7 @@ UNION SELECT concat('web', CAST(s AS STRING), '@mail.example.edu'), concat('{_MA
 def q3(spark, d):
     rules = derived(spark, d, "SELECT concat('d', CAST(s AS STRING), '.example.edu') AS host, '*' AS agent, '/' AS path_prefix, false AS allow, 1 AS rule_no FROM {@depts} UNION ALL SELECT 'www.example.edu', '*', '/private/', false, 1 FROM {@depts} WHERE s = 0")
     seeds = graph._site_seeds(spark, d).select("url", "seed_no")
-    return email_index.email_index(webs.everything(spark, d), seeds, SITE, rules, None, "testbot/1.0")
+    return email_index.email_index(webs.everything(spark, d), seeds, SITE, rules, None, "testbot/1.0").select("email", "found_on_urls")
 
 
 # -- Q4 -------------------------------------------------------------------------------------------

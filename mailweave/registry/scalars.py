@@ -12,6 +12,7 @@ from ..functions import urls as u
 from ..operators import departments as DP
 from ..operators import html as H
 from ..operators import merge as M
+from ..plans import quality
 from . import sqlkit as q
 from .core import DERIVED, derived, load, query
 
@@ -86,7 +87,8 @@ def f1_clean(spark, d):
 SELECT seq, CASE WHEN contains(e, '@mail1.example.com') OR contains(e, '@mail2.example.com') THEN e END AS email_clean
 FROM (SELECT seq, {q.clean_email('email')} AS e FROM {{@contacts}})""")
 def f2_clean(spark, d):
-    c = em.clean_domain_email(F.col("email"), ("mail1.example.com", "mail2.example.com"))
+    """The loose rule, which lets longer endings pass."""
+    c = em.clean_domain_email(F.col("email"), ("mail1.example.com", "mail2.example.com"), strict=False)
     return derived(spark, d, "{@contacts}").select("seq", c.alias("email_clean"))
 
 
@@ -116,7 +118,7 @@ SELECT seq, e AS email FROM (SELECT seq, {q.clean_email('email')} AS e FROM {{@c
 WHERE e IS NOT NULL AND NOT (split_part(e, '@', 2) = 'mail1.example.com' OR split_part(e, '@', 2) LIKE '%.mail1.example.com')""")
 def p11_foreign(spark, d):
     rows = derived(spark, d, "{@contacts}").select("seq", em.clean_email(F.col("email")).alias("email")).filter(F.col("email").isNotNull())
-    return rows.filter(em.foreign(F.col("email"), "mail1.example.com"))
+    return quality.foreign_contacts(rows, "mail1.example.com")
 
 
 # -- ids -----------------------------------------------------------------------------

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
+from ..session import cut_lineage
 from ..streaming import first_seen, upsert
 from .core import derived, load, query
 from .tables import scratch
 
 
-def _split_log(spark, d, sql: str, parts: int = 4) -> tuple[str, object]:
-    """The log as ``parts`` files, streamed one per micro-batch in order of ``seq``."""
-    path = scratch(spark)
+def _split_log(spark, d, sql: str) -> tuple[list[str], object]:
+    """The log in order of ``seq`` as two folders of two files each, written one after another: a file is a micro-batch."""
+    folders = [scratch(spark), scratch(spark)]
     rows = derived(spark, d, sql)
-    rows.repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(path)
-    return path, rows.schema
+    ranged = cut_lineage(rows.repartitionByRange(4, "seq").withColumn("_part", F.spark_partition_id()))
+    for i in range(4):
+        ranged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folders[i // 2])
+    return folders, rows.schema
+
+
+def _run_twice(spark, folders, schema, sink) -> None:
+    """The first folder under one checkpoint, the second under a new one, whose batches count from 0 again."""
+    for folder in folders:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        upsert.upsert_stream(stream, sink, scratch(spark)).trigger(availableNow=True).start().awaitTermination()
 
 
 @query("st1_first_seen_emails", "SELECT DISTINCT email FROM {@emails}")
@@ -44,10 +54,8 @@ def st1_watermark(spark, d):
 @query("st2_stream_contacts", """
 SELECT DISTINCT sha256(concat(coalesce(source_url, ''), '|', coalesce(full_name, ''), '|', coalesce(email_found, ''), '|', coalesce(email_generated, ''))) AS id FROM {@stored}""")
 def st2_contacts(spark, d):
-    src, schema = _split_log(spark, d, "{@stored}")
-    table, state = scratch(spark), scratch(spark)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    upsert.upsert_stream(stream, upsert.contact_sink(table), state).trigger(availableNow=True).start().awaitTermination()
+    table = scratch(spark)
+    _run_twice(spark, *_split_log(spark, d, "{@stored}"), upsert.contact_sink(table))
     return spark.read.parquet(table).select("id")
 
 
@@ -56,9 +64,6 @@ _LATEST = ", ".join(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}" fo
 
 @query("st2_stream_profiles", f"SELECT source_url, {_LATEST} FROM {{@log}} GROUP BY source_url")
 def st2_profiles(spark, d):
-    src, schema = _split_log(spark, d, "{@log}")
-    table, state = scratch(spark), scratch(spark)
-    # files are taken by age and written in parallel, so the whole log is one batch here; order comes from seq
-    stream = spark.readStream.schema(schema).parquet(src)
-    upsert.upsert_stream(stream, upsert.profile_sink(table), state).trigger(availableNow=True).start().awaitTermination()
+    table = scratch(spark)
+    _run_twice(spark, *_split_log(spark, d, "{@log}"), upsert.profile_sink(table))
     return upsert.current_profiles(spark, table)

@@ -53,8 +53,7 @@ def s4(spark, d):
 @query("s5_json_map", "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS nombre FROM {events}")
 def s5(spark, d):
     """JSON objects as key-value rows."""
-    rows = load(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("dep_id", "nombre"))
-    return rows.select("event_id", "nombre")
+    return tables.json_map(load(spark, d, "events"), "props", ("event_id",)).select("event_id", "nombre")
 
 
 @query("s6_table_scan", "SELECT o_orderkey, o_custkey FROM {orders}")
@@ -64,10 +63,9 @@ def s6(spark, d):
 
 @query("s7_keyword_counts", "SELECT w AS word, count(*) AS documents FROM (SELECT unnest(['the', 'und', 'eau', 'ción']) AS w, lower(text) AS t FROM {documents}) WHERE contains(t, w) GROUP BY w")
 def s7(spark, d):
-    """A literal word list applied to every document; one expression, no join."""
-    words = F.array(*[F.lit(w) for w in ("the", "und", "eau", "ción")])
-    found = F.filter(words, lambda w: F.contains(F.lower("text"), w))
-    return load(spark, d, "documents").select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
+    """A literal word list applied to every document."""
+    words = [r.word for r in tables.keyword_table(spark, ("the", "und", "eau", "ción")).orderBy("key_order").collect()]
+    return tables.keyword_counts(load(spark, d, "documents"), "text", words).withColumnRenamed("rows", "documents")
 
 
 def _read_csv(spark, path, columns):
@@ -129,6 +127,16 @@ def k7(spark, d):
     contacts, old = derived(spark, d, "{@contacts}"), derived(spark, d, "{@dep_map}")
     new = M.complete_map(old, derived(spark, d, "{@new_map}"), None, contacts)
     sinks.write_department_map(new, path, M.missing_keys(contacts, old))
-    return spark.read.schema("dep_id string, nombre string").json(path)
+    return tables.read_department_map(spark, path)
+
+
+@query("s5_k7_j2_map_round_trip", """
+SELECT c.seq, coalesce(m.nombre, c.departamento) AS departamento_clean FROM {@contacts} c LEFT JOIN {@full_map} m ON m.dep_id = c.departamento""")
+def s5_k7_j2(spark, d):
+    """The map is brought up to date, written, read back and applied to the contacts."""
+    path = scratch(spark)
+    contacts, old = derived(spark, d, "{@contacts}"), derived(spark, d, "{@dep_map}")
+    sinks.write_department_map(M.complete_map(old, derived(spark, d, "{@new_map}"), None, contacts), path)
+    return M.map_departments(contacts, tables.read_department_map(spark, path)).select("seq", "departamento_clean")
 
 

@@ -14,7 +14,7 @@ from ..siteprofile import SiteProfile
 from .core import DERIVED, derived
 
 SITE = SiteProfile(
-    domain="example.edu", base_url="https://www.example.edu", email_domains=("mail.example.edu",), university="Example University"
+    domain="example.edu", base_url="https://www.example.edu", email_domains=("mail.example.edu",), university="Example University", site_suffix="UC3M",
 )
 
 _DIR_NAME = """CASE k % 5 WHEN 0 THEN first_name WHEN 2 THEN concat('Dr ', first_name, ' ', last_name)

@@ -74,15 +74,15 @@ SEED_URLS = (
 class SiteProfile:
     """Everything that differs from one site to the next."""
 
-    domain: str = "berkeley.edu"
-    base_url: str = "https://www.berkeley.edu"
-    email_domains: tuple[str, ...] = ("uc3m.es", "pa.uc3m.es")
-    university: str = "UC Berkeley"
+    domain: str
+    base_url: str
+    email_domains: tuple[str, ...]
+    university: str
+    site_suffix: str
     department_marker: str = "/Detalle/Organismo_C"
     web_label: str = "Web del departamento"
     mailbox_name: str = "Departamento"
     directory_label: str = "Varios"
-    site_suffix: str = "UC3M"
     department_keywords: tuple[str, ...] = DEPARTMENT_KEYWORDS
     staff_keywords: tuple[str, ...] = STAFF_KEYWORDS
     specific_link_words: tuple[str, ...] = SPECIFIC_LINK_WORDS
@@ -92,5 +92,5 @@ class SiteProfile:
     strict: bool = True  # refuse look-alike domains such as notuc3m.es
 
 
-UC3M = SiteProfile(domain="uc3m.es", base_url="https://www.uc3m.es")
-BERKELEY = SiteProfile(email_domains=("berkeley.edu",))
+UC3M = SiteProfile("uc3m.es", "https://www.uc3m.es", ("uc3m.es", "pa.uc3m.es"), "UC3M", "UC3M")
+BERKELEY = SiteProfile("berkeley.edu", "https://www.berkeley.edu", ("berkeley.edu",), "UC Berkeley", "UC Berkeley")

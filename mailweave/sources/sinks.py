@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut_lineage
 
 
 def write_csv(df: DataFrame, path: str, order=None, mode: str = "overwrite") -> None:
@@ -18,8 +19,10 @@ def write_csv(df: DataFrame, path: str, order=None, mode: str = "overwrite") ->
 
 
 def write_email_index(index: DataFrame, path: str) -> None:
-    """K1: address and joined URLs, sorted by address."""
-    write_csv(index.select("email", "found_on_urls"), path, ["email", "found_on_urls"])
+    """K1: address and joined URLs, sorted by address; rows of one address follow each other in order of their parts."""
+    order = ["email", "part" if "part" in index.columns else "found_on_urls"]
+    ordered = index.orderBy(*order).select("email", "found_on_urls")
+    write_csv(ordered, path)
 
 
 def write_contacts(contacts: DataFrame, path: str) -> None:
@@ -45,15 +48,20 @@ def write_crm(crm: DataFrame, path: str) -> None:
 
 
 def write_clean(final: DataFrame, all_path: str, named_path: str) -> None:
-    """K6: all rows, and the rows with a name."""
+    """K6: all rows, and the rows with a name; the plan runs once."""
+    final = cut_lineage(final)
     order = ["departamento", F.asc_nulls_last("profesor"), "email"]
     write_csv(final, all_path, order)
     write_csv(final.filter(F.col("profesor").isNotNull()), named_path, order)
 
 
 def write_department_map(dep_map: DataFrame, path: str, changed: DataFrame | None = None) -> bool:
-    """K7: the id -> name map as one JSON object per line, only when something changed."""
+    """K7: the id -> name map, one ``{id: name}`` object per line, only when something changed.
+
+    :func:`mailweave.sources.tables.read_department_map` reads it back.
+    """
     if changed is not None and changed.isEmpty():
         return False
-    dep_map.select("dep_id", "nombre").write.mode("overwrite").json(path)
+    rows = dep_map.filter(F.col("dep_id").isNotNull())
+    rows.select(F.to_json(F.create_map("dep_id", "nombre")).alias("value")).write.mode("overwrite").text(path)
     return True

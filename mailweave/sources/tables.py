@@ -15,9 +15,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return extract.usable_pages(spark.read.parquet(path))
 
 
-def read_contacts_csv(spark: SparkSession, path: str, schema=schemas.DEPARTMENT_CONTACTS) -> DataFrame:
-    """CSV with header; every column is read as a string, empty fields as NULL."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_contacts_csv(spark: SparkSession, path: str, schema=schemas.DEPARTMENT_CONTACTS, multi_line: bool = False) -> DataFrame:
+    """CSV with header; every column is read as a string, empty fields as NULL.
+
+    Files are split among tasks, unless ``multi_line`` says that quoted fields may hold line breaks.
+    An empty string and NULL are the same in these files.
+    """
+    return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +36,17 @@ def default_seeds(spark: SparkSession, urls=siteprofile.SEED_URLS) -> DataFrame:
 
 
 def read_department_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{id: name}`` as two columns."""
-    text = spark.read.text(path, wholetext=True)
-    return json_map(text, "value")
+    """``{id: name}`` entries as two columns, from what K7 writes or from one object with an entry on each line.
+
+    A line is read by itself, its outer braces and comma set aside, so files are split among tasks.
+    """
+    inner = F.regexp_replace(F.trim("value"), r"^\{|[},]\s*$", "")
+    return json_map(spark.read.text(path).select(F.concat(F.lit("{"), inner, F.lit("}")).alias("value")), "value")
 
 
-def json_map(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.explode(F.from_json(column, "map<string,string>")).alias("dep_id", "nombre"))
+def json_map(df: DataFrame, column: str, keys=()) -> DataFrame:
+    """One row per entry of the JSON objects in a column."""
+    return df.select(*keys, F.explode(F.from_json(column, "map<string,string>")).alias("dep_id", "nombre"))
 
 
 def read_table(spark: SparkSession, path: str, columns=None) -> DataFrame:
@@ -50,3 +58,15 @@ def read_table(spark: SparkSession, path: str, columns=None) -> DataFrame:
 def keyword_table(spark: SparkSession, words=siteprofile.DEPARTMENT_KEYWORDS) -> DataFrame:
     """A literal word list as a table."""
     return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "key_order int, word string")
+
+
+def keyword_counts(df: DataFrame, text: str, words) -> DataFrame:
+    """S7 applied: in how many rows each of the words occurs; one expression, no join."""
+    found = F.filter(t.lit_array(words), lambda w: F.contains(F.lower(text), w))
+    return df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("rows"))
+
+
+def read_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The public suffix list's rules, one per line; comments and blank lines dropped. The list has some 10,000 rules."""
+    rules = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("rule"))
+    return tuple(r.rule.lower() for r in rules.filter((F.col("rule") != "") & ~F.col("rule").startswith("//")).collect())

@@ -1,8 +1,9 @@
 """ST2: contacts and profiles as continuously maintained tables.
 
-Each micro-batch writes its own ``batch_id=N`` folder and nothing else, so a batch
-never rewrites the table, and replaying a batch after a failure overwrites just what
-that batch had written.
+Each micro-batch writes its own folder ``run=N/batch_id=M`` and nothing else, so a batch never
+rewrites the table, and replaying a batch after a failure overwrites just what that batch had
+written. A run is a checkpoint's lifetime: Spark keeps the query's id with the checkpoint, so a restart
+goes on in its run, and a new checkpoint, whose batches count from 0 again, begins the next one.
 """
 
 from __future__ import annotations
@@ -13,28 +14,66 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import merge as M
 
-_BATCH = "batch_id"
-
-
-def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The table so far; NULL when no batch was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+_RUN, _BATCH = "run", "batch_id"
+_MARK = "_query-"
+#: Run number of a compacted table.
+BASE = -1
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _runs(spark: SparkSession, path: str) -> dict[int, set[str]]:
+    """Run numbers, and the ids of the queries they belong to."""
+    files, where = _folder(spark, path)
+    out = {}
+    for status in files.listStatus(where) if files.exists(where) else []:
+        name = status.getPath().getName()
+        if name.startswith(f"{_RUN}="):
+            marks = [s.getPath().getName() for s in files.listStatus(status.getPath())]
+            out[int(name.split("=")[1])] = {m.removeprefix(_MARK) for m in marks if m.startswith(_MARK)}
+    return out
+
+
+def _run_of(spark: SparkSession, path: str) -> int:
+    """This query's run in the table: the one that carries its id, else a new one after all others. Run 0 outside of streams."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        return 0
+    runs = _runs(spark, path)
+    for number, ids in runs.items():
+        if query in ids:
+            return number
+    number = max(runs, default=0) + 1
+    files, _ = _folder(spark, path)
+    _, mark = _folder(spark, f"{path}/{_RUN}={number}/{_MARK}{query}")
+    files.create(mark).close()
+    return number
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table so far; None when no batch was written yet."""
+    files, where = _folder(spark, path)
+    if not files.exists(where) or not files.globStatus(_folder(spark, f"{path}/{_RUN}=*/{_BATCH}=*")[1]):
         return None
-    df = spark.read.parquet(path)
-    return df if before is None else df.filter(F.col(_BATCH) < before)
+    return spark.read.parquet(path)
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
+def _write_batch(df: DataFrame, path: str, run: int, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/{_RUN}={run}/{_BATCH}={batch_id}")
 
 
 def contact_sink(path: str, seq: str = "seq"):
     """foreachBatch function for M1: append contacts whose id is new."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fresh = M.upsert_contacts(_stored(batch.sparkSession, path, batch_id), batch, seq)
-        _write_batch(fresh, path, batch_id)
+        run, stored = _run_of(batch.sparkSession, path), _stored(batch.sparkSession, path)
+        if stored is not None:  # what a replay finds of its own batch does not count
+            stored = stored.filter((F.col(_RUN) < run) | (F.col(_BATCH) < batch_id))
+        _write_batch(M.upsert_contacts(stored, batch, seq), path, run, batch_id)
 
     return apply
 
@@ -43,19 +82,20 @@ def profile_sink(path: str, seq: str = "seq"):
     """foreachBatch function for M2: log each batch's newest values per profile."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(M.upsert_profiles(None, batch, seq), path, batch_id)
+        _write_batch(M.upsert_profiles(None, batch, seq), path, _run_of(batch.sparkSession, path), batch_id)
 
     return apply
 
 
 def current_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """M2 over the log: per profile and column the newest value that is not NULL."""
-    return M.upsert_profiles(None, spark.read.parquet(path), _BATCH)
+    """M2 over the log: per profile and column the newest value that is not NULL, by run and batch."""
+    log = spark.read.parquet(path)
+    return M.upsert_profiles(None, log.withColumn("_order", F.shiftleft(F.col(_RUN).cast("long"), 40) + F.col(_BATCH)), "_order")
 
 
 def compact_profiles(spark: SparkSession, path: str, target: str) -> None:
-    """Write the merged table elsewhere, as the first batch of a new log."""
-    _write_batch(current_profiles(spark, path), target, 0)
+    """Write the merged table elsewhere, as a base that comes before all runs of the new log and that none overwrites."""
+    _write_batch(current_profiles(spark, path), target, BASE, 0)
 
 
 def upsert_stream(stream: DataFrame, sink, checkpoint: str) -> DataStreamWriter:
