@@ -54,7 +54,7 @@ def climb_name(node: Column, email: Column) -> Column:
     def fits(text: Column) -> Column:
         return H.let(_text_without(text, email), lambda rest: F.when(t.word_count(rest).between(3, 8), rest))
 
-    inside = _first_found(F.reverse(node["path"]), lambda i: fits(H.subtree_text(H.node_at(i))))
+    inside = _first_found(F.reverse(H.path_of(node)), lambda i: fits(H.subtree_text(H.node_at(i))))
     return F.when(node.isNotNull(), F.coalesce(inside, fits(_page_text())))
 
 
@@ -75,7 +75,7 @@ def near_name(node: Column, email: Column) -> Column:
 
     def from_row(parent: Column) -> Column:
         # an ancestor row's cells that do not hold the address
-        row = F.try_element_at(F.filter(parent["path"], lambda i: H.node_at(i)["tag"] == "tr"), F.lit(-1))
+        row = F.try_element_at(F.filter(H.path_of(parent), lambda i: H.node_at(i)["tag"] == "tr"), F.lit(-1))
 
         def cell_name(c: Column) -> Column:
             return H.let(H.subtree_text(c), lambda x: F.when(~F.contains(F.lower(x), email), _name(x)))
@@ -84,7 +84,7 @@ def near_name(node: Column, email: Column) -> Column:
         return F.when(parent["tag"].isin("td", "th"), found)
 
     def from_container(entry: Column) -> Column:
-        above = F.filter(entry["path"], lambda i: H.node_at(i)["tag"].isin("div", "span", "p") & (i != entry["node_id"]))
+        above = F.filter(H.path_of(entry), lambda i: H.node_at(i)["tag"].isin("div", "span", "p") & (i != entry["node_id"]))
         container = H.node_at(F.try_element_at(above, F.lit(-1)))
         before = H.let(H.let(container, lambda c: F.when(c.isNotNull(), H.subtree_text(c))), lambda x: t.strip(t.text_before(x, email)))
         return H.let(H.let(before, lambda b: t.last_words(b)), lambda w: F.when(t.word_count(w) >= 2, _name(w)))
@@ -104,10 +104,10 @@ def near_name(node: Column, email: Column) -> Column:
         )
 
     here = first_name(node["node_id"], node["prev_id"], node["next_id"])
-    return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(node["path"]), above)))
+    return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(H.path_of(node)), above)))
 
 
-def mailto_links(domains=None, strict: bool = True) -> Column:
+def mailto_links(domains=None, strict: bool = False) -> Column:
     """Mailto anchors as ``(email, node)``; restricted to ``domains`` when given."""
     links = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:"))
 
@@ -119,7 +119,7 @@ def mailto_links(domains=None, strict: bool = True) -> Column:
     return F.filter(F.transform(links, pair), lambda p: p["email"].isNotNull())
 
 
-def text_emails(domains=None, strict: bool = True) -> Column:
+def text_emails(domains=None, strict: bool = False) -> Column:
     """Addresses of the page's glued text with the element whose text holds them (NULL if split)."""
     found = em.find_all(H.visible_text(""))
     cleaned = F.transform(found, lambda e: em.clean_email(e) if domains is None else em.clean_domain_email(e, domains, strict))
@@ -134,12 +134,12 @@ def text_emails(domains=None, strict: bool = True) -> Column:
     return H.let(lowered, lambda places: F.transform(known, lambda e: holder(places, e)))
 
 
-def staff_rows(domains, strict: bool = True) -> Column:
+def staff_rows(domains, strict: bool = False) -> Column:
     """Per staff-table row the last address and the last multi-word cell's name.
 
     A later multi-word cell that is no name resets the name to NULL.
     """
-    rows = F.filter(H.tagged("tr"), lambda r: F.exists(r["path"], lambda i: H.node_at(i)["tag"] == "table"))
+    rows = F.filter(H.tagged("tr"), lambda r: F.exists(H.path_of(r), lambda i: H.node_at(i)["tag"] == "table"))
 
     def from_row(row: Column) -> Column:
         cells = F.transform(H.descendants(row, "td", "th"), lambda c: H.subtree_text(c, sep=""))
@@ -204,19 +204,19 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
     return rows.filter(F.col("branch") == 1).unionByName(firsts.filter(F.col("branch") != 1).select(*rows.columns))
 
 
-def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
+def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
     """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
     named = _named(mailto_links(domains, strict), text_emails(domains, strict), near_name)
     return _branches(_pages_with_email(doc), keys, named, staff_rows(domains, strict))
 
 
-def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
+def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
     """X32 before de-duplication: missing names are inferred from the address."""
     rows = near_names(doc, domains, keys, strict)
     return rows.withColumn("profesor", F.coalesce("profesor", t.infer_name(F.col("email"))))
 
 
-def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
+def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
     """First contact per address of a page."""
     rows = near_contacts(doc, domains, keys, strict)
     return dedup.first_per_key(rows, [*keys, "email"], ["branch", "idx"]).select(*keys, "branch", "idx", "profesor", "email")

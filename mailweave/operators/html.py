@@ -10,6 +10,7 @@ the DOM: extraction needs no join and no shuffle. ``nodes`` flattens the same th
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,6 +43,7 @@ class _DomRows(HTMLParser):
         self.rows: list[list] = []
         self.chunks: list[str] = []
         self.open: list[int] = []
+        self.open_tags: Counter = Counter()
         self.last_child: dict[int, int] = {}
         self.pending: list[str] = []
         self.hidden = 0
@@ -59,11 +61,10 @@ class _DomRows(HTMLParser):
         if before >= 0:
             self.rows[before][9] = node
         self.last_child[parent] = node
-        path = self.rows[parent][7] + [node] if parent >= 0 else [node]
         shown = len(self.chunks)
         classes = (attrs.get("class") or "").split()
         self.rows.append(
-            [node, parent, len(path) - 1, tag, attrs.get("id"), classes, attrs, path, before, -1, text, shown, shown, node]
+            [node, parent, len(self.open), tag, attrs.get("id"), classes, attrs, None, before, -1, text, shown, shown, node]
         )
         return node
 
@@ -84,6 +85,7 @@ class _DomRows(HTMLParser):
 
     def _pop(self) -> None:
         row = self.rows[self.open.pop()]
+        self.open_tags[row[3]] -= 1
         row[12] = len(self.chunks)
         row[13] = len(self.rows) - 1
         if row[3] in HIDDEN:
@@ -95,6 +97,7 @@ class _DomRows(HTMLParser):
         node = self._add(tag, {k: v or "" for k, v in attrs}, None)
         if tag not in VOID:
             self.open.append(node)
+            self.open_tags[tag] += 1
             if tag in HIDDEN:
                 self.hidden += 1
 
@@ -105,7 +108,7 @@ class _DomRows(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag not in VOID and any(self.rows[i][3] == tag for i in self.open):
+        if tag not in VOID and self.open_tags[tag]:
             while self.open:
                 top = self.rows[self.open[-1]][3]
                 self._pop()
@@ -149,7 +152,7 @@ def _node_array(pages: list[list[list]]) -> pa.Array:
         "node_id": ints[0], "parent_id": ints[1], "pos": ints[0], "depth": ints[2],
         "tag": pa.array(col[3], pa.string()), "id_attr": pa.array(col[4], pa.string()),
         "classes": _lists(col[5], pa.string()), "attrs": attr_map, "text": pa.array(col[10], pa.string()),
-        "path": _lists(col[7], pa.int32()), "prev_id": ints[8], "next_id": ints[9], "last_id": ints[13],
+        "prev_id": ints[8], "next_id": ints[9], "last_id": ints[13],
         "t_from": ints[11], "t_to": ints[12],
     }
     return pa.ListArray.from_arrays(_offsets(map(len, pages)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
@@ -221,9 +224,9 @@ def spread(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
 
 
 def nodes(doc: DataFrame) -> DataFrame:
-    """The DOM as a relation: one row per element, text chunk or comment."""
+    """The DOM as a relation: one row per element, text chunk or comment, with its ``path`` from the root."""
     others = [c for c in doc.columns if c not in ("nodes", "chunks", "clean", "_error")]
-    return doc.select(*others, F.inline("nodes"))
+    return doc.select(*others, F.inline(F.transform("nodes", lambda n: n.withField("path", path_of(n)))))
 
 
 def parse_errors(doc: DataFrame) -> DataFrame:
@@ -272,6 +275,19 @@ def node_at(index: Column, all_nodes: Column | None = None) -> Column:
     return F.get(all_nodes, index)
 
 
+def path_of(node: Column, all_nodes: Column | None = None) -> Column:
+    """Ids from the root down to the node itself, by climbing from parent to parent.
+
+    The DOM stores parents only: where tags stay open, a page's paths together grow with the square of its length.
+    """
+    up = F.aggregate(
+        F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(F.array().cast("array<int>")),
+        F.array(node["node_id"]),
+        lambda ids, _: F.concat(F.array(node_at(ids[0], all_nodes)["parent_id"]), ids),
+    )
+    return F.when(node["node_id"].isNotNull(), up)
+
+
 # -- selectors ----------------------------------------------------------------------
 
 _SIMPLE = re.compile(
@@ -329,7 +345,7 @@ def matches(node: Column, selector: str, all_nodes: Column | None = None) -> Col
 
     Supported: tag, ``.class``, ``#id``, ``[attr]``, ``[attr=x]``, ``[attr*="x" i]``,
     ``^=``, ``$=``, descendant steps and comma lists. Ancestors are found by indexing
-    the DOM array with the entry's ``path``.
+    the DOM array with the entry's path.
     """
     all_nodes = F.col("nodes") if all_nodes is None else all_nodes
     any_of = F.lit(False)
@@ -344,7 +360,7 @@ def matches(node: Column, selector: str, all_nodes: Column | None = None) -> Col
 
 def _ancestors_match(node: Column, steps: list, all_nodes: Column) -> Column:
     """Greedy walk down the path: how many leading steps are met, in order, above the node?"""
-    above = F.slice(node["path"], F.lit(1), F.size(node["path"]) - 1)
+    above = F.slice(path_of(node, all_nodes), F.lit(1), node["depth"])
 
     def advance(done: Column, index: Column) -> Column:
         entry = F.get(all_nodes, index)

@@ -56,7 +56,7 @@ def row_contacts() -> Column:
 
 
 def _under(node: Column, *tags: str) -> Column:
-    return F.exists(node["path"], lambda i: H.node_at(i)["tag"].isin(*tags) & (i != node["node_id"]))
+    return F.exists(H.path_of(node), lambda i: H.node_at(i)["tag"].isin(*tags) & (i != node["node_id"]))
 
 
 def _mentions_at(node: Column) -> Column:

@@ -58,7 +58,6 @@ NODE = T.StructType(
         T.StructField("classes", T.ArrayType(T.StringType())),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
         T.StructField("prev_id", T.IntegerType()),
         T.StructField("next_id", T.IntegerType()),
         T.StructField("last_id", T.IntegerType()),

@@ -4,6 +4,7 @@ import inspect
 import os
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def test_one_domain_rule(evaluate):
 def test_look_alikes_are_refused_everywhere(spark):
     page = '<h1>x</h1><p>Ana Gil <a href="mailto:ana@a.es.evil.com">m</a></p><p>Eva Ruiz eva@inf.a.es</p>'
     pages = spark.createDataFrame([(1, "http://p", page)], "page_id long, url string, html string")
-    assert {r.email for r in association.page_contacts(html.dom(pages), SITE.email_domains, ("url",)).collect()} == {"eva@inf.a.es"}
+    assert {r.email for r in association.page_contacts(html.dom(pages), SITE.email_domains, ("url",), SITE.strict).collect()} == {"eva@inf.a.es"}
     assert {r.email for r in extract.clean_emails_in_text(pages, "html", SITE.email_domains, ("url",)).collect()} == {"eva@inf.a.es"}
     assert departments.cards(html.dom(pages), SITE, ("url",)).first().mail is None
     loose = SiteProfile("a.es", "https://www.a.es", ("a.es",), "A", "A", strict=False)
@@ -166,3 +167,13 @@ assert e.queries()["x1_elements_by_tag"](spark, "/root/testdata/sf0.001").count(
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=300)
+
+
+def test_pages_of_unclosed_tags_are_linear(spark):
+    n = 50_000
+    pages = spark.createDataFrame([(1, "u", "<p>x" * n)], "page_id long, url string, html string")
+    began = time.monotonic()
+    row = html.dom(pages, parts=("nodes",)).select(F.size("nodes").alias("n")).first()
+    assert row.n == 2 * n and time.monotonic() - began < 60
+    deep = spark.createDataFrame([(1, "u", "<div>" * 300 + "a@a.es")], "page_id long, url string, html string")
+    assert html.nodes(html.dom(deep)).filter("tag = '#text'").select(F.size("path")).first()[0] == 301
