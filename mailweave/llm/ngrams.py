@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, plain, slices, text_bytes, texts, written
-from .tokens import default_path, word_cache
+from .tokens import default_path, drop_caches, word_cache
 
 BACKOFF = 0.4
 BUCKETS = 16
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
+#: Bytes of token ids taken at a time, two for each token.
+SLICE = 1 << 20
+#: Bigrams that a task counts before it hands them on, and those looked up at a time.
+MOST_HELD, MOST_LOOKED_UP = 500_000, 250_000
 #: Size of the tokenizer's vocabulary and its id for the start of a text.
 VOCABULARY, START = 49_408, 49_406
 _FACTOR = 2_654_435_761
@@ -29,70 +33,105 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * _FACTOR) >> 16 & 0xFFFF) % buckets
 
 
-def _bigrams(ids: bytes) -> np.ndarray:
-    tokens = np.frombuffer(ids, "<u4").astype(np.int64)
-    return np.concatenate([[START], tokens[:-1]]) * VOCABULARY + tokens if len(tokens) else tokens
+def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``row, doc_id, ids``: every document's tokens, two bytes each, and a number of its own. Written once, so both passes see the same."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        cache, row = word_cache(tokenizer), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for rows in slices(batch):
+                ids = [np.frombuffer(cache.ids(t), "<u4").astype("<u2").tobytes() for t in texts(rows)]
+                numbers = pa.array(np.arange(row, row + len(ids)))
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([numbers, rows.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+
+    return written(plain(docs, "doc_id", "text").mapInArrow(run, "row long, doc_id long, ids binary"), "tokens")
 
 
-def bigram_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def _bigrams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of a slice of documents, and each one's number of tokens."""
+    ids = rows.column("ids").to_pylist()
+    size = np.array([len(i) // 2 for i in ids])
+    tokens = np.frombuffer(b"".join(ids), "<u2").astype(np.int64)
+    before = np.concatenate([[0], tokens[:-1]]) if len(tokens) else tokens
+    before[(np.cumsum(size) - size)[size > 0]] = START
+    return before * VOCABULARY + tokens, size
+
+
+def bigram_counts(tokens: DataFrame) -> DataFrame:
     """``key, n`` for every bigram of all documents, counted in each task first."""
 
+    def rows(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
     def run(batches):
-        cache = word_cache(tokenizer)
+        drop_caches()
+        keys = n = np.zeros(0, np.int64)
         for batch in batches:
-            parts = [_bigrams(cache.ids(t)) for rows in slices(batch) for t in texts(rows)]
-            keys, n = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+            for part in slices(batch, "ids", SLICE):
+                new, times = np.unique(_bigrams(part)[0], return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times]), len(keys)).astype(np.int64)
+                if len(keys) > MOST_HELD:
+                    yield rows(keys, n)
+                    keys = n = np.zeros(0, np.int64)
+        yield rows(keys, n)
 
-    return plain(docs, "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _exploded(docs: DataFrame, tokenizer: str, buckets: int, salts: int) -> DataFrame:
+def _exploded(tokens: DataFrame, buckets: int, salts: int) -> DataFrame:
     """The distinct bigrams of each document and how often it has them, as one row for each document and hash bucket."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        cache, row = word_cache(tokenizer), TaskContext.get().partitionId() << 33
+        drop_caches()
         for batch in batches:
-            for rows in slices(batch):
-                head, keys, times, sizes = [], [], [], []
-                for doc, text in zip(rows.column("doc_id").to_pylist(), texts(rows)):
-                    own = _bigrams(cache.ids(text))
-                    key, n = np.unique(own, return_counts=True)
-                    bucket = _buckets(key, buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    keys.append(key[order])
-                    times.append(n[order])
-                    held, size = np.unique(bucket, return_counts=True)
-                    for b, k in zip(held.tolist() or [row % buckets], size.tolist() or [0]):  # a text without tokens keeps a row
-                        head.append((b, row % salts, row, doc, len(own)))
-                        sizes.append(k)
-                    row += 1
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(np.uint32).view(np.int32))) for c in (keys, times)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*head), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, *lists], names=["bucket", "salt", "row", "doc_id", "tokens", "keys", "times"])
+            for part in slices(batch, "ids", SLICE):
+                keys, size = _bigrams(part)
+                line = np.repeat(np.arange(len(size)), size)
+                code, times = np.unique(((line * buckets + _buckets(keys, buckets)) << 32) + keys, return_counts=True)  # sorted by document and bucket
+                held = code >> 32
+                first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+                line, bucket = np.divmod(held[first], buckets)
+                bare = np.flatnonzero(size == 0)  # a text without tokens keeps a row
+                line, bucket = np.concatenate([line, bare]), np.concatenate([bucket, bare % buckets])
+                ends = pa.array(np.concatenate([first, np.full(len(bare) + 1, len(code))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c.astype(np.uint32).view(np.int32))) for c in (code & 0xFFFFFFFF, times)]
+                own = part.take(pa.array(line))
+                row = np.asarray(own.column("row"))
+                heads = [pa.array(bucket, pa.int32()), pa.array(row % salts, pa.int32()), own.column("row"), own.column("doc_id"), pa.array(size[line], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*heads, *lists], names=["bucket", "salt", "row", "doc_id", "tokens", "keys", "times"])
 
     schema = "bucket int, salt int, row long, doc_id long, tokens long, keys array<int>, times array<int>"
-    return plain(docs, "doc_id", "text").mapInArrow(run, schema)
+    return tokens.mapInArrow(run, schema)
 
 
 def _joined(grams: pa.Table, counts: pa.Table) -> pa.Table:
     """One hash bucket: each document's bigrams meet their counts; the sum of their logarithms for each document."""
+    drop_caches()
     keys, times = (grams.column(c).combine_chunks() for c in ("keys", "times"))
     size = np.diff(np.asarray(keys.offsets)) if len(keys) else np.zeros(0, np.int64)
     key, k = (np.asarray(c.flatten()) for c in (keys, times))
-    key = key.view(np.uint32).astype(np.int64)
     known = np.asarray(counts.column("key"))
     order = np.argsort(known)
-    at = order[np.searchsorted(known, key, sorter=order)] if len(key) else np.zeros(0, np.int64)
-    n, context, back = (np.asarray(counts.column(c))[at] for c in ("n", "log_context", "log_back"))
-    others = n - k
-    value = np.where(others > 0, np.log(np.maximum(others, 1)) - context, back) * k
-    so_far = np.concatenate([[0.0], np.cumsum(value)])
-    ends = np.cumsum(size)
-    return pa.table({"row": grams.column("row"), "doc_id": grams.column("doc_id"), "tokens": grams.column("tokens"), "part": pa.array(so_far[ends] - so_far[ends - size], pa.float64())})
+    known = known[order]
+    n, context, back = (np.asarray(counts.column(c))[order] for c in ("n", "log_context", "log_back"))
+    part, ends = np.zeros(len(size)), np.cumsum(size)
+    first = 0
+    while first < len(size):  # whole documents, about so many bigrams at a time
+        start = ends[first] - size[first]
+        last = max(first + 1, int(np.searchsorted(ends, start + MOST_LOOKED_UP, "right")))
+        some = slice(int(start), int(ends[last - 1]))
+        at = np.searchsorted(known, key[some].view(np.uint32).astype(np.int64))
+        others = n[at] - k[some]
+        value = np.where(others > 0, np.log(np.maximum(others, 1)) - context[at], back[at]) * k[some]
+        so_far = np.concatenate([[0.0], np.cumsum(value)])
+        here = ends[first:last] - start
+        part[first:last] = so_far[here] - so_far[here - size[first:last]]
+        first = last
+    return pa.table({"row": grams.column("row"), "doc_id": grams.column("doc_id"), "tokens": grams.column("tokens"), "part": pa.array(part)})
 
 
 def stupid_backoff(docs: DataFrame, tokenizer: str, backoff: float = BACKOFF, buckets: int = BUCKETS, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -109,11 +148,12 @@ def stupid_backoff(docs: DataFrame, tokenizer: str, backoff: float = BACKOFF, bu
     the only tables that are broadcast (token counts).
 
     Null and empty texts have no tokens and score 0; repeated rows are scored each; an empty table gives no rows; other
-    columns are not read. Rows are told apart by their place, which files keep when a task runs again.
+    columns are not read.
     """
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
     salts = max(1, math.ceil(total / buckets / group_bytes))
-    table = written(bigram_counts(docs, tokenizer), "bigrams")
+    ids = token_rows(docs, tokenizer)
+    table = written(bigram_counts(ids), "bigrams")
     before = table.groupBy(F.expr(f"key DIV {VOCABULARY}").alias("v")).agg(F.sum("n").alias("context"))
     token = table.groupBy((F.col("key") % VOCABULARY).alias("w")).agg(F.sum("n").alias("own"))
     tokens = table.agg(F.sum("n")).first()[0] or 1
@@ -130,7 +170,7 @@ def stupid_backoff(docs: DataFrame, tokenizer: str, backoff: float = BACKOFF, bu
             F.log(F.col("own") * F.lit(backoff / tokens)).alias("log_back"),
         )
     )
-    grams = _exploded(docs, tokenizer, buckets, salts)
+    grams = _exploded(ids, buckets, salts)
     parts = grams.groupBy("bucket", "salt").cogroup(counts.groupBy("b", "s")).applyInArrow(_joined, "row long, doc_id long, tokens long, part double")
     sums = parts.groupBy("row", "doc_id", "tokens").agg(F.sum("part").alias("log_score"))
     return sums.select("doc_id", F.col("tokens").alias("n_tokens"), "log_score", (F.col("log_score") / F.greatest("tokens", F.lit(1))).alias("mean_log_score"))
