@@ -30,7 +30,8 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def unit_rows(rows: list[list[float]]) -> np.ndarray:
+def unit_rows(rows) -> np.ndarray:
+    """Vectors of one length, in double precision, scaled to length 1; scaled down first, so that squares stay finite."""
     x = np.array(rows, float)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -64,7 +65,7 @@ def _fit(classes: DataFrame, shard_rows: int) -> dict[int, tuple[int, np.ndarray
 
 
 def _placed(classes: DataFrame, centroids, overlap: int) -> DataFrame:
-    """``node, unit, weight, clusters``: each vector's nearest clusters. A dimension that the sample lacks is a cluster of its own (negative)."""
+    """``node, embedding, weight, clusters``: each vector's nearest clusters. A dimension that the sample lacks is a cluster of its own (negative)."""
 
     def run(batches):
         for batch in batches:
@@ -82,15 +83,16 @@ def _placed(classes: DataFrame, centroids, overlap: int) -> DataFrame:
                     near = np.full((len(rows), 1), -d)
                 some = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("node"), pa.array(list(unit), pa.list_(pa.float64())), some.column("weight"), pa.array(near.tolist(), pa.list_(pa.int32()))],
-                    names=["node", "unit", "weight", "clusters"],
+                    [some.column("node"), some.column("embedding"), some.column("weight"), pa.array(near.tolist(), pa.list_(pa.int32()))],
+                    names=["node", "embedding", "weight", "clusters"],
                 )
 
-    return classes.select("node", "weight", "embedding").mapInArrow(run, "node long, unit array<double>, weight long, clusters array<int>")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.select("node", "weight", "embedding").mapInArrow(run, f"node long, embedding {kind}, weight long, clusters array<int>")
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    adj = graphs.build(np.stack(pdf["unit"].to_numpy()))
+    adj = graphs.build(unit_rows(np.stack(pdf["embedding"].to_numpy())))
     node = pdf["node"].to_numpy()
     return pd.DataFrame({"node": node, "neighbours": [node[a[a >= 0]] for a in adj]})
 
@@ -110,7 +112,7 @@ def _search(least: float):
         adj = np.full((len(nodes), max(max(size), 1)), -1)
         line = np.repeat(np.arange(len(nodes)), size)
         adj[line, np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)] = place(np.concatenate(index["neighbours"].to_list()).astype("int64"))
-        x, q = np.stack(index["unit"].to_numpy()), np.stack(queries["unit"].to_numpy())
+        x, q = (unit_rows(np.stack(p["embedding"].to_numpy())) for p in (index, queries))
         a, b = graphs.in_range(x, adj, q, graphs.medoids(x, ENTRIES), least, place(asked))
         a, b = a[asked[a] != nodes[b]], b[asked[a] != nodes[b]]
         sure = np.einsum("ij,ij->i", q[a], x[b]) >= least
@@ -131,38 +133,38 @@ def _search(least: float):
 def _links(placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
     """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each shard."""
     spark = placed.sparkSession
-    each = placed.select("node", "unit", "weight", "clusters", F.explode("clusters").alias("cluster"))
+    each = placed.select("node", "embedding", "weight", "clusters", F.explode("clusters").alias("cluster"))
     sizes = each.groupBy("cluster").count().collect()  # a row for each cluster
     blocks = spark.createDataFrame([(r[0], max(1, math.ceil(r[1] / shard_rows))) for r in sizes], "cluster int, blocks int")
     members = each.join(F.broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int"))
     members = written(members, "members")
-    edges = members.select("cluster", "block", "node", "unit").groupBy("cluster", "block").applyInPandas(_build, "node long, neighbours array<long>")
+    edges = members.select("cluster", "block", "node", "embedding").groupBy("cluster", "block").applyInPandas(_build, "node long, neighbours array<long>")
     union = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    index = members.join(union, "node").select("cluster", F.col("block").alias("i"), every.alias("q"), "node", "unit", "weight", "clusters", "neighbours")
-    asked = members.select(F.col("cluster").alias("c"), every.alias("ci"), F.col("block").alias("cq"), *(F.col(n).alias(n) for n in ("node", "unit", "clusters")))
+    index = members.join(union, "node").select("cluster", F.col("block").alias("i"), every.alias("q"), "node", "embedding", "weight", "clusters", "neighbours")
+    asked = members.select(F.col("cluster").alias("c"), every.alias("ci"), F.col("block").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "clusters")))
     return index.groupBy("cluster", "i", "q").cogroup(asked.groupBy("c", "ci", "cq")).applyInPandas(_search(least), "node long, links long, root long")
 
 
 def _recall(placed: DataFrame, found: DataFrame, least: float) -> float:
     """Links found over links there are, for the ``AUDIT`` vectors with the smallest hashes, by brute force against all."""
-    asked = placed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDIT).select("node", "unit").collect()
+    asked = placed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDIT).select("node", "embedding").collect()
     held = placed.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in asked])
 
     def run(batches):
         by: dict[int, list] = {}
         for node, v in held.value:
             by.setdefault(len(v), []).append((node, v))
-        by = {d: (np.array([n for n, _ in rows]), np.array([v for _, v in rows])) for d, rows in by.items()}
+        by = {d: (np.array([n for n, _ in rows]), unit_rows([v for _, v in rows])) for d, rows in by.items()}
         for batch in batches:
-            unit, node, weight = (batch.column(c).to_pylist() for c in ("unit", "node", "weight"))
+            vectors, node, weight = (batch.column(c).to_pylist() for c in ("embedding", "node", "weight"))
             for d, (ids, q) in by.items():
-                rows = [i for i, v in enumerate(unit) if len(v) == d]
+                rows = [i for i, v in enumerate(vectors) if len(v) == d]
                 if rows:
-                    near = (np.array([unit[i] for i in rows]) @ q.T >= least) & (np.array([node[i] for i in rows])[:, None] != ids)
+                    near = (unit_rows([vectors[i] for i in rows]) @ q.T >= least) & (np.array([node[i] for i in rows])[:, None] != ids)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * np.array([weight[i] for i in rows])[:, None]).sum(axis=0))], names=["node", "n"])
 
-    there = {r[0]: r[1] for r in placed.select("node", "unit", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n")).collect()}
+    there = {r[0]: r[1] for r in placed.select("node", "embedding", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n")).collect()}
     ids = placed.sparkSession.createDataFrame([(n,) for n in there], "node long")
     ours = {r[0]: r[1] for r in found.join(F.broadcast(ids), "node").groupBy("node").agg(F.sum("links")).collect()} if there else {}
     total = sum(there.values())
@@ -184,7 +186,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows
     table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     good = v.where(usable(F.col("embedding")))
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("node", F.xxhash64("embedding")), "vectors")
