@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -31,6 +31,20 @@ def preferred_fields(joined: DataFrame) -> DataFrame:
     )
 
 
+def default_columns(university: str) -> dict[str, Column]:
+    """Profile fields and fixed values of the CRM table, with what stands where nothing is known."""
+    blank = F.lit("")
+    return {
+        "Universidad": F.coalesce("prof_university", F.lit(university)),
+        "Departamento": F.coalesce("prof_department", blank),
+        "Desuscrito": F.lit("FALSE"),
+        "Enviado": F.lit("FALSE"),
+        "open_count": F.lit(0),
+        "click_count": F.lit(0),
+        **{c: blank for c in _EMPTY},
+    }
+
+
 def crm_rows(contacts: DataFrame, profiles: DataFrame, university: str, found_only: bool = False) -> DataFrame:
     """The CRM columns for every contact, before de-duplication."""
     if found_only:  # leave guessed addresses out
@@ -42,13 +56,7 @@ def crm_rows(contacts: DataFrame, profiles: DataFrame, university: str, found_on
         "Nombre": F.coalesce("_first", blank),
         "Apellidos": F.coalesce("_last", blank),
         "Email": F.coalesce("_email", blank),
-        "Universidad": F.coalesce("prof_university", F.lit(university)),
-        "Departamento": F.coalesce("prof_department", blank),
-        "Desuscrito": F.lit("FALSE"),
-        "Enviado": F.lit("FALSE"),
-        "open_count": F.lit(0),
-        "click_count": F.lit(0),
-        **{c: blank for c in _EMPTY},
+        **default_columns(university),
     }
     rank = [(F.col("_full").isNull()).alias("_unnamed"), (-F.coalesce("confidence", F.lit(0.0))).alias("_doubt"), F.coalesce(j["id"], blank).alias("_cid")]
     return j.select(*[columns[f.name].alias(f.name) for f in CRM], *rank)

@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..operators import dedup
 from ..operators import merge as M
 from ..plans import crm, curate
+from ..sources import sinks
 from . import sqlkit as q
 from .core import DERIVED, derived, load, query
 
@@ -195,7 +196,7 @@ def p13(spark, d):
 
 @query("p14_rows_with_name", "SELECT seq, profesor FROM {@contacts} WHERE profesor IS NOT NULL")
 def p14(spark, d):
-    return derived(spark, d, "{@contacts}").filter(F.col("profesor").isNotNull()).select("seq", "profesor")
+    return sinks.with_name(derived(spark, d, "{@contacts}")).select("seq", "profesor")
 
 
 @query("p17_reorder_and_rename", "SELECT email AS correo, profesor AS nombre, departamento AS dep FROM {@contacts}")
@@ -245,10 +246,8 @@ def ud2(spark, d):
 SELECT c.seq, coalesce(p.university, 'Default U') AS "Universidad", coalesce(p.department, '') AS "Departamento", 'FALSE' AS "Desuscrito", 'FALSE' AS "Enviado", 0 AS open_count, '' AS first_open {_CRM_FROM}""")
 def p24(spark, d):
     j = _joined(spark, d)
-    return j.select(
-        "seq", F.coalesce("prof_university", F.lit("Default U")).alias("Universidad"), F.coalesce("prof_department", F.lit("")).alias("Departamento"),
-        F.lit("FALSE").alias("Desuscrito"), F.lit("FALSE").alias("Enviado"), F.lit(0).alias("open_count"), F.lit("").alias("first_open"),
-    )
+    columns = crm.default_columns("Default U")
+    return j.select("seq", *[columns[c].alias(c) for c in ("Universidad", "Departamento", "Desuscrito", "Enviado", "open_count", "first_open")])
 
 
 @query("p25_fill_missing_names", f"SELECT seq, coalesce({q.clean_name('profesor')}, {q.infer(q.clean_email('email'))}) AS profesor_clean FROM {{@contacts}} WHERE {q.clean_email('email')} IS NOT NULL")

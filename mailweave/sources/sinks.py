@@ -47,12 +47,17 @@ def write_crm(crm: DataFrame, path: str) -> None:
     write_csv(crm, path, [F.coalesce(t.blank_to_null(F.col("Email")), F.col("id"))])
 
 
+def with_name(df: DataFrame, name: str = "profesor") -> DataFrame:
+    """The rows that have a name."""
+    return df.filter(F.col(name).isNotNull())
+
+
 def write_clean(final: DataFrame, all_path: str, named_path: str) -> None:
     """K6: all rows, and the rows with a name; the plan runs once."""
     final = cut_lineage(final)
     order = ["departamento", F.asc_nulls_last("profesor"), "email"]
     write_csv(final, all_path, order)
-    write_csv(final.filter(F.col("profesor").isNotNull()), named_path, order)
+    write_csv(with_name(final), named_path, order)
 
 
 def write_department_map(dep_map: DataFrame, path: str, changed: DataFrame | None = None) -> bool:
