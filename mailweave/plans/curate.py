@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import emails as em
 from ..functions import text as t
 from ..operators import dedup
+from ..operators import departments as DP
 from ..operators import merge as M
+from ..session import cut_lineage
+from ..siteprofile import SiteProfile
+from ..sources import sinks
 
 
 def cleaned(contacts: DataFrame) -> DataFrame:
@@ -34,3 +38,21 @@ def curate(contacts: DataFrame, dep_map: DataFrame, seq: str = "seq") -> DataFra
         F.col("departamento_clean").alias("departamento"), F.col("profesor_clean").alias("profesor"), F.col("email_clean").alias("email")
     )
     return final.orderBy(F.asc("departamento"), F.asc_nulls_last("profesor"), "email")
+
+
+def refreshed_map(contacts: DataFrame, dep_map: DataFrame, list_doc: DataFrame, page_doc: DataFrame, site: SiteProfile) -> DataFrame:
+    """The id map with the names of the list pages (X20, U4), then of single pages for ids still missing (J11, X21), then generated ones."""
+    from_list, from_pages = DP.id_names(list_doc, site), DP.single_page_names(page_doc, site)
+    return cut_lineage(M.complete_map(dep_map, from_list, from_pages, contacts))
+
+
+def curate_and_refresh(
+    contacts: DataFrame, dep_map: DataFrame, list_doc: DataFrame, page_doc: DataFrame, site: SiteProfile, map_path: str, seq: str = "seq"
+) -> DataFrame:
+    """Q7 whole: bring the map up to date, store it if contacts hold ids it did not know (K7), and curate with it.
+
+    ``list_doc``, ``page_doc``: parsed department lists and department pages.
+    """
+    full = refreshed_map(contacts, dep_map, list_doc, page_doc, site)
+    sinks.write_department_map(full, map_path, M.missing_keys(contacts, dep_map))
+    return curate(contacts, full, seq)

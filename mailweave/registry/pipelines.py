@@ -9,11 +9,12 @@ from ..functions import ids
 from ..functions import text as t
 from ..operators import dedup
 from ..operators import extract as X
+from ..operators import html as H
 from ..operators import merge as M
 from ..plans import crm, curate, departments, directory, email_index, quality
 from . import graph, webs
 from . import sqlkit as q
-from .core import DERIVED, derived, query
+from .core import DERIVED, derived, query, scratch
 
 SITE = webs.SITE
 
@@ -207,6 +208,33 @@ def q7_map(spark, d):
     return M.complete_map(derived(spark, d, "{@dep_map}"), derived(spark, d, "{@new_map}"), None, derived(spark, d, "{@contacts}"))
 
 
+DERIVED["refreshed_map"] = """
+SELECT dep_id, nombre FROM {@list_map} UNION ALL SELECT dep_id, nombre FROM {@dep_map} WHERE dep_id NOT IN (SELECT dep_id FROM {@list_map})
+UNION ALL SELECT g.dep_id, coalesce(p.nombre, concat('Departamento_', g.dep_id)) AS nombre FROM (
+  SELECT DISTINCT departamento AS dep_id FROM {@contacts} WHERE departamento NOT IN (SELECT dep_id FROM {@list_map}) AND departamento NOT IN (SELECT dep_id FROM {@dep_map})) g
+LEFT JOIN (SELECT CAST(s AS STRING) AS dep_id, name AS nombre FROM {@depts}) p ON p.dep_id = g.dep_id"""
+DERIVED["list_map"] = """
+SELECT CAST(s AS STRING) AS dep_id, CASE WHEN s % 3 = 0 THEN concat(name, ' bis') ELSE name END AS nombre FROM {@depts} WHERE s % 3 = 0 OR s % 10 <> 7"""
+DERIVED["curated_refreshed"] = DERIVED["curated"].replace("{@dep_map}", "{@refreshed_map}")
+
+
+def _refreshed(spark, d):
+    docs = H.dom(webs.department_lists(spark, d)), H.dom(webs.department_cards(spark, d))
+    return derived(spark, d, "{@contacts}"), derived(spark, d, "{@dep_map}"), *docs, SITE
+
+
+@query("q7_refreshed_map", "SELECT dep_id, nombre FROM {@refreshed_map}")
+def q7_pages(spark, d):
+    """The map after list names, names of single pages and generated ones."""
+    return curate.refreshed_map(*_refreshed(spark, d))
+
+
+@query("q7_curate_and_refresh", "SELECT * FROM {@curated_refreshed} ORDER BY departamento, profesor NULLS LAST, email")
+def q7_whole(spark, d):
+    """One pipeline: the map is brought up to date from pages, stored, and used."""
+    return curate.curate_and_refresh(*_refreshed(spark, d), scratch(spark))
+
+
 _FIG = "SELECT 'summary' AS section, '{0}' AS item, CAST({1} AS DOUBLE) AS value FROM {{@curated}}"
 _GLUED = "regexp_matches(email, '\\.(ficha|basic|alvarado|anton)')"
 _FOREIGN = "NOT (split_part(email, '@', 2) = 'mail1.example.com' OR split_part(email, '@', 2) LIKE '%.mail1.example.com')"

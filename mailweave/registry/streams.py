@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import merge as M
 from ..session import cut_lineage
 from ..streaming import first_seen, upsert
-from .core import derived, load, query
-from .tables import scratch
+from .core import derived, load, query, scratch
 
 
 def _split_log(spark, d, sql: str) -> tuple[list[str], object]:

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import siteprofile as sp
 from ..operators import extract as X
 from ..operators import merge as M
 from ..plans import crm, curate
-from ..session import ensure_checkpoint_dir
 from ..sources import sinks, tables
 from . import pipelines
-from .core import derived, load, query
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, on storage that all executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+from .core import derived, load, query, scratch
 
 
 _CLEAN_CSV = "SELECT departamento, profesor, email FROM {@final}"
