@@ -18,7 +18,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     """``doc_id, text, label, fold`` of at most ``rows`` documents per class, and all labelled rows by class.
 
     ``labels`` has ``doc_id`` and the column ``label`` (0 or 1; rows with nulls or anything else are left out, and of
-    rows with one id the larger label counts). The rows with the smallest seeded hashes are taken, each text once in a class; ``fold`` halves them.
+    rows with one id the larger label counts). The rows with the smallest seeded hashes are taken, each text once in a class, under its smallest id; ``fold`` halves them. The same tables give the same sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     parts = [known.where(F.col("label") == c).orderBy(mark, "doc_id").limit(rows) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select("doc_id", "label", F.pmod(mark, F.lit(2)).cast("int").alias("fold"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * rows rows
-    return written(sample.dropDuplicates(["label", "text"]), "sample"), sizes
+    once = sample.groupBy("label", "text").agg(F.min(F.struct("doc_id", "fold")).alias("row"))
+    return written(once.select("row.doc_id", "text", "label", "row.fold"), "sample"), sizes
 
 
 class Logistic:

@@ -16,7 +16,7 @@ from .components import connected_components, local_roots
 
 COSINE = 0.95
 SHARD_ROWS = 1500
-OVERLAP = 2
+OVERLAP, PROBES = 2, 4
 MOST_CLUSTERS = 4096
 SAMPLE = 20_000
 AUDIT = 1000
@@ -64,8 +64,8 @@ def _fit(classes: DataFrame, shard_rows: int) -> dict[int, tuple[int, np.ndarray
     return out
 
 
-def _placed(classes: DataFrame, centroids, overlap: int) -> DataFrame:
-    """``node, embedding, weight, clusters``: each vector's nearest clusters. A dimension that the sample lacks is a cluster of its own (negative)."""
+def _placed(classes: DataFrame, centroids, overlap: int, probes: int) -> DataFrame:
+    """``node, embedding, weight, clusters, probes``: the clusters that hold a vector, its nearest ones, and those it is searched in. A dimension that the sample lacks is a cluster of its own (negative)."""
 
     def run(batches):
         for batch in batches:
@@ -77,18 +77,18 @@ def _placed(classes: DataFrame, centroids, overlap: int) -> DataFrame:
                 unit = unit_rows([vectors[i] for i in rows])
                 if d in centroids.value:
                     first, c = centroids.value[d]
-                    n = min(overlap, len(c))
-                    near = first + np.sort(np.argpartition(-(unit @ c.T), n - 1, axis=1)[:, :n], axis=1)
+                    n = min(max(probes, overlap), len(c))
+                    cosine = unit @ c.T
+                    near = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
+                    near = first + np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
                 else:
                     near = np.full((len(rows), 1), -d)
                 some = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("node"), some.column("embedding"), some.column("weight"), pa.array(near.tolist(), pa.list_(pa.int32()))],
-                    names=["node", "embedding", "weight", "clusters"],
-                )
+                lists = [pa.array(np.sort(n, axis=1).tolist(), pa.list_(pa.int32())) for n in (near[:, :overlap], near)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("node", "embedding", "weight")), *lists], names=["node", "embedding", "weight", "clusters", "probes"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.select("node", "weight", "embedding").mapInArrow(run, f"node long, embedding {kind}, weight long, clusters array<int>")
+    return classes.select("node", "weight", "embedding").mapInArrow(run, f"node long, embedding {kind}, weight long, clusters array<int>, probes array<int>")
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,9 +117,9 @@ def _search(least: float):
         a, b = a[asked[a] != nodes[b]], b[asked[a] != nodes[b]]
         sure = np.einsum("ij,ij->i", q[a], x[b]) >= least
         a, b = a[sure], b[sure]
-        ours, theirs = np.stack(queries["clusters"].to_numpy())[a], np.stack(index["clusters"].to_numpy())[b]
+        ours, theirs = np.stack(queries["probes"].to_numpy())[a], np.stack(index["clusters"].to_numpy())[b]
         earlier = (ours[:, :, None] == theirs[:, None, :]) & (ours < key[0])[:, :, None]
-        count = ~earlier.any(axis=(1, 2))  # a pair counts in the first cluster that both are in
+        count = ~earlier.any(axis=(1, 2))  # a pair counts in the first cluster where the one is searched and the other is held
         links = np.bincount(a[count], index["weight"].to_numpy()[b[count]], len(asked)).astype("int64")
         points, where = np.unique(np.concatenate([asked, nodes]), return_inverse=True)
         root = points[local_roots(len(points), where[a], where[len(asked) + b])]
@@ -130,19 +130,34 @@ def _search(least: float):
     return run
 
 
-def _links(placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
-    """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each shard."""
-    spark = placed.sparkSession
-    each = placed.select("node", "embedding", "weight", "clusters", F.explode("clusters").alias("cluster"))
+def _in_blocks(placed: DataFrame, clusters: str, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each row once for each of its clusters, with a block of about ``shard_rows``; and the clusters' numbers of blocks."""
+    each = placed.withColumn("cluster", F.explode(clusters))
     sizes = each.groupBy("cluster").count().collect()  # a row for each cluster
-    blocks = spark.createDataFrame([(r[0], max(1, math.ceil(r[1] / shard_rows))) for r in sizes], "cluster int, blocks int")
-    members = each.join(F.broadcast(blocks), "cluster").withColumn("block", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int"))
+    blocks = placed.sparkSession.createDataFrame([(r[0], max(1, math.ceil(r[1] / shard_rows))) for r in sizes], "cluster int, blocks int")
+    blocks = F.broadcast(blocks)
+    return each.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int")).drop("blocks"), blocks
+
+
+def _graph(placed: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every vector in its clusters' blocks with its united adjacency list, written; and the clusters' numbers of blocks."""
+    members, blocks = _in_blocks(placed.select("node", "embedding", "weight", "clusters"), "clusters", shard_rows)
     members = written(members, "members")
     edges = members.select("cluster", "block", "node", "embedding").groupBy("cluster", "block").applyInPandas(_build, "node long, neighbours array<long>")
     union = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    index = members.join(union, "node").select("cluster", F.col("block").alias("i"), every.alias("q"), "node", "embedding", "weight", "clusters", "neighbours")
-    asked = members.select(F.col("cluster").alias("c"), every.alias("ci"), F.col("block").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "clusters")))
+    return written(members.join(union, "node"), "graph"), blocks
+
+
+def _links(graph: DataFrame, held: DataFrame, placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
+    """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each block."""
+    queries, asking = _in_blocks(placed.select("node", "embedding", "probes"), "probes", shard_rows)
+
+    def against(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        return rows.join(others, "cluster").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    index = against(graph.withColumnRenamed("block", "i"), asking, "q")
+    asked = against(queries.withColumnRenamed("block", "q"), held, "i")
+    asked = asked.select(F.col("cluster").alias("c"), F.col("i").alias("ci"), F.col("q").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "probes")))
     return index.groupBy("cluster", "i", "q").cogroup(asked.groupBy("c", "ci", "cq")).applyInPandas(_search(least), "node long, links long, root long")
 
 
@@ -171,15 +186,15 @@ def _recall(placed: DataFrame, found: DataFrame, least: float) -> float:
     return sum(min(ours.get(n, 0), t) for n, t in there.items()) / total if total else 1.0
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept, audited_recall`` for each row of ``vectors`` (``vec_id, embedding``).
 
-    Equal vectors are one point with a weight. Points go to their nearest clusters (centroids from a bounded sample, every point
-    is indexed); a cluster beyond ``shard_rows`` is split into blocks by hash. Each block gets a graph; the
+    Equal vectors are one point with a weight. Points go to their ``overlap`` nearest clusters (centroids from a bounded sample, every
+    point is indexed); a cluster beyond ``shard_rows`` is split into blocks by hash. Each block gets a graph; the
     adjacency lists that a point has in its shards are united. Every point is then searched in every block of its
-    clusters, block of queries by block of index, so no task holds more than two blocks: greedy from medoids, then on from
+    ``probes`` nearest clusters, block of queries by block of index, so no task holds more than two blocks: greedy from medoids, then on from
     all neighbours in range. Cosines are taken in double precision. Tasks give counts and forests, never lists of pairs.
-    The recall is audited by brute force; below ``recall`` the overlap is doubled, until every cluster is searched.
+    The recall is audited by brute force; below ``recall`` the probes are doubled, until every cluster is searched.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; nor do vectors of different
     lengths. Where vec_ids repeat, each row counts; a null vec_id names no component unless it is alone. An empty
@@ -194,13 +209,16 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows
     fit = _fit(classes, shard_rows)
     centroids = spark.sparkContext.broadcast(fit)  # at most MOST_CLUSTERS rows
     most = max((len(c) for _, c in fit.values()), default=1)
+    graph = held = None
     while True:
-        placed = written(_placed(classes, centroids, overlap), "placed")
-        found = written(_links(placed, least, shard_rows), "links")
+        placed = written(_placed(classes, centroids, overlap, probes), "placed")
+        if graph is None:
+            graph, held = _graph(placed, shard_rows)
+        found = written(_links(graph, held, placed, least, shard_rows), "links")
         reached = _recall(placed, found, least)
-        if reached >= recall or overlap >= most:
+        if reached >= recall or probes >= most:
             break
-        overlap *= 2
+        probes *= 2
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     points = classes.select("node", "low", "weight").join(links, "node", "left").join(roots, "node", "left")

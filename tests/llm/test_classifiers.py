@@ -68,3 +68,10 @@ def test_class_models_share_backoff():
     assert abs(m["kkkk"]) < abs(m["zqq"]) + 5
     spread = sum(m._lower(ch) for ch in "abcqz$") + (256 - 6) * m._lower("~")
     assert spread == pytest.approx(1, abs=1e-9)  # a distribution over 256 letters
+
+
+def test_models_are_repeatable(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for train, score in ((train_quality, quality_scores), (train_toxicity, toxicity_scores)):
+        one, two = ({r.doc_id: r.score for r in score(docs, train(d, labels)).collect()} for d in (docs, docs.repartition(5)))
+        assert one == pytest.approx(two, abs=1e-9)
