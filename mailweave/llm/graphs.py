@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .components import local_roots
+
 DEGREE = 20
 BEAM = 32
 ALPHA = 1.2
@@ -42,8 +44,8 @@ class _Walk:
         return np.einsum("ij,ij->i", self.q[rows], self.x[nodes])
 
 
-def greedy(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int = BEAM, least: float = np.inf):
-    """Greedy search of all queries at once from the ``entry`` points.
+def greedy(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int = BEAM, least: float = np.inf, hints=None):
+    """Greedy search of all queries at once from the ``entry`` points, and from ``hints``: (query, node) pairs.
 
     Returned: each query's best nodes (-1: none), the (query, node) pairs met with a cosine of ``least`` or more, and what was seen.
     """
@@ -52,7 +54,10 @@ def greedy(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, bea
     cos = np.full((len(q), beam), -np.inf)
     unread = np.zeros((len(q), beam), bool)
     met = []
-    rows, nodes = walk.fresh(np.repeat(np.arange(len(q)), len(entry)), np.tile(entry, len(q)))
+    rows, nodes = np.repeat(np.arange(len(q)), len(entry)), np.tile(entry, len(q))
+    if hints is not None:
+        rows, nodes = np.concatenate([rows, hints[0]]), np.concatenate([nodes, hints[1]])
+    rows, nodes = walk.fresh(rows, nodes)
     while True:
         if len(rows):  # sorted by query
             value = walk.cosines(rows, nodes)
@@ -72,18 +77,15 @@ def greedy(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, bea
         rows, nodes = walk.fresh(np.repeat(rows, adj.shape[1]), adj[ids[rows, first]].ravel())
 
 
-def in_range(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, least: float, own: np.ndarray | None = None, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def in_range(x: np.ndarray, adj: np.ndarray, q: np.ndarray, entry: np.ndarray, least: float, hints=None, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Range-expanding search: (query, node) pairs with cosine of ``least`` or more.
 
-    After the greedy search, neighbours of every node in range are looked at until no new one is in range. ``own``: the
-    query's own place in this shard (-1: elsewhere), one more point in range to expand from.
+    After the greedy search, neighbours of every node in range are looked at until no new one is in range. ``hints``:
+    (query, node) pairs to start from as well, such as a query's own place and its neighbours elsewhere; -1 is no node.
     """
-    _, met, walk = greedy(x, adj, q, entry, beam, least)
+    _, met, walk = greedy(x, adj, q, entry, beam, least, hints)
     found = np.zeros_like(walk.seen)
     found[met] = True
-    if own is not None:
-        here = np.flatnonzero(own >= 0)
-        walk.seen[here, own[here]] = found[here, own[here]] = True
     rows, nodes = np.nonzero(found)
     while len(rows):
         grown = []
@@ -123,11 +125,12 @@ def _pruned(x: np.ndarray, points: np.ndarray, pool: np.ndarray, alpha: float, d
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, batch: int = 512) -> np.ndarray:
+def build(x: np.ndarray, least: float | None = None, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, batch: int = 512) -> np.ndarray:
     """Adjacency (``len(x)`` x ``degree``, -1: none): points come in doubling batches, then all once more with ``alpha``.
 
     A point's candidates are what a greedy search from the medoid meets; robust pruning picks among them. Chosen
-    neighbours get the link back, and are pruned again with it.
+    neighbours get the link back, and are pruned again with it. At the end every point can be met from the medoid and,
+    with ``least``, from all points that links of that cosine join it to.
     """
     n = len(x)
     adj = np.full((n, degree), -1)
@@ -168,4 +171,45 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
         for i in range(0, len(full), batch):
             some = full[i : i + batch]
             adj[hubs[some]] = _pruned(x, hubs[some], pool[some], a, degree)
-    return adj
+    if least is not None:
+        close = np.einsum("nd,nkd->nk", x, x[np.maximum(adj, 0)]) >= least
+        inside = np.where(close & (adj >= 0), adj, -1)
+        line, place = np.nonzero(inside >= 0)
+        group = local_roots(n, line, inside[line, place])
+        busy = np.bincount(inside[line, place], minlength=n)
+        by = np.lexsort((-busy, group))  # of each group the point with the most links
+        first = by[np.concatenate([[True], group[by][1:] != group[by][:-1]])]
+        adj = _widened(adj, _missing(x, inside, first))
+    return _widened(adj, _missing(x, adj, entry))
+
+
+def _missing(x: np.ndarray, adj: np.ndarray, entry: np.ndarray, among: int = 8) -> dict[int, list[int]]:
+    """Links to add, so that walks from ``entry`` meet every point: pruning may drop all links to one, most of all in a tight group.
+
+    Each point that is not met gets a link from one of its ``among`` nearest points that are met, the one with the fewest such
+    links, so lists grow by few.
+    """
+    met = np.zeros(len(x), bool)
+    met[entry] = True
+    front = entry
+    while len(front):
+        front = np.unique(adj[front])
+        front = front[front >= 0]
+        front = front[~met[front]]
+        met[front] = True
+    lost, there = np.flatnonzero(~met), np.flatnonzero(met)
+    extra: dict[int, list[int]] = {}
+    for start in range(0, len(lost), 512):
+        some = lost[start : start + 512]
+        cosine = x[some] @ x[there].T
+        near = there[np.argpartition(-cosine, min(among, len(there)) - 1, axis=1)[:, :among]]
+        for point, hosts in zip(some.tolist(), near.tolist()):
+            extra.setdefault(min(hosts, key=lambda h: len(extra.get(h, ()))), []).append(point)
+    return extra
+
+
+def _widened(adj: np.ndarray, extra: dict[int, list[int]]) -> np.ndarray:
+    more = np.full((len(adj), max(map(len, extra.values()), default=0)), -1)
+    for host, points in extra.items():
+        more[host, : len(points)] = points
+    return np.concatenate([adj, more], axis=1)

@@ -16,12 +16,12 @@ from .components import connected_components, local_roots
 
 COSINE = 0.95
 SHARD_ROWS = 1500
-OVERLAP, PROBES = 2, 4
+OVERLAP, PROBES = 2, 3
 MOST_CLUSTERS = 4096
 SAMPLE = 20_000
 AUDIT = 1000
 RECALL = 0.97
-ENTRIES = 4
+ENTRIES = 24
 
 
 def usable(v: Column) -> Column:
@@ -91,10 +91,13 @@ def _placed(classes: DataFrame, centroids, overlap: int, probes: int) -> DataFra
     return classes.select("node", "weight", "embedding").mapInArrow(run, f"node long, embedding {kind}, weight long, clusters array<int>, probes array<int>")
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    adj = graphs.build(unit_rows(np.stack(pdf["embedding"].to_numpy())))
-    node = pdf["node"].to_numpy()
-    return pd.DataFrame({"node": node, "neighbours": [node[a[a >= 0]] for a in adj]})
+def _build(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        adj = graphs.build(unit_rows(np.stack(pdf["embedding"].to_numpy())), least)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"node": node, "neighbours": [node[a[a >= 0]] for a in adj]})
+
+    return run
 
 
 def _search(least: float):
@@ -113,7 +116,9 @@ def _search(least: float):
         line = np.repeat(np.arange(len(nodes)), size)
         adj[line, np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)] = place(np.concatenate(index["neighbours"].to_list()).astype("int64"))
         x, q = (unit_rows(np.stack(p["embedding"].to_numpy())) for p in (index, queries))
-        a, b = graphs.in_range(x, adj, q, graphs.medoids(x, ENTRIES), least, place(asked))
+        known = [len(n) for n in queries["neighbours"]]
+        hints = np.concatenate([np.arange(len(asked)), np.repeat(np.arange(len(asked)), known)]), place(np.concatenate([asked, *queries["neighbours"]]).astype("int64"))
+        a, b = graphs.in_range(x, adj, q, graphs.medoids(x, ENTRIES), least, hints)
         a, b = a[asked[a] != nodes[b]], b[asked[a] != nodes[b]]
         sure = np.einsum("ij,ij->i", q[a], x[b]) >= least
         a, b = a[sure], b[sure]
@@ -139,25 +144,29 @@ def _in_blocks(placed: DataFrame, clusters: str, shard_rows: int) -> tuple[DataF
     return each.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int")).drop("blocks"), blocks
 
 
-def _graph(placed: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Every vector in its clusters' blocks with its united adjacency list, written; and the clusters' numbers of blocks."""
+def _graph(placed: DataFrame, least: float, shard_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every vector in its clusters' blocks with its united adjacency list, written; the lists alone; and the clusters' numbers of blocks."""
     members, blocks = _in_blocks(placed.select("node", "embedding", "weight", "clusters"), "clusters", shard_rows)
     members = written(members, "members")
-    edges = members.select("cluster", "block", "node", "embedding").groupBy("cluster", "block").applyInPandas(_build, "node long, neighbours array<long>")
+    edges = members.select("cluster", "block", "node", "embedding").groupBy("cluster", "block").applyInPandas(_build(least), "node long, neighbours array<long>")
     union = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    return written(members.join(union, "node"), "graph"), blocks
+    union = written(union, "adjacency")
+    return written(members.join(union, "node"), "graph"), union, blocks
 
 
-def _links(graph: DataFrame, held: DataFrame, placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
-    """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each block."""
-    queries, asking = _in_blocks(placed.select("node", "embedding", "probes"), "probes", shard_rows)
+def _links(graph: DataFrame, union: DataFrame, held: DataFrame, placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
+    """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each block.
+
+    A query brings its neighbours: those that another block holds are where its search there begins, besides the medoids.
+    """
+    queries, asking = _in_blocks(placed.select("node", "embedding", "probes").join(union, "node"), "probes", shard_rows)
 
     def against(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
         return rows.join(others, "cluster").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     index = against(graph.withColumnRenamed("block", "i"), asking, "q")
     asked = against(queries.withColumnRenamed("block", "q"), held, "i")
-    asked = asked.select(F.col("cluster").alias("c"), F.col("i").alias("ci"), F.col("q").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "probes")))
+    asked = asked.select(F.col("cluster").alias("c"), F.col("i").alias("ci"), F.col("q").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "probes", "neighbours")))
     return index.groupBy("cluster", "i", "q").cogroup(asked.groupBy("c", "ci", "cq")).applyInPandas(_search(least), "node long, links long, root long")
 
 
@@ -209,12 +218,12 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows
     fit = _fit(classes, shard_rows)
     centroids = spark.sparkContext.broadcast(fit)  # at most MOST_CLUSTERS rows
     most = max((len(c) for _, c in fit.values()), default=1)
-    graph = held = None
+    graph = union = held = None
     while True:
         placed = written(_placed(classes, centroids, overlap, probes), "placed")
         if graph is None:
-            graph, held = _graph(placed, shard_rows)
-        found = written(_links(graph, held, placed, least, shard_rows), "links")
+            graph, union, held = _graph(placed, least, shard_rows)
+        found = written(_links(graph, union, held, placed, least, shard_rows), "links")
         reached = _recall(placed, found, least)
         if reached >= recall or probes >= most:
             break

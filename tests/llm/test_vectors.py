@@ -57,9 +57,9 @@ def test_graph_reaches_what_brute_force_finds():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(300, 24)), rng.normal(size=24) + rng.normal(size=(150, 24)) * 0.1])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    adj = graphs.build(x)
+    adj = graphs.build(x, 0.95)
     assert ((adj >= 0).sum(axis=1) > 0).all() and (adj < len(x)).all()
-    a, b = graphs.in_range(x, adj, x, graphs.medoids(x, 4), 0.95, np.arange(len(x)))
+    a, b = graphs.in_range(x, adj, x, graphs.medoids(x, 4), 0.95, (np.arange(len(x)), np.arange(len(x))))
     near = x @ x.T >= 0.95
     assert near[a, b].all() and len(a) >= 0.98 * near.sum()
     assert len(graphs.build(x[:1])) == 1
