@@ -15,6 +15,8 @@ from .tokens import default_path, drop_caches, word_cache
 BACKOFF = 0.4
 BUCKETS = 16
 GROUP_BYTES = 16 << 20
+#: Words and parts that a worker keeps here, where joins follow that need memory too.
+CACHES = 100_000, 300_000
 #: Bytes of token ids taken at a time, two for each token.
 SLICE = 1 << 20
 #: Bigrams that a task counts before it hands them on, and those looked up at a time.
@@ -39,13 +41,14 @@ def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        cache, row = word_cache(tokenizer), TaskContext.get().partitionId() << 33
+        cache, row = word_cache(tokenizer, *CACHES), TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows in slices(batch):
                 ids = [np.frombuffer(cache.ids(t), "<u4").astype("<u2").tobytes() for t in texts(rows)]
                 numbers = pa.array(np.arange(row, row + len(ids)))
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([numbers, rows.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+        drop_caches()  # an idle worker keeps its memory, and later stages need it
 
     return written(plain(docs, "doc_id", "text").mapInArrow(run, "row long, doc_id long, ids binary"), "tokens")
 

@@ -10,7 +10,7 @@ import numpy as np
 CACHE_WORDS, CACHE_PARTS = 250_000, 700_000
 #: ASCII signs that the splitter keeps apart from letters; the apostrophe begins endings such as 's
 _SIGNS = "".join(map(chr, (*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127))))
-_LOADED: dict[str, "WordCache"] = {}
+_LOADED: dict[tuple, "WordCache"] = {}
 
 
 class WordCache(dict):
@@ -22,7 +22,8 @@ class WordCache(dict):
     to the tokenizer. The caches are emptied when full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS):
+        self.most_words, self.most_parts = words, parts
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,18 +62,19 @@ class WordCache(dict):
         return code
 
     def ids(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most_words:
             self.clear()
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.parts) > self.most_parts:
             self.parts.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def word_cache(path: str) -> WordCache:
-    """One per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordCache(path)
-    return _LOADED[path]
+def word_cache(path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS) -> WordCache:
+    """One per Python worker, file and size."""
+    key = path, words, parts
+    if key not in _LOADED:
+        _LOADED[key] = WordCache(*key)
+    return _LOADED[key]
 
 
 def drop_caches() -> None:
