@@ -21,6 +21,8 @@ MOST_CLUSTERS = 4096
 SAMPLE = 20_000
 AUDIT = 1000
 RECALL = 0.97
+FEW = 64
+FEW_LINKED = 8
 ENTRIES = 24
 
 
@@ -103,7 +105,7 @@ def _build(least: float):
 def _search(least: float):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
-            return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({c: pd.Series([], dtype="int64" if c in ("node", "links", "root", "cluster") else object) for c in ("node", "links", "root", "cluster", "shared", "others", "weights")})
         nodes, asked = index["node"].to_numpy(), queries["node"].to_numpy()
         by = np.argsort(nodes)
 
@@ -123,14 +125,27 @@ def _search(least: float):
         sure = np.einsum("ij,ij->i", q[a], x[b]) >= least
         a, b = a[sure], b[sure]
         ours, theirs = np.stack(queries["probes"].to_numpy())[a], np.stack(index["clusters"].to_numpy())[b]
-        earlier = (ours[:, :, None] == theirs[:, None, :]) & (ours < key[0])[:, :, None]
-        count = ~earlier.any(axis=(1, 2))  # a pair counts in the first cluster where the one is searched and the other is held
-        links = np.bincount(a[count], index["weight"].to_numpy()[b[count]], len(asked)).astype("int64")
+        meet = (ours[:, :, None] == theirs[:, None, :]).any(axis=1)  # the clusters that hold the one and are searched for the other
+        weight = index["weight"].to_numpy()
+        alone = meet.sum(axis=1) == 1
+        links = np.bincount(a[alone], weight[b[alone]], len(asked)).astype("int64")
         points, where = np.unique(np.concatenate([asked, nodes]), return_inverse=True)
         root = points[local_roots(len(points), where[a], where[len(asked) + b])]
         total = np.bincount(where[: len(asked)], links, len(points)).astype("int64")
         keep = (root != points) | (total > 0)
-        return pd.DataFrame({"node": points[keep], "links": total[keep], "root": root[keep]})
+        none = pd.Series([[]] * keep.sum(), dtype=object)
+        out = pd.DataFrame({"node": points[keep], "links": total[keep], "root": root[keep], "cluster": key[0], "shared": none, "others": none, "weights": none})
+        a, b, meet = a[~alone], b[~alone], np.where(meet, theirs, -1)[~alone]
+        if not len(a):
+            return out
+        kinds, kind = np.unique(np.column_stack([a, meet]), axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        order = np.argsort(kind, kind="stable")
+        parts = np.split(b[order], np.cumsum(np.bincount(kind))[:-1])
+        who = asked[kinds[:, 0]]
+        listed = [p if len(p) <= FEW else p[:0] for p in parts]
+        more = pd.DataFrame({"node": who, "links": [int(weight[p].sum()) for p in parts], "root": who, "cluster": key[0], "shared": [k[k >= 0] for k in kinds[:, 1:]], "others": [nodes[p] for p in listed], "weights": [weight[p] for p in listed]})
+        return pd.concat([out, more]) if len(out) else more
 
     return run
 
@@ -155,7 +170,8 @@ def _graph(placed: DataFrame, least: float, shard_rows: int) -> tuple[DataFrame,
 
 
 def _links(graph: DataFrame, union: DataFrame, held: DataFrame, placed: DataFrame, least: float, shard_rows: int) -> DataFrame:
-    """``node, links, root`` rows: links counted once for each pair, and a forest of the links found in each block.
+    """``node, links, root`` rows and a forest of the links found in each block: links that one cluster alone can find, and the others
+    by ``cluster`` and the clusters they are ``shared`` by, with the points themselves where a block has no more than ``FEW`` of them.
 
     A query brings its neighbours: those that another block holds are where its search there begins, besides the medoids.
     """
@@ -167,11 +183,31 @@ def _links(graph: DataFrame, union: DataFrame, held: DataFrame, placed: DataFram
     index = against(graph.withColumnRenamed("block", "i"), asking, "q")
     asked = against(queries.withColumnRenamed("block", "q"), held, "i")
     asked = asked.select(F.col("cluster").alias("c"), F.col("i").alias("ci"), F.col("q").alias("cq"), *(F.col(n).alias(n) for n in ("node", "embedding", "probes", "neighbours")))
-    return index.groupBy("cluster", "i", "q").cogroup(asked.groupBy("c", "ci", "cq")).applyInPandas(_search(least), "node long, links long, root long")
+    return index.groupBy("cluster", "i", "q").cogroup(asked.groupBy("c", "ci", "cq")).applyInPandas(_search(least), "node long, links long, root long, cluster long, shared array<long>, others array<long>, weights array<long>")
 
 
-def _recall(placed: DataFrame, found: DataFrame, least: float) -> float:
-    """Links found over links there are, for the ``AUDIT`` vectors with the smallest hashes, by brute force against all."""
+def _counted(found: DataFrame) -> DataFrame:
+    """``node, links``: each pair once, whichever of its shared clusters found it. Lists are united; where a block found too many to list, at least the largest cluster's count holds."""
+    alone = found.where("size(shared) = 0").select("node", "links")
+    listed = F.flatten(F.collect_list(F.arrays_zip("others", "weights")))
+    shared = found.where("size(shared) > 0").groupBy("node", "shared", "cluster").agg(F.sum("links").alias("links"), listed.alias("pairs"))
+    shared = shared.groupBy("node", "shared").agg(F.max("links").alias("links"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    united = F.aggregate("pairs", F.lit(0).cast("long"), lambda n, p: n + p["weights"])
+    return alone.union(shared.select("node", F.greatest("links", united))).groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def least_recall(counts: list[tuple[int, int, int]]) -> float:
+    """The least of: links found over links there are; its mean over points with links; and over those linked with at most ``FEW_LINKED`` points. ``(found, there, points)`` for each."""
+    linked = [(min(ours, there) / there, points) for ours, there, points in counts if there]
+    few = [r for r, points in linked if points <= FEW_LINKED]
+    if not linked:
+        return 1.0
+    whole = sum(min(ours, there) for ours, there, _ in counts) / sum(there for _, there, _ in counts)
+    return min(whole, sum(r for r, _ in linked) / len(linked), sum(few) / len(few) if few else 1.0)
+
+
+def _recall(placed: DataFrame, links: DataFrame, least: float) -> float:
+    """:func:`least_recall` of the ``AUDIT`` vectors with the smallest hashes, by brute force against all."""
     asked = placed.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDIT).select("node", "embedding").collect()
     held = placed.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in asked])
 
@@ -186,13 +222,12 @@ def _recall(placed: DataFrame, found: DataFrame, least: float) -> float:
                 rows = [i for i, v in enumerate(vectors) if len(v) == d]
                 if rows:
                     near = (unit_rows([vectors[i] for i in rows]) @ q.T >= least) & (np.array([node[i] for i in rows])[:, None] != ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * np.array([weight[i] for i in rows])[:, None]).sum(axis=0))], names=["node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * np.array([weight[i] for i in rows])[:, None]).sum(axis=0)), pa.array(near.sum(axis=0))], names=["node", "n", "points"])
 
-    there = {r[0]: r[1] for r in placed.select("node", "embedding", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n")).collect()}
+    there = {r[0]: r[1:] for r in placed.select("node", "embedding", "weight").mapInArrow(run, "node long, n long, points long").groupBy("node").agg(F.sum("n"), F.sum("points")).collect()}
     ids = placed.sparkSession.createDataFrame([(n,) for n in there], "node long")
-    ours = {r[0]: r[1] for r in found.join(F.broadcast(ids), "node").groupBy("node").agg(F.sum("links")).collect()} if there else {}
-    total = sum(there.values())
-    return sum(min(ours.get(n, 0), t) for n, t in there.items()) / total if total else 1.0
+    ours = {r[0]: r[1] for r in links.join(F.broadcast(ids), "node").select("node", "links").collect()} if there else {}
+    return least_recall([(ours.get(n, 0), *t) for n, t in there.items()])
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
@@ -203,7 +238,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows
     adjacency lists that a point has in its shards are united. Every point is then searched in every block of its
     ``probes`` nearest clusters, block of queries by block of index, so no task holds more than two blocks: greedy from medoids, then on from
     all neighbours in range. Cosines are taken in double precision. Tasks give counts and forests, never lists of pairs.
-    The recall is audited by brute force; below ``recall`` the probes are doubled, until every cluster is searched.
+    The recall is audited by brute force, over links, over points and over points with few links; while the least of the three is below ``recall`` the probes are doubled, until every cluster is searched.
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; nor do vectors of different
     lengths. Where vec_ids repeat, each row counts; a null vec_id names no component unless it is alone. An empty
@@ -224,11 +259,11 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE, shard_rows
         if graph is None:
             graph, union, held = _graph(placed, least, shard_rows)
         found = written(_links(graph, union, held, placed, least, shard_rows), "links")
-        reached = _recall(placed, found, least)
+        links = written(_counted(found), "counted")
+        reached = _recall(placed, links, least)
         if reached >= recall or probes >= most:
             break
         probes *= 2
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     points = classes.select("node", "low", "weight").join(links, "node", "left").join(roots, "node", "left")
     points = points.select("node", "low", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

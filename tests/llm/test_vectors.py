@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from mailweave.llm import graphs
-from mailweave.llm.vectors import near_duplicate_vectors, op5_embeddings
+from mailweave.llm.vectors import _counted, least_recall, near_duplicate_vectors, op5_embeddings
 
 
 def brute(vectors, least=0.95):
@@ -65,6 +65,20 @@ def test_graph_reaches_what_brute_force_finds():
     assert len(graphs.build(x[:1])) == 1
 
 
+def test_a_hot_group_does_not_hide_lost_pairs():
+    hot, pairs = [(3000, 3000, 3000)] * 330, [(1, 1, 1)] * 60
+    assert least_recall(hot + pairs + [(0, 0, 0)] * 600) == 1
+    assert least_recall(hot + pairs[:40] + [(0, 1, 1)] * 20) == pytest.approx(40 / 60)
+    assert least_recall([(2900, 3000, 3000)] * 330 + pairs) == pytest.approx(sum([2900] * 330 + [1] * 60) / sum([3000] * 330 + [1] * 60))
+    assert least_recall([(0, 0, 0)]) == least_recall([]) == 1
+
+
+def test_pairs_count_whichever_cluster_found_them(spark):
+    schema = "node long, links long, root long, cluster long, shared array<long>, others array<long>, weights array<long>"
+    rows = [(1, 5, 1, 0, [], [], []), (1, 2, 1, 3, [3, 4], [7], [2]), (1, 4, 1, 4, [3, 4], [7, 8, 9], [2, 1, 1]), (2, 1, 2, 4, [3, 4], [8], [1]), (2, 1, 2, 3, [3, 4], [9], [1]), (5, 1, 5, 4, [3, 4], [6], [1])]
+    assert {tuple(r) for r in _counted(spark.createDataFrame(rows, schema)).collect()} == {(1, 9), (2, 2), (5, 1)}
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<double>")
     got = sorted(map(repr, (tuple(r)[:4] for r in near_duplicate_vectors(df).collect())))
