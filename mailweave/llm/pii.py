@@ -25,9 +25,15 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WIDE_DOMAIN = re.compile(r"[^\W_][\w-]*+(?:\.[^\W_][\w-]*+)*\.([^\W\d_]{2,}+)(?![\w-])")
 _LEAD = r"(?:\s*(?:no|nr|number|num|id)\b\.?)?[\s:#=.]{1,3}"
-_IBAN = re.compile(r"[\s:#=.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?:\s*(?i:no|nr|number|num|id)\b\.?)?[\s:#=.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of an IBAN by its country.
+_IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 "
+    "PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 _SSN = re.compile(_LEAD + r"((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])", re.I)
-_NUMBER = re.compile(_LEAD + r"([0-9](?:[ -]?[0-9]){5,16}+)(?![0-9])", re.I)
+_NUMBER = re.compile(_LEAD + r"([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _DOCUMENT = re.compile(_LEAD + r"([A-Z]{0,2}[0-9]{6,9}+)(?![A-Za-z0-9])", re.I)
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]++(?::[^\s@/?#]*+)?+(?=@)")
 _IP6 = re.compile(r"(?:[^\s@/?#\[\]]*+@)?+\[([0-9A-Fa-f:.]{2,45})\]")
@@ -41,8 +47,7 @@ def _anchors() -> ahocorasick.Automaton:
     for mark in ("@", "://", *"0123456789", *(f"+{d}" for d in range(10))):
         found.add_word(mark, (mark[0], len(mark)))
     for cue in CUES:
-        for spelled in (cue, cue.upper(), cue.capitalize(), cue.title()):
-            found.add_word(spelled, (cue, len(spelled)))
+        found.add_word(cue, (cue, len(cue)))
     found.make_automaton()
     return found
 
@@ -60,9 +65,22 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     m = _IBAN.match(text, at)
     if not m:
         return None
-    code = m[1].replace(" ", "")
-    value = int("".join(str(int(c, 36)) for c in code[4:] + code[:4]))
-    return m.span(1) if 15 <= len(code) <= 34 and value % 97 == 1 else None
+    start, stop = m.span(1)
+    length = _IBAN_LENGTHS.get(m[1][:2])
+    for end in range(stop, start, -1):  # at most 63: the longest first
+        if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+            continue
+        code = text[start:end].replace(" ", "")
+        if len(code) < 15:
+            return None
+        if length in (None, len(code)) and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return start, end
+    return None
+
+
+def _lowered(text: str) -> str:
+    """Lower case, character by character: a dotted capital I would become two."""
+    return text.replace("\u0130", "I").lower()
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -76,7 +94,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     more: list[Span] = []
     mail_end = ip_end = card_end = wide_end = 0
     run_end = -1
-    for last, (mark, length) in _anchors().iter(text):
+    for last, (mark, length) in _anchors().iter(_lowered(text)):
         at = last - length + 1
         if "0" <= mark <= "9" and len(mark) == 1:
             if at >= card_end and (m := _CARD.match(text, at)):

@@ -51,6 +51,21 @@ def test_anchors_add_spans():
     assert added("plain words, an account of 3 days, version 2.0.") == []
 
 
+def test_account_numbers_end_where_the_next_word_begins():
+    def added(text):
+        return [text[a:b] for k, a, b in find(text)[1] if k == "account"]
+
+    iban = "DE89370400440532013000"
+    for after in (" BIC COBADEFFXXX", " Thank you", " I", " 12345678901234567890", "", ". X"):
+        assert added(f"IBAN: {iban}{after}") == [iban]
+    assert added("IBAN GB82 WEST 1234 5698 7654 32 Please pay") == ["GB82 WEST 1234 5698 7654 32"]
+    assert added(f"IBAN no. {iban} x") == added(f"iBan Nr: {iban}") == added(f"\u0130 Iban {iban}") == [iban]
+    assert added("IBAN NO93 8601 1117 947 OK") == ["NO93 8601 1117 947"]
+    assert added(f"IBAN {iban}A") == added("IBAN DE89 3704 0044 0532 0130 01 BIC") == []
+    assert added("account 12345678 1234567890123") == ["12345678"]
+    assert added("aCCt 12345678") == ["12345678"] and added("account 123456789012345678") == []
+
+
 def test_long_texts_are_linear():
     began = time.process_time()
     for text in ("a" * 300_000, "1" * 300_000, "a." * 150_000 + "@", "+1" + " " * 200_000, "1." * 150_000, "@" * 200_000, "é" * 200_000 + "@", "x@" + "a-" * 100_000, "://" + "a" * 200_000, "account " * 30_000):
