@@ -11,7 +11,7 @@ from mailweave.llm.decontam import decontaminated
 from mailweave.llm.packing import harmonic_pack
 from mailweave.llm.pii import without_personal_data
 from mailweave.llm.quality import good_documents, open_labels, train_quality
-from mailweave.llm.simhash import one_of_each_group
+from mailweave.llm.simhash import one_row_of_each_group
 from mailweave.llm.tokens import default_path
 from mailweave.session import ship_package
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the smallest id."""
-    return one_of_each_group(docs)
+    """One row of each SimHash group, the smallest id."""
+    return one_row_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,14 +37,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = HASH_SEED) -> i
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) for each document."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """``doc_id`` (or another key), ``fp`` (the 64 bits as a signed long) for each document."""
 
     def run(rows):
         prints = np.array([fingerprint(t, shingle) for t in raw_texts(rows)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(prints)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([rows.column(key).cast(pa.int64()), pa.array(prints)], names=[key, "fp"])
 
-    return map_slices(plain(docs, "doc_id", "text"), run, "doc_id long, fp long")
+    return map_slices(plain(docs, key, "text"), run, f"{key} long, fp long")
 
 
 def _cell(fp: Column) -> Column:
@@ -128,6 +128,21 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
     return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.where("doc_id IS NULL"))
 
 
+def one_row_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each group, with all its columns: the smallest doc_id, nulls last, and of its rows the first by number.
+
+    Rows are numbered once and written, so repeated rows, other texts under a kept id and null ids are told apart.
+    """
+    numbered = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.monotonically_increasing_id().alias("row")), "numbered")
+    prints = written(fingerprints(numbered.select("row", F.col("record.text").alias("text")), shingle, "row"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    points = written(prints.join(numbered.select("row", F.col("record.doc_id").alias("doc_id")), "row").groupBy("fp").agg(first), "points")
+    roots = fingerprint_components(points.select("fp"), radius, tile)
+    points = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    kept = points.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select("record.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -47,6 +47,15 @@ def test_run_is_the_stages(spark, tmp_path):
     assert rows and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
+def test_near_duplicates_leave_one_row_of_each_group(spark):
+    same = "the same words in every copy of this text"
+    rows = [(2, same, 0), (2, same, 0), (1, same, 1), (1, same, 1), (1, "quite another text under a kept id", 2), (None, same, 3), (None, same, 3), (None, "a text that only null ids have", 4), (None, "a text that only null ids have", 4), (9, None, 5), (3, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    out = c.near_duplicates(spark, docs, SF)
+    assert out.schema == docs.schema
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, same, 1), (1, "quite another text under a kept id", 2), (None, "a text that only null ids have", 4), (3, "", 6)]))
+
+
 def test_odd_documents(spark):
     rows = [(1, None, "en", "s", None), (2, "", None, "s", 0), (2, "", None, "s", 0), (3, "mail me at a@b.co " * 50, "en", "s", 900)]
     before = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
