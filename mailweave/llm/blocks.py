@@ -14,7 +14,7 @@ NUMBERS = 7
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?/](?![a-zA-Z])[^>]*+>?+|<!(?=[a-zA-Z])[^>]*+>?+"
-    r"|<(?P<raw>script|style|template|noscript|textarea|iframe|object|svg|title)\b(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+(?:>|$).*?(?:</(?P=raw)\b[^>]*+(?:>|$)|$)"
+    r"|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>]|$)(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+(?:>|$).*?(?:</(?P=raw)(?=[\s/>]|$)[^>]*+(?:>|$)|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+)(?:>|$)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
@@ -24,6 +24,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: A start tag ends an open element of these kinds, up to the nearest of the boxes.
 _PEERS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+#: Elements without text of the page, left out with all they hold; what may hold HTML in an svg; and start tags that end an open svg.
+_DROPPED = frozenset("svg object template".split())
+_HTML_IN_SVG = frozenset("foreignobject desc".split())
+_ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -74,8 +78,15 @@ def blocks_of(page: str | None, paths: Paths, with_tags: bool = False) -> list[B
     stack: list[tuple[str, int, tuple]] = [("", 0, ())]
     opened: dict[str, int] = {}
     parts: list[str] = []
+    dropped: list[str] = []
+    held: dict[str, int] = {}
     linked = anchor = 0
 
+    def leave() -> str:
+        name = dropped.pop()
+        held[name] -= 1
+        return name
+
     def flush():
         nonlocal linked, anchor
         if parts:
@@ -94,11 +105,35 @@ def blocks_of(page: str | None, paths: Paths, with_tags: bool = False) -> list[B
 
     for m in _TOKEN.finditer(page or ""):
         if m["text"] is not None:
+            if dropped:
+                continue
             parts.append(m["text"])
             if anchor:
                 linked += len(m["text"])
         elif m["tag"]:
             tag = m["tag"].lower()
+            if dropped:
+                if m["end"]:
+                    if held.get(tag):
+                        while leave() != tag:
+                            pass
+                        continue
+                    if not (opened.get(tag) and held.get("svg", 0) == len(dropped)):
+                        continue
+                    while dropped:
+                        leave()
+                elif dropped[-1] == "svg" and tag in _ENDS_SVG:
+                    while dropped and dropped[-1] == "svg":
+                        leave()
+                    if dropped:
+                        continue
+            if (tag in _DROPPED or dropped and dropped[-1] == "svg" and tag in _HTML_IN_SVG) and not m["end"]:
+                if not (m["attrs"].endswith("/") and (tag == "svg" or tag in _HTML_IN_SVG)):
+                    dropped.append(tag)
+                    held[tag] = held.get(tag, 0) + 1
+                continue
+            if dropped or tag in _DROPPED:
+                continue
             if tag in _INLINE:
                 if tag == "a":
                     anchor = 0 if m["end"] else 1

@@ -33,6 +33,21 @@ def test_blocks():
     assert [b.linked for b in blocks_of("<li><a href=x>four</a></li><p>none", Paths())] == [4, 0]
 
 
+def test_dropped_elements_end_where_they_end():
+    assert blocks('<p>a <svg class="i"/> b</p><p>c</p>') == [("p", "a b"), ("p", "c")]
+    assert blocks("<title-card>x</title-card><object-list>y</object-list><style-guide>z</style-guide>") == [("title-card", "x"), ("object-list", "y"), ("style-guide", "z")]
+    for tag in ("svg", "object", "template"):
+        assert blocks(f"<p>a<{tag} x=1><g>no</g><{tag}>no</{tag}>no</{tag}>b</p>c</{tag}>d") == [("p", "ab"), ("", "cd")]
+    assert blocks("<div><svg><path d='M0'></div><p>in") == [("p", "in")]
+    assert blocks("<svg><text>no</text><p>in</p>") == [("p", "in")]
+    assert blocks("<svg><foreignObject><p>no</p></foreignObject><desc/>no</svg>in") == [("", "in")]
+    assert blocks("<object><p>no</p><svg/>no</object>in<title>no</title>") == [("", "in")]
+    began = time.process_time()
+    for page in ("<svg>" * 30_000 + "</object>" * 30_000, "<object><svg>" * 20_000 + "</object>" * 20_000, "<svg><p>" * 20_000):
+        blocks(page)
+    assert time.process_time() - began < 10
+
+
 def test_long_pages_are_linear():
     began = time.process_time()
     for page in ("<p>x" * 30_000, "<div>" * 30_000, "<a \"" * 30_000, "</p>" * 50_000, "<" * 100_000, "<!--" * 30_000, "<b>x" * 50_000, "<li><ul>" * 15_000, "<a b='" * 30_000):
