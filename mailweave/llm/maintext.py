@@ -18,6 +18,7 @@ SAMPLE_BYTES = 100_000
 VARIANTS = 4
 STEPS = 700
 PATHS = 20_000
+PROSE_WORDS = 10
 
 # fixed values: element and name of the boxes that training pages are rebuilt with
 MAIN_BOXES = "article|main|div.content|div.article-body|div.post|div.entry-content|section.story|div.main-content|div.post-body|article.post|div.text|div#content|main.article|div.page-content|section.article".split("|")
@@ -52,6 +53,16 @@ def labelled(blocks) -> list[bool] | None:
     return out
 
 
+def supposed(blocks) -> list[bool]:
+    """Where no element names the article: blocks that read like prose, outside links and boxes for anything else; if none does, the longest block outside of links."""
+    out = [not any(t in _OUTSIDE or _OUTSIDE & set(names) for t, names in b.tags) and 2 * b.linked < len(b.text) and len(b.text.split()) >= PROSE_WORDS for b in blocks]
+    if not any(out):
+        free = [i for i, b in enumerate(blocks) if 2 * b.linked < len(b.text)]
+        if free:
+            out[max(free, key=lambda i: len(blocks[i].text))] = True
+    return out
+
+
 def _rebuilt(rng: random.Random, good: list[str], other: list[str], paths: Paths):
     """A page with the same texts in other boxes: path numbers, texts, linked characters and labels."""
     rows = []
@@ -94,23 +105,28 @@ def _rebuilt(rng: random.Random, good: list[str], other: list[str], paths: Paths
 
 
 def train_labeller(pages: DataFrame, seed: int = 1) -> BiLstm | None:
-    """Learn from the ``SAMPLE_PAGES`` pages with the smallest hashes that are no longer than ``SAMPLE_BYTES`` and name their article.
+    """Learn from the ``SAMPLE_PAGES`` pages with the smallest hashes that are no longer than ``SAMPLE_BYTES``, first those that name their article.
 
     Their own elements give the labels. Each page is also rebuilt ``VARIANTS`` times with the same texts in other boxes, so that
-    the labeller meets sidebars, notices, forms and comments. None if no page can be learned from: then the elements alone decide.
+    the labeller meets sidebars, notices, forms and comments. Of pages that do not name their article, taken where there are too few
+    others, only the rebuilt ones are learned from: texts that read like prose are their articles. None if no page has text to learn from.
     """
     mark = F.xxhash64(F.lit(seed), "page_id", "html")
     usable = pages.where("html IS NOT NULL AND octet_length(html) <= {n}".format(n=SAMPLE_BYTES)).select("page_id", "html")
+    names_it = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
     rng, paths, ready, parts = random.Random(seed), Paths(), [], []
     from .blocks import Block
 
-    for _, page in usable.orderBy(mark).limit(SAMPLE_PAGES).collect():
+    for _, page in usable.orderBy(F.desc(names_it), mark).limit(SAMPLE_PAGES).collect():
         blocks = blocks_of(page, paths, with_tags=True)
         y = labelled(blocks)
         if y and any(y):
             ready.append((np.array([b.path for b in blocks]), numbers_of(blocks), np.array(y)))
+        else:
+            y = supposed(blocks)
+        if any(y):
             parts.append(([b.text for b, m in zip(blocks, y) if m], [b.text for b, m in zip(blocks, y) if not m] or ["menu"]))
-    if not ready:
+    if not parts:
         return None
     others = [t for _, o in parts for t in o]
     for good, other in parts:

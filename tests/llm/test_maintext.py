@@ -96,6 +96,30 @@ def test_pages_of_other_make(spark, model):
     assert right >= 54, right
 
 
+def test_pages_that_name_no_article(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect() if len(r.text.split()) > 60]
+    pages = [(i, "u", re.sub("<(/?)(?:article|main)", r'<\1div', p), want) for i, p, want in other_pages(texts)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    model = train_labeller(df)
+    assert model is not None
+    rows = {r.page_id: r.text for r in main_text(df, model).collect()}
+    menus = sum(html.unescape(re.search(r"<footer><p>(.*?)</p>", p)[1]) in rows[i] for i, _, p, _ in pages)
+    held = sum(len(set(want.split()) & set(rows[i].split())) > 0.8 * len(set(want.split())) for i, _, _, want in pages)
+    assert menus <= 6 and held >= 54, (menus, held)
+
+
+def test_pages_that_name_their_article_come_first(spark, monkeypatch):
+    from mailweave.llm import maintext
+
+    seen = []
+    monkeypatch.setattr(maintext, "blocks_of", lambda page, *a, **b: seen.append(page) or blocks_of(page, *a, **b))
+    monkeypatch.setattr(maintext.BiLstm, "train", lambda self, *a, **b: None)
+    named = [(i, f"<main><p>Article {i} has a few words.</p></main><nav>menu</nav>") for i in range(3)]
+    df = spark.createDataFrame(named + [(i, f"<p>page {i} of few words</p>") for i in range(3, 900)], "page_id long, html string")
+    assert train_labeller(df) is not None
+    assert sorted(seen[:3]) == sorted(p for _, p in named) and len(seen) == maintext.SAMPLE_PAGES
+
+
 def test_odd_rows(spark, model):
     pages = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (2, "u", "", "t"), (None, "u", "<article><p>Some words here.</p></article>", "t")], "page_id long, url string, html string, text string")
     for m in (model, train_labeller(pages.limit(0)), None):
