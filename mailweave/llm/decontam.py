@@ -17,13 +17,13 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 
 #: Words are runs of digits, letters a-z and everything beyond ASCII; A-Z are lower-cased.
-_FOLD = bytes(
+FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    return text.translate(FOLD).split()
 
 
 class TestSuffixes:
