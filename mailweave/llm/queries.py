@@ -6,6 +6,7 @@ from .ngrams import op7_lm_scores
 from .packing import op4_packing
 from .pii import op6_pii
 from .quality import op10_quality
+from .repeats import op11_repeats
 from .search import op13_ranked_search
 from .sharding import op3_sharding
 from .simhash import op8_simhash
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_repeats": op11_repeats,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -46,6 +48,16 @@ words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i
 items AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op11_repeats": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM d, unnest(range(0, n - 99)) AS t(i)),
+late AS (SELECT r, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, i) > 1),
+span AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS s FROM
+ (SELECT r, i, CAST(i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 100 AS INT) AS fresh FROM late)) GROUP BY r, s),
+gap AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM span),
+cut AS (SELECT r, sum(b - a) AS gone, count(*) AS spans, max(b) AS b, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS k FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(unhex(coalesce(k || substr(h, 2 * b + 1), h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)""",
     "op13_ranked_search": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
