@@ -1,5 +1,6 @@
 """The operators of this folder as queries, and the SQL that checks them where SQL can."""
 
+from .alignment import op12_alignment
 from .decontam import op9_decontamination
 from .maintext import op1_main_text
 from .ngrams import op7_lm_scores
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
     "op11_repeats": op11_repeats,
+    "op12_alignment": op12_alignment,
     "op13_ranked_search": op13_ranked_search,
 }
 
