@@ -22,16 +22,10 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     lms = np.flatnonzero(~large[1:] & large[:-1]) + 1
     if len(lms) < 2:
         return _induce(text, lms, large, symbols)
-    mark = np.zeros(n, bool)
-    mark[lms] = True
-    # by first symbol only: one induction then puts the substrings in order
-    rough = lms[np.argsort(text[lms], kind="stable")]
-    order = _induce(text, rough, large, symbols)
-    order = order[mark[order]]
-    names, most = _names(text, lms, order)
-    if most < len(lms):
-        order = lms[suffix_array(names, most)]
-    return _induce(text, order, large, symbols)
+    names = _induced_names(text, lms, large, symbols) if n > _WAVE * symbols else _packed_names(text, lms, large, symbols)
+    most = int(names.max()) + 1
+    order = suffix_array(names, most) if most < len(lms) else np.argsort(names)
+    return _induce(text, lms[order], large, symbols)
 
 
 def _larger(text: np.ndarray) -> np.ndarray:
@@ -45,23 +39,66 @@ def _larger(text: np.ndarray) -> np.ndarray:
     return step[following] > 0
 
 
-def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """The text of substring names: equal LMS substrings, next to each other in ``order``, share a name."""
-    size = np.zeros(len(text), np.int64)
-    size[lms[:-1]] = np.diff(lms) + 1  # to the next LMS place, itself included; the last one reaches the end
+def _induced_names(text: np.ndarray, lms: np.ndarray, large: np.ndarray, symbols: int) -> np.ndarray:
+    """Numbers of the LMS substrings in their order, equal for equal ones, sorted by one induction."""
+    mark = np.zeros(len(text), bool)
+    mark[lms] = True
+    order = _induce(text, lms[np.argsort(text[lms], kind="stable")], large, symbols)
+    order = order[mark[order]]
+    size = _sizes(lms, len(text))
     a, b = order[:-1], order[1:]
     same = (size[a] == size[b]) & (size[a] > 0)
-    depth = 0
-    left = np.flatnonzero(same)
+    depth, left = 0, np.flatnonzero(same)
     while len(left):
         differ = text[a[left] + depth] != text[b[left] + depth]
         same[left[differ]] = False
         depth += 1
         left = left[~differ & (size[a[left]] > depth)]
-    name = np.concatenate([[0], np.cumsum(~same)])
     of = np.zeros(len(text), np.int64)
-    of[order] = name
-    return of[lms], int(name[-1]) + 1
+    of[order] = np.concatenate([[0], np.cumsum(~same)])
+    return of[lms]
+
+
+def _sizes(lms: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the LMS substrings by place: to the next LMS place, itself included; 0 for the last, which has the end."""
+    size = np.zeros(n, np.int64)
+    size[lms[:-1]] = np.diff(lms) + 1
+    return size
+
+
+def _packed_names(text: np.ndarray, lms: np.ndarray, large: np.ndarray, symbols: int) -> np.ndarray:
+    """The same for many symbols: substrings are short then, and as many symbols as fit a number are sorted at once.
+
+    A small suffix follows a large one with the same symbol, so a substring never ends where an equal one goes on.
+    """
+    n = len(text)
+    typed = np.append(2 * text.astype(np.int64) + ~large + 1, 0)  # 0: the end
+    bits = int(2 * symbols + 1).bit_length()
+    step = max(1, 62 // bits)
+    stop = np.append(lms[1:] + 1, n + 1)
+    names = np.zeros(len(lms), np.int64)
+    left, depth = np.arange(len(lms)), 0
+    while len(left):
+        key = np.zeros(len(left), np.int64)
+        for i in range(step):
+            at = lms[left] + depth + i
+            key = (key << bits) + np.where(at < stop[left], typed[np.minimum(at, n)], 0)
+        order = np.lexsort((key, names[left]))
+        name, key = names[left][order], key[order]
+        first = np.ones(len(order), bool)  # of its earlier name
+        first[1:] = name[1:] != name[:-1]
+        new = first.copy()
+        new[1:] |= key[1:] != key[:-1]
+        # names are places in the order, so those refined later fit between their neighbours
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        base = np.flatnonzero(first)[np.cumsum(first) - 1]
+        names[left[order]] = name + start[group] - base
+        depth += step
+        tied = np.diff(np.append(start, len(order)))[group] > 1
+        rest = left[order[tied]]
+        left = rest[lms[rest] + depth < stop[rest]]
+    return np.unique(names, return_inverse=True)[1]
 
 
 def _induce(text: np.ndarray, lms: np.ndarray, large: np.ndarray, symbols: int) -> np.ndarray:
@@ -78,24 +115,27 @@ def _induce_by_bucket(text: np.ndarray, lms: np.ndarray, large: np.ndarray, symb
     ends = np.cumsum(sizes)
     heads = ends - sizes
     middle = heads + np.bincount(text[large], minlength=symbols)
-    sa = np.zeros(n, np.int64)
+    sa = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
     free = heads.copy()
+    # the left neighbour's kind, found at the entry itself; the whole text has none
+    left_large = np.append(False, large)
+    left_small = np.append(False, ~large)
+    left_key = np.append(text[:1], text)
 
     def place(entries, wanted, step):
-        left = entries[entries > 0] - 1
-        left = left[large[left] == wanted]
-        if not len(left):
+        right = entries[(left_large if wanted else left_small)[entries]]
+        if not len(right):
             return
-        key = text[left]
+        key = left_key[right]
         order = np.argsort(key, kind="stable")
-        key, left = key[order], left[order]
+        key = key[order]
         count = np.bincount(key, minlength=symbols)
-        rank = np.arange(len(key)) - (np.cumsum(count) - count)[key]
-        sa[free[key] + rank if step > 0 else free[key] - 1 - rank] = left
+        base = free - (np.cumsum(count) - count) if step > 0 else free - 1 + (np.cumsum(count) - count)
+        sa[base[key] + step * np.arange(len(key))] = right[order] - 1
         free[:] += step * count
 
     cut = np.concatenate([[0], np.cumsum(np.bincount(text[lms], minlength=symbols))])
-    place(np.array([n]), True, 1)
+    place(np.array([n], sa.dtype), True, 1)
     for c in np.flatnonzero(sizes):
         read = heads[c]
         while read < free[c]:
@@ -118,28 +158,30 @@ def _induce_by_entry(text: np.ndarray, lms: np.ndarray, large: np.ndarray, symbo
     ends = np.cumsum(sizes)
     heads = (ends - sizes).tolist()
     ends = ends.tolist()
-    chars, is_large, n = text.tolist(), large.tolist(), len(text)
-    sa = [0] * n  # 0: nothing yet, or the whole text, which has no left neighbour either way
+    n, text = len(text), text.astype(np.int64)
+    # the left neighbour's symbol, or -1 where it is not of the wanted kind
+    left_large = np.append(-1, np.where(large, text, -1)).tolist()
+    left_small = np.append(-1, np.where(large, -1, text)).tolist()
+    sa = [0] * (n + 1)  # 0: nothing yet, or the whole text, which has no left neighbour either way
     free = ends.copy()
-    for p in lms[::-1].tolist():
-        c = chars[p]
+    for p, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist()):
         free[c] -= 1
         sa[free[c]] = p
-    c = chars[n - 1]
+    c = left_large[n]
     sa[heads[c]] = n - 1
     heads[c] += 1
     for p in sa:  # grows under way: entries to the right are filled before they are reached
-        if p and is_large[p - 1]:
-            c = chars[p - 1]
+        c = left_large[p]
+        if c >= 0:
             sa[heads[c]] = p - 1
             heads[c] += 1
     for i in range(n - 1, -1, -1):
         p = sa[i]
-        if p and not is_large[p - 1]:
-            c = chars[p - 1]
+        c = left_small[p]
+        if c >= 0:
             ends[c] -= 1
             sa[ends[c]] = p - 1
-    return np.array(sa, np.int64)
+    return np.array(sa[:n], np.int64)
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int, fresh: np.ndarray) -> np.ndarray:

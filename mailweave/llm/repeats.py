@@ -23,15 +23,19 @@ PART_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 #: An anchor with more different pieces than this is dealt by whole windows instead
 HOT = 2_000
+#: Stands for null ids while the least one is sought
+_LATE = np.iinfo(np.int64).max
 #: No UTF-8 text holds this byte.
 _BETWEEN = 0xFF
 
 _ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Windows that are hashed at a time
+_BLOCK = 1 << 16
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 _LISTS = ("doc_id", "row", "doc_bytes", "start", "own", "bytes")
 _SLICES = f"slice long, {', '.join(f'{name} array<long>' for name in _LISTS)}, text binary"
-_DEALT = "key long, doc_id long, row long, start long, windows int, slice long, place int, at int, text binary"
+_DEALT = "key long, doc_id long, row long, start long, slice long, place int, at int, windows int, text binary"
 _GONE = "slice long, place int, at int, windows int"
 
 
@@ -65,51 +69,46 @@ class Pieces:
     """
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        self.length, n = length, len(text)
-        power, self.inverse = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
-        if n < length:
-            self.first = self.windows = np.zeros(0, np.int64)
-            self.gram = self.content = np.zeros(0, np.int64)
-            return
-        gram = min(gram, length)
-        hashed = self.hashes(np.arange(n - gram + 1), gram)
-        least = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64)
-        width, span = 1, length - gram + 1
-        while width < span:
-            step = min(width, span - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        n, gram = len(text), min(gram, length)
         inside = np.ones(n + 1, bool)  # windows that stay within their text
-        ends = np.cumsum(sizes)
-        for end, size in zip(ends.tolist(), sizes.tolist()):
+        for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
             inside[max(end - length + 1, end - size) : end] = False
-        inside = inside[: n - length + 1]
-        fresh = np.ones(len(anchor), bool)
-        fresh[1:] = anchor[1:] != anchor[:-1]
-        fresh[1:] |= inside[1:] != inside[:-1]
-        starts = np.flatnonzero(fresh)
-        stops = np.append(starts[1:], len(anchor))
-        kept = inside[starts]
-        self.first, self.windows = starts[kept], (stops - starts)[kept]
-        self.gram = hashed[anchor[self.first]].view(np.int64)
-        self.content = self.hashes(self.first, self.windows + length - 1).view(np.int64)
-
-    def hashes(self, at: np.ndarray, size) -> np.ndarray:
-        """Hashes of the substrings at the places ``at``."""
-        return _mixed((self.sums[at + size] - self.sums[at]) * self.inverse[at])
-
-
-def _parts(docs: DataFrame, length: int, part_bytes: int) -> DataFrame:
+        found = [_cut(text[at : at + _BLOCK + length - 1], inside[at : at + _BLOCK], at, length, gram) for at in range(0, n - length + 1, _BLOCK)]
+        none = [np.zeros(0, np.int64)] * 4
+        self.first, self.windows, self.gram, self.content = map(np.concatenate, zip(*(found or [none])))
+
+
+def _cut(text: np.ndarray, inside: np.ndarray, at: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Pieces of a block, small enough for the processor's cache: first windows, numbers of windows, hashes."""
+    power, inverse = _powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], out=sums[1:])
+    hashed = _mixed((sums[gram:] - sums[:-gram]) * inverse[: len(text) - gram + 1])
+    least = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64)
+    width, span = 1, length - gram + 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = inside[: len(anchor)]
+    fresh = np.ones(len(anchor), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
+    first = np.flatnonzero(fresh)
+    windows = np.diff(np.append(first, len(anchor)))
+    first, windows = first[inside[first]], windows[inside[first]]
+    content = _mixed((sums[first + windows + length - 1] - sums[first]) * inverse[first])
+    return first + at, windows, hashed[anchor[first]].view(np.int64), content.view(np.int64)
+
+
+def _parts(docs: DataFrame, length: int, part_bytes: int, slice_bytes: int) -> DataFrame:
     """The texts in slices, one compressed row each. A text goes in parts of ``part_bytes`` of its own, from its byte
     ``start`` on, with the ``length - 1`` bytes after them, so that each window lies whole in one part."""
     names = ["slice", *_LISTS, "text"]
 
     def packed(number: int, parts: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
         lists = [pa.array([c], pa.list_(pa.int64())) for c in zip(*parts)]
-        blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([blob], pa.binary())], names=names)
 
     def parts_of(batches) -> Iterator[tuple[tuple, bytes]]:
@@ -128,7 +127,7 @@ def _parts(docs: DataFrame, length: int, part_bytes: int) -> DataFrame:
             parts.append(part)
             texts.append(text)
             size += len(text)
-            if size >= SLICE_BYTES or len(parts) >= 20_000:
+            if size >= slice_bytes or len(parts) >= 20_000:
                 yield packed(number, parts, texts)
                 number, size, parts, texts = number + 1, 0, [], []
         if parts:
@@ -151,7 +150,8 @@ def _opened(table: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[dict[str, np.
 
 
 def _anchors(parts: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each anchor of a slice: its different pieces there and whether it stands there more than once."""
+    """One row for each anchor of a slice: how many different pieces it has there, whether it stands there more than
+    once, the piece's hash if there is one only, and the earliest document."""
 
     def run(batches):
         for batch in batches:
@@ -160,13 +160,12 @@ def _anchors(parts: DataFrame, length: int, gram: int) -> DataFrame:
                 found = Pieces(text, lists["bytes"], length, gram)
                 order = np.lexsort((found.content, found.gram))
                 key, content = found.gram[order], found.content[order]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                starts = np.flatnonzero(new)
-                other = new.copy()
-                other[1:] |= content[1:] != content[:-1]
+                starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                other = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])) if len(key) else np.zeros(0, bool)
                 n = np.add.reduceat(other.astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
                 again = np.diff(np.append(starts, len(key))) > 1
+                doc = np.where(lists["none"], _LATE, lists["doc_id"])[np.searchsorted(np.cumsum(lists["bytes"]), found.first[order], "right")]
+                doc = np.minimum.reduceat(doc, starts) if len(starts) else doc
                 for at in range(0, len(starts), 50_000):
                     some = slice(at, at + 50_000)
                     yield pa.RecordBatch.from_arrays(
@@ -175,25 +174,29 @@ def _anchors(parts: DataFrame, length: int, gram: int) -> DataFrame:
                             pa.array(np.full(len(starts[some]), batch.column("slice")[i].as_py())),
                             pa.array(n[some], pa.int32()),
                             pa.array(again[some]),
+                            pa.array(content[starts[some]], mask=n[some] > 1),
+                            pa.array(doc[some], mask=doc[some] == _LATE),
                         ],
-                        names=["gram", "slice", "n", "again"],
+                        names=["gram", "slice", "n", "again", "content", "doc_id"],
                     )
 
-    return parts.mapInArrow(run, "gram long, slice long, n int, again boolean")
+    return parts.mapInArrow(run, "gram long, slice long, n int, again boolean, content long, doc_id long")
 
 
 def _repeated(anchors: DataFrame, hot: int) -> DataFrame:
-    """The anchors that stand at two places or more, for each slice that holds them: ``slice, gram, hot``.
+    """The anchors that stand at two places or more, for each slice that holds them: ``slice, gram, kind``.
 
-    A slice has counted its own, so an anchor that is everywhere has one row for each slice here.
+    A slice has counted its own, so an anchor that is everywhere has one row for each slice here. An anchor that has
+    the same piece everywhere is decided: its first slice keeps it (``kind`` 1), the others have copies (0). Other
+    anchors go to a shard, by pieces (2) or, if there are more than ``hot``, by windows (3).
     """
     all_of = Window.partitionBy("gram")
-    return (
-        anchors.withColumn("total", F.sum("n").over(all_of))
-        .withColumn("more", F.count("*").over(all_of) + F.max(F.col("again").cast("int")).over(all_of))
-        .where("more > 1")
-        .select("slice", "gram", (F.col("total") > hot).alias("hot"))
-    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "slice")
+    one_piece = (F.max("n").over(all_of) == 1) & (F.min("content").over(all_of) == F.max("content").over(all_of))
+    mine = F.min(order).over(all_of)["slice"] == F.col("slice")
+    kind = F.when(one_piece, mine.cast("int")).otherwise(F.when(F.sum("n").over(all_of) > hot, 3).otherwise(2))
+    places = F.count("*").over(all_of) + F.max(F.col("again").cast("int")).over(all_of)
+    return anchors.withColumn("kind", kind).withColumn("places", places).where("places > 1").select("slice", "gram", "kind")
 
 
 def _first_of_each(order: np.ndarray, text: list[bytes]) -> np.ndarray:
@@ -212,41 +215,65 @@ def _deal(left: pa.Table, right: pa.Table, length: int, gram: int) -> pa.Table:
     shard; the windows of the others are repeats already. Pieces of hot anchors go as single windows."""
     lists, text = _opened(left)
     found = Pieces(text, lists["bytes"], length, gram)
-    wanted, is_hot = right.column("gram").to_numpy(), right.column("hot").to_numpy()
+    wanted, kinds = right.column("gram").to_numpy(), right.column("kind").to_numpy()
     order = np.argsort(wanted)
-    wanted, is_hot = wanted[order], is_hot[order]
+    wanted, kinds = wanted[order], kinds[order]
     at = np.minimum(np.searchsorted(wanted, found.gram), max(len(wanted) - 1, 0))
     chosen = np.flatnonzero(wanted[at] == found.gram) if len(wanted) else np.zeros(0, np.int64)
-    first, windows, key = found.first[chosen], found.windows[chosen], found.gram[chosen]
-    hot = is_hot[at[chosen]] if len(chosen) else np.zeros(0, bool)
+    kind = kinds[at[chosen]] if len(chosen) else np.zeros(0, np.int32)
+    first, windows, key, content = (x[chosen] for x in (found.first, found.windows, found.gram, found.content))
+    hot = kind == 3
+    single = np.repeat(first[hot] - np.cumsum(windows[hot]) + windows[hot], windows[hot]) + np.arange(windows[hot].sum())
+    data = text.tobytes()
+    by_bytes = [int.from_bytes(hashlib.blake2b(data[a : a + length], digest_size=8).digest(), "little", signed=True) for a in single.tolist()]
     # a hot anchor's pieces fall into windows, dealt by all their bytes
-    single = np.repeat(first[hot], windows[hot]) + np.concatenate([np.arange(w) for w in windows[hot]] or [np.zeros(0, np.int64)])
-    single_key = found.hashes(single, length).view(np.int64)
-    first = np.concatenate([first[~hot], single])
-    windows = np.concatenate([windows[~hot], np.ones(len(single), np.int64)])
-    key = np.concatenate([key[~hot], single_key])
+    first, windows = np.append(first[~hot], single), np.append(windows[~hot], np.ones(len(single), np.int64))
+    key, kind = np.append(key[~hot], np.array(by_bytes, np.int64)), np.append(kind[~hot], np.full(len(single), 2))
     ends = np.cumsum(lists["bytes"])
     place = np.searchsorted(ends, first, "right")
     offset = first - (ends - lists["bytes"])[place]
     start = lists["start"][place] + offset
-    data = text.tobytes()
-    cut = [data[a:b] for a, b in zip(first.tolist(), (first + windows + length - 1).tolist())]
     order = np.lexsort((start, lists["row"][place], lists["doc_id"][place], lists["none"][place]))
-    stays = _first_of_each(order, cut)
+    # in their order, the first piece of a decided anchor stays where its first slice is, that of others goes on
+    stays = np.zeros(len(first), bool)
+    decided = order[kind[order] == 1]
+    stays[decided[np.unique(key[decided], return_index=True)[1]]] = True
+    sent: dict[bytes, int] = {}
+    for i in order[kind[order] == 2].tolist():
+        sent.setdefault(data[first[i] : first[i] + windows[i] + length - 1], i)
+    stays[list(sent.values())] = True
+    cut: list[bytes | None] = [None] * len(first)
+    for piece, i in sent.items():
+        cut[i] = piece
     number = left.column("slice")[0].as_py()
-    return pa.table(
+    table = pa.table(
         {
             "key": pa.array(key, pa.int64()),
             "doc_id": pa.array(lists["doc_id"][place], pa.int64(), mask=lists["none"][place]),
             "row": pa.array(lists["row"][place], pa.int64()),
             "start": pa.array(start, pa.int64()),
-            "windows": pa.array(windows, pa.int32()),
             "slice": pa.array(np.full(len(first), number), pa.int64()),
             "place": pa.array(place, pa.int32()),
             "at": pa.array(offset, pa.int32()),
-            "text": pa.array([t if s else None for t, s in zip(cut, stays.tolist())], pa.binary()),
+            "windows": pa.array(windows, pa.int32()),
+            "text": pa.array(cut, pa.binary()),
+        }
+    )
+    # neighbouring repeats are one run
+    gone = np.flatnonzero(~stays)
+    gone = gone[np.argsort(first[gone], kind="stable")]
+    new = np.append(True, (first[gone][1:] != (first + windows)[gone][:-1]) | (place[gone][1:] != place[gone][:-1])) if len(gone) else np.zeros(0, bool)
+    runs = gone[new]
+    n = np.add.reduceat(windows[gone], np.flatnonzero(new)) if len(gone) else np.zeros(0, np.int64)
+    local = pa.table(
+        {
+            "slice": pa.array(np.full(len(runs), number), pa.int64()),
+            "place": pa.array(place[runs], pa.int32()),
+            "at": pa.array(offset[runs], pa.int32()),
+            "windows": pa.array(n, pa.int32()),
         }
     )
+    return pa.concat_tables([table.take(pa.array(list(sent.values()), pa.int64())), local], promote_options="default").select(table.column_names)
 
 
 def _judge(pieces: pa.Table, length: int) -> pa.Table:
@@ -261,6 +288,12 @@ def _judge(pieces: pa.Table, length: int) -> pa.Table:
     order = np.lexsort((pieces.column("start").to_numpy(), pieces.column("row").to_numpy(), doc_id, none))
     stays = _first_of_each(order, text)
     copies, kept = np.flatnonzero(~stays), order[stays[order]]
+    # the windows of one piece all differ, so a piece needs company under its anchor
+    key = pieces.column("key").to_numpy()[kept]
+    values, of, n = np.unique(key, return_inverse=True, return_counts=True)
+    kept = kept[n[of] > 1]
+    if not len(kept):
+        return _gone(pieces, copies, np.zeros(len(copies), np.int64), windows[copies])
     size = windows[kept] + length - 1
     begin = np.cumsum(size + 1) - size - 1
     data = np.frombuffer(bytes([_BETWEEN]).join([text[i] for i in kept.tolist()]), np.uint8)
@@ -387,6 +420,7 @@ def repeated_removed(
     length: int = LENGTH,
     gram: int = GRAM,
     part_bytes: int = PART_BYTES,
+    slice_bytes: int = SLICE_BYTES,
     shard_bytes: int = SHARD_BYTES,
     hot: int = HOT,
     keep: bool = False,
@@ -397,9 +431,11 @@ def repeated_removed(
     doc_id, or earlier in the same text. Strings are judged on the input and do not cross documents.
 
     Every window of ``length`` bytes has an anchor, a substring chosen by its bytes alone, and equal windows have
-    equal anchors. Anchors that stand only once in the corpus take their windows out. The rest, cut to pieces
-    with one anchor each, are dealt by it to shards of about ``shard_bytes``. A shard's suffix array is made by induced
-    sorting; its permuted common prefixes show which windows are equal, and all but the earliest go.
+    equal anchors at equal distances. Anchors that stand only once in the corpus take their windows out. The rest is cut to
+    pieces with one anchor each, whose windows all differ. Where an anchor has the same piece everywhere (two 64-bit hashes), the
+    earliest stays and its copies go. Where its pieces differ, they are dealt by it to shards of about ``shard_bytes``; a
+    shard's suffix array is made by induced sorting, its permuted common prefixes show which windows are equal, and all
+    but the earliest go.
 
     Hot groups: a slice of the input sends an anchor once and equal pieces once, the earliest of them. Pieces of an
     anchor with over ``hot`` different pieces are dealt window by window, by all their bytes, so that a passage common
@@ -409,7 +445,7 @@ def repeated_removed(
     doc_id are ordered by their place in the input, null ids come last. An empty table gives no rows; other
     columns are not read.
     """
-    parts = written(_parts(docs, length, part_bytes), "parts")
+    parts = written(_parts(docs, length, part_bytes, slice_bytes), "parts")
     repeated = _repeated(_anchors(parts, length, gram), hot)
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
