@@ -15,18 +15,23 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """``doc_id, text, label, fold`` of at most ``rows`` documents per class, and all labelled rows by class.
+    """``doc_id, text, label, fold`` of at most ``rows`` documents per class, and all labelled documents by class.
 
     ``labels`` has ``doc_id`` and the column ``label`` (0 or 1; rows with nulls or anything else are left out, and of
-    rows with one id the larger label counts). The rows with the smallest seeded hashes are taken, each text once in a class, under its smallest id; ``fold`` halves them. The same tables give the same sample.
+    rows with one id the larger label counts). Only labels of documents that are here count. The ids with the smallest
+    seeded hashes are taken, an id once: of rows that share it, the one whose text has the smallest hash. Each text counts
+    once in a class, under its smallest id; ``fold`` halves them. The same tables give the same sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    here = docs.select("doc_id").distinct().join(known, "doc_id")
+    sizes = {r[0]: r[1] for r in here.groupBy("label").count().collect()}
     mark = F.xxhash64(F.lit(seed), "doc_id")
-    parts = [known.where(F.col("label") == c).orderBy(mark, "doc_id").limit(rows) for c in (0, 1)]
+    parts = [here.where(F.col("label") == c).orderBy(mark, "doc_id").limit(rows) for c in (0, 1)]
     chosen = parts[0].union(parts[1]).select("doc_id", "label", F.pmod(mark, F.lit(2)).cast("int").alias("fold"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * rows rows
-    once = sample.groupBy("label", "text").agg(F.min(F.struct("doc_id", "fold")).alias("row"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
+    text_order = F.struct(F.col("text").isNull(), F.xxhash64(F.lit(seed), "text"), "text")
+    of_id = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "fold", "text"), text_order).alias("row")).select("doc_id", "row.*")
+    once = of_id.groupBy("label", "text").agg(F.min(F.struct("doc_id", "fold")).alias("row"))
     return written(once.select("row.doc_id", "text", "label", "row.fold"), "sample"), sizes
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -113,7 +114,14 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The documents that score ``least`` or more, with all their columns."""
+    """The documents that score ``least`` or more, with all their columns.
+
+    Where the model knows no labels of one class, it cannot tell documents apart: all are kept, with a warning. Null
+    and empty texts are judged as empty ones, texts of any length whole, repeated rows each; an empty table stays empty.
+    """
+    if isinstance(model.calibration, Share):
+        warnings.warn("no labelled documents of both classes: none is rejected", stacklevel=2)
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows):

@@ -49,8 +49,10 @@ class WordCache(dict):
 
     def __missing__(self, word: str) -> bytes:
         letters = word.strip(_SIGNS)
-        if letters.isalpha() and "\u03a3" not in letters:  # a capital sigma's small form depends on its place
-            known, low = self.parts, letters.lower()
+        low = letters.lower()
+        # a capital sigma's small form depends on its place; some small forms have signs that part from letters
+        if letters.isalpha() and low.isalpha() and "\u03a3" not in letters:
+            known = self.parts
             code = known.get(low) or self._letters(low)
             if len(letters) < len(word):
                 at = word.index(letters)

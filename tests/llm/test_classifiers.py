@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from mailweave.llm.calibrate import labelled_sample
 from mailweave.llm.quality import good_documents, op10_quality, open_labels, quality_scores, train_quality
 from mailweave.llm.toxicity import Counts, KneserNey, op2_toxicity, toxicity_scores, train_toxicity
 
@@ -60,6 +61,34 @@ def test_good_documents_keep_their_columns(spark):
     assert len(ids & set(range(1, 80, 2))) >= 38 and len(ids & set(range(0, 80, 2))) <= 2
 
 
+def test_sample_is_of_documents_that_are_here(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, x string, score double")
+    known = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    many = known.unionByName(spark.range(1000, 101_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality"))
+    sample, sizes = labelled_sample(docs, many, "quality", 40, 10)
+    assert sample.count() == 80 and sizes == {0: 40, 1: 40}
+    assert good_documents(docs, train_quality(docs, many, rows=40)).count() == 40
+
+
+def test_a_hot_id_is_one_row_of_the_sample(spark):
+    hot = spark.range(5000).selectExpr("7L AS doc_id", "concat('hot text ', id) AS text")
+    docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string").unionByName(hot)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    for rows in (2, 40):
+        sample, sizes = labelled_sample(docs, labels, "toxic", rows, 3)
+        ids = [r.doc_id for r in sample.collect()]
+        assert len(ids) == len(set(ids)) <= 2 * rows and sizes == {0: 40, 1: 40}
+    one, two = (sorted(labelled_sample(d, labels, "toxic", 40, 3)[0].collect()) for d in (docs, docs.repartition(7)))
+    assert one == two
+
+
+def test_nothing_is_rejected_without_labels_of_both_classes(spark):
+    docs = spark.createDataFrame(ROWS + ODD, "doc_id long, text string, x string, score double")
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="none is rejected"):
+        assert good_documents(docs, train_quality(docs, labels)).count() == docs.count()
+
+
 def test_class_models_share_backoff():
     ordinary = {"^^^^a": 5, "^^^ab": 5, "^^ab$": 5, "^^^^c": 5, "^^^c$": 5}
     toxic = {"^^^^z": 5, "^^^zq": 5, "^^zq$": 5}

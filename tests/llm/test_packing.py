@@ -25,6 +25,13 @@ def test_word_cache_equals_the_tokenizer():
     assert [np.frombuffer(cache.ids(t), "<u4").tolist() for t in odd] == plain_ids(odd)
 
 
+def test_words_with_every_letter_that_has_two_cases():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).lower() != chr(c) or chr(c).upper() != chr(c))]
+    texts = [form.format(c) for c in letters for form in ("{}", "{}{{", "({}", "a{}b", "{0}{0}'s", "{}1")]
+    cache = word_cache(default_path())
+    assert [np.frombuffer(cache.ids(t), "<u4").tolist() for t in texts] == plain_ids(texts)
+
+
 def test_cuts():
     for n in (*range(1, 4200), 100_000):
         at = 0
