@@ -1,7 +1,8 @@
 """Who does this address belong to? Climb from the address through the DOM.
 
-Candidates are tried lazily from the node outwards: the fold stops evaluating
-texts once a name is found, so the large texts near the root are rarely built.
+Candidates are tried lazily from the node outwards, by following parent pointers; table rows and boxes above an entry
+are pointers too. Texts with too many words are told by their first chunks and are not built, so the work of a climb
+grows with the depth, not with the texts on the way.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _text_without(text: Column, email: Column) -> Column:
 
 def _page_text() -> Column:
     """Text of the whole document, the last ancestor of every node."""
-    return F.array_join(F.filter(F.col("clean"), lambda x: x != ""), " ")
+    return F.array_join("clean", " ")
 
 
 def _name(text: Column) -> Column:
@@ -49,13 +50,36 @@ def _name(text: Column) -> Column:
 
 
 def climb_name(node: Column, email: Column) -> Column:
-    """Text of the nearest ancestor-or-self with three to eight words besides the address."""
+    """Text of the nearest ancestor-or-self with three to eight words besides the address.
+
+    An ancestor's text holds its child's, so words only get more: the climb is over at the first text with three or more,
+    and an ancestor that adds no chunk is passed by.
+    """
+
+    def judged(text: Column, use) -> Column:
+        return H.let(_text_without(text, email), lambda rest: H.let(t.word_count(rest), lambda n: use(rest, n)))
+
+    def step(s: Column) -> Column:
+        def at_entry(e: Column) -> Column:
+            def state(name: Column, done: Column) -> Column:
+                return F.struct(e["parent_id"].alias("at"), e["c_from"].alias("c_from"), e["c_to"].alias("c_to"), name.alias("name"), done.alias("done"))
+
+            known = (e["c_from"] == s["c_from"]) & (e["c_to"] == s["c_to"])
+            looked = judged(H.subtree_text(e), lambda rest, n: state(F.when(n.between(3, 8), rest), n >= 3))
+            return F.when(known, state(_null(), F.lit(False))).otherwise(looked)
+
+        return F.when(s["done"], s).otherwise(H.let(H.node_at(s["at"]), at_entry))
+
+    start = F.struct(
+        node["node_id"].alias("at"), F.lit(-1).alias("c_from"), F.lit(-1).alias("c_to"), _null().alias("name"), F.lit(False).alias("done")
+    )
+    whole = judged(_page_text(), lambda rest, n: F.when(n.between(3, 8), rest))
+    found = H.let(H.climb(node["depth"], start, step), lambda s: F.when(s["done"], s["name"]).otherwise(whole))
+    return F.when(node["node_id"].isNotNull(), found)
 
-    def fits(text: Column) -> Column:
-        return H.let(_text_without(text, email), lambda rest: F.when(t.word_count(rest).between(3, 8), rest))
 
-    inside = _first_found(F.reverse(H.path_of(node)), lambda i: fits(H.subtree_text(H.node_at(i))))
-    return F.when(node.isNotNull(), F.coalesce(inside, fits(_page_text())))
+#: Names have at most so many words; so many chunks are looked at to tell that a text has more
+_NAME_WORDS, _LOOK = 8, 64
 
 
 def near_name(node: Column, email: Column) -> Column:
@@ -65,49 +89,73 @@ def near_name(node: Column, email: Column) -> Column:
     the parent's, so from the second step on only the parent's side is new.
     """
 
+    def many_words(chunks: Column) -> Column:
+        # every chunk that does not hold the address has a word
+        return F.size(F.filter(chunks, lambda c: ~F.contains(F.lower(c), email))) > _NAME_WORDS
+
+    def name_of(chunks: Column, text: Column) -> Column:
+        return F.when(~many_words(chunks), _name(_text_without(text, email)))
+
     def name_at(index: Column) -> Column:
         # -1 is a missing neighbour, -2 stands for the document itself
-        text = F.when(index == -2, _page_text()).when(index >= 0, H.let(H.node_at(index), lambda n: H.subtree_text(n)))
-        return _name(_text_without(text, email))
+        page = name_of(F.slice("clean", 1, _LOOK), _page_text())
+        entry = H.let(H.node_at(index), lambda n: name_of(H.own_chunks(n, most=_LOOK), H.subtree_text(n)))
+        return F.when(index == -2, page).when(index >= 0, entry)
 
     def first_name(*indexes: Column) -> Column:
         return _first_found(F.array(*indexes), name_at)
 
     def from_row(parent: Column) -> Column:
-        # an ancestor row's cells that do not hold the address
-        row = F.try_element_at(F.filter(H.path_of(parent), lambda i: H.node_at(i)["tag"] == "tr"), F.lit(-1))
-
+        # the cells of the row above that do not hold the address
         def cell_name(c: Column) -> Column:
-            return H.let(H.subtree_text(c), lambda x: F.when(~F.contains(F.lower(x), email), _name(x)))
+            text = H.let(H.subtree_text(c), lambda x: F.when(~F.contains(F.lower(x), email), _name(x)))
+            return F.when(~many_words(H.own_chunks(c, most=_LOOK)), text)
 
-        found = H.let(H.node_at(row), lambda r: F.when(r.isNotNull(), _first_found(H.descendants(r, "td", "th"), cell_name)))
+        found = H.let(H.node_at(parent["row_id"]), lambda r: F.when(r.isNotNull(), _first_found(H.descendants(r, "td", "th"), cell_name)))
         return F.when(parent["tag"].isin("td", "th"), found)
 
-    def from_container(entry: Column) -> Column:
-        above = F.filter(H.path_of(entry), lambda i: H.node_at(i)["tag"].isin("div", "span", "p") & (i != entry["node_id"]))
-        container = H.node_at(F.try_element_at(above, F.lit(-1)))
-        before = H.let(H.let(container, lambda c: F.when(c.isNotNull(), H.subtree_text(c))), lambda x: t.strip(t.text_before(x, email)))
-        return H.let(H.let(before, lambda b: t.last_words(b)), lambda w: F.when(t.word_count(w) >= 2, _name(w)))
+    def from_container(entry: Column, places: Column) -> Column:
+        # the last words before the address in the box above; a chunk has a word at least, so four before it suffice
+        def before(hit: Column, first: Column) -> Column:
+            since = F.greatest(first, hit - 4)
+            left = F.slice("clean", since + 1, hit - since)
+            return F.array_join(F.concat(left, F.array(t.text_before(F.get("clean", hit), email))), " ")
+
+        def words(container: Column) -> Column:
+            hit = F.get(F.filter(places, lambda p: (p >= container["c_from"]) & (p < container["c_to"])), F.lit(0))
+            text = H.let(hit, lambda h: F.when(h.isNotNull(), t.strip(before(h, container["c_from"]))))
+            return H.let(text, lambda b: t.last_words(b))
 
-    def above(index: Column) -> Column:
-        entry = H.node_at(index)
-        pair = F.struct(entry.alias("entry"), H.node_at(entry["parent_id"]).alias("parent"))
-        return H.let(pair, lambda p: around(p["entry"], p["parent"]))
+        found = H.let(H.node_at(entry["box_id"]), lambda c: F.when(c.isNotNull(), words(c)))
+        return H.let(found, lambda w: F.when(t.word_count(w) >= 2, _name(w)))
 
-    def around(entry: Column, parent: Column) -> Column:
+    def around(entry: Column, parent: Column, places: Column) -> Column:
         holder = F.when(entry["parent_id"] >= 0, entry["parent_id"]).otherwise(-2)
         none = F.lit(-1)
         return F.coalesce(
             first_name(F.coalesce(parent["prev_id"], none), F.coalesce(parent["next_id"], none), holder),
             from_row(parent),
-            from_container(entry),
+            from_container(entry, places),
         )
 
+    def climbed(places: Column) -> Column:
+        def step(s: Column) -> Column:
+            def at_entry(e: Column) -> Column:
+                name = H.let(H.node_at(e["parent_id"]), lambda p: around(e, p, places))
+                return F.struct(e["parent_id"].alias("at"), name.alias("name"))
+
+            return F.when(s["name"].isNotNull(), s).otherwise(H.let(H.node_at(s["at"]), at_entry))
+
+        start = F.struct(node["node_id"].alias("at"), _null().alias("name"))
+        return H.climb(node["depth"], start, step)["name"]
+
     here = first_name(node["node_id"], node["prev_id"], node["next_id"])
-    return F.when(node.isNotNull(), F.coalesce(here, _first_found(F.reverse(H.path_of(node)), above)))
+    holds = F.transform("clean", lambda c, i: F.when(F.contains(F.lower(c), email), i))
+    above = H.let(F.filter(holds, lambda i: i.isNotNull()), climbed)
+    return F.when(node["node_id"].isNotNull(), F.coalesce(here, above))
 
 
-def mailto_links(domains=None, strict: bool = False) -> Column:
+def mailto_links(domains=None, strict: bool = True) -> Column:
     """Mailto anchors as ``(email, node)``; restricted to ``domains`` when given."""
     links = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:"))
 
@@ -119,7 +167,7 @@ def mailto_links(domains=None, strict: bool = False) -> Column:
     return F.filter(F.transform(links, pair), lambda p: p["email"].isNotNull())
 
 
-def text_emails(domains=None, strict: bool = False) -> Column:
+def text_emails(domains=None, strict: bool = True) -> Column:
     """Addresses of the page's glued text with the element whose text holds them (NULL if split)."""
     found = em.find_all(H.visible_text(""))
     cleaned = F.transform(found, lambda e: em.clean_email(e) if domains is None else em.clean_domain_email(e, domains, strict))
@@ -134,12 +182,12 @@ def text_emails(domains=None, strict: bool = False) -> Column:
     return H.let(lowered, lambda places: F.transform(known, lambda e: holder(places, e)))
 
 
-def staff_rows(domains, strict: bool = False) -> Column:
+def staff_rows(domains, strict: bool = True) -> Column:
     """Per staff-table row the last address and the last multi-word cell's name.
 
     A later multi-word cell that is no name resets the name to NULL.
     """
-    rows = F.filter(H.tagged("tr"), lambda r: F.exists(H.path_of(r), lambda i: H.node_at(i)["tag"] == "table"))
+    rows = F.filter(H.tagged("tr"), lambda r: r["table_id"] >= 0)
 
     def from_row(row: Column) -> Column:
         cells = F.transform(H.descendants(row, "td", "th"), lambda c: H.subtree_text(c, sep=""))
@@ -204,19 +252,19 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
     return rows.filter(F.col("branch") == 1).unionByName(firsts.filter(F.col("branch") != 1).select(*rows.columns))
 
 
-def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
     named = _named(mailto_links(domains, strict), text_emails(domains, strict), near_name)
     return _branches(_pages_with_email(doc), keys, named, staff_rows(domains, strict))
 
 
-def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """X32 before de-duplication: missing names are inferred from the address."""
     rows = near_names(doc, domains, keys, strict)
     return rows.withColumn("profesor", F.coalesce("profesor", t.infer_name(F.col("email"))))
 
 
-def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = False) -> DataFrame:
+def page_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """First contact per address of a page."""
     rows = near_contacts(doc, domains, keys, strict)
     return dedup.first_per_key(rows, [*keys, "email"], ["branch", "idx"]).select(*keys, "branch", "idx", "profesor", "email")

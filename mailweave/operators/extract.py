@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails as em
 from ..session import cut_lineage
 from . import html as H
+from . import lookup as L
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:
@@ -21,17 +20,9 @@ def usable_pages(pages: DataFrame) -> DataFrame:
     return pages
 
 
-def pages_among(pages: DataFrame, keys: DataFrame, column: str = "url", most: int = 200_000) -> DataFrame:
-    """Rows of ``pages`` whose ``column`` is in ``keys`` (one column of that name), without moving their HTML.
-
-    The distinct keys are written down and counted. Up to ``most``, some 20 MB, they are broadcast; beyond that, by
-    hash in blocks of that size, each against its own scan of the pages.
-    """
-    keys = cut_lineage(keys.select(column).filter(F.col(column).isNotNull()).distinct())
-    blocks = max(1, -(-keys.count() // most))
-    block = F.pmod(F.xxhash64(column), F.lit(blocks))
-    parts = [pages.join(F.broadcast(keys.filter(block == i) if blocks > 1 else keys), column, "left_semi") for i in range(blocks)]
-    return reduce(DataFrame.union, parts)
+def pages_among(pages: DataFrame, keys: DataFrame, column: str = "url") -> DataFrame:
+    """Rows of ``pages`` whose ``column`` is in ``keys`` (one column of that name), in one scan of their HTML."""
+    return L.rows_among(pages, keys, column)
 
 
 def emails_at_domain(pages: DataFrame, domain: str, keys=("page_id", "url"), text: str = "html") -> DataFrame:

@@ -28,6 +28,8 @@ VOID = frozenset(
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 HIDDEN = frozenset("script style template rt rp".split())
+# fixed values: kinds of elements that others look for above themselves
+ABOVE = {"tr": 0, "table": 1, "ul": 2, "ol": 2, "div": 3, "span": 3, "p": 3}
 COMMENT = "#comment"
 TEXT = "#text"
 
@@ -38,10 +40,12 @@ class _DomRows(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
 
-    def load(self, html: str) -> tuple[list[list], list[str]]:
+    def load(self, html: str) -> tuple[list[list], list[str], list[str]]:
         self.reset()
         self.rows: list[list] = []
         self.chunks: list[str] = []
+        self.clean: list[str] = []
+        self.above: list[list[int]] = [[-1], [-1], [-1], [-1]]
         self.open: list[int] = []
         self.open_tags: Counter = Counter()
         self.last_child: dict[int, int] = {}
@@ -52,7 +56,7 @@ class _DomRows(HTMLParser):
         self._flush()
         while self.open:
             self._pop()
-        return self.rows, self.chunks
+        return self.rows, self.chunks, self.clean
 
     def _add(self, tag: str, attrs: dict[str, str], text: str | None) -> int:
         node = len(self.rows)
@@ -61,10 +65,13 @@ class _DomRows(HTMLParser):
         if before >= 0:
             self.rows[before][9] = node
         self.last_child[parent] = node
-        shown = len(self.chunks)
+        shown, clean = len(self.chunks), len(self.clean)
         classes = (attrs.get("class") or "").split()
         self.rows.append(
-            [node, parent, len(self.open), tag, attrs.get("id"), classes, attrs, None, before, -1, text, shown, shown, node]
+            [
+                node, parent, len(self.open), tag, attrs.get("id"), classes, attrs, None, before, -1, text, shown, shown, node,
+                clean, clean, *[ids[-1] for ids in self.above],
+            ]
         )
         return node
 
@@ -82,12 +89,19 @@ class _DomRows(HTMLParser):
         node = self._add(TEXT, {}, text)
         self.chunks.append(text)
         self.rows[node][12] = len(self.chunks)
+        trimmed = text.strip()
+        if trimmed:
+            self.clean.append(trimmed)
+            self.rows[node][15] = len(self.clean)
 
     def _pop(self) -> None:
         row = self.rows[self.open.pop()]
         self.open_tags[row[3]] -= 1
         row[12] = len(self.chunks)
         row[13] = len(self.rows) - 1
+        row[15] = len(self.clean)
+        if row[3] in ABOVE:
+            self.above[ABOVE[row[3]]].pop()
         if row[3] in HIDDEN:
             self.hidden -= 1
 
@@ -98,6 +112,8 @@ class _DomRows(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
             self.open_tags[tag] += 1
+            if tag in ABOVE:
+                self.above[ABOVE[tag]].append(node)
             if tag in HIDDEN:
                 self.hidden += 1
 
@@ -140,20 +156,21 @@ def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
 def _node_array(pages: list[list[list]]) -> pa.Array:
     """All pages' DOM entries as one list column, built field by field."""
     rows = [row for page in pages for row in page]
-    col = list(zip(*rows)) if rows else [[]] * 14
+    col = list(zip(*rows)) if rows else [[]] * 20
     attrs = col[6]
     attr_map = pa.MapArray.from_arrays(
         _offsets(map(len, attrs)),
         pa.array([k for a in attrs for k in a], pa.string()),
         pa.array([v for a in attrs for v in a.values()], pa.string()),
     )
-    ints = {i: pa.array(col[i], pa.int32()) for i in (0, 1, 2, 8, 9, 11, 12, 13)}
+    ints = {i: pa.array(col[i], pa.int32()) for i in (0, 1, 2, 8, 9, *range(11, 20))}
     fields = {
         "node_id": ints[0], "parent_id": ints[1], "pos": ints[0], "depth": ints[2],
         "tag": pa.array(col[3], pa.string()), "id_attr": pa.array(col[4], pa.string()),
         "classes": _lists(col[5], pa.string()), "attrs": attr_map, "text": pa.array(col[10], pa.string()),
         "prev_id": ints[8], "next_id": ints[9], "last_id": ints[13],
-        "t_from": ints[11], "t_to": ints[12],
+        "t_from": ints[11], "t_to": ints[12], "c_from": ints[14], "c_to": ints[15],
+        "row_id": ints[16], "table_id": ints[17], "list_id": ints[18], "box_id": ints[19],
     }
     return pa.ListArray.from_arrays(_offsets(map(len, pages)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
@@ -161,23 +178,24 @@ def _node_array(pages: list[list[list]]) -> pa.Array:
 def _dom_batch(htmls: list[str | None], parts) -> list[pa.Array]:
     """Parse one Arrow batch into the wanted DOM columns."""
     parser = _DomRows()
-    pages, chunk_lists, errors = [], [], []
+    pages, chunk_lists, clean_lists, errors = [], [], [], []
     for html in htmls:
-        found, chunks, error = [], [], None
+        found, chunks, clean, error = [], [], [], None
         if html is None:
             error = "no html"
         else:
             try:
-                found, chunks = parser.load(html)
+                found, chunks, clean = parser.load(html)
             except Exception as exc:  # a broken page is reported, not fatal
                 error = f"{type(exc).__name__}: {exc}"
         pages.append(found)
         chunk_lists.append(chunks)
+        clean_lists.append(clean)
         errors.append(error)
     make = {
         "nodes": lambda: _node_array(pages),
         "chunks": lambda: _lists(chunk_lists, pa.string()),
-        "clean": lambda: _lists([[c.strip() for c in chunks] for chunks in chunk_lists], pa.string()),
+        "clean": lambda: _lists(clean_lists, pa.string()),
         "_error": lambda: pa.array(errors, pa.string()),
     }
     return [make[part]() for part in parts]
@@ -187,7 +205,8 @@ def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean")
     """Add the DOM columns and ``_error`` to each page; the HTML itself is dropped.
 
     A Python step's output cannot be pruned by the optimizer, so callers that need
-    only some of ``nodes``, ``chunks`` and ``clean`` say so in ``parts``.
+    only some of ``nodes``, ``chunks`` and ``clean`` say so in ``parts``. Pages are parsed where they are read:
+    a caller whose small input lies in few files deals it out first.
     """
     keep = [c for c in pages.columns if c != html]
     wanted = [f for f in DOM_FIELDS if f.name in (*parts, "_error")]
@@ -209,24 +228,13 @@ def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean")
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
                 start = stop
 
-    return spread(pages.select(*keep, html)).mapInArrow(parse, schema)
-
-
-def spread(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
-    """Give every core work when a small input sits in few files.
-
-    Decided on the plan's size estimate only. Inputs that fill the cluster by
-    themselves keep their file splits, so large HTML is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_per_task else df
+    return pages.select(*keep, html).mapInArrow(parse, schema)
 
 
 def nodes(doc: DataFrame) -> DataFrame:
-    """The DOM as a relation: one row per element, text chunk or comment, with its ``path`` from the root."""
+    """The DOM as a relation: one row per element, text chunk or comment. ``[node_id, last_id]`` is its interval."""
     others = [c for c in doc.columns if c not in ("nodes", "chunks", "clean", "_error")]
-    return doc.select(*others, F.inline(F.transform("nodes", lambda n: n.withField("path", path_of(n)))))
+    return doc.select(*others, F.inline("nodes"))
 
 
 def parse_errors(doc: DataFrame) -> DataFrame:
@@ -258,9 +266,13 @@ def rows_of(df: DataFrame, keys, array: Column, required: str) -> DataFrame:
 
 def subtree_text(node: Column, sep: str = " ", clean: Column | None = None) -> Column:
     """A node's text, each chunk trimmed and empty ones dropped."""
-    clean = F.col("clean") if clean is None else clean
-    own = F.slice(clean, node["t_from"] + 1, node["t_to"] - node["t_from"])
-    return F.array_join(F.filter(own, lambda x: x != ""), sep)
+    return F.array_join(own_chunks(node, clean), sep)
+
+
+def own_chunks(node: Column, clean: Column | None = None, most: int | None = None) -> Column:
+    """A node's trimmed chunks, or the first ``most`` of them."""
+    n = node["c_to"] - node["c_from"]
+    return F.slice(F.col("clean") if clean is None else clean, node["c_from"] + 1, n if most is None else F.least(n, F.lit(most)))
 
 
 def raw_subtree_text(node: Column, sep: str = "", chunks: Column | None = None) -> Column:
@@ -275,17 +287,9 @@ def node_at(index: Column, all_nodes: Column | None = None) -> Column:
     return F.get(all_nodes, index)
 
 
-def path_of(node: Column, all_nodes: Column | None = None) -> Column:
-    """Ids from the root down to the node itself, by climbing from parent to parent.
-
-    The DOM stores parents only: where tags stay open, a page's paths together grow with the square of its length.
-    """
-    up = F.aggregate(
-        F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(F.array().cast("array<int>")),
-        F.array(node["node_id"]),
-        lambda ids, _: F.concat(F.array(node_at(ids[0], all_nodes)["parent_id"]), ids),
-    )
-    return F.when(node["node_id"].isNotNull(), up)
+def climb(depth: Column, state: Column, step) -> Column:
+    """Fold ``step`` over a node and its ancestors: one call for each of the ``depth + 1`` entries on the way up."""
+    return F.aggregate(F.sequence(F.lit(0), depth), state, lambda s, _: step(s))
 
 
 # -- selectors ----------------------------------------------------------------------
@@ -340,36 +344,53 @@ def _attr_test(value: Column, g: dict) -> Column:
     return value.startswith(want) if g["op"] == "^=" else value.endswith(want)
 
 
-def matches(node: Column, selector: str, all_nodes: Column | None = None) -> Column:
-    """Does the DOM entry match the CSS selector?
+def _chains(selector: str) -> list[list]:
+    """The alternatives of a comma list, each as the predicates of its descendant steps."""
+    return [[_compound(s) for s in _split_outside_brackets(part, " ")] for part in _split_outside_brackets(selector, ",")]
+
+
+def matches(node: Column, selector: str) -> Column:
+    """X6 for a selector without descendant steps: does the DOM entry match one of its alternatives?
 
-    Supported: tag, ``.class``, ``#id``, ``[attr]``, ``[attr=x]``, ``[attr*="x" i]``,
-    ``^=``, ``$=``, descendant steps and comma lists. Ancestors are found by indexing
-    the DOM array with the entry's path.
+    Supported: tag, ``.class``, ``#id``, ``[attr]``, ``[attr=x]``, ``[attr*="x" i]``, ``^=``, ``$=`` and comma lists;
+    :func:`select_nodes` also takes descendant steps.
     """
-    all_nodes = F.col("nodes") if all_nodes is None else all_nodes
-    any_of = F.lit(False)
-    for part in _split_outside_brackets(selector, ","):
-        steps = [_compound(s) for s in _split_outside_brackets(part, " ")]
-        test = steps[-1](node)
-        if len(steps) > 1:
-            test = F.when(test, _ancestors_match(node, steps[:-1], all_nodes)).otherwise(F.lit(False))
-        any_of = any_of | test
-    return any_of
+    chains = _chains(selector)
+    if any(len(steps) > 1 for steps in chains):
+        raise ValueError(f"descendant steps need the whole page: {selector!r}")
+    return _any_of([steps[0] for steps in chains])(node)
+
 
+def _any_of(tests: list):
+    def test(n: Column) -> Column:
+        out = tests[0](n)
+        for other in tests[1:]:
+            out = out | other(n)
+        return out
 
-def _ancestors_match(node: Column, steps: list, all_nodes: Column) -> Column:
-    """Greedy walk down the path: how many leading steps are met, in order, above the node?"""
-    above = F.slice(path_of(node, all_nodes), F.lit(1), node["depth"])
+    return test
 
-    def advance(done: Column, index: Column) -> Column:
-        entry = F.get(all_nodes, index)
-        met = F.lit(False)
-        for i, step in enumerate(steps):
-            met = met | ((done == i) & step(entry))
-        return done + F.when(met, 1).otherwise(0)
 
-    return F.aggregate(above, F.lit(0), advance) == len(steps)
+def _chain_ids(steps: list, all_nodes: Column) -> Column:
+    """Ids of the entries that match a chain of descendant steps, in document order.
+
+    One sweep over the entries that match any step. For each step but the last, the state holds how far the
+    entries reach that match the chain up to it: entries come in document order and their intervals nest, so an entry
+    stands inside one of them if its id is not beyond that reach.
+    """
+    names = [f"r{i}" for i in range(len(steps) - 1)]
+
+    def visit(state: Column, n: Column) -> Column:
+        inside = [F.lit(True), *[n["node_id"] <= state[name] for name in names]]
+        reach = [
+            F.when(step(n) & within, F.greatest(state[name], n["last_id"])).otherwise(state[name]).alias(name)
+            for name, step, within in zip(names, steps, inside)
+        ]
+        found = F.when(steps[-1](n) & inside[-1], F.concat(state["found"], F.array(n["node_id"]))).otherwise(state["found"])
+        return F.struct(*reach, found.alias("found"))
+
+    start = F.struct(*[F.lit(-1).alias(name) for name in names], F.array().cast("array<int>").alias("found"))
+    return F.aggregate(F.filter(all_nodes, _any_of(steps)), start, visit, lambda state: state["found"])
 
 
 def _split_outside_brackets(text: str, sep: str) -> list[str]:
@@ -385,9 +406,17 @@ def _split_outside_brackets(text: str, sep: str) -> list[str]:
 
 
 def select_nodes(selector: str, all_nodes: Column | None = None) -> Column:
-    """All matching DOM entries of the page, in document order."""
+    """All matching DOM entries of the page, in document order; each page is swept once for each alternative."""
     all_nodes = F.col("nodes") if all_nodes is None else all_nodes
-    return F.filter(all_nodes, lambda n: matches(n, selector, all_nodes))
+    chains = _chains(selector)
+    plain = [steps[0] for steps in chains if len(steps) == 1]
+    if len(plain) == len(chains):
+        return F.filter(all_nodes, _any_of(plain))
+    ids = [_chain_ids(steps, all_nodes) for steps in chains if len(steps) > 1]
+    if plain:
+        ids.append(F.transform(F.filter(all_nodes, _any_of(plain)), lambda n: n["node_id"]))
+    wanted = ids[0] if len(ids) == 1 else F.array_sort(F.array_distinct(F.concat(*ids)))
+    return F.transform(wanted, lambda i: node_at(i, all_nodes))
 
 
 def select_texts(selector: str, sep: str = " ") -> Column:
@@ -470,12 +499,47 @@ def anchor_links(pages: DataFrame, keys=("page_id", "url"), html: str = "html")
     return fast.unionByName(anchors(parsed, keys).select(*keys, "href", "pos"))
 
 
+#: A block of one level is 2**_BITS blocks of the level below; node ids have 31 bits
+_BITS, _LEVELS = 4, 8
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """An interval of node ids as aligned blocks ``(level, block)``: few, disjoint and complete."""
+
+    def step(state: Column, level: Column) -> Column:
+        low, high = state["low"], state["high"]
+        up = F.shiftright(low + (2**_BITS - 1), _BITS)
+        down = F.shiftright(high, _BITS)
+        ends = (up >= down) | (level == _LEVELS - 1)
+        inner = F.array(F.array(low, F.shiftleft(up, _BITS)), F.array(F.shiftleft(down, _BITS), high))
+
+        def listed(edge: Column) -> Column:
+            ids = F.when(edge[0] < edge[1], F.sequence(edge[0], edge[1] - 1)).otherwise(F.array().cast("array<bigint>"))
+            return F.transform(ids, lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+        found = F.flatten(F.transform(F.when(ends, F.array(F.array(low, high))).otherwise(inner), listed))
+        nothing = F.lit(0).cast("bigint")
+        return F.struct(
+            F.when(ends, nothing).otherwise(up).alias("low"), F.when(ends, nothing).otherwise(down).alias("high"),
+            F.concat(state["blocks"], found).alias("blocks"),
+        )
+
+    start = F.struct(
+        first.cast("bigint").alias("low"), (last + 1).cast("bigint").alias("high"),
+        F.array().cast("array<struct<level:int,block:bigint>>").alias("blocks"),
+    )
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step, lambda s: s["blocks"])
+
+
 def subtree_members(dom_nodes: DataFrame, roots: DataFrame, keys=("page_id",)) -> DataFrame:
-    """Entries inside the given roots, ``(…keys, root_id, node_id, …)``.
+    """Entries inside the given roots: the entries' columns and ``root_id``, one row for each root above an entry.
 
-    Containment becomes an equi-join: each entry is listed under its ancestors and
-    matched on ``(page, ancestor)``; entries and roots are never compared pairwise.
+    ``roots`` need ``node_id`` and ``last_id``. An interval join by buckets: a root's interval falls into few aligned blocks, an
+    entry lies in one block of each level, and the two meet in an equi-join on ``(page, level, block)``. A pair meets
+    in one block only; entries and roots are never compared pairwise, whatever the depth.
     """
-    listed = dom_nodes.withColumn("root_id", F.explode("path")).filter(F.col("root_id") != F.col("node_id"))
-    wanted = roots.select(*keys, F.col("node_id").alias("root_id"))
-    return listed.join(wanted, [*keys, "root_id"], "left_semi")
+    inside = F.col("node_id") + 1
+    spans = roots.select(*keys, "node_id", "last_id").distinct().filter(F.col("last_id") >= inside)
+    spans = spans.select(*keys, F.col("node_id").alias("root_id"), F.inline(_blocks(inside, F.col("last_id"))))
+    levels = F.posexplode(F.array(*[F.shiftright(F.col("node_id").cast("bigint"), _BITS * i) for i in range(_LEVELS)])).alias("level", "block")
+    return dom_nodes.select("*", levels).join(spans, [*keys, "level", "block"]).select(*dom_nodes.columns, "root_id")

@@ -51,17 +51,12 @@ def row_contacts() -> Column:
         # rows without an address are skipped before their cells are put together
         return F.when(_mentions_at(row), F.coalesce(found, _nothing())).otherwise(_nothing())
 
-    rows = F.filter(H.tagged("tr"), lambda r: _under(r, "table"))
+    rows = F.filter(H.tagged("tr"), lambda r: r["table_id"] >= 0)
     return _good(F.flatten(F.transform(rows, from_row)))
 
 
-def _under(node: Column, *tags: str) -> Column:
-    return F.exists(H.path_of(node), lambda i: H.node_at(i)["tag"].isin(*tags) & (i != node["node_id"]))
-
-
 def _mentions_at(node: Column) -> Column:
-    own = F.slice(F.col("clean"), node["t_from"] + 1, node["t_to"] - node["t_from"])
-    return F.exists(own, lambda x: F.contains(x, F.lit("@")))
+    return F.exists(H.own_chunks(node), lambda x: F.contains(x, F.lit("@")))
 
 
 def _nothing() -> Column:
@@ -75,7 +70,7 @@ def list_contacts() -> Column:
         found = H.let(H.subtree_text(item), lambda x: _per_email(x, lambda e: _contact(t.strip_symbols(t.text_before(x, e)), e)))
         return F.when(_mentions_at(item), found).otherwise(_nothing())
 
-    items = F.filter(H.tagged("li"), lambda i: _under(i, "ul", "ol"))
+    items = F.filter(H.tagged("li"), lambda i: i["list_id"] >= 0)
     return _good(F.flatten(F.transform(items, from_item)))
 
 

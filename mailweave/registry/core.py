@@ -46,6 +46,37 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input of fewer bytes for a core lies in too few files to be parsed by all of them
+_FEW = 8 << 20
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def dealt(df: DataFrame, sf_dir: str, table: str) -> DataFrame:
+    """``df``, which comes from ``table``, over all cores where that table's files are small.
+
+    Decided on the files' lengths. Larger tables keep their splits, so that no HTML is moved.
+    """
+    spark = df.sparkSession
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet").select("length")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if (files.groupBy().sum("length").first()[0] or 0) < cores * _FEW else df
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, ready for the parser."""
+    return dealt(load(spark, sf_dir, "pages").select("page_id", "html"), sf_dir, "pages")
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame], table: str = "customer") -> DataFrame:
+    """Pages that ``make`` derives from the given tables, written once for an application and read from there."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _STORED:
+        path = scratch(spark)
+        dealt(make(spark, sf_dir), sf_dir, table).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, on storage that all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from ..operators import html as H
 from ..operators import staff
 from . import sqlkit as q
 from . import webs
-from .core import DERIVED, derived, query
+from .core import DERIVED, derived, pages_of, query
 
 SITE = webs.SITE
 
@@ -213,17 +213,17 @@ def j5(spark, d):
 
 @query("x29_near_names", "SELECT url, branch, profesor, email FROM {@near}")
 def x29(spark, d):
-    return A.near_names(_staff_doc(spark, d), SITE.email_domains, ("url",)).filter(F.col("branch") < 3).select("url", "branch", "profesor", "email")
+    return A.near_names(_staff_doc(spark, d), SITE.email_domains, ("url",), SITE.strict).filter(F.col("branch") < 3).select("url", "branch", "profesor", "email")
 
 
 @query("x30_staff_table_rows", f"SELECT url, CASE WHEN k % 2 = 0 THEN {q.normal_name('display')} END AS profesor, email FROM {{@staff}} WHERE layout = 0 AND k % 7 <> 0")
 def x30(spark, d):
-    return A.near_names(_staff_doc(spark, d), SITE.email_domains, ("url",)).filter(F.col("branch") == 3).select("url", "profesor", "email")
+    return A.near_names(_staff_doc(spark, d), SITE.email_domains, ("url",), SITE.strict).filter(F.col("branch") == 3).select("url", "profesor", "email")
 
 
 @query("x32_page_contacts", f"SELECT url, branch, coalesce(profesor, {q.infer('email')}) AS profesor, email FROM {{@near}}")
 def x32(spark, d):
-    return A.page_contacts(_staff_doc(spark, d), SITE.email_domains, ("url",)).select("url", "branch", "profesor", "email")
+    return A.page_contacts(_staff_doc(spark, d), SITE.email_domains, ("url",), strict=SITE.strict).select("url", "branch", "profesor", "email")
 
 
 # -- containment and neighbours on the given pages ------------------------------------------------------
@@ -231,9 +231,7 @@ def x32(spark, d):
 SELECT page_id, root, len(regexp_extract_all(nav, '<a href=')) AS links FROM (
   SELECT page_id, unnest(['nav', 'ul']) AS root, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM {pages}) WHERE nav <> ''""")
 def j10(spark, d):
-    from .core import load
-
-    dom = H.nodes(H.dom(load(spark, d, "pages").select("page_id", "html"))).select("page_id", "node_id", "tag", "path")
+    dom = H.nodes(H.dom(pages_of(spark, d))).select("page_id", "node_id", "last_id", "tag")
     roots = dom.filter(F.col("tag").isin("nav", "ul"))
     links = H.subtree_members(dom.filter(F.col("tag") == "a"), roots)
     named = links.join(roots.select("page_id", F.col("node_id").alias("root_id"), F.col("tag").alias("root")), ["page_id", "root_id"])

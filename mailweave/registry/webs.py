@@ -7,11 +7,13 @@ holds a bounded number of rows and the number of pages grows with the tables.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..siteprofile import SiteProfile
-from .core import DERIVED, derived
+from .core import DERIVED, derived, stored
 
 SITE = SiteProfile(
     domain="example.edu", base_url="https://www.example.edu", email_domains=("mail.example.edu",), university="Example University", site_suffix="UC3M",
@@ -48,6 +50,17 @@ SELECT k, s, j, s % 5 AS layout, k - s * 15 - j * 5 AS idx, first_name, last_nam
 FROM (SELECT *, CAST(floor(k / 15) AS BIGINT) AS s, CAST(floor((k - CAST(floor(k / 15) AS BIGINT) * 15) / 5) AS BIGINT) AS j FROM {@people})"""
 
 
+def kept(make):
+    """Pages are written at their first use; ``make`` derives them anew."""
+
+    @wraps(make)
+    def read(spark, d) -> DataFrame:
+        return stored(spark, d, make.__name__, make)
+
+    read.make = make
+    return read
+
+
 def _s(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -66,6 +79,7 @@ def _page(body: Column, title: Column | str = "Page") -> Column:
     return _s("<!DOCTYPE html>\n<html><head><title>", F.lit(title) if isinstance(title, str) else title, "</title></head>\n<body>\n", body, "\n</body></html>")
 
 
+@kept
 def directory_lists(spark, d) -> DataFrame:
     c = derived(spark, d, "{@cards}")
     name = _escape(F.col("name"))
@@ -82,6 +96,7 @@ def directory_lists(spark, d) -> DataFrame:
     return pages.select(F.col("page").alias("page_id"), F.col("list_url").alias("url"), _page(_s('<div class="view-content">\n', F.col("body"), "\n</div>")).alias("html"))
 
 
+@kept
 def directory_profiles(spark, d) -> DataFrame:
     """Profile pages of the linked people, a seventh of them missing."""
     c = derived(spark, d, "SELECT c.*, n_name FROM {@cards} c JOIN {nation} ON n_nationkey = c.dep WHERE link IS NOT NULL AND k % 7 <> 3")
@@ -104,6 +119,7 @@ def directory_profiles(spark, d) -> DataFrame:
     return c.select((k + 1_000_000_000).alias("page_id"), F.col("link").alias("url"), _page(_s(title, "\n", block, "\n", mail)).alias("html"))
 
 
+@kept
 def department_lists(spark, d) -> DataFrame:
     t = derived(spark, d, "{@depts}")
     s = F.col("s")
@@ -115,6 +131,7 @@ def department_lists(spark, d) -> DataFrame:
     return pages.select(F.col("page").alias("page_id"), url.alias("url"), _page(_s("<ul>", F.col("body"), "</ul>")).alias("html"))
 
 
+@kept
 def department_cards(spark, d) -> DataFrame:
     t = derived(spark, d, "{@depts}")
     s = F.col("s")
@@ -152,6 +169,7 @@ def _staff_bodies(spark, d) -> DataFrame:
     return bodies.select("s", "j", "layout", "url", F.concat(wrapped, box).alias("body"))
 
 
+@kept
 def staff_pages(spark, d) -> DataFrame:
     """Staff pages of every department's web, with links home and one step deeper."""
     b = _staff_bodies(spark, d)
@@ -159,6 +177,7 @@ def staff_pages(spark, d) -> DataFrame:
     return b.select((F.col("s") * 10 + F.col("j") + 3_000_000_000).alias("page_id"), "url", _page(F.concat("body", links)).alias("html"))
 
 
+@kept
 def listed_staff_pages(spark, d) -> DataFrame:
     """The first staff page of each department, as the main site lists it, and one page under a known pattern."""
     b = _staff_bodies(spark, d).filter(F.col("j") == 0)
@@ -173,6 +192,7 @@ def listed_staff_pages(spark, d) -> DataFrame:
     return own.unionByName(shared)
 
 
+@kept
 def directory_pages(spark, d) -> DataFrame:
     """General directory: 20 people per page, every fourth person listed."""
     p = derived(spark, d, "SELECT *, CAST(floor(k / 20) AS BIGINT) AS page FROM {@staff} WHERE k % 4 = 0")
@@ -206,9 +226,16 @@ def web_pages(spark, d) -> DataFrame:
     return rows.select((s * 10 + F.col("n") + 7_000_000_000).alias("page_id"), "url", "html")
 
 
+@kept
 def everything(spark, d) -> DataFrame:
     """The whole university: department lists and cards, their webs, listed staff, the directory."""
-    out = department_lists(spark, d)
-    for part in (department_cards, staff_pages, web_pages, listed_staff_pages, directory_pages):
+    out = department_lists.make(spark, d)
+    for part in (department_cards.make, staff_pages.make, web_pages, listed_staff_pages.make, directory_pages.make):
         out = out.unionByName(part(spark, d))
     return out
+
+
+def prepare(spark, d) -> None:
+    """Write all pages, so that what follows only reads them."""
+    for part in (directory_lists, directory_profiles, department_lists, department_cards, staff_pages, listed_staff_pages, directory_pages, everything):
+        part(spark, d)

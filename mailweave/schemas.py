@@ -45,8 +45,9 @@ ROBOTS_RULES = T.StructType(
 )
 
 # One DOM entry. ``t_from``/``t_to`` delimit the entry's own visible text inside
-# the page's text arrays, so subtree text is a slice and never a join; ``last_id`` is
-# its last descendant, so its descendants are a slice of the DOM array too.
+# the page's ``chunks`` and ``c_from``/``c_to`` inside ``clean``, so subtree text is a slice and never a join; ``last_id`` is
+# its last descendant, so its descendants are a slice of the DOM array and ``[node_id, last_id]`` is its interval. The
+# last four point to the nearest table row, table, list and box (div, span, p) above, -1 for none.
 NODE = T.StructType(
     [
         T.StructField("node_id", T.IntegerType()),
@@ -63,12 +64,18 @@ NODE = T.StructType(
         T.StructField("last_id", T.IntegerType()),
         T.StructField("t_from", T.IntegerType()),
         T.StructField("t_to", T.IntegerType()),
+        T.StructField("c_from", T.IntegerType()),
+        T.StructField("c_to", T.IntegerType()),
+        T.StructField("row_id", T.IntegerType()),
+        T.StructField("table_id", T.IntegerType()),
+        T.StructField("list_id", T.IntegerType()),
+        T.StructField("box_id", T.IntegerType()),
     ]
 )
 
 DOM_FIELDS = [
     T.StructField("nodes", T.ArrayType(NODE)),
     T.StructField("chunks", T.ArrayType(T.StringType())),  # visible text as it stands
-    T.StructField("clean", T.ArrayType(T.StringType())),  # the same, each chunk trimmed
+    T.StructField("clean", T.ArrayType(T.StringType())),  # the same, each chunk trimmed, blank ones dropped
     T.StructField("_error", T.StringType()),
 ]

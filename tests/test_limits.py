@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailweave.functions import emails as em
 from mailweave.functions import urls as u
-from mailweave.operators import association, departments, extract, html, robots, walk
+from mailweave.operators import association, departments, extract, html, lookup, robots, walk
 from mailweave.plans import email_index
 from mailweave.siteprofile import SiteProfile
 from mailweave.sources import sinks, tables
@@ -133,19 +133,32 @@ def test_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
     assert {r.source_url for r in upsert.current_profiles(spark, base).collect()} == {"a", "b", "c"}
 
 
-def test_html_is_not_shuffled_for_a_set_of_urls(spark):
-    pages = spark.createDataFrame([(i, f"u{i % 50}", "<p>x</p>") for i in range(200)], "page_id long, url string, html string")
-    keys = spark.createDataFrame([(f"u{i}",) for i in range(10)] * 3 + [(None,)], "url string")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        for most in (200_000, 3):
-            found = extract.pages_among(pages, keys, most=most)
-            assert found.count() == 40
-            plan = found._jdf.queryExecution().executedPlan().toString()
-            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(url" not in plan
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+@pytest.mark.parametrize("few, listed", [(200_000, 64), (3, 64), (3, 0), (0, 1)])
+def test_html_is_not_shuffled_for_a_set_of_urls(spark, tmp_path, monkeypatch, few, listed):
+    monkeypatch.setattr(lookup, "LISTED", listed)
+    monkeypatch.setattr(lookup, "BITS_PER_KEY", 2)  # many pass by mistake, so that several filters are needed
+    pages = [(i, f"u{i % 500}" if i % 7 else None, f"<p>{i}</p>") for i in range(2000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    keys = spark.createDataFrame([(f"u{i}",) for i in range(0, 900, 3)] * 3 + [(None,)], "url string")
+    found = lookup.rows_among(table, keys, "url", few)
+    want = {i for i, u, _ in pages if u and int(u[1:]) % 3 == 0}
+    got = found.collect()
+    assert found.columns == table.columns and sorted(r.page_id for r in got) == sorted(want)
+    assert lookup.rows_among(table, keys.limit(0), "url", few).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("html#") and not any("html" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_two_million_urls_are_one_scan(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS page_id", "concat('https://h/', id * 1000) AS url", "repeat('<p>', 50) AS html").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    keys = spark.range(2_000_000).selectExpr("concat('https://h/', id) AS url")
+    found = extract.pages_among(pages, keys)
+    assert found.count() == 2000 and found.agg(F.sum(F.length("html"))).first()[0] == 2000 * 150
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("FileScan" in line and "html" in line for line in lines) == 1
+    assert not any("Exchange" in line and "html" in line for line in lines)
 
 
 def test_the_index_reads_pages_once(spark):
@@ -169,11 +182,52 @@ assert e.queries()["x1_elements_by_tag"](spark, "/root/testdata/sf0.001").count(
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=300)
 
 
+def _page(spark, html_text):
+    return html.dom(spark.createDataFrame([(1, "u", html_text)], "page_id long, url string, html string"))
+
+
 def test_pages_of_unclosed_tags_are_linear(spark):
     n = 50_000
-    pages = spark.createDataFrame([(1, "u", "<p>x" * n)], "page_id long, url string, html string")
     began = time.monotonic()
-    row = html.dom(pages, parts=("nodes",)).select(F.size("nodes").alias("n")).first()
-    assert row.n == 2 * n and time.monotonic() - began < 60
-    deep = spark.createDataFrame([(1, "u", "<div>" * 300 + "a@a.es")], "page_id long, url string, html string")
-    assert html.nodes(html.dom(deep)).filter("tag = '#text'").select(F.size("path")).first()[0] == 301
+    rows = html.nodes(_page(spark, "<p>x" * n)).select("page_id", "node_id", "last_id", "depth", "tag").cache()
+    assert rows.agg(F.count("*"), F.max("depth")).first() == (2 * n, n)
+    roots = rows.filter("tag = 'p' AND node_id % 5000 = 0")
+    found = {r.root_id: r["count"] for r in html.subtree_members(rows, roots).groupBy("root_id").count().collect()}
+    assert found == {i: 2 * n - 1 - i for i in range(0, 2 * n, 5000)}
+    row = _page(spark, "<p>x" * n + "<b>y").select(F.size(html.select_nodes("p p b")).alias("b"), F.size(html.select_nodes("p i, b")).alias("i")).first()
+    assert (row.b, row.i) == (1, 1) and time.monotonic() - began < 90
+
+
+def test_intervals_meet_every_descendant_once(spark):
+    import random
+
+    rng, parts = random.Random(4), []
+    for _ in range(700):
+        parts.append(rng.choice(["<div>", "<p>", "</div>", "</p>", "x", "<br>", "<i>y</i>"]))
+    rows = html.nodes(_page(spark, "".join(parts))).select("page_id", "node_id", "parent_id", "last_id").collect()
+    parent = {r.node_id: r.parent_id for r in rows}
+    want = set()
+    for i in parent:
+        up = parent[i]
+        while up >= 0:
+            want.add((up, i))
+            up = parent[up]
+    df = spark.createDataFrame(rows)
+    got = [(r.root_id, r.node_id) for r in html.subtree_members(df.select("page_id", "node_id"), df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("step, rest", [("<div>", ""), ("<p>x", "Ana Gil "), ("<div>\n<span>", "Ana Gil ")])
+def test_climbs_are_linear_in_depth(spark, step, rest):
+    depth = 20_000
+    page = step * depth + rest + '<a href="mailto:a@a.es">a@a.es</a> b@a.es'
+    began = time.monotonic()
+    climbed = association.climbed_contacts(_page(spark, page), ("url",)).collect()
+    near = association.page_contacts(_page(spark, page), ("a.es",), ("url",)).collect()
+    assert {r.email for r in climbed} == {r.email for r in near} == {"a@a.es", "b@a.es"}
+    assert time.monotonic() - began < 60
+
+
+def test_nothing_beside_the_arguments_decides_the_plan(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
+    assert "Exchange" not in html.dom(pages)._jdf.queryExecution().executedPlan().toString()
