@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +31,7 @@ CACHE_UNITS = 250_000
 #: Places before a space where neither tokenizer joins what stands on both sides
 _SAFE = re.compile(r"(?<=\S)(?= )|(?<=[^\S ])(?= \S)")
 _UNSAFE = re.compile(r"  |[^\S ] (?:\s|$)")
+_WHITE = re.compile(r"\s")
 _SPACE = "▁"
 #: A link's code is the first token's id, shifted, and the second's
 _SHIFT = 20
@@ -46,14 +48,14 @@ def units(text: str) -> list[str]:
     return text.split(" ")
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Unit:
     """Tokens of a unit with their byte ends. ``good``: both kinds spell the unit."""
 
-    a: tuple[int, ...]
-    a_ends: tuple[int, ...]
-    b: tuple[int, ...]
-    b_ends: tuple[int, ...]
+    a: Sequence[int]
+    a_ends: Sequence[int]
+    b: Sequence[int]
+    b_ends: Sequence[int]
     good: bool
 
 
@@ -78,6 +80,7 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
             raise ValueError("a piece joins a space to what stands before it")
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in spelling]) for spelling in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(_SPACE)
 
     def encode(self, keys: list[str]) -> list[Unit]:
@@ -91,6 +94,28 @@ class Pair:
             out.append(Unit(tuple(a), self.ends(a, self.a_bytes), tuple(b), self.ends(b, self.b_bytes), spelt == (2 * (b" " + key.encode(),))))
         return out
 
+    def encode_words(self, keys: list[str]) -> list[Unit]:
+        """The same for keys without white space, put together to one text: such units never join."""
+        text = " ".join(keys)
+        whole = (" " + text).encode()
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if any(b"".join([spelling[i] for i in ids]) != whole for ids, spelling in ((a, self.a_bytes), (b, self.b_bytes))):
+            return self.encode(keys)
+        sizes = np.array([len(k.encode()) + 1 for k in keys])
+        stops = np.cumsum(sizes)
+        cut = []
+        for ids, lengths in ((a, self.a_lengths), (b, self.b_lengths)):
+            ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ends, stops) + 1
+            begins = np.repeat(stops - sizes, np.diff(at, prepend=0))
+            cut.append((ids, (ends - begins).tolist(), at.tolist()))
+        out, i, j = [], 0, 0
+        (a, a_ends, a_at), (b, b_ends, b_at) = cut
+        for k, m in zip(a_at, b_at):
+            out.append(Unit(a[i:k], a_ends[i:k], b[j:m], b_ends[j:m], True))
+            i, j = k, m
+        return out
+
     @staticmethod
     def ends(ids: Iterable[int], spelling: list[bytes]) -> tuple[int, ...]:
         at, out = 0, []
@@ -193,25 +218,43 @@ class UnitTable:
     def finish(self) -> None:
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        new = [k for k in self.numbers if k not in self.cache]
-        for at in range(0, len(new), 20_000):
-            for key, unit in zip(new[at : at + 20_000], self.pair.encode(new[at : at + 20_000])):
-                self.cache[key] = self.entry(unit)
+        words, others = [], []
+        for key in self.numbers:
+            if key not in self.cache:
+                (words if key and not _WHITE.search(key) else others).append(key)
+        for new, encode in ((words, self.pair.encode_words), (others, self.pair.encode)):
+            for at in range(0, len(new), 5_000):
+                for key, unit in zip(new[at : at + 5_000], encode(new[at : at + 5_000])):
+                    self.cache[key] = unit_entry(unit)
         entries = [self.cache[k] for k in self.numbers]
         self.counts = np.array([e[0] for e in entries], np.int64).reshape(-1, 5)
         self.groups = [e[1] for e in entries]
         self.links = np.frombuffer(b"".join([e[2] for e in entries]), "<i8")
 
-    @staticmethod
-    def entry(unit: Unit) -> tuple[tuple[int, ...], str, bytes]:
-        """Tokens of both kinds, groups, links and whether it is misspelt; groups as text; links."""
-        if not unit.good:
-            return (0, 0, 0, 0, 1), "", b""
-        found = fragment(Open(unit.a, unit.a_ends, unit.b, unit.b_ends), 0)
-        return entry_of([found.head, *(g for _, g in found.closed)])
+
+def unit_entry(unit: Unit) -> tuple[tuple[int, ...], str, bytes]:
+    """Tokens of both kinds, groups, links and whether it is misspelt; groups as text; links. One pass over both
+    kinds' ends: a link for each stretch between two ends, a new group after each common end."""
+    if not unit.good:
+        return (0, 0, 0, 0, 1), "", b""
+    a, a_ends, b, b_ends = unit.a, unit.a_ends, unit.b, unit.b_ends
+    links, text = array("q"), []
+    i = j = first_a = first_b = 0
+    while i < len(a):
+        links.append((a[i] << _SHIFT) + b[j])
+        x, y = a_ends[i], b_ends[j]
+        if x <= y:
+            i += 1
+        if y <= x:
+            j += 1
+            if x == y:
+                text.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+                first_a, first_b = i, j
+    return (len(a), len(b), len(text), len(links), 0), ";".join(text), links.tobytes()
 
 
 def entry_of(groups: list[Open]) -> tuple[tuple[int, ...], str, bytes]:
+    """The same for groups."""
     links = [(a << _SHIFT) + b for g in groups for a, b in g.links()]
     counts = sum(len(g.a) for g in groups), sum(len(g.b) for g in groups), len(groups), len(links), 0
     return counts, ";".join(map(str, groups)), np.array(links, "<i8").tobytes()
