@@ -31,7 +31,6 @@ CACHE_UNITS = 250_000
 #: Places before a space where neither tokenizer joins what stands on both sides
 _SAFE = re.compile(r"(?<=\S)(?= )|(?<=[^\S ])(?= \S)")
 _UNSAFE = re.compile(r"  |[^\S ] (?:\s|$)")
-_WHITE = re.compile(r"\s")
 _SPACE = "▁"
 #: A link's code is the first token's id, shifted, and the second's
 _SHIFT = 20
@@ -82,6 +81,8 @@ class Pair:
             raise ValueError("a piece joins a space to what stands before it")
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in spelling]) for spelling in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(_SPACE)
+        kinds = ((",", n_a), ("|", n_a), (",", len(pieces)), (";", len(pieces)), ("\n", len(pieces)))
+        self.written = [f"{i}{sign}" for sign, n in kinds for i in range(n)]
 
     def encode(self, keys: list[str]) -> list[Unit]:
         """The units' tokens; a key is a unit without its first space."""
@@ -94,27 +95,30 @@ class Pair:
             out.append(Unit(tuple(a), self.ends(a, self.a_bytes), tuple(b), self.ends(b, self.b_bytes), spelt == (2 * (b" " + key.encode(),))))
         return out
 
-    def encode_words(self, keys: list[str]) -> list[Unit]:
-        """The same for keys without white space, put together to one text: such units never join."""
+    def word_entries(self, keys: list[str]) -> list[tuple]:
+        """Entries of words (:func:`is_word`), as :func:`entry_of` has them: they never join, so they are
+        tokenised as one text, and cut, grouped and linked by their ends all at once."""
         text = " ".join(keys)
         whole = (" " + text).encode()
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        if any(b"".join([spelling[i] for i in ids]) != whole for ids, spelling in ((a, self.a_bytes), (b, self.b_bytes))):
-            return self.encode(keys)
-        sizes = np.array([len(k.encode()) + 1 for k in keys])
-        stops = np.cumsum(sizes)
-        cut = []
-        for ids, lengths in ((a, self.a_lengths), (b, self.b_lengths)):
-            ends = np.cumsum(lengths[ids])
-            at = np.searchsorted(ends, stops) + 1
-            begins = np.repeat(stops - sizes, np.diff(at, prepend=0))
-            cut.append((ids, (ends - begins).tolist(), at.tolist()))
-        out, i, j = [], 0, 0
-        (a, a_ends, a_at), (b, b_ends, b_at) = cut
-        for k, m in zip(a_at, b_at):
-            out.append(Unit(a[i:k], a_ends[i:k], b[j:m], b_ends[j:m], True))
-            i, j = k, m
-        return out
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text), np.int64)
+        if any(b"".join([spelling[i] for i in ids.tolist()]) != whole for ids, spelling in ((a, self.a_bytes), (b, self.b_bytes))):
+            return [unit_entry(u) for u in self.encode(keys)]
+        stops = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8)[1:] == 32) + 1, len(whole))
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        ends = np.union1d(a_ends, b_ends)
+        links = (a[np.searchsorted(a_ends, ends)] << _SHIFT) + b[np.searchsorted(b_ends, ends)]
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        counts = np.stack([np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (a_ends, b_ends, common, ends)], axis=1)
+        # tokens in the order of the groups' text, each with the sign that follows it
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        in_last = np.append(common[a_group] == a_ends, False)[: len(a)]
+        b_sign = np.where(np.isin(b_ends, stops), 2, (common[b_group] == b_ends).astype(np.int64))
+        pieces = np.concatenate([a + in_last * len(self.a_bytes), 2 * len(self.a_bytes) + b + b_sign * len(self.b_bytes)])[order]
+        groups = "".join(map(self.written.__getitem__, pieces.tolist())).split("\n")
+        codes, at = links.tobytes(), [0, *(8 * np.cumsum(counts[:, 3])).tolist()]
+        return [((*c, 0), g, codes[i:j]) for c, g, i, j in zip(counts.tolist(), groups, at, at[1:])]
 
     @staticmethod
     def ends(ids: Iterable[int], spelling: list[bytes]) -> tuple[int, ...]:
@@ -204,29 +208,50 @@ def fragment(tokens: Open, home: int) -> Fragment:
     return Fragment(groups[0], tuple((home, g) for g in groups[1:]), rest, False, home)
 
 
+def is_word(key: str) -> bool:
+    """Units that may stand side by side in any order: without spaces, and no white space at either end."""
+    return key != "" and " " not in key and not (key[0].isspace() or key[-1].isspace())
+
+
+class _Numbers(dict):
+    """Keys numbered as they come."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class UnitTable:
     """Units met in a slice, numbered; what each adds to a text: counts, its groups as text, its links as pair codes."""
 
     def __init__(self, pair: Pair, cache: dict):
         self.pair, self.cache = pair, cache
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
 
     def codes(self, keys: list[str]) -> np.ndarray:
-        known = self.numbers
-        return np.fromiter([known.setdefault(k, len(known)) for k in keys], np.uint32, len(keys))
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.uint32, len(keys))
 
-    def finish(self) -> None:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        words, others = [], []
+    def finish(self, uses: np.ndarray | None = None) -> None:
+        """Entries of all units; those used more than once in the slice are kept for later ones, up to a number."""
+        found, words, others = {}, [], []
         for key in self.numbers:
-            if key not in self.cache:
-                (words if key and not _WHITE.search(key) else others).append(key)
-        for new, encode in ((words, self.pair.encode_words), (others, self.pair.encode)):
-            for at in range(0, len(new), 5_000):
-                for key, unit in zip(new[at : at + 5_000], encode(new[at : at + 5_000])):
-                    self.cache[key] = unit_entry(unit)
-        entries = [self.cache[k] for k in self.numbers]
+            known = self.cache.get(key)
+            if known is not None:
+                found[key] = known
+            else:
+                (words if is_word(key) else others).append(key)
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            found.update(zip(some, self.pair.word_entries(some)))
+        for at in range(0, len(others), 5_000):
+            some = others[at : at + 5_000]
+            found.update(zip(some, map(unit_entry, self.pair.encode(some))))
+        entries = [found[k] for k in self.numbers]
+        if uses is not None:
+            if len(self.cache) > CACHE_UNITS:
+                self.cache.clear()
+            often = np.bincount(uses, minlength=len(entries)) > 1
+            self.cache.update((k, e) for k, e, o in zip(self.numbers, entries, often.tolist()) if o)
         self.counts = np.array([e[0] for e in entries], np.int64).reshape(-1, 5)
         self.groups = [e[1] for e in entries]
         self.links = np.frombuffer(b"".join([e[2] for e in entries]), "<i8")
@@ -299,15 +324,15 @@ def _short(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             for rows in slices(batch, most=SLICE_BYTES):
                 table = UnitTable(pair_of(*paths), _CACHE)
                 codes = [table.codes(units(t)) if t else np.zeros(0, np.uint32) for t in rows.column("text").to_pylist()]
-                table.finish()
                 n = np.array([len(c) for c in codes], np.int64)
                 uses = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+                table.finish(uses)
                 counts = _sums(table.counts[uses], n) if len(uses) else np.zeros((len(n), 5), np.int64)
                 bad = counts[:, 4] > 0
                 counts[bad] = 0
                 digests = []
                 for i, c in enumerate(codes):
-                    text = "" if bad[i] or not len(c) else ";".join([table.groups[x] for x in c.tolist()])
+                    text = "" if bad[i] or not len(c) else ";".join(map(table.groups.__getitem__, c.tolist()))
                     digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
                 uses, n = uses[np.repeat(~bad, n)], np.where(bad, 0, n)
                 doc_ids = rows.column("doc_id").cast(pa.int64()).to_pylist()
