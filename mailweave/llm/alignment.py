@@ -21,12 +21,12 @@ from pyspark.sql.types import StructType
 from .common import load, plain, slices, text_bytes, written
 from .tokens import default_path
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Longer texts are cut to byte ranges of this size, which different tasks read
 CHUNK_BYTES = 64 << 10
 #: Fragments that one task composes in a round
 FAN = 8
-CACHE_UNITS = 250_000
+CACHE_UNITS = 100_000
 
 #: Places before a space where neither tokenizer joins what stands on both sides
 _SAFE = re.compile(r"(?<=\S)(?= )|(?<=[^\S ])(?= \S)")
