@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailweave.llm.sharding import grown_shard, op3_sharding, shard_of, shuffle_into_shards
 
@@ -58,6 +59,28 @@ def test_query(spark):
         assert (out[d.doc_id].size, out[d.doc_id].text_crc32, out[d.doc_id].law) == (len(raw) + 8, zlib.crc32(raw), "key")
 
 
+@pytest.mark.parametrize("hot", ["record", "key", "empty"])
+def test_buckets_keep_their_size(spark, tmp_path, hot):
+    """A third of the rows are one record, one key, or without text but with another long column."""
+    rows = spark.range(9000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", f"CASE WHEN id % 3 <> 0 THEN concat('text ', id) WHEN '{hot}' = 'record' THEN repeat('same ', 20) WHEN '{hot}' = 'key' THEN concat(id, repeat(' key', 25)) END AS text",
+        f"CASE WHEN '{hot}' = 'empty' THEN concat(id, repeat('.', 90)) END AS other",
+    )
+    size = 20_000
+    out = shuffle_into_shards(rows, str(tmp_path / "a"), bucket_bytes=size)
+    assert out.count() == 9000 and out.select("record").exceptAll(rows.selectExpr("struct(*) AS record")).count() == 0
+    files = spark.read.parquet(str(tmp_path / "a"))
+    bytes_of = F.expr("64 + coalesce(octet_length(record.text), 0) + coalesce(octet_length(record.other), 0)")
+    largest = files.groupBy("bucket").agg(F.sum(bytes_of).alias("bytes")).agg(F.max("bytes")).first()[0]
+    assert largest < 2 * size
+    slots = {}
+    for r in out.select("shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = shuffle_into_shards(rows.repartition(5), str(tmp_path / "b"), bucket_bytes=size)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, out.collect()))
+
+
 def test_empty(spark, docs, tmp_path):
     assert shuffle_into_shards(docs.limit(0), str(tmp_path / "f")).count() == 0
 
