@@ -73,6 +73,25 @@ def test_runs_are_longest_matches(spark):
     assert [tuple(r) for r in row.runs] == [(2, 30), (33, 12)] and row.longest == 30
 
 
+def test_matches_have_item_place_and_length(spark):
+    """Two short items side by side are two matches; an item whose windows repeat goes on where it went on before."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, "p q"), (2, "r s t"), (3, " ".join(words)), (4, "u " * 14), (None, " ".join(words[:11]))]
+    text = " ".join(["x", "p", "q", "r", "s", "t", *words[3:25], "y", *words[20:33], *["u"] * 16])
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 10):
+        rows = {r.doc_id: r for r in contamination(docs, bench, block_bytes=size).collect()}
+        got = [tuple(m) for m in rows[1].matches]
+        assert [m for m in got if m[0] != "4"] == [("1", 0, 1, 2), ("2", 0, 3, 3), ("3", 3, 6, 22), ("3", 20, 29, 13)]
+        assert [m for m in got if m[0] == "4"][0] == ("4", 0, 42, 14) and rows[1].longest == 22
+        assert rows[2].matches == rows[3].matches == []
+    found = contamination(docs, bench).first()
+    for m in found.matches:  # verbatim, and not to be extended
+        item, doc = dict((str(i), t.split()) for i, t in items)[m.item], text.split()
+        assert item[m.at : m.at + m.words] == doc[m.first : m.first + m.words]
+
+
 def test_suffixes_are_sorted():
     test = Suffixes([(1, b"a b a b c")], 3)
     ids = np.array([test.vocabulary.get(w, 0) for w in b"a b a x b a b c a b a b c".split()], np.int32)
