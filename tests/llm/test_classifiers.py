@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mailweave.llm.calibrate import labelled_sample
 from mailweave.llm.quality import good_documents, op10_quality, open_labels, quality_scores, train_quality
-from mailweave.llm.toxicity import Counts, KneserNey, op2_toxicity, toxicity_scores, train_toxicity
+from mailweave.llm import toxicity
+from mailweave.llm.toxicity import WORD_DISCOUNT, Counts, KneserNey, op2_toxicity, toxicity_scores, train_toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -99,6 +100,26 @@ def test_class_models_share_backoff():
     assert spread == pytest.approx(1, abs=1e-9)  # a distribution over 256 letters
 
 
+def test_words_of_a_class_have_probability_one():
+    words = {"ab": 2, "c": 9, "once": 1}
+    model = KneserNey({c: Counts({"^^^^a": 3, "^^^ab": 3, "^^ab$": 3}, words, 4) for c in (0, 1)})
+    assert sum(max(n - WORD_DISCOUNT, 0) for n in words.values()) / model.mass[0] + model.free[0] == pytest.approx(1)
+
+
+def test_caches_are_bounded_by_entries(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_GRAMS", 5_000)
+    model = KneserNey({c: Counts({"^^^^a": 3}, {}, 1) for c in (0, 1)})
+    model.features(" ".join("".join(chr(0x4E00 + (i * j) % 20_000) for j in range(1, 100)) for i in range(300)))
+    assert len(model.lower) + len(model.spelled) < 6_000 and len(model) == 0
+
+
+def test_too_many_ngrams_are_an_error(spark):
+    docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="n-grams"):
+        train_toxicity(docs, labels, most_grams=10)
+
+
 def test_models_are_repeatable(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     for train, score in ((train_quality, quality_scores), (train_toxicity, toxicity_scores)):
