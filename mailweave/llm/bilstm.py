@@ -82,12 +82,17 @@ class BiLstm:
             x[: len(p), k], mask[: len(p), k] = p, 1
         return x, mask
 
-    def predict(self, inputs: list[np.ndarray], most: int = 64) -> list[np.ndarray]:
-        """Probabilities for each page's blocks; pages of like length share a batch."""
+    def predict(self, inputs: list[np.ndarray], most: int = 64, cells: int = 16_384) -> list[np.ndarray]:
+        """Probabilities for each page's blocks; pages of like length share a batch of at most ``cells`` padded blocks."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(inputs)
         order = sorted((i for i, x in enumerate(inputs) if len(x)), key=lambda i: len(inputs[i]))
-        for start in range(0, len(order), most):
-            some = order[start : start + most]
+        batches: list[list[int]] = []
+        for i in order:  # the longest of a batch is the one that is added last
+            if batches and len(batches[-1]) < most and (len(batches[-1]) + 1) * len(inputs[i]) <= cells:
+                batches[-1].append(i)
+            else:
+                batches.append([i])
+        for some in batches:
             x, mask = self._padded([inputs[i] for i in some])
             _, p, _, _ = self._states(x, mask, False)
             for k, i in enumerate(some):

@@ -13,7 +13,7 @@ WORD_SIZE = 64
 NUMBERS = 7
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?/](?![a-zA-Z])[^>]*+>?+|<!(?=[a-zA-Z])[^>]*+>?+"
+    r"<!---?>|<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?/](?![a-zA-Z])[^>]*+>?+|<!(?=[a-zA-Z])[^>]*+>?+"
     r"|<(?P<raw>script|style|noscript|textarea|iframe|title)(?=[\s/>]|$)(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+(?:>|$).*?(?:</(?P=raw)(?=[\s/>]|$)[^>]*+(?:>|$)|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?+)*+)(?:>|$)|(?P<text>[^<]++|<)",
     re.S | re.I,

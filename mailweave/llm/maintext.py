@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bilstm import BiLstm
-from .blocks import Paths, blocks_of, numbers_of
+from .blocks import Block, Paths, blocks_of, numbers_of
 from .common import load, plain, slices
 
 SAMPLE_PAGES = 300
-SAMPLE_BYTES = 100_000
+SAMPLE_BLOCKS, SAMPLE_TEXT = 400, 2_000
 VARIANTS = 4
 STEPS = 700
 PATHS = 20_000
@@ -104,28 +104,70 @@ def _rebuilt(rng: random.Random, good: list[str], other: list[str], paths: Paths
     return rows
 
 
+_SAMPLED = "names_it boolean, mark long, blocks array<struct<chain:array<struct<tag:string,names:array<string>>>,text:string,linked:int>>"
+
+
+def _sampled_blocks(pages: DataFrame, seed: int) -> DataFrame:
+    """Pages as blocks with their tags, read where the pages are; of long pages a run of ``SAMPLE_BLOCKS`` blocks at a
+    hashed place, of long blocks the first ``SAMPLE_TEXT`` characters."""
+
+    def run(batches):
+        for batch in batches:
+            for page, mark in zip(batch.column("html").to_pylist(), batch.column("mark").to_pylist()):
+                blocks = blocks_of(page, Paths(), with_tags=True)
+                first = mark % max(1, len(blocks) - SAMPLE_BLOCKS + 1)
+                some = [
+                    {"chain": [{"tag": t, "names": list(names)} for t, names in b.tags], "text": b.text[:SAMPLE_TEXT], "linked": min(b.linked, SAMPLE_TEXT)}
+                    for b in blocks[first : first + SAMPLE_BLOCKS]
+                ]
+                if some:
+                    row = {"names_it": any(t in ("article", "main") for b in blocks for t, _ in b.tags), "mark": mark, "blocks": some}
+                    yield pa.RecordBatch.from_pylist([row], schema=_SAMPLED_TYPE)
+
+    return pages.select("html", F.xxhash64(F.lit(seed), "page_id", "html").alias("mark")).mapInArrow(run, _SAMPLED)
+
+
+_SAMPLED_TYPE = pa.schema(
+    [
+        ("names_it", pa.bool_()),
+        ("mark", pa.int64()),
+        ("blocks", pa.list_(pa.struct([("chain", pa.list_(pa.struct([("tag", pa.string()), ("names", pa.list_(pa.string()))]))), ("text", pa.string()), ("linked", pa.int32())]))),
+    ]
+)
+
+
+def _sample(pages: DataFrame, seed: int) -> list:
+    """At most ``SAMPLE_PAGES`` pages with text as blocks. Where those with the smallest hashes have none, all pages are asked."""
+    names_it = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
+    usable = pages.where("html IS NOT NULL").select("page_id", "html")
+    few = usable.orderBy(F.desc(names_it), F.xxhash64(F.lit(seed), "page_id", "html")).limit(SAMPLE_PAGES)
+    order = [F.desc("names_it"), F.col("mark")]
+    return _sampled_blocks(few, seed).orderBy(*order).collect() or _sampled_blocks(usable, seed).orderBy(*order).limit(SAMPLE_PAGES).collect()
+
+
 def train_labeller(pages: DataFrame, seed: int = 1) -> BiLstm | None:
-    """Learn from the ``SAMPLE_PAGES`` pages with the smallest hashes that are no longer than ``SAMPLE_BYTES``, first those that name their article.
+    """Learn from the ``SAMPLE_PAGES`` pages with the smallest hashes, first those that name their article; of each at most ``SAMPLE_BLOCKS`` blocks.
 
     Their own elements give the labels. Each page is also rebuilt ``VARIANTS`` times with the same texts in other boxes, so that
     the labeller meets sidebars, notices, forms and comments. Of pages that do not name their article, taken where there are too few
-    others, only the rebuilt ones are learned from: texts that read like prose are their articles. None if no page has text to learn from.
+    others, only the rebuilt ones are learned from: texts that read like prose are their articles, or else the longest texts. None if no page has text.
     """
-    mark = F.xxhash64(F.lit(seed), "page_id", "html")
-    usable = pages.where("html IS NOT NULL AND octet_length(html) <= {n}".format(n=SAMPLE_BYTES)).select("page_id", "html")
-    names_it = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
     rng, paths, ready, parts = random.Random(seed), Paths(), [], []
-    from .blocks import Block
-
-    for _, page in usable.orderBy(F.desc(names_it), mark).limit(SAMPLE_PAGES).collect():
-        blocks = blocks_of(page, paths, with_tags=True)
+    for row in _sample(pages, seed):
+        blocks = []
+        for b in row.blocks:
+            number, chain = 0, tuple((step.tag, tuple(step.names)) for step in b.chain)
+            for tag, names in chain:
+                number = paths.step(number, tag, names)
+            blocks.append(Block(number, chain, b.text, b.linked))
         y = labelled(blocks)
         if y and any(y):
             ready.append((np.array([b.path for b in blocks]), numbers_of(blocks), np.array(y)))
         else:
             y = supposed(blocks)
-        if any(y):
-            parts.append(([b.text for b, m in zip(blocks, y) if m], [b.text for b, m in zip(blocks, y) if not m] or ["menu"]))
+        if not any(y):
+            y[max(range(len(blocks)), key=lambda i: len(blocks[i].text))] = True
+        parts.append(([b.text for b, m in zip(blocks, y) if m], [b.text for b, m in zip(blocks, y) if not m] or ["menu"]))
     if not parts:
         return None
     others = [t for _, o in parts for t in o]
@@ -148,17 +190,16 @@ class _Labeller:
     def texts(self, pages: list[str | None]) -> list[str]:
         if len(self.paths.vectors) > PATHS:
             self.paths = Paths()
-        blocks = [blocks_of(p, self.paths, with_tags=self.model is None) for p in pages]
-        if self.model is None:
-            keep = [labelled(b) or [True] * len(b) for b in blocks]
-        else:
-            flat = [x for b in blocks for x in b]
-            keep = [[]] * len(pages)
-            if flat:
-                used, at = np.unique([x.path for x in flat], return_inverse=True)
-                inputs = self.model.project(np.array([self.paths.vectors[i] for i in used]), numbers_of_pages(blocks), at)
-                ends = np.cumsum([len(b) for b in blocks])
-                keep = [p >= 0.5 for p in self.model.predict(np.split(inputs, ends[:-1]))]
+        blocks = [blocks_of(p, self.paths) for p in pages]
+        flat = [x for b in blocks for x in b]
+        keep = [[]] * len(pages)
+        if flat and self.model is None:
+            raise ValueError("no page had text when the labeller was to be trained")
+        if flat:
+            used, at = np.unique([x.path for x in flat], return_inverse=True)
+            inputs = self.model.project(np.array([self.paths.vectors[i] for i in used]), numbers_of_pages(blocks), at)
+            ends = np.cumsum([len(b) for b in blocks])
+            keep = [p >= 0.5 for p in self.model.predict(np.split(inputs, ends[:-1]))]
         return [" ".join(x.text for x, k in zip(b, y) if k) for b, y in zip(blocks, keep)]
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from mailweave.llm.blocks import Paths, blocks_of
@@ -29,6 +30,7 @@ def test_blocks():
     assert blocks("a < b &lt;c&gt; <3") == [("", "a < b <c> <3")]
     assert blocks("<div title='a>b' data=\"x'>\">in</div></p></div>out") == [("div", "in"), ("", "out")]
     assert blocks("text<p class='cut") == [("", "text")]
+    assert blocks("<p>a</p><!--><p>b</p><!-- x --><p>c</p><!---><p>d</p>") == [("p", x) for x in "abcd"]
     assert blocks("<script>never closed <p>x") == [] == blocks("") == blocks(None)
     assert [b.linked for b in blocks_of("<li><a href=x>four</a></li><p>none", Paths())] == [4, 0]
 
@@ -108,21 +110,54 @@ def test_pages_that_name_no_article(spark):
     assert menus <= 6 and held >= 54, (menus, held)
 
 
-def test_pages_that_name_their_article_come_first(spark, monkeypatch):
+def test_pages_that_name_their_article_come_first(spark):
     from mailweave.llm import maintext
 
-    seen = []
-    monkeypatch.setattr(maintext, "blocks_of", lambda page, *a, **b: seen.append(page) or blocks_of(page, *a, **b))
-    monkeypatch.setattr(maintext.BiLstm, "train", lambda self, *a, **b: None)
     named = [(i, f"<main><p>Article {i} has a few words.</p></main><nav>menu</nav>") for i in range(3)]
     df = spark.createDataFrame(named + [(i, f"<p>page {i} of few words</p>") for i in range(3, 900)], "page_id long, html string")
+    rows = maintext._sample(df, 1)
+    assert [r.names_it for r in rows] == [True] * 3 + [False] * (maintext.SAMPLE_PAGES - 3)
+
+
+def test_large_pages_are_learned_from(spark):
+    """Pages of over 100 kB, most of it comments and one long list, and many pages without any text."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect() if len(r.text.split()) > 60]
+    pages = [(i, "u", p.replace("<body>", "<body><!--" + "x" * 150_000 + "-->"), want) for i, p, want in other_pages(texts)]
+    df = spark.createDataFrame([p[:3] for p in pages] + [(i, "u", "<p></p>") for i in range(100, 2500)], "page_id long, url string, html string")
+    model = train_labeller(df)
+    rows = {r.page_id: r.text for r in main_text(df, model).collect()}
+    assert sum(rows[i] == " ".join(want.split()) for i, _, _, want in pages) >= 50
+    assert all(rows[i] == "" for i in range(100, 2500))
+
+
+def test_some_page_with_text_is_always_found(spark):
+    from mailweave.llm import maintext
+
+    blank = [(i, "<article></article>") for i in range(600)]
+    df = spark.createDataFrame([*blank, (1000, "<p>one page has words</p>")], "page_id long, html string")
+    assert [b.text for r in maintext._sample(df, 1) for b in r.blocks] == ["one page has words"]
     assert train_labeller(df) is not None
-    assert sorted(seen[:3]) == sorted(p for _, p in named) and len(seen) == maintext.SAMPLE_PAGES
+
+
+def test_a_long_page_is_not_padded_to(model):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    inputs = [rng.normal(size=(n, 8 * model.h)).astype(np.float32) for n in (20_000, *[5] * 63)]
+    alone = [model.predict([x])[0] for x in inputs]
+    tracemalloc.start()
+    together = model.predict(inputs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and all(np.allclose(a, b, atol=1e-6) for a, b in zip(alone, together))
 
 
 def test_odd_rows(spark, model):
     pages = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (2, "u", "", "t"), (None, "u", "<article><p>Some words here.</p></article>", "t")], "page_id long, url string, html string, text string")
-    for m in (model, train_labeller(pages.limit(0)), None):
+    for m in (model, train_labeller(pages)):
         rows = main_text(pages, m).collect()
         assert sorted(map(repr, ((r.page_id, r.url, r.n_chars) for r in rows))) == sorted(map(repr, [(1, None, 0), (2, "u", 0), (2, "u", 0), (None, "u", 16)]))
     assert main_text(pages.limit(0), model).count() == 0
+    assert train_labeller(pages.limit(0)) is None and main_text(pages.limit(3), None).count() == 3
+    with pytest.raises(Exception, match="no page had text"):
+        main_text(pages, None).collect()
