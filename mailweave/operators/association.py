@@ -217,8 +217,11 @@ def _named(mailto: Column, text: Column, find) -> Column:
     )
 
 
-def _branches(doc: DataFrame, keys, named: Column, rows: Column | None = None) -> DataFrame:
-    """``(…keys, branch, idx, profesor, email)``: mailto links are branch 1, text 2, table rows 3."""
+def _hits(named: Column, rows: Column | None = None) -> Column:
+    """``(branch, idx, profesor, email)`` for each hit: mailto links are branch 1, text 2, table rows 3.
+
+    Pages without an address in their text or links have none, without further work.
+    """
     hits = F.transform(
         named,
         lambda c, i: F.struct(F.when(c["from_text"], 2).otherwise(1).alias("branch"), i.alias("idx"), c["profesor"].alias("profesor"), c["email"].alias("email")),
@@ -226,13 +229,19 @@ def _branches(doc: DataFrame, keys, named: Column, rows: Column | None = None) -
     if rows is not None:
         third = F.transform(rows, lambda c, i: F.struct(F.lit(3).alias("branch"), i.alias("idx"), c["profesor"].alias("profesor"), c["email"].alias("email")))
         hits = F.concat(hits, third)
-    return H.rows_of(doc, keys, hits, "email")
-
-
-def _pages_with_email(doc: DataFrame) -> DataFrame:
     in_text = F.exists("clean", lambda c: F.contains(c, F.lit("@")))
     in_link = F.exists("nodes", lambda n: (n["tag"] == "a") & H.attr(n, "href").startswith("mailto:"))
-    return doc.filter(in_text | in_link)
+    return F.when(in_text | in_link, hits)
+
+
+def climbed_hits() -> Column:
+    """X11 + X9 + X28 for one page."""
+    return _hits(_named(mailto_links(), text_emails(), climb_name))
+
+
+def near_hits(domains, strict: bool = True) -> Column:
+    """X32's branches for one page: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
+    return _hits(_named(mailto_links(domains, strict), text_emails(domains, strict), near_name), staff_rows(domains, strict))
 
 
 def climbed_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
@@ -240,7 +249,7 @@ def climbed_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
 
     Both branches are whole; see :func:`drop_known_text_emails` for rule J5.
     """
-    return _branches(_pages_with_email(doc), keys, _named(mailto_links(), text_emails(), climb_name))
+    return H.rows_of(doc, keys, climbed_hits(), "email")
 
 
 def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
@@ -253,14 +262,17 @@ def drop_known_text_emails(rows: DataFrame, group: str, order) -> DataFrame:
 
 
 def near_names(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
-    """The branches of X32 as found: mailto links (1) and text (2) with X29 names, staff-table rows (3)."""
-    named = _named(mailto_links(domains, strict), text_emails(domains, strict), near_name)
-    return _branches(_pages_with_email(doc), keys, named, staff_rows(domains, strict))
+    """The branches of X32 as found, as rows."""
+    return H.rows_of(doc, keys, near_hits(domains, strict), "email")
 
 
 def near_contacts(doc: DataFrame, domains, keys=("page_id", "url"), strict: bool = True) -> DataFrame:
     """X32 before de-duplication: missing names are inferred from the address."""
-    rows = near_names(doc, domains, keys, strict)
+    return with_inferred(near_names(doc, domains, keys, strict))
+
+
+def with_inferred(rows: DataFrame) -> DataFrame:
+    """F7 for rows ``(…, profesor, email)`` without a name."""
     return rows.withColumn("profesor", F.coalesce("profesor", t.infer_name(F.col("email"))))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _cols(items) -> list[Column]:
     items = [items] if isinstance(items, (str, Column)) else list(items)
@@ -72,12 +74,35 @@ def last_non_null(df: DataFrame, keys, values, seq: str = "seq") -> DataFrame:
     return df.groupBy(*keys).agg(*picks)
 
 
+def ranked_per_key(df: DataFrame, key: str, order, rank: str = "rank") -> DataFrame:
+    """All rows with their rank from 1 in their key, however many rows a key has.
+
+    The rows are sorted once over the whole cluster; a key that spans many ranges is in as many tasks. A row's rank is
+    its place in its range and what earlier ranges hold of the key. Equal rows by ``order`` are ranked arbitrarily.
+    """
+    columns = [F.col(key), *_cols(order)]
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = cut_lineage(ranged.withColumn("_at", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    earlier = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(key, "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    joined = placed.join(ranges.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (placed["_at"] == ranges["_at"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(rank))
+
+
+#: Rows of a key that one task may rank
+RANKED_IN_ONE_TASK = 1_000_000
+
+
 def first_n_per_key(df: DataFrame, key: str, order, n: int, rank: str = "rank", salts: int = 64) -> DataFrame:
     """The first ``n`` rows of every key with their rank from 1.
 
     Two exact steps: each key's rows are first cut to ``n`` inside ``salts``
-    independent slices, so the final window sees at most ``n * salts`` rows per key.
+    independent slices, so the final window sees at most ``n * salts`` rows per key. Where that is more than
+    one task should hold, the ranks come from :func:`ranked_per_key`.
     """
+    if n * salts > RANKED_IN_ONE_TASK:
+        return ranked_per_key(df, key, order, rank).filter(F.col(rank) <= n)
     order = _cols(order)
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts))
     narrow = Window.partitionBy(key, "_salt").orderBy(*order)

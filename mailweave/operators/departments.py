@@ -15,32 +15,47 @@ from . import html as H
 
 def by_keyword(doc: DataFrame, site: SiteProfile) -> DataFrame:
     """Department links whose text holds a known word; first url per text, last text per url."""
-    links = H.anchors(doc, ("page_id",)).filter((F.col("text") != "") & u.has_keyword(site.department_keywords, F.col("text")))
+    return keyword_links(H.anchors(doc, ("page_id",)), site)
+
+
+def keyword_links(links: DataFrame, site: SiteProfile) -> DataFrame:
+    """X17 over links ``(page_id, href, text, pos)``, text chunks joined by blanks."""
+    links = links.filter((F.col("text") != "") & u.has_keyword(site.department_keywords, F.col("text")))
     links = links.select("page_id", "pos", "text", u.url_join(F.lit(site.base_url), F.col("href")).alias("url"))
     kept = dedup.url_text_dictionary(links.filter(u.under_base(F.col("url"), site.base_url)))
     return kept.select(F.col("url").alias("dept_url"), F.col("text").alias("dept_name"), "page_id", "pos")
 
 
-def _marked_links(doc: DataFrame, site: SiteProfile, marker: str) -> DataFrame:
-    links = H.anchors(doc, ("page_id",), sep="").filter(F.contains("href", F.lit(marker)))
+def _marked_links(links: DataFrame, site: SiteProfile, marker: str) -> DataFrame:
+    links = links.filter(F.contains("href", F.lit(marker)))
     return links.withColumn("dept_url", u.url_join(F.lit(site.base_url), F.col("href")))
 
 
 def by_marker(doc: DataFrame, site: SiteProfile) -> DataFrame:
     """Distinct links that carry the department marker."""
-    return _marked_links(doc, site, site.department_marker).select("dept_url").distinct()
+    return marker_links(H.anchors(doc, ("page_id",), sep=""), site)
+
+
+def marker_links(links: DataFrame, site: SiteProfile) -> DataFrame:
+    """X18 over links ``(page_id, href, text, pos)``, text chunks glued."""
+    return _marked_links(links, site, site.department_marker).select("dept_url").distinct()
 
 
 def by_marker_named(doc: DataFrame, site: SiteProfile) -> DataFrame:
     """X18 with a plausible name, first one per url in page order."""
-    links = _marked_links(doc, site, site.department_marker).filter(F.length("text").between(4, 99))
+    return marker_links_named(H.anchors(doc, ("page_id",), sep=""), site)
+
+
+def marker_links_named(links: DataFrame, site: SiteProfile) -> DataFrame:
+    """X19 over links ``(page_id, href, text, pos)``, text chunks glued."""
+    links = _marked_links(links, site, site.department_marker).filter(F.length("text").between(4, 99))
     rows = links.select("dept_url", F.col("text").alias("dept_name"), "page_id", "pos")
     return dedup.first_per_key(rows, "dept_url", ["page_id", "pos"])
 
 
 def id_names(doc: DataFrame, site: SiteProfile) -> DataFrame:
     """Id -> name pairs of the list page, the last name of an id wins."""
-    links = _marked_links(doc, site, site.department_marker + "/")
+    links = _marked_links(H.anchors(doc, ("page_id",), sep=""), site, site.department_marker + "/")
     rows = links.select(u.department_id(F.col("href"), site.department_marker).alias("dep_id"), "text", "page_id", "pos")
     rows = rows.filter(F.col("dep_id").isNotNull() & (F.length("text") > 3))
     return rows.groupBy("dep_id").agg(F.max_by("text", F.struct("page_id", "pos")).alias("nombre"))
@@ -117,10 +132,14 @@ def guessed_pages(departments: DataFrame, site: SiteProfile, legacy_key: bool =
     return departments.select("dept_url", "dept_name", F.explode_outer(urls).alias("staff_url")).filter(F.col("staff_url").isNotNull())
 
 
+def mentions_contacts(site: SiteProfile) -> Column:
+    """Does the parsed page's text hold one of the contact words?"""
+    return u.has_keyword(site.contact_words, F.lower(H.visible_text("")))
+
+
 def existing_contact_pages(candidates: DataFrame, doc: DataFrame, site: SiteProfile, url: str = "staff_url") -> DataFrame:
     """Candidates whose page exists and mentions contact words."""
-    text = F.lower(H.visible_text(""))
-    relevant = doc.filter(u.has_keyword(site.contact_words, text)).select(F.col("url").alias(url))
+    relevant = doc.filter(mentions_contacts(site)).select(F.col("url").alias(url))
     return candidates.join(relevant, url, "left_semi").select(*candidates.columns)
 
 
@@ -131,13 +150,20 @@ def staff_pages(departments: DataFrame, dept_doc: DataFrame, guess_doc: DataFram
     ``dept_doc`` holds the parsed department pages, ``guess_doc`` any parsed pages that
     may stand behind pattern URLs.
     """
+    relevant = guess_doc.filter(mentions_contacts(site)).select("url")
+    return staff_pages_of(departments, H.anchors(dept_doc, ("url",)), relevant, site, legacy_key)
+
+
+def staff_pages_of(departments: DataFrame, links: DataFrame, relevant: DataFrame, site: SiteProfile, legacy_key: bool = False) -> DataFrame:
+    """X23 over links ``(url, href, text, pos)`` of department pages and the URLs of pages that mention contacts."""
     depts = departments.select("dept_url", "dept_name")
-    links = H.anchors(dept_doc, ("url",)).withColumn("staff_url", u.url_join(F.col("url"), F.col("href")))
+    links = links.withColumn("staff_url", u.url_join(F.col("url"), F.col("href")))
     wanted = (u.under_base(F.col("staff_url"), site.base_url) & u.has_keyword(site.staff_keywords, F.col("text"), F.col("href"))) | (
         u.internal_and_specific(F.col("staff_url"), F.col("href"), site.base_url, site.specific_link_words)
     )
     linked = depts.join(links.filter(wanted).select(F.col("url").alias("dept_url"), "staff_url"), "dept_url")
-    guesses = existing_contact_pages(guessed_pages(depts, site, legacy_key), guess_doc, site)
+    guesses = guessed_pages(depts, site, legacy_key)
+    guesses = guesses.join(relevant.select(F.col("url").alias("staff_url")), "staff_url", "left_semi").select(*guesses.columns)
     found = linked.select("dept_url", "dept_name", "staff_url").unionByName(guesses)
     # the department's own page is a candidate of last resort: it counts where nothing else did
     own = depts.select("dept_url", "dept_name", F.lit(None).cast("string").alias("staff_url"))

@@ -238,8 +238,9 @@ def nodes(doc: DataFrame) -> DataFrame:
 
 
 def parse_errors(doc: DataFrame) -> DataFrame:
-    """How many pages could not be parsed, by reason."""
-    return doc.filter(F.col("_error").isNotNull()).groupBy("_error").agg(F.count("*").alias("pages"))
+    """How many pages could not be parsed, by reason: ``(_error, pages)``; a page that was read twice counts once."""
+    failed = doc.filter(F.col("_error").isNotNull())
+    return failed.select("url", "_error").distinct().groupBy("_error").agg(F.count("*").alias("pages"))
 
 
 # -- text ---------------------------------------------------------------------------

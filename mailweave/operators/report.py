@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def row_count(df: DataFrame) -> DataFrame:
     """A1."""
@@ -63,13 +67,22 @@ def named_counts(df: DataFrame, name: str = "profesor", mailbox: str = "Departam
     return df.agg(F.count_if(named).alias("con_nombre"), F.count_if(~named).alias("sin_nombre"))
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """How many rows a step removed."""
-    tagged = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
-        after.select(F.lit(0).alias("b"), F.lit(1).alias("a"))
-    )
-    sums = tagged.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("before"), F.coalesce(F.sum("a"), F.lit(0)).alias("after"))
-    return sums.withColumn("removed", F.col("before") - F.col("after"))
+def counters(df: DataFrame, **tests: Column) -> DataFrame:
+    """How many rows meet each test, as one row, in one pass."""
+    return df.agg(*[F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in tests.items()])
+
+
+def counted_step(before: DataFrame, step: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A step's result, written down, and how many rows it removed as ``(before, after, removed)``.
+
+    Both figures are observed while the step runs, so nothing runs twice.
+    """
+    seen, left = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    after = cut_lineage(step(before.observe(seen, rows)).observe(left, rows))
+    counts = seen.get["rows"], left.get["rows"]
+    figures = before.sparkSession.createDataFrame([(*counts, counts[0] - counts[1])], "before long, after long, removed long")
+    return after, figures
 
 
 def quality_summary(df: DataFrame) -> DataFrame:

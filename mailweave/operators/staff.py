@@ -121,21 +121,38 @@ def free_text_contacts() -> Column:
     return _good(H.let(F.struct(text.alias("text"), F.lower(text).alias("low")), from_text))
 
 
-def page_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
-    """All branches of a page with their gates, first contact per address."""
-    # pages without an address anywhere in their text skip the layout work
+def page_hits(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
+    """X31 for each page as an array ``hits`` of ``(branch, idx, nombre, correo)``: all branches with their gates.
+
+    Pages without an address anywhere in their text skip the layout work.
+    """
     dom_columns = ("nodes", "chunks", "clean")
-    with_email = doc.filter(F.exists("clean", lambda c: F.contains(c, F.lit("@"))))
-    step = with_email.select(*keys, *dom_columns, row_contacts().alias("_rows"), block_contacts().alias("_blocks"))
-    few = F.size("_rows") < LISTS_WANTED_BELOW
-    step = step.select(*keys, *dom_columns, "_rows", "_blocks", F.when(few, list_contacts()).otherwise(_nothing()).alias("_items"))
-    none = F.size("_rows") + F.size("_blocks") + F.size("_items") == 0
-    step = step.select(*keys, "_rows", "_items", "_blocks", F.when(none, free_text_contacts()).otherwise(_nothing()).alias("_free"))
+    some = F.exists("clean", lambda c: F.contains(c, F.lit("@")))
+
+    def gated(test: Column, contacts: Column) -> Column:
+        return F.when(test, contacts).otherwise(_nothing())
+
+    step = doc.select(*keys, *dom_columns, some.alias("_some"))
+    step = step.select("*", gated(F.col("_some"), row_contacts()).alias("_rows"), gated(F.col("_some"), block_contacts()).alias("_blocks"))
+    few = F.col("_some") & (F.size("_rows") < LISTS_WANTED_BELOW)
+    step = step.select("*", gated(few, list_contacts()).alias("_items"))
+    none = F.col("_some") & (F.size("_rows") + F.size("_blocks") + F.size("_items") == 0)
+    step = step.select(*keys, "_rows", "_items", "_blocks", gated(none, free_text_contacts()).alias("_free"))
     branches = [F.col(b) for b in ("_rows", "_items", "_blocks", "_free")]
-    rows = H.rows_of(step, keys, H.numbered(branches, ("nombre", "correo")), "correo")
+    return step.select(*keys, H.numbered(branches, ("nombre", "correo")).alias("hits"))
+
+
+def first_hits(hits: DataFrame, keys=("page_id", "url")) -> DataFrame:
+    """W2 over :func:`page_hits`: the first contact per address of a page."""
+    rows = H.rows_of(hits, keys, F.col("hits"), "correo")
     return dedup.first_per_key(rows, [*keys, "correo"], ["branch", "idx"]).select(*keys, "branch", "idx", "nombre", "correo")
 
 
+def page_contacts(doc: DataFrame, keys=("page_id", "url")) -> DataFrame:
+    """All branches of a page with their gates, first contact per address."""
+    return first_hits(page_hits(doc, keys), keys)
+
+
 def branch_contacts(doc: DataFrame, branch: Column, keys=("page_id", "url")) -> DataFrame:
     """One branch on its own, as rows: ``(nombre, correo)`` in page order ``idx``."""
     return H.rows_of(doc, keys, H.numbered([branch], ("nombre", "correo")), "correo").drop("branch")

@@ -10,14 +10,16 @@ level at most.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from . import dedup
 from . import html as H
 from . import robots as R
@@ -41,21 +43,49 @@ def links_of(rows: DataFrame, base_url: str | None = None) -> DataFrame:
     return rows.select("url", u.url_join(base, F.col("href")).alias("target"), "href", "text", "pos")
 
 
-def co_locate(links: DataFrame, url: str = "url", partitions: int | None = None) -> DataFrame:
-    """Hash and sort the edge table by page once, so that each level only moves its frontier.
+def co_locate(table: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Hash and sort a table by its keys (``url``) once, so that joins on them only move the other side.
 
-    Adaptive execution hides how a checkpointed table is laid out, which would shuffle
-    all edges again at every level; it is off for this one write.
+    Adaptive execution hides how a checkpointed table is laid out, which would shuffle all of it again at every
+    join. The write is planned by a session of its own without it; use the result as the right side of joins.
     """
-    spark = links.sparkSession
+    spark, keys = table.sparkSession, keys or ("url",)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = links.repartition(n, F.col(url)).sortWithinPartitions(url)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut_lineage(laid_out)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/co-located-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return cut_lineage(own.read.schema(table.schema).parquet(path).repartition(n, *keys).sortWithinPartitions(*keys))
+
+
+class _Visited:
+    """Pages visited so far, only ever added to. Levels that are not merged yet stay as they are; ``fan`` of them are
+    laid out by page as one run, and ``fan`` runs of one size as the next larger, so that a row is rewritten a few
+    times in a walk of any length and a level's look-ups move its frontier alone."""
+
+    def __init__(self, fan: int = 8):
+        self.fan, self.levels, self.runs = fan, [], []
+
+    def add(self, level: DataFrame) -> None:
+        self.levels.append(level)
+        if len(self.levels) == self.fan:
+            self.runs.append((1, self._merged(self.levels)))
+            self.levels = []
+            while len(self.runs) >= self.fan and len({size for size, _ in self.runs[-self.fan :]}) == 1:
+                last = self.runs[-self.fan :]
+                self.runs[-self.fan :] = [(last[0][0] * self.fan, self._merged([run for _, run in last]))]
+
+    @staticmethod
+    def _merged(parts: list[DataFrame]) -> DataFrame:
+        return co_locate(reduce(DataFrame.unionByName, parts), "walk", "url")
+
+    def parts(self) -> list[DataFrame]:
+        return [run for _, run in self.runs] + self.levels
+
+    def without(self, pages: DataFrame) -> DataFrame:
+        for part in self.parts():
+            pages = pages.join(part.select("walk", "url"), ["walk", "url"], "left_anti")
+        return pages
 
 
 def walk(
@@ -64,7 +94,6 @@ def walk(
     max_pages: int | None,
     admit: Filter | None = None,
     follow: Column | None = None,
-    compact_every: int = 16,
 ) -> DataFrame:
     """Visit pages level by level: ``(walk, url, level, trail, ord)``.
 
@@ -77,51 +106,34 @@ def walk(
     extra = [c for c in seeds.columns if c not in ("walk", "url", "seed_no")]
     trail = F.array(F.col("seed_no").cast("int"))
     frontier = dedup.first_per_key(seeds.select("walk", "url", *extra, trail.alias("trail")), ["walk", "url"], "trail")
-    levels: list[DataFrame] = []
-    base: DataFrame | None = None  # levels already written together
+    visited, used = _Visited(), None
     for level in count():  # an empty frontier ends it
         if admit is not None:
             frontier = admit(frontier)
-        done = _union([base, *levels])
         if max_pages is not None:
             frontier = dedup.first_n_per_key(frontier, "walk", "trail", max_pages, rank="_r")
-            if done is None:
-                frontier = frontier.withColumn("ord", F.col("_r"))
-            else:
-                used = done.groupBy("walk").agg(F.count(F.lit(1)).alias("_used"))
-                frontier = frontier.join(used, "walk", "left").withColumn("ord", (F.coalesce("_used", F.lit(0)) + F.col("_r")).cast("int"))
-            frontier = frontier.filter(F.col("ord") <= max_pages)
+            if used is not None:
+                frontier = frontier.join(used, "walk").withColumn("_r", F.col("_used") + F.col("_r"))
+            frontier = frontier.withColumn("ord", F.col("_r").cast("int")).filter(F.col("ord") <= max_pages)
         else:
             frontier = frontier.withColumn("ord", F.lit(None).cast("int"))
         current = cut_lineage(frontier.select("walk", "url", *extra, F.lit(level).alias("level"), "trail", "ord"))
         if current.isEmpty():
             break
-        levels.append(current)
-        if len(levels) >= compact_every:
-            base, levels = cut_lineage(_union([base, *levels])), []
-        frontier = _next_frontier(current, links, _union([base, *levels]), follow, extra)
-    out = _union([base, *levels])
-    if out is None:
-        out = current.limit(0)
-    return out.select("walk", "url", *extra, "level", "trail", "ord")
-
-
-def _union(parts) -> DataFrame | None:
-    out = None
-    for part in parts:
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _next_frontier(current: DataFrame, links: DataFrame, visited: DataFrame, follow: Column | None, extra) -> DataFrame:
-    """J7 then J6: targets of this level's pages that were not visited yet, first discovery first."""
+        visited.add(current)
+        # a walk that goes on has pages in this level, and its last number is what it has used up
+        used = current.groupBy("walk").agg(F.max("ord").alias("_used"))
+        frontier = visited.without(_discovered(current, links, follow, extra))
+    return reduce(DataFrame.unionByName, visited.parts(), current).select("walk", "url", *extra, "level", "trail", "ord")
+
+
+def _discovered(current: DataFrame, links: DataFrame, follow: Column | None, extra) -> DataFrame:
+    """J7 then J6: targets of this level's pages, first discovery first."""
     hops = current.join(links, "url")
     if follow is not None:
         hops = hops.filter(follow)
     found = hops.select("walk", F.col("target").alias("url"), *extra, F.concat("trail", F.array(F.col("pos").cast("int"))).alias("trail"))
-    first = dedup.first_per_key(found, ["walk", "url"], "trail")
-    return first.join(visited.select("walk", "url"), ["walk", "url"], "left_anti")
+    return dedup.first_per_key(found, ["walk", "url"], "trail")
 
 
 def walk_site(

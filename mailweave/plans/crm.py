@@ -14,11 +14,14 @@ from ..schemas import CRM
 _EMPTY = ("first_open", "last_open", "first_click", "last_click", "last_ip", "last_ua", "last_clicked_url")
 
 
+def preferred(field: str) -> Column:
+    """A profile's field before the contact's."""
+    return F.coalesce("prof_" + field, field)
+
+
 def preferred_fields(joined: DataFrame) -> DataFrame:
     """Found before generated address, profile before contact fields, defaults last."""
-    first = F.coalesce("prof_first_name", "first_name")
-    last = F.coalesce("prof_last_name", "last_name")
-    full = F.coalesce("prof_full_name", "full_name")
+    first, last, full = (preferred(field) for field in ("first_name", "last_name", "full_name"))
     split = t.split_first_last(full)
     need = first.isNull() & last.isNull() & full.isNotNull()
     return joined.withColumns(

@@ -34,10 +34,17 @@ def curate(contacts: DataFrame, dep_map: DataFrame, seq: str = "seq") -> DataFra
     """
     rows = with_inferred_names(cleaned(contacts)).select("departamento", "profesor_clean", "email_clean", seq)
     best = dedup.best_named_per_email(rows, seq=seq)
-    final = M.map_departments(best, dep_map).select(
-        F.col("departamento_clean").alias("departamento"), F.col("profesor_clean").alias("profesor"), F.col("email_clean").alias("email")
-    )
-    return final.orderBy(F.asc("departamento"), F.asc_nulls_last("profesor"), "email")
+    return in_order(final_columns(M.map_departments(best, dep_map)))
+
+
+def final_columns(rows: DataFrame, department: str = "departamento_clean", name: str = "profesor_clean", email: str = "email_clean") -> DataFrame:
+    """The columns of the clean table, in their order and under their names."""
+    return rows.select(F.col(department).alias("departamento"), F.col(name).alias("profesor"), F.col(email).alias("email"))
+
+
+def in_order(final: DataFrame) -> DataFrame:
+    """L2: by department, named rows first."""
+    return final.orderBy(*sinks.clean_order())
 
 
 def refreshed_map(contacts: DataFrame, dep_map: DataFrame, list_doc: DataFrame, page_doc: DataFrame, site: SiteProfile) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import emails as em
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import directory as D
+from ..operators import domains as DM
 from ..operators import extract as X
 from ..operators import html as H
 from ..operators import merge as M
@@ -27,6 +28,7 @@ _SHAPE = (
 class Directory:
     contacts: DataFrame
     profiles: DataFrame
+    failed: DataFrame  # pages that could not be parsed, by reason
 
 
 def found_rows(emails: DataFrame, method: str, notes: str, url: str = "url") -> DataFrame:
@@ -69,23 +71,31 @@ def _emails(facts: DataFrame) -> DataFrame:
     return facts.select("url", F.explode("emails").alias("email"))
 
 
-def extract_directory(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_profiles: int | None = None) -> Directory:
-    """``list_urls``: one column ``url``. Only pages of the site's registered domain are read.
+def extract_directory(
+    pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_profiles: int | None = None, suffixes: DataFrame | None = None
+) -> Directory:
+    """``list_urls``: one column ``url``. Only pages of the site's registered domain are read, by the rules in ``suffixes``
+    (see :func:`mailweave.sources.tables.read_suffix_table`) or else by the short built-in list.
 
     List pages and profile pages are parsed once each; what was read from them (not
-    the pages) is written down, and contacts and profiles are both built from that.
+    the pages) is written down, and contacts, profiles and failures are built from that.
     """
     pages = X.usable_pages(pages).select("page_id", "url", "html")
-    starts = list_urls.filter(u.same_registered_domain(F.col("url"), site.domain)).select("url").distinct()
+    starts = list_urls.select("url").distinct()
+    if suffixes is None:
+        starts = starts.filter(u.same_registered_domain(F.col("url"), site.domain))
+    else:
+        starts = DM.registered_domains(starts, "url", suffixes).filter(F.col("domain") == site.domain.lower()).select("url")
     lists = _parsed(X.pages_among(pages, starts), site.domain)
-    lists = cut_lineage(lists.select("page_id", "url", "emails", D.card_name_array().alias("names"), D.card_hrefs().alias("hrefs")))
+    lists = cut_lineage(lists.select("page_id", "url", "emails", D.card_name_array().alias("names"), D.card_hrefs().alias("hrefs"), "_error"))
     links = D.profile_links(lists.select("page_id", "url", F.inline("hrefs")), site.domain)
     links = links.select(F.col("link").alias("url"), "page_id", "pos").groupBy("url").agg(F.min(F.struct("page_id", "pos")).alias("seq"))
     if max_profiles is not None:
         links = links.orderBy("seq", "url").limit(max_profiles)
     details = _parsed(X.pages_among(pages, links), site.domain)
-    details = cut_lineage(details.select("url", "emails", D.page_title().alias("full_name"), D.page_department().alias("department")))
-    split = details.withColumn("_s", t.split_first_last(F.col("full_name")))
+    details = cut_lineage(details.select("url", "emails", D.page_title().alias("full_name"), D.page_department().alias("department"), "_error"))
+    failed = H.parse_errors(lists.select("url", "_error").unionByName(details.select("url", "_error")))
+    split = details.filter(F.col("_error").isNull()).withColumn("_s", t.split_first_last(F.col("full_name")))
     names = lists.select("url", F.explode("names").alias("full_name"))
     contacts = union_contacts(
         found_rows(_emails(lists), "email_found_list", "list page"),
@@ -104,7 +114,7 @@ def extract_directory(pages: DataFrame, list_urls: DataFrame, site: SiteProfile,
         F.col("_s.last_name").alias("last_name"), F.lit(site.university).alias("university"),
         t.blank_to_null(F.col("department")).alias("department"),
     )
-    return Directory(fresh, profiles)
+    return Directory(fresh, profiles, failed)
 
 
 def run_counters(directory: Directory) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ from ..session import cut_lineage
 from ..siteprofile import SiteProfile
 
 
+@dataclass
+class EmailIndex:
+    index: DataFrame  # email, part, found_on_urls, sorted by address
+    visited: DataFrame
+    failed: DataFrame  # pages that could not be parsed, by reason
+
+
 def email_index(
     pages: DataFrame,
     seeds: DataFrame,
@@ -21,8 +30,8 @@ def email_index(
     rules: DataFrame | None,
     max_pages: int | None = 200,
     user_agent: str = "*",
-) -> DataFrame:
-    """``seeds``: ``(url, seed_no)``. Result sorted by address.
+) -> EmailIndex:
+    """``seeds``: ``(url, seed_no)``.
 
     The site's pages are read and parsed once. What the walk and the index need of them is written down: links,
     addresses in the markup, and those of ``mailto:`` links, where entities may hide them. HTML stays behind.
@@ -30,10 +39,10 @@ def email_index(
     pages = X.usable_pages(pages).select("page_id", "url", "html")
     inside = pages.filter(u.is_internal(F.col("url"), site.domain, site.strict))
     doc = H.dom(inside.withColumn("emails", em.find_distinct_lower(F.col("html"))), parts=("nodes", "clean"))
-    facts = cut_lineage(doc.select("url", "emails", H.anchor_structs("").alias("links")))
+    facts = cut_lineage(doc.select("url", "emails", H.anchor_structs("").alias("links"), "_error"))
     links = W.co_locate(W.links_of(facts.select("url", F.inline("links")), site.base_url))
     visited = W.walk_site(links, seeds.selectExpr("'all' AS walk", "url", "seed_no"), site.domain, rules, user_agent, max_pages, site.strict)
     reached = facts.join(visited.select("url"), "url", "left_semi")
     mailto = F.transform(F.filter("links", lambda a: F.trim(a["href"]).startswith("mailto:")), lambda a: em.clean_email(a["href"]))
     pairs = reached.select("url", F.explode(F.concat("emails", mailto)).alias("email")).filter(F.col("email").isNotNull())
-    return X.inverted_index(pairs).orderBy("email", "part")
+    return EmailIndex(X.inverted_index(pairs).orderBy("email", "part"), visited, H.parse_errors(facts))

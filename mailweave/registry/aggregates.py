@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import emails as em
 from ..functions import text as t
+from ..operators import extract as X
 from ..operators import report
 from ..plans import curate
 from . import sqlkit as q
@@ -84,9 +85,7 @@ SELECT CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS v
        CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_value FROM {events}""")
 def a9(spark, d):
     kind = F.col("event_type")
-    return load(spark, d, "events").agg(
-        F.count_if(kind == "view").alias("views"), F.count_if(kind == "error").alias("errors"), F.count_if(F.col("value").isNull()).alias("no_value")
-    )
+    return report.counters(load(spark, d, "events"), views=kind == "view", errors=kind == "error", no_value=F.col("value").isNull())
 
 
 @query("a10_named_counts", "SELECT count(*) FILTER (WHERE profesor <> '' AND profesor <> 'Departamento') AS con_nombre, count(*) FILTER (WHERE coalesce(profesor, '') IN ('', 'Departamento')) AS sin_nombre FROM {@final}")
@@ -97,7 +96,7 @@ def a10(spark, d):
 @query("a11_before_after", f"SELECT count(*) AS before, count({q.clean_email('email')}) AS after, count(*) - count({q.clean_email('email')}) AS removed FROM {{@contacts}}")
 def a11(spark, d):
     raw = derived(spark, d, "{@contacts}")
-    return report.before_after(raw, curate.cleaned(raw))
+    return report.counted_step(raw, curate.cleaned)[1]
 
 
 @query("a12_quality_summary", """
@@ -121,7 +120,7 @@ def l1(spark, d):
 
 @query("l2_sort_nulls_last", "SELECT departamento, profesor, email FROM {@final} ORDER BY departamento, profesor NULLS LAST")
 def l2(spark, d):
-    return derived(spark, d, "{@final}").select("departamento", "profesor", "email").orderBy("departamento", F.asc_nulls_last("profesor"))
+    return curate.in_order(curate.final_columns(derived(spark, d, "{@final}"), "departamento", "profesor", "email"))
 
 
 @query("l6_head_rows", "SELECT seq, email FROM {@final} ORDER BY seq LIMIT 15")
@@ -138,6 +137,5 @@ def l7(spark, d):
 
 @query("l9_sort_in_array", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ' | ') AS priorities FROM {orders} GROUP BY o_custkey")
 def l9(spark, d):
-    # the set per key is bounded: there are five priorities
-    sets = load(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
-    return sets.select("o_custkey", F.array_join(F.array_sort("p"), " | ").alias("priorities"))
+    sets = X.url_sets(load(spark, d, "orders"), "o_custkey", "o_orderpriority")
+    return sets.select(F.col("email").alias("o_custkey"), F.array_join("urls", " | ").alias("priorities"))

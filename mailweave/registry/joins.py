@@ -201,7 +201,8 @@ def p14(spark, d):
 
 @query("p17_reorder_and_rename", "SELECT email AS correo, profesor AS nombre, departamento AS dep FROM {@contacts}")
 def p17(spark, d):
-    return derived(spark, d, "{@contacts}").select(F.col("departamento").alias("dep"), F.col("profesor").alias("nombre"), F.col("email").alias("correo"))
+    named = curate.final_columns(derived(spark, d, "{@contacts}").select("seq", "email", "profesor", "departamento"), "departamento", "profesor", "email")
+    return named.toDF("dep", "nombre", "correo")
 
 
 @query("p18_prefix_columns", "SELECT source_url AS prof_source_url, full_name AS prof_full_name, first_name AS prof_first_name, last_name AS prof_last_name, university AS prof_university, department AS prof_department FROM {@profiles}")
@@ -227,8 +228,7 @@ def p21(spark, d):
 
 @query("p22_prefer_profile_fields", f"SELECT c.seq, coalesce(p.full_name, c.full_name) AS full_name, coalesce(p.first_name, c.first_name) AS first_name, coalesce(p.last_name, c.last_name) AS last_name {_CRM_FROM}")
 def p22(spark, d):
-    j = _joined(spark, d)
-    return j.select("seq", *[F.coalesce("prof_" + c, c).alias(c) for c in ("full_name", "first_name", "last_name")])
+    return _joined(spark, d).select("seq", *[crm.preferred(c).alias(c) for c in ("full_name", "first_name", "last_name")])
 
 
 @query("p23_names_from_full_name", f"SELECT c.seq, {_FIRST} AS first_name, {_LAST} AS last_name {_CRM_FROM}")

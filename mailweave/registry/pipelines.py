@@ -131,7 +131,7 @@ UNION SELECT concat('web', CAST(s AS STRING), '@mail.example.edu'), concat('{_MA
 def q3(spark, d):
     rules = derived(spark, d, "SELECT concat('d', CAST(s AS STRING), '.example.edu') AS host, '*' AS agent, '/' AS path_prefix, false AS allow, 1 AS rule_no FROM {@depts} UNION ALL SELECT 'www.example.edu', '*', '/private/', false, 1 FROM {@depts} WHERE s = 0")
     seeds = graph._site_seeds(spark, d).select("url", "seed_no")
-    return email_index.email_index(webs.everything(spark, d), seeds, SITE, rules, None, "testbot/1.0").select("email", "found_on_urls")
+    return email_index.email_index(webs.everything(spark, d), seeds, SITE, rules, None, "testbot/1.0").index.select("email", "found_on_urls")
 
 
 # -- Q4 -------------------------------------------------------------------------------------------
@@ -144,7 +144,7 @@ UNION ALL SELECT concat('Titular ', n_name), concat(lower(n_name), '@mail.exampl
 SELECT * FROM {{@q4_main}} UNION ALL SELECT {q.symbols('display')}, email, 'Varios' FROM {{@staff}} WHERE k % 4 = 0 AND email NOT IN (SELECT correo FROM {{@q4_main}})""")
 def q4(spark, d):
     lists = webs.department_lists(spark, d).select("url")
-    return departments.contacts_by_structure(webs.everything(spark, d), lists, webs.directory_pages(spark, d).select("url"), SITE)
+    return departments.contacts_by_structure(webs.everything(spark, d), lists, webs.directory_pages(spark, d).select("url"), SITE).contacts
 
 
 # -- Q5, Q6 ------------------------------------------------------------------------------------------

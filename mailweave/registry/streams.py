@@ -29,7 +29,7 @@ def _run_twice(spark, folders, schema, sink) -> None:
 
 @query("st1_first_seen_emails", "SELECT DISTINCT email FROM {@emails}")
 def st1(spark, d):
-    src, out, state = scratch(spark), scratch(spark), scratch(spark)
+    src, out, state = scratch(first_seen.keep_state_on_disk(spark)), scratch(spark), scratch(spark)
     derived(spark, d, "{@texts}").repartition(4).write.parquet(src)
     stream = spark.readStream.schema("src string, url string, text string").option("maxFilesPerTrigger", 1).parquet(src)
     emails = first_seen.first_seen_emails(stream, "text").select("email")
@@ -46,7 +46,8 @@ def st1_watermark(spark, d):
     stream = spark.readStream.schema("ts timestamp, text string").parquet(src)
     emails = first_seen.first_seen_emails(stream, "text", "ts", "3650 days").select(F.regexp_extract("email", r"u(\d+)@", 1).cast("long").alias("user"))
     run = emails.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    if first_seen.LateRows(run).wait():
+        raise RuntimeError("no row is older than ten years")
     return spark.read.schema("user long").parquet(out)
 
 
@@ -55,7 +56,7 @@ SELECT DISTINCT sha256(concat(coalesce(source_url, ''), '|', coalesce(full_name,
 def st2_contacts(spark, d):
     table = scratch(spark)
     _run_twice(spark, *_split_log(spark, d, "{@stored}"), upsert.contact_sink(table))
-    return spark.read.parquet(table).select("id")
+    return upsert.current_contacts(spark, table).select("id")
 
 
 _LATEST = ", ".join(f"max_by({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in M.PROFILE_VALUES)

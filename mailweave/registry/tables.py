@@ -104,10 +104,9 @@ def k5(spark, d):
 
 @query("k6_clean_csvs", "SELECT 'all' AS file, departamento, profesor, email FROM {@curated} UNION ALL SELECT 'named', departamento, profesor, email FROM {@curated} WHERE profesor IS NOT NULL")
 def k6(spark, d):
-    every, named = scratch(spark), scratch(spark)
-    sinks.write_clean(curate.curate(derived(spark, d, "{@contacts}"), derived(spark, d, "{@dep_map}")), every, named)
-    cols = ["departamento", "profesor", "email"]
-    parts = [_read_csv(spark, p, cols).select(F.lit(n).alias("file"), *cols) for n, p in (("all", every), ("named", named))]
+    path = scratch(spark)
+    sinks.write_clean(curate.curate(derived(spark, d, "{@contacts}"), derived(spark, d, "{@dep_map}")), path)
+    parts = [tables.read_clean(spark, path, only).withColumn("file", F.lit(name)) for name, only in (("all", False), ("named", True))]
     return parts[0].unionByName(parts[1])
 
 

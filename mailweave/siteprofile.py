@@ -46,21 +46,27 @@ PROFILE_BLOCK_SELECTORS = (
     "div[class*='profile']", "div[class*='staff']", "div[class*='member']", "div[class*='faculty']",
 )
 # (key, template) pairs; the key is looked up in the short department name
-STAFF_URL_PATTERNS = tuple(
-    (key, "{base}/ss/Satellite/" + code + "/es/ListadoPersonalDept/1371321047774/" + page)
-    for key, code in (
-        ("informatica", "DeptInformatica"),
-        ("matematicas", "DeptMatematicas"),
-        ("cienciasingenieriademateriales", "DeptCienIngMatIngQuim"),
-    )
-    for page in ("Profesores_Titulares", "Profesores_Asociados", "Profesores_permanentes")
-) + (
+STAFF_URL_PATTERNS = (
+    ("informatica", "{base}/ss/Satellite/DeptInformatica/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("informatica", "{base}/ss/Satellite/DeptInformatica/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("informatica", "{base}/ss/Satellite/DeptInformatica/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
+    ("matematicas", "{base}/ss/Satellite/DeptMatematicas/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("matematicas", "{base}/ss/Satellite/DeptMatematicas/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("matematicas", "{base}/ss/Satellite/DeptMatematicas/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
+    ("cienciasingenieriademateriales", "{base}/ss/Satellite/DeptCienIngMatIngQuim/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("cienciasingenieriademateriales", "{base}/ss/Satellite/DeptCienIngMatIngQuim/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("cienciasingenieriademateriales", "{base}/ss/Satellite/DeptCienIngMatIngQuim/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
     ("cienciassociales", "{base}/departamento-ciencias-sociales/personal-tiempo-completo"),
     ("cienciassociales", "{base}/departamento-ciencias-sociales/personal-asociado"),
-) + tuple(
-    (key, "{base}/ss/Satellite/" + code + "/es/ListadoPersonalDept/1371321047774/" + page)
-    for key, code in (("economia", "DeptEconomia"), ("fisica", "DeptFisica"), ("derecho", "DeptDerecho"))
-    for page in ("Profesores_Titulares", "Profesores_Asociados", "Profesores_permanentes")
+    ("economia", "{base}/ss/Satellite/DeptEconomia/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("economia", "{base}/ss/Satellite/DeptEconomia/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("economia", "{base}/ss/Satellite/DeptEconomia/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
+    ("fisica", "{base}/ss/Satellite/DeptFisica/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("fisica", "{base}/ss/Satellite/DeptFisica/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("fisica", "{base}/ss/Satellite/DeptFisica/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
+    ("derecho", "{base}/ss/Satellite/DeptDerecho/es/ListadoPersonalDept/1371321047774/Profesores_Titulares"),
+    ("derecho", "{base}/ss/Satellite/DeptDerecho/es/ListadoPersonalDept/1371321047774/Profesores_Asociados"),
+    ("derecho", "{base}/ss/Satellite/DeptDerecho/es/ListadoPersonalDept/1371321047774/Profesores_permanentes"),
 )
 SEED_URLS = (
     "https://www.uc3m.es/ss/Satellite/DeptMatematicas/es/ListadoPersonalDept/1371321047774/Profesores_Titulares",
@@ -93,4 +99,3 @@ class SiteProfile:
 
 
 UC3M = SiteProfile("uc3m.es", "https://www.uc3m.es", ("uc3m.es", "pa.uc3m.es"), "UC3M", "UC3M")
-BERKELEY = SiteProfile("berkeley.edu", "https://www.berkeley.edu", ("berkeley.edu",), "UC Berkeley", "UC Berkeley")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..session import cut_lineage
+
+
+def clean_order() -> list[Column]:
+    """L2: by department, rows with a name first."""
+    return [F.asc("departamento"), F.asc_nulls_last("profesor"), F.asc("email")]
 
 
 def write_csv(df: DataFrame, path: str, order=None, mode: str = "overwrite") -> None:
     """K1-K5: CSV with header, in the stated order; quotes are doubled as usual."""
     ordered = df.orderBy(*order) if order else df
-    writer = ordered.write.mode(mode).option("header", True).option("escape", '"')
+    _csv_writer(ordered, mode).csv(path)
+
+
+def _csv_writer(df: DataFrame, mode: str) -> DataFrameWriter:
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
     # keep empty strings and NULL alike as empty fields, and blanks as they are
     writer = writer.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
-    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
+    return writer.option("ignoreTrailingWhiteSpace", False)
 
 
 def write_email_index(index: DataFrame, path: str) -> None:
@@ -52,12 +60,15 @@ def with_name(df: DataFrame, name: str = "profesor") -> DataFrame:
     return df.filter(F.col(name).isNotNull())
 
 
-def write_clean(final: DataFrame, all_path: str, named_path: str) -> None:
-    """K6: all rows, and the rows with a name; the plan runs once."""
-    final = cut_lineage(final)
-    order = ["departamento", F.asc_nulls_last("profesor"), "email"]
-    write_csv(final, all_path, order)
-    write_csv(with_name(final), named_path, order)
+def write_clean(final: DataFrame, path: str) -> None:
+    """K6: all rows, and among them those with a name, in one write of one sort.
+
+    Ranges of the order become tasks, and each writes its rows with a name to ``has_name=true`` and the others to
+    ``has_name=false``. Files keep the order by their names in both folders; see
+    :func:`mailweave.sources.tables.read_clean`.
+    """
+    ranged = final.withColumn("has_name", F.col("profesor").isNotNull()).repartitionByRange(*clean_order())
+    _csv_writer(ranged.sortWithinPartitions("has_name", *clean_order()), "overwrite").partitionBy("has_name").csv(path)
 
 
 def write_department_map(dep_map: DataFrame, path: str, changed: DataFrame | None = None) -> bool:

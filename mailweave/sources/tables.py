@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas, siteprofile
 from ..functions import text as t
-from ..operators import extract
+from ..operators import domains, extract
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +25,12 @@ def read_contacts_csv(spark: SparkSession, path: str, schema=schemas.DEPARTMENT_
     return spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
+def read_clean(spark: SparkSession, path: str, named_only: bool = False, schema=schemas.DEPARTMENT_CONTACTS) -> DataFrame:
+    """K6 read back: all rows, or those with a name, whose folder alone is read then."""
+    files = read_contacts_csv(spark, path, T.StructType([*schema.fields, T.StructField("has_name", T.BooleanType())]))
+    return (files.filter("has_name") if named_only else files).drop("has_name")
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """S3: one URL per line, trimmed, blank lines dropped."""
     lines = spark.read.text(path).select(t.strip(F.col("value")).alias("value"))
@@ -66,7 +73,16 @@ def keyword_counts(df: DataFrame, text: str, words) -> DataFrame:
     return df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("rows"))
 
 
+def read_suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """The public suffix list as ``(suffix, kind)``, for :func:`mailweave.operators.domains.registered_domains`."""
+    return domains.suffix_rules(_suffix_lines(spark, path))
+
+
+def _suffix_lines(spark: SparkSession, path: str) -> DataFrame:
+    rules = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("rule"))
+    return rules.filter((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+
+
 def read_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
     """The public suffix list's rules, one per line; comments and blank lines dropped. The list has some 10,000 rules."""
-    rules = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("rule"))
-    return tuple(r.rule.lower() for r in rules.filter((F.col("rule") != "") & ~F.col("rule").startswith("//")).collect())
+    return tuple(r.rule.lower() for r in _suffix_lines(spark, path).collect())

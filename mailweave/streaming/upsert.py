@@ -4,6 +4,9 @@ Each micro-batch writes its own folder ``run=N/batch_id=M`` and nothing else, so
 rewrites the table, and replaying a batch after a failure overwrites just what that batch had
 written. A run is a checkpoint's lifetime: Spark keeps the query's id with the checkpoint, so a restart
 goes on in its run, and a new checkpoint, whose batches count from 0 again, begins the next one.
+
+Contacts are also kept in buckets by their id, as folders below the batch: a batch looks for its ids in the buckets
+that they fall into, and in the id column alone.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import merge as M
+from ..session import cut_lineage
 
-_RUN, _BATCH = "run", "batch_id"
+_RUN, _BATCH, _BUCKET = "run", "batch_id", "bucket"
+_BUCKETS = "_buckets-"
 _MARK = "_query-"
 #: Run number of a compacted table.
 BASE = -1
@@ -62,22 +67,55 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def _write_batch(df: DataFrame, path: str, run: int, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{_RUN}={run}/{_BATCH}={batch_id}")
+def _write_batch(df: DataFrame, path: str, run: int, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{_RUN}={run}/{_BATCH}={batch_id}")
+
+
+def _bucket_count(spark: SparkSession, path: str, wanted: int) -> int:
+    """The table's number of buckets, which is noted in it when it is begun."""
+    files, where = _folder(spark, path)
+    for status in files.listStatus(where) if files.exists(where) else []:
+        name = status.getPath().getName()
+        if name.startswith(_BUCKETS):
+            return int(name.removeprefix(_BUCKETS))
+    _, mark = _folder(spark, f"{path}/{_BUCKETS}{wanted}")
+    files.create(mark).close()
+    return wanted
 
 
-def contact_sink(path: str, seq: str = "seq"):
-    """foreachBatch function for M1: append contacts whose id is new."""
+def _bucketed(contacts: DataFrame, buckets: int) -> DataFrame:
+    return contacts.withColumn(_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def contact_sink(path: str, seq: str = "seq", buckets: int = 64):
+    """foreachBatch function for M1: append contacts whose id is new. ``buckets`` holds for a table that is begun."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run, stored = _run_of(batch.sparkSession, path), _stored(batch.sparkSession, path)
-        if stored is not None:  # what a replay finds of its own batch does not count
-            stored = stored.filter((F.col(_RUN) < run) | (F.col(_BATCH) < batch_id))
-        _write_batch(M.upsert_contacts(stored, batch, seq), path, run, batch_id)
+        spark = batch.sparkSession
+        run, n = _run_of(spark, path), _bucket_count(spark, path, buckets)
+        fresh = cut_lineage(_bucketed(M.upsert_contacts(None, batch, seq), n))
+        touched = [r[0] for r in fresh.select(_BUCKET).distinct().collect()]  # at most the number of buckets
+        known = _stored(spark, path)
+        if known is not None:  # what a replay finds of its own batch does not count
+            known = known.filter(F.col(_BUCKET).isin(touched)).filter((F.col(_RUN) < run) | (F.col(_BATCH) < batch_id))
+            fresh = fresh.join(known.select("id"), "id", "left_anti").select(*fresh.columns)
+        _write_batch(fresh, path, run, batch_id, (_BUCKET,))
 
     return apply
 
 
+def current_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """The contacts so far, each id once."""
+    return spark.read.parquet(path).drop(_RUN, _BATCH, _BUCKET)
+
+
+def compact_contacts(spark: SparkSession, path: str, target: str) -> None:
+    """Write the table elsewhere with one file for each bucket, as a base that comes before all runs of the new table."""
+    n = _bucket_count(spark, target, _bucket_count(spark, path, 64))
+    whole = _bucketed(current_contacts(spark, path), n)
+    _write_batch(whole.repartition(n, _BUCKET), target, BASE, 0, (_BUCKET,))
+
+
 def profile_sink(path: str, seq: str = "seq"):
     """foreachBatch function for M2: log each batch's newest values per profile."""
 

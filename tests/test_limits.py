@@ -164,7 +164,7 @@ def test_two_million_urls_are_one_scan(spark, tmp_path):
 def test_the_index_reads_pages_once(spark):
     pages = spark.createDataFrame([(1, "https://www.a.es/", '<a href="/p">p</a> x@a.es <a href="mailto:y&#64;a.es">y</a>'), (2, "https://www.a.es/p", "z@a.es x@a.es"), (3, "https://www.a.es/q", "no@a.es")], "page_id long, url string, html string")
     seeds = spark.createDataFrame([("https://www.a.es/", 0)], "url string, seed_no int")
-    rows = {(r.email, r.part): r.found_on_urls for r in email_index.email_index(pages, seeds, SITE, None).collect()}
+    rows = {(r.email, r.part): r.found_on_urls for r in email_index.email_index(pages, seeds, SITE, None).index.collect()}
     assert rows == {("x@a.es", 0): "https://www.a.es/ | https://www.a.es/p", ("y@a.es", 0): "https://www.a.es/", ("z@a.es", 0): "https://www.a.es/p"}
 
 
