@@ -54,10 +54,13 @@ def _per_shard(numbers: dict[int, int], shards: int, default: int = 1) -> Column
     return F.element_at(F.array(*[F.lit(numbers.get(s, default)) for s in range(shards)]), F.col("shard") + 1)
 
 
-def _numbered_copies(rows: DataFrame, bucket_bytes: int) -> DataFrame:
-    """``rows`` with ``copy``: 0, but for records so frequent that their copies would fill a bucket: those are counted
-    and dealt out again with a number each, in parts. There are at most two such records for each bucket."""
+def _numbered_copies(rows: DataFrame, bucket_bytes: int, buckets: int) -> DataFrame:
+    """``rows`` with ``copy``: 0, but for records so frequent that their copies would fill half a bucket: those are counted
+    and dealt out again with a number each, in parts. There are at most two such records for each bucket, so while
+    buckets are few the other records go through no exchange here."""
     frequent = rows.groupBy("shard", "mark").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > bucket_bytes // 2).select("shard", "mark")
+    if buckets <= BROADCAST_BUCKETS:
+        frequent = F.broadcast(frequent)
     same = ["shard", "mark"]
     single = rows.join(frequent, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
     counted = rows.join(frequent, same, "left_semi").groupBy("shard", "mark", "record", "size").count()
@@ -100,7 +103,7 @@ def shuffle_into_shards(
     for s in range(shards):
         before[s], total = total, total + buckets.get(s, 1)
     place = F.pmod(F.xxhash64("mark", "copy"), _per_shard(buckets, shards).cast("long"))
-    dealt = _numbered_copies(rows, bucket_bytes).withColumn("bucket", (_per_shard(before, shards) + place).cast("int"))
+    dealt = _numbered_copies(rows, bucket_bytes, total).withColumn("bucket", (_per_shard(before, shards) + place).cast("int"))
     full = dealt.repartitionById(total, F.col("bucket")).groupBy("bucket").agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list(F.struct("mark", "record"))).alias("rows"))
     mixed = full.select("bucket", "shard", F.shuffle("rows", F.lit(seed)).alias("rows"))
     out = mixed.select("bucket", "shard", F.posexplode("rows").alias("pos", "row")).select(F.col("row.record").alias("record"), "bucket", "pos", "shard")
