@@ -212,7 +212,7 @@ def main_text(pages: DataFrame, model: BiLstm | None) -> DataFrame:
 
     Blocks that the labeller takes for main text, character references decoded and white space made one space, joined in page
     order by one space. Null or empty html, and pages without main text, give the empty text; unclosed tags are closed as
-    browsers do, a page cut off in a tag ends there. Repeated rows are read each; an empty table gives no rows; other columns are not read.
+    browsers do, a page cut off in a tag ends there. Pages of any length are read whole, one task a page. Repeated rows are read each; an empty table gives no rows; other columns are not read.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)  # about 80,000 numbers
 

@@ -150,7 +150,7 @@ def stupid_backoff(docs: DataFrame, tokenizer: str, backoff: float = BACKOFF, bu
     most documents have adds at most one entry for each document of a group. The tokenizer's vocabulary bounds
     the only tables that are broadcast (token counts).
 
-    Null and empty texts have no tokens and score 0; repeated rows are scored each; an empty table gives no rows; other
+    Null and empty texts have no tokens and score 0; texts of any length are read whole, one task a text; repeated rows are scored each; an empty table gives no rows; other
     columns are not read.
     """
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0

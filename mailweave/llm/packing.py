@@ -60,7 +60,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     of those (fewer than k for each class k, so a bounded number) are fitted into common bins by one task.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass``. Null
-    texts are empty and hold the end id alone; repeated rows are packed each; an empty table gives no rows; other
+    texts are empty and hold the end id alone; texts of any length are tokenised whole and cut to pieces; repeated rows are packed each; an empty table gives no rows; other
     columns are not read. A null doc_id stays null.
     """
 

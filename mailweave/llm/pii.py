@@ -172,7 +172,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Base: e-mail, IPv4, card and phone. Anchors add: addresses with letters beyond ASCII (at-signs), user names and IPv6
     hosts in links (schemes), and bank, tax, account and document numbers after their cues. Null and empty
-    texts have no spans; repeated rows are read each; an empty table gives no rows; other columns are not read.
+    texts have no spans; texts of any length are read whole; repeated rows are read each; an empty table gives no rows; other columns are not read.
     """
 
     def run(rows):

@@ -101,7 +101,7 @@ def _measured(held, rows: pa.RecordBatch) -> np.ndarray:
 def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``doc_id, score`` (0 to 1, higher: better) of each whole text, in chunks of ``CHUNK`` bytes so that length does not dilute the dictionaries.
 
-    Null and empty texts get the score of an empty text; repeated rows are scored each; an empty table gives no rows;
+    Null and empty texts get the score of an empty text; texts of any length are read whole; repeated rows are scored each; an empty table gives no rows;
     no other column is read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -106,7 +106,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     """``doc_id, fp, component_id`` for each document (``doc_id, text``).
 
     Texts with equal fingerprints are one point before anything is compared, so copies cost nothing. Null, empty
-    and wordless texts have fingerprint 0 and link like any other. ``component_id`` is the smallest doc_id reachable;
+    and wordless texts have fingerprint 0 and link like any other; texts of any length are read whole. ``component_id`` is the smallest doc_id reachable;
     a null doc_id takes part but names no component (null if there is no other). Repeated rows stay; an empty
     table gives no rows; other columns are not read.
     """
