@@ -1,4 +1,8 @@
-"""A training corpus from ``documents`` in five stages, each an operator for training data."""
+"""A training corpus from ``documents`` in five stages, each an operator for training data.
+
+Each stage takes null and empty texts, texts of any length, repeated rows, null ids, other columns and an empty table; what
+it does with them is said below or in its operator. All but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
@@ -19,27 +23,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts; it learns from the labels of documents that are here."""
+    """Documents that the compression classifier accepts; it learns from the labels of documents that are here.
+
+    Null and empty texts are judged as the empty text, repeated rows each by itself. Without labels of both classes all stay, with a warning.
+    """
     return good_documents(docs, train_quality(docs, open_labels(load(ship_package(spark), sf_dir, "labels"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group, the smallest id."""
+    """One row of each SimHash group: the smallest id, null ids last, and of rows that share it the first by number. Texts without words are one group."""
     return one_row_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ``benchmark`` occurs."""
+    """Documents in which no window of ``benchmark`` occurs; those without words stay, and all where ``benchmark`` has no words."""
     return decontaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked; null texts stay null."""
     return without_personal_data(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences; a null or empty text is a piece of its end id alone, repeated rows are packed each."""
     return harmonic_pack(docs, default_path())
 
 
