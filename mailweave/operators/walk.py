@@ -94,6 +94,7 @@ def walk(
     max_pages: int | None,
     admit: Filter | None = None,
     follow: Column | None = None,
+    compact_every: int = 8,
 ) -> DataFrame:
     """Visit pages level by level: ``(walk, url, level, trail, ord)``.
 
@@ -101,12 +102,13 @@ def walk(
     run in one plan. ``max_pages`` counts every page taken from the queue, found or
     not, per walk. ``admit`` filters what may be taken from the queue without using up
     budget; ``follow`` says which edges are pursued and may use ``ord`` (the page's
-    visit number from 1, only with a cap), the edge's columns and the walk's columns.
+    visit number from 1, only with a cap), the edge's columns and the walk's columns. So many levels as
+    ``compact_every`` says, two at least, are laid out together.
     """
     extra = [c for c in seeds.columns if c not in ("walk", "url", "seed_no")]
     trail = F.array(F.col("seed_no").cast("int"))
     frontier = dedup.first_per_key(seeds.select("walk", "url", *extra, trail.alias("trail")), ["walk", "url"], "trail")
-    visited, used = _Visited(), None
+    visited, used = _Visited(max(2, compact_every)), None
     for level in count():  # an empty frontier ends it
         if admit is not None:
             frontier = admit(frontier)

@@ -112,16 +112,13 @@ def test_ranks_over_ranges(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_visited_pages_are_only_added_to(spark, monkeypatch):
+def test_visited_pages_are_only_added_to(spark):
     links = [(f"h{i}", f"h{j}", k) for i in range(24) for k, j in enumerate((i + 1, max(0, i - 3), i // 2)) if j < 24]
     links = spark.createDataFrame(links, "url string, target string, pos int")
     seeds = spark.createDataFrame([("w", "h0", 0), ("v", "h12", 0)], "walk string, url string, seed_no int")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    real = walk._Visited
-    monkeypatch.setattr(walk, "_Visited", lambda: real(fan=2))
-    merged = {(r.walk, r.url): (r.level, tuple(r.trail), r.ord) for r in walk.walk(walk.co_locate(links), seeds, 9).collect()}
-    monkeypatch.setattr(walk, "_Visited", lambda: real(fan=100))
-    plain = {(r.walk, r.url): (r.level, tuple(r.trail), r.ord) for r in walk.walk(links, seeds, 9).collect()}
+    merged = {(r.walk, r.url): (r.level, tuple(r.trail), r.ord) for r in walk.walk(walk.co_locate(links), seeds, 9, compact_every=2).collect()}
+    plain = {(r.walk, r.url): (r.level, tuple(r.trail), r.ord) for r in walk.walk(links, seeds, 9, compact_every=100).collect()}
     assert merged == plain and len(merged) == 18 and spark.conf.get("spark.sql.adaptive.enabled") == adaptive
 
 
