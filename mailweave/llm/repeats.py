@@ -20,7 +20,7 @@ LENGTH = 100
 #: Anchors are substrings of so many bytes; each window of ``LENGTH`` bytes is dealt by one of its own.
 GRAM = 32
 PART_BYTES = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: An anchor with more different pieces than this is dealt by whole windows instead
 HOT = 2_000
 #: Stands for null ids while the least one is sought
