@@ -139,10 +139,17 @@ _SAMPLED_TYPE = pa.schema(
 def _sample(pages: DataFrame, seed: int) -> list:
     """At most ``SAMPLE_PAGES`` pages with text as blocks. Where those with the smallest hashes have none, all pages are asked."""
     names_it = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
+    mark = F.xxhash64(F.lit(seed), "page_id", "html")
     usable = pages.where("html IS NOT NULL").select("page_id", "html")
-    few = usable.orderBy(F.desc(names_it), F.xxhash64(F.lit(seed), "page_id", "html")).limit(SAMPLE_PAGES)
+    # which pages is decided by their hashes alone; no other page's html travels
+    first = usable.select(names_it.alias("names_it"), mark.alias("mark")).distinct().orderBy(F.desc("names_it"), "mark").limit(SAMPLE_PAGES)
+    few = usable.join(F.broadcast(first.select("mark")), mark == F.col("mark"), "left_semi")
     order = [F.desc("names_it"), F.col("mark")]
-    return _sampled_blocks(few, seed).orderBy(*order).collect() or _sampled_blocks(usable, seed).orderBy(*order).limit(SAMPLE_PAGES).collect()
+    for some in (few, usable):
+        found = _sampled_blocks(some, seed).dropDuplicates(["mark"]).orderBy(*order).limit(SAMPLE_PAGES).collect()
+        if found:
+            break
+    return found
 
 
 def train_labeller(pages: DataFrame, seed: int = 1) -> BiLstm | None:
