@@ -51,15 +51,15 @@ _FEW = 8 << 20
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def dealt(df: DataFrame, sf_dir: str, table: str) -> DataFrame:
-    """``df``, which comes from ``table``, over all cores where that table's files are small.
+def dealt(df: DataFrame, sf_dir: str, *tables: str, parts: int | None = None) -> DataFrame:
+    """``df``, which comes from ``tables``, over all cores, or in ``parts``, where those tables' files are small.
 
     Decided on the files' lengths. Larger tables keep their splits, so that no HTML is moved.
     """
     spark = df.sparkSession
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/{table}.parquet").select("length")
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{table}.parquet" for table in tables]).select("length")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if (files.groupBy().sum("length").first()[0] or 0) < cores * _FEW else df
+    return df.repartition(parts or cores) if (files.groupBy().sum("length").first()[0] or 0) < cores * _FEW else df
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:

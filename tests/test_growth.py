@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailweave.functions import urls as u
 from mailweave.operators import dedup, domains, html, report, walk
 from mailweave.plans import departments, directory, email_index
+from mailweave.registry import core, streams
 from mailweave.siteprofile import SiteProfile
 from mailweave.sources import sinks, tables
 from mailweave.streaming import first_seen, upsert
@@ -203,3 +204,17 @@ def test_a_batch_of_contacts_reads_its_buckets(spark, tmp_path):
     assert all(len(list(b.glob("*.parquet"))) == 1 for b in (tmp_path / "base" / "run=-1" / "batch_id=0").glob("bucket=*"))
     upsert.contact_sink(base, buckets=4)(spark.createDataFrame([_contact(7), _contact(900)], CONTACT), 0)  # the table's own number of buckets holds
     assert upsert.current_contacts(spark, base).count() == 202
+
+
+def test_first_seen_texts_stay_in_their_splits(spark, tmp_path, monkeypatch):
+    docs = [(i, f"s{i}", f"u{i % 9}@x.es and w{i}@y.es") for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "http://p", "<p>p@x.es</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = []
+    monkeypatch.setattr(streams, "scratch", lambda s: made.append(core.scratch(s)) or made[-1])
+    for few, least in ((core._FEW, 1), (0, 5)):
+        monkeypatch.setattr(core, "_FEW", few)
+        made.clear()
+        found = sorted(r.email for r in streams.st1(spark, str(tmp_path)).collect())
+        assert found == sorted({*(f"u{i % 9}@x.es" for i in range(24)), *(f"w{i}@y.es" for i in range(24)), "p@x.es"})
+        assert len(spark.read.parquet(made[0]).inputFiles()) >= least
