@@ -99,7 +99,8 @@ def contact_sink(path: str, seq: str = "seq", buckets: int = 64):
         if known is not None:  # what a replay finds of its own batch does not count
             known = known.filter(F.col(_BUCKET).isin(touched)).filter((F.col(_RUN) < run) | (F.col(_BATCH) < batch_id))
             fresh = fresh.join(known.select("id"), "id", "left_anti").select(*fresh.columns)
-        _write_batch(fresh, path, run, batch_id, (_BUCKET,))
+        # a bucket's rows come together first: a file or a few for each, and not one from every task
+        _write_batch(fresh.hint("rebalance", _BUCKET), path, run, batch_id, (_BUCKET,))
 
     return apply
 

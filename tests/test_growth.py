@@ -218,3 +218,25 @@ def test_first_seen_texts_stay_in_their_splits(spark, tmp_path, monkeypatch):
         found = sorted(r.email for r in streams.st1(spark, str(tmp_path)).collect())
         assert found == sorted({*(f"u{i % 9}@x.es" for i in range(24)), *(f"w{i}@y.es" for i in range(24)), "p@x.es"})
         assert len(spark.read.parquet(made[0]).inputFiles()) >= least
+
+
+def test_a_log_is_split_by_many_tasks_and_streams_in_order(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS event_id").write.parquet(str(tmp_path / "events.parquet"))
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        parts, schema = streams._split_log(spark, str(tmp_path), "SELECT event_id AS seq FROM {events}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    rows = [sorted(r.seq for r in spark.read.parquet(p).collect()) for p in parts]
+    assert sum(rows, []) == list(range(1000)) and all(100 < len(r) < 400 for r in rows)
+    assert all(len(spark.read.parquet(p).inputFiles()) == 3 for p in parts)
+    seen = []
+    streams._run_twice(spark, parts, schema, lambda batch, number: seen.append((number, sorted(r.seq for r in batch.collect()))))
+    assert seen == list(zip((0, 1, 0, 1), rows))
+
+
+def test_a_bucket_of_a_batch_is_not_a_file_from_every_task(spark, tmp_path):
+    batch = spark.createDataFrame([_contact(i) for i in range(200)], CONTACT)
+    upsert.contact_sink(str(tmp_path / "t"), buckets=4)(batch, 0)
+    assert len(list((tmp_path / "t").glob("run=0/batch_id=0/bucket=*/*.parquet"))) == 4
