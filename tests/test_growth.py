@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailweave.functions import urls as u
-from mailweave.operators import dedup, domains, html, report, walk
+from mailweave.operators import dedup, domains, html, report, robots, walk
 from mailweave.plans import departments, directory, email_index
 from mailweave.registry import core, streams
 from mailweave.siteprofile import SiteProfile
@@ -240,3 +240,21 @@ def test_a_bucket_of_a_batch_is_not_a_file_from_every_task(spark, tmp_path):
     batch = spark.createDataFrame([_contact(i) for i in range(200)], CONTACT)
     upsert.contact_sink(str(tmp_path / "t"), buckets=4)(batch, 0)
     assert len(list((tmp_path / "t").glob("run=0/batch_id=0/bucket=*/*.parquet"))) == 4
+
+
+def test_robots_rules_of_one_host_are_rows(spark):
+    ends = ["", *"abcdefgh"]
+    rules = [("h", "*", f"/{a}{b}", (i + j) % 3 == 0, (7 * i + 5 * j) % 11) for i, a in enumerate(ends) for j, b in enumerate(ends) if a or not b]
+    rules += [("h", "*", None, False, 0), ("h", "*", "/a/b/c", None, -1), ("free", "other", "/", False, 1)]
+    df = spark.createDataFrame(rules, "host string, agent string, path_prefix string, allow boolean, rule_no int")
+    urls = [f"http://h/{a}{b}{c}" for a in ends for b in ends for c in ("", "x", "/b/c")] + ["http://free/x", "http://none/x", "http://h", None, "http://h/q", "http://h/q"]
+
+    def allowed(url):
+        host, _, path = (url or "http://none")[7:].partition("/")
+        own = sorted((no, prefix, allow) for h, agent, prefix, allow, no in rules if h == host and agent == "*" and prefix is not None and f"/{path}".startswith(prefix))
+        return host in ("h", "free") and (not own or own[0][2] is not False)
+
+    ready = robots.prepared(df, "bot")
+    assert ready.count() == len({r[2] for r in rules if r[0] == "h" and r[2] is not None}) + 2  # no host has a list
+    got = robots.allowed_by(spark.createDataFrame([(u,) for u in urls], "url string"), ready)
+    assert sorted(r.url for r in got.collect()) == sorted(u for u in urls if allowed(u))
