@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 from heapq import nlargest
 from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .calibrate import Logistic, Share, fitted, labelled_sample, remainder
+from .calibrate import Logistic, Share, fitted_over, labelled_sample, remainder
 from .common import load, map_slices, plain, texts, written
 
-ROWS = 2000
 ORDER = 5
 DISCOUNT = 0.75
 WORD_DISCOUNT = 2.5
-#: More different n-grams and words than this are an error, never cut
-MOST_GRAMS = 4_000_000
+#: Words whose values are broadcast at once, 16 bytes each (24 in training); more go in rounds
+MOST_WORDS = 4_000_000
 LETTERS = 1 / 256
 WINDOWS = (1, 4, 16)
 CACHE_WORDS, CACHE_GRAMS = 500_000, 1_000_000
@@ -123,92 +126,214 @@ class KneserNey(dict):
 
     def features(self, text: str) -> list[float]:
         """Length-normalised differences: of the whole text, of its three strongest words, of its strongest runs of 1, 4 and 16 words; and the length."""
-        words = words_of(text)
-        if not words:
-            return [0.0] * (len(WINDOWS) + 3)
         if len(self) > CACHE_WORDS:
             self.clear()
-        so_far = np.zeros(len(words) + 1)
-        np.cumsum(np.fromiter(map(self.__getitem__, words), float, len(words)), out=so_far[1:])
-        best = [sum(nlargest(3, map(self.__getitem__, set(words)))) / 3]
-        for size in WINDOWS:
-            n = min(size, len(words))
-            best.append(float((so_far[n:] - so_far[:-n]).max()) / size)
-        return [so_far[-1] / len(words), *best, log(1 + len(words))]
+        return features(words_of(text), self.__getitem__)
+
+
+def features(words: list[str], value: Callable[[str], float]) -> list[float]:
+    """What :meth:`KneserNey.features` says, from the values of the words."""
+    if not words:
+        return [0.0] * (len(WINDOWS) + 3)
+    so_far = np.zeros(len(words) + 1)
+    np.cumsum(np.fromiter(map(value, words), float, len(words)), out=so_far[1:])
+    best = [sum(nlargest(3, map(value, set(words)))) / 3]
+    for size in WINDOWS:
+        n = min(size, len(words))
+        best.append(float((so_far[n:] - so_far[:-n]).max()) / size)
+    return [so_far[-1] / len(words), *best, log(1 + len(words))]
+
+
+def _key(word: str) -> int:
+    """64 bits of a hash; stands for the word in tables."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+@dataclass
+class Tables:
+    """What training counts, as Spark tables: ``words`` (key, in how many texts of fold f and class c: ``t<f><c>``) and ``grams`` (gram, occurrences ``n<f><c>``);
+    and by model (0, 1: that fold alone, 2: both) and class the mass of all words and the share that their discounts free."""
+
+    words: DataFrame
+    grams: DataFrame
+    mass: dict[tuple[int, int], float]
+    free: dict[tuple[int, int], float]
 
 
 class ToxicityModel:
-    def __init__(self, counts: dict[int, Counts], calibration: Logistic | Share):
-        self.words = KneserNey(counts)
-        self.calibration = calibration
+    def __init__(self, tables: Tables | None, calibration: Logistic | Share):
+        self.tables, self.calibration = tables, calibration
+
+
+_CELLS = [(f, c) for f in (0, 1) for c in (0, 1)]
+
+
+def _of_model(name: str, m: int, c: int) -> Column:
+    """The count of class c in model m."""
+    return F.col(f"{name}{m}{c}") if m < 2 else F.col(f"{name}0{c}") + F.col(f"{name}1{c}")
+
 
+def _grams_of(words: DataFrame) -> DataFrame:
+    """``key, gram, k``: the letter n-grams of each word and how often it has them."""
+
+    def run(rows):
+        out = [(key, gram, k) for key, word in zip(rows.column("key").to_pylist(), rows.column("word").to_pylist()) for gram, k in Counter(grams(word)).items()]
+        kinds = {"key": pa.int64(), "gram": pa.string(), "k": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=[*kinds])
+
+    return written(map_slices(words.select("key", "word", F.col("word").alias("text")), run, "key long, gram string, k long"), "spelling")
 
-def _count(sample: DataFrame, most: int) -> dict[int, dict[int, Counts]]:
-    """``fold -> label -> counts`` over whole texts. All n-grams and words of the sample come to the driver; over ``most`` of them is an error."""
+
+def _count(sample: DataFrame) -> Tables:
+    """Count whole texts. Words are counted first, n-grams once for each different word."""
 
     def run(rows):
-        found: Counter = Counter()
+        texts_with, times = Counter(), Counter()
         for fold, label, text in zip(rows.column("fold").to_pylist(), rows.column("label").to_pylist(), texts(rows)):
             for word, n in Counter(words_of(text)).items():
-                found[fold, label, True, word] += 1
-                for gram in grams(word):
-                    found[fold, label, False, gram] += n
-        if not found:
+                texts_with[word, fold, label] += 1
+                times[word, fold, label] += n
+        if not times:
             return None
-        kinds = {"fold": pa.int32(), "label": pa.int32(), "word": pa.bool_(), "gram": pa.string()}
-        columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds.values())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=[*kinds, "n"])
-
-    parts = map_slices(plain(sample, "fold", "label", "text"), run, "fold int, label int, word boolean, gram string, n long")
-    halves = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in (0, 1)]
-    table = written(parts.groupBy("label", "word", "gram").agg(*halves), "grams")
-    out = {f: {c: Counts() for c in (0, 1)} for f in (0, 1)}
-    for label, n0, n1 in table.where("word AND n0 + n1 = 1").groupBy("label").agg(F.sum("n0"), F.sum("n1")).collect():
-        out[0][label].single, out[1][label].single = n0, n1
-    common = table.where("NOT word OR n0 + n1 > 1").limit(most + 1).toArrow()
-    if common.num_rows > most:
-        raise ValueError(f"the sample has more than {most} n-grams: take fewer rows or allow more n-grams")
-    for label, word, gram, *n in zip(*(common.column(c).to_pylist() for c in ("label", "word", "gram", "n0", "n1"))):
-        for f in (0, 1):
-            if n[f]:
-                (out[f][label].words if word else out[f][label].grams)[gram] = n[f]
-    return out
-
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_grams: int = MOST_GRAMS, seed: int = SEED) -> ToxicityModel:
-    """Learn from at most ``rows`` labelled documents per class (``labels``: doc_id, toxic), whole texts, copies once.
-
-    Each half of the sample is scored by the model of the other half, which calibrates the differences; the final model
-    has the counts of both.
+        word, fold, label = zip(*times)
+        kinds = {"key": pa.int64(), "word": pa.string(), "fold": pa.int32(), "label": pa.int32(), "t": pa.int64(), "n": pa.int64()}
+        columns = [[_key(w) for w in word], word, fold, label, [texts_with[x] for x in times], list(times.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=[*kinds])
+
+    parts = map_slices(plain(sample, "fold", "label", "text"), run, "key long, word string, fold int, label int, t long, n long")
+    sums = [
+        F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col(x))), F.lit(0)).alias(f"{x}{f}{c}") for x in "tn" for f, c in _CELLS
+    ]
+    words = written(parts.groupBy("key").agg(F.min("word").alias("word"), *sums), "words")
+    spelled = _grams_of(words).join(words, "key")
+    found = written(spelled.groupBy("gram").agg(*[F.sum(F.col("k") * F.col(f"n{f}{c}")).alias(f"n{f}{c}") for f, c in _CELLS]), "grams")
+    kinds = [(m, c) for m in (0, 1, 2) for c in (0, 1)]
+    mass = [F.coalesce(F.sum(_of_model("t", m, c)), F.lit(0)).alias(f"mass{m}{c}") for m, c in kinds]
+    given = [F.coalesce(F.sum(F.least(_of_model("t", m, c).cast("double"), F.lit(WORD_DISCOUNT))), F.lit(0.0)).alias(f"free{m}{c}") for m, c in kinds]
+    row = words.agg(*mass, *given).first()
+    total = {(m, c): row[f"mass{m}{c}"] + 1.0 for m, c in kinds}
+    return Tables(words, found, total, {(m, c): (row[f"free{m}{c}"] + 1) / total[m, c] for m, c in kinds})
+
+
+def _spelled(wanted: DataFrame, counted: DataFrame) -> DataFrame:
+    """``m, gram, s0, s1``: for each n-gram of ``wanted`` (m, gram) the logarithm of its last letter's probability in both classes, as
+    :class:`KneserNey` has it, by joins, from the shortest context to the longest. ``counted``: ``m, gram, n0, n1``."""
+    left = F.expr("substring(gram, 1, length(gram) - 1)")
+    shorter = F.expr("substring(gram, 2)").alias("gram")
+    levels = [counted]
+    while len(levels) < ORDER:
+        levels.append(levels[-1].groupBy("m", shorter).agg(F.count(F.lit(1)).alias("n")))
+    back = None
+    for size in range(1, ORDER):
+        level = levels[ORDER - size]
+        contexts = level.groupBy("m", left.alias("left")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        asked = wanted.select("m", F.expr(f"right(gram, {size})").alias("gram")).distinct().withColumn("left", left)
+        rows = asked.join(level, ["m", "gram"], "left").join(contexts, ["m", "left"], "left")
+        rows = rows.withColumn("p", F.lit(LETTERS)) if back is None else rows.withColumn("short", shorter).join(back, ["m", "short"])
+        p = (F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")
+        back = rows.select("m", F.col("gram").alias("short"), F.when(F.col("total") > 0, p).otherwise(F.col("p")).alias("p"))
+    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"total{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}"))]
+    contexts = counted.groupBy("m", left.alias("left")).agg(*sums)
+    rows = wanted.withColumn("left", left).withColumn("short", shorter).join(counted, ["m", "gram"], "left").join(contexts, ["m", "left"], "left").join(back, ["m", "short"])
+
+    def side(c: int) -> Column:
+        p = (F.greatest(F.coalesce(f"n{c}", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{c}") * F.col("p")) / F.col(f"total{c}")
+        return F.log(F.when(F.col(f"total{c}") > 0, p).otherwise(F.col("p"))).alias(f"s{c}")
+
+    return rows.select("m", "gram", side(0), side(1))
+
+
+def word_values(words: DataFrame, tables: Tables, models: tuple[int, ...]) -> DataFrame:
+    """``key, v<m>…``: of each word (key, word) toxic minus ordinary log-likelihood in the models, as :class:`KneserNey` has it."""
+    spelling = _grams_of(words)
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("m"), _of_model("n", m, 0).alias("n0"), _of_model("n", m, 1).alias("n1")) for m in models]))
+    counted = tables.grams.select("gram", each).where("n0 + n1 > 0")
+    wanted = spelling.select("gram").distinct().select("gram", F.explode(F.array(*map(F.lit, models))).alias("m"))
+    letters = spelling.join(_spelled(wanted, counted), "gram")
+    sums = [F.sum(F.when(F.col("m") == m, F.col("k") * F.col(f"s{c}"))).alias(f"l{m}{c}") for m in models for c in (0, 1)]
+    rows = letters.groupBy("key").agg(*sums).join(tables.words.drop("word"), "key", "left")
+
+    def side(m: int, c: int) -> Column:
+        rest = F.lit(log(tables.free[m, c])) + F.col(f"l{m}{c}")
+        seen = (F.coalesce(_of_model("t", m, c), F.lit(0)) - WORD_DISCOUNT) / F.lit(tables.mass[m, c])
+        return F.when((seen > 0) & (rest > -600), rest + F.log1p(seen * F.exp(-rest))).when(seen > 0, F.log(seen)).otherwise(rest)
+
+    return rows.select("key", *[(side(m, 1) - side(m, 0)).alias(f"v{m}") for m in models])
+
+
+def _featured(rows: DataFrame, tables: Tables, models: tuple[int, ...], keep: dict[str, str], most: int, depth: int = 0, before: int = 0) -> DataFrame:
+    """The columns ``keep`` (with their types) of ``rows`` and ``x``, the features of each whole text.
+
+    The values of all words of the rows are broadcast, sorted by key; where these are more than ``most``, the rows are split
+    by a hash and done in rounds, each with its own words, down to groups that one text's words fill. A row with ``fold`` is looked at by the model of the other fold.
     """
-    sample, sizes = labelled_sample(docs, labels, "toxic", rows, seed)
-    halves = _count(sample, most_grams)
-    both = {c: halves[0][c] + halves[1][c] for c in (0, 1)}
-    if not (both[0].grams and both[1].grams):
-        return ToxicityModel(both, Share(sizes))
-    held = sample.sparkSession.sparkContext.broadcast({f: KneserNey(halves[1 - f]) for f in (0, 1)})
-
-    def run(rows):
-        x = [held.value[f].features(t) for f, t in zip(rows.column("fold").to_pylist(), texts(rows))]
-        return pa.RecordBatch.from_arrays([rows.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
-    found = map_slices(plain(sample, "fold", "label", "text"), run, "label int, x array<double>").collect()  # at most 2 * rows
-    return ToxicityModel(both, fitted(np.array([r[1] for r in found], float), np.array([r[0] for r in found], int), sizes))
+    def vocabulary(part):
+        words = list({w for t in texts(part) for w in words_of(t)})
+        return pa.RecordBatch.from_arrays([pa.array(map(_key, words), pa.int64()), pa.array(words, pa.string())], names=["key", "word"])
+
+    words = map_slices(plain(rows, "text"), vocabulary, "key long, word string")
+    words = written(words.groupBy("key").agg(F.min("word").alias("word")), "vocabulary")
+    n = words.count()
+    if n > most and n != before and depth < 16:
+        ways = min(64, -(-2 * n // most))
+        place = F.pmod(F.xxhash64(F.lit(depth), "doc_id", "text"), F.lit(ways))
+        return reduce(DataFrame.unionByName, [_featured(rows.where(place == i), tables, models, keep, most, depth + 1, n) for i in range(ways)])
+    table = written(word_values(words, tables, models), "values").orderBy("key").toArrow()  # at most ``most`` words, or those of one text
+    known = table.column("key").to_numpy(), [table.column(f"v{m}").to_numpy() for m in models]
+    held = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(part):
+        keys, values = held.value
+        lists = [words_of(t) for t in texts(part)]
+        words = list({w for some in lists for w in some})
+        at = np.searchsorted(keys, np.fromiter(map(_key, words), np.int64, len(words)))
+        by_model = [dict(zip(words, v[at].tolist())) for v in values]
+        which = [1 - f for f in part.column("fold").to_pylist()] if "fold" in keep else [0] * len(lists)
+        x = [features(some, by_model[i].__getitem__) for some, i in zip(lists, which)]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
+
+    return map_slices(plain(rows, *keep, "text"), run, ", ".join(f"{c} {t}" for c, t in keep.items()) + ", x array<double>")
+
+
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, rows: int | None = None, most_grams: int | None = None, seed: int = SEED, most_words: int = MOST_WORDS
+) -> ToxicityModel:
+    """Learn from all labelled documents (``labels``: doc_id, toxic), whole texts, copies once.
+
+    Each half of them is scored by the model of the other half, which calibrates the differences; the final model
+    has the counts of both. Counts stay Spark tables. A caller may bound the documents of a class (``rows``); more
+    different n-grams and words than ``most_grams``, where given, are an error.
+    """
+    sample, sizes = labelled_sample(docs, labels, "toxic", rows, seed)
+    tables = _count(sample)
+    if most_grams is not None and tables.words.count() + tables.grams.count() > most_grams:
+        raise ValueError(f"the sample has more than {most_grams} n-grams: take fewer rows or allow more n-grams")
+    if min(tables.mass[2, c] for c in (0, 1)) <= 1:
+        return ToxicityModel(None, Share(sizes))
+    found = _featured(sample, tables, (0, 1), {"label": "int", "fold": "int"}, most_words)
+    return ToxicityModel(tables, fitted_over(written(found, "features"), sizes))
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def toxicity_scores(docs: DataFrame, model: ToxicityModel, most_words: int = MOST_WORDS) -> DataFrame:
     """``doc_id, score`` (0 to 1, higher: toxic likelier) of each whole text.
 
     Null, empty and wordless texts get the score of an empty text; texts of any length are read whole; repeated rows are scored each; an empty table gives no
     rows; no other column is read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS n-grams
-
-    def run(rows):
-        x = np.array([held.value.words.features(t) for t in texts(rows)], float)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(held.value.calibration(x))], names=["doc_id", "score"])
-
-    return map_slices(plain(docs, "doc_id", "text"), run, "doc_id long, score double")
+    calibration = model.calibration
+    docs = plain(docs, "doc_id", "text")
+    if model.tables is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(float(calibration(np.zeros((1, 1)))[0])).alias("score"))
+    found = _featured(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model.tables, (2,), {"doc_id": "long"}, most_words)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(calibration(x))], names=["doc_id", "score"])
+
+    return found.mapInArrow(run, "doc_id long, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

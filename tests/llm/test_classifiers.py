@@ -1,11 +1,13 @@
 """Classifiers: held-out accuracy on the given tables, and odd input."""
 
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailweave.llm.calibrate import labelled_sample
+from mailweave.llm.calibrate import fitted, fitted_over, labelled_sample
 from mailweave.llm.quality import good_documents, op10_quality, open_labels, quality_scores, train_quality
 from mailweave.llm import toxicity
 from mailweave.llm.toxicity import WORD_DISCOUNT, Counts, KneserNey, op2_toxicity, toxicity_scores, train_toxicity
@@ -125,3 +127,41 @@ def test_models_are_repeatable(spark):
     for train, score in ((train_quality, quality_scores), (train_toxicity, toxicity_scores)):
         one, two = ({r.doc_id: r.score for r in score(docs, train(d, labels)).collect()} for d in (docs, docs.repartition(5)))
         assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_word_values_are_of_all_labelled_texts(spark):
+    docs = [(i, f"{'vile rotten' if i % 2 else 'kind sunny'} words {'abcdefgh'[i % 8] * (1 + i % 5)} only{i % 37}x" + " again" * (i % 3)) for i in range(5000)]
+    docs = spark.createDataFrame([*docs, (0, docs[0][1]), (None, "kind"), (9000, None)], "doc_id long, text string")
+    labels = spark.range(4900).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    sample, sizes = labelled_sample(docs, labels, "toxic", None, 2)
+    rows = sample.collect()
+    assert sizes == {0: 2450, 1: 2450} and {r.text for r in rows} == {r.text for r in docs.where("doc_id < 4900").collect()}
+    counts = {(f, c): (Counter(), Counter()) for f in (0, 1) for c in (0, 1)}
+    for r in rows:
+        texts, grams = counts[r.fold, r.label]
+        texts.update(set(toxicity.words_of(r.text)))
+        grams.update(g for w in toxicity.words_of(r.text) for g in toxicity.grams(w))
+    both = {c: [counts[0, c][i] + counts[1, c][i] for i in (0, 1)] for c in (0, 1)}
+    plain = {m: KneserNey({c: Counts(dict(counts[m, c][1]), dict(counts[m, c][0])) for c in (0, 1)}) for m in (0, 1)}
+    plain[2] = KneserNey({c: Counts(dict(both[c][1]), dict(both[c][0])) for c in (0, 1)})
+    words = [*both[0][0], *both[1][0], "vilest", "qqq", "\u4e2d\u6587", "x" * 5000]
+    asked = spark.createDataFrame(sorted({(toxicity._key(w), w) for w in words}), "key long, word string")
+    found = {r.key: r for r in toxicity.word_values(asked, toxicity._count(sample), (0, 1, 2)).collect()}
+    assert len(found) == asked.count()
+    for w in words:
+        assert [found[toxicity._key(w)][f"v{m}"] for m in (0, 1, 2)] == pytest.approx([plain[m][w] for m in (0, 1, 2)], abs=1e-9)
+
+
+def test_a_large_vocabulary_goes_in_rounds(spark):
+    docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = train_toxicity(docs, labels)
+    one, two = ({r.doc_id: r.score for r in toxicity_scores(docs, model, most_words=n).collect()} for n in (1000, 6))
+    assert len(one) == 80 and one == pytest.approx(two, abs=1e-9)
+
+
+def test_calibration_in_passes_equals_the_one_in_memory(spark):
+    rows = [(i % 2, [((i * 7) % 11) / 3 + i % 2, float((i * 5) % 13)]) for i in range(300)] + [(0, [0.0, 0.0])] * 50
+    passes = fitted_over(spark.createDataFrame(rows, "label int, x array<double>"), {0: 900, 1: 100})
+    whole = fitted(np.array([x for _, x in rows]), np.array([y for y, _ in rows]), {0: 900, 1: 100})
+    assert passes.w == pytest.approx(whole.w, abs=1e-7)
