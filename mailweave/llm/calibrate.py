@@ -39,8 +39,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int |
     chosen = here.select("doc_id", "label", F.pmod(mark, F.lit(2)).cast("int").alias("fold"))
     few = sum(n if rows is None else min(n, rows) for n in sizes.values()) <= FEW_IDS
     found = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
-    text_order = F.struct(F.col("text").isNull(), F.xxhash64(F.lit(seed), "text"), "text")
-    of_id = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "fold", "text"), text_order).alias("row")).select("doc_id", "row.*")
+    text_order = F.struct(F.col("text").isNull(), F.xxhash64(F.lit(seed), "text"), "text")  # label and fold are the id's
+    of_id = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("fold").alias("fold"), F.min(text_order).alias("row")).select("doc_id", "label", "fold", "row.text")
     once = of_id.groupBy("label", "text").agg(F.min(F.struct("doc_id", "fold")).alias("row"))
     return written(once.select("row.doc_id", "text", "label", "row.fold"), "sample"), sizes
 

@@ -8,12 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
-from heapq import nlargest
 from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .calibrate import Logistic, Share, fitted_over, labelled_sample, remainder
@@ -22,11 +21,14 @@ from .common import load, map_slices, plain, texts, written
 ORDER = 5
 DISCOUNT = 0.75
 WORD_DISCOUNT = 2.5
-#: Words whose values are broadcast at once, 16 bytes each (24 in training); more go in rounds
+#: Words whose counts or values are broadcast at once, 16 bytes each (24 in training); more go in rounds
 MOST_WORDS = 4_000_000
+#: N-grams whose probabilities are broadcast at once, 36 bytes each (52 in training); more are joined
+MOST_GRAMS = 1_000_000
 LETTERS = 1 / 256
 WINDOWS = (1, 4, 16)
 CACHE_WORDS, CACHE_GRAMS = 500_000, 1_000_000
+TASK_WORDS = 300_000
 SEED = 2
 FOLDS, HELD_OUT = 5, 0
 
@@ -136,8 +138,14 @@ def features(words: list[str], value: Callable[[str], float]) -> list[float]:
     if not words:
         return [0.0] * (len(WINDOWS) + 3)
     so_far = np.zeros(len(words) + 1)
-    np.cumsum(np.fromiter(map(value, words), float, len(words)), out=so_far[1:])
-    best = [sum(nlargest(3, map(value, set(words)))) / 3]
+    values = np.fromiter(map(value, words), float, len(words))
+    np.cumsum(values, out=so_far[1:])
+    strongest: dict[str, float] = {}
+    for i in np.argsort(-values).tolist():
+        strongest[words[i]] = float(values[i])
+        if len(strongest) == 3:
+            break
+    best = [sum(strongest.values()) / 3]
     for size in WINDOWS:
         n = min(size, len(words))
         best.append(float((so_far[n:] - so_far[:-n]).max()) / size)
@@ -184,29 +192,77 @@ def _grams_of(words: DataFrame) -> DataFrame:
     return written(map_slices(words.select("key", "word", F.col("word").alias("text")), run, "key long, gram string, k long"), "spelling")
 
 
+def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+    """The n-grams (:func:`grams`) of the words, word after word: 64 bits of a hash of each; the first of each word; and a function that gives some as strings."""
+    marked = "".join([f"{'^' * (ORDER - 1)}{w}$" for w in words])
+    letters = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(words)) * (ORDER - 1), sizes)
+    rows = np.lib.stride_tricks.sliding_window_view(letters, ORDER)
+    return _hashes([letters[at + i] for i in range(ORDER)]), starts, lambda some: rows[at[some]].view(f"<U{ORDER}").ravel().tolist()
+
+
+def _hashes(letters: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(letters[0]), np.uint64)
+    for column in letters:
+        h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _hashes_of(found: list[str]) -> np.ndarray:
+    return _hashes(list(np.array(found, f"<U{ORDER}").view(np.uint32).reshape(len(found), ORDER).T)) if found else np.array([], np.uint64)
+
+
+def _counted_grams(words: DataFrame) -> DataFrame:
+    """``gram, n<f><c>``: the letter n-grams of the words and how often they occur; summed where the words are read, before any shuffle."""
+    cells = [f"n{f}{c}" for f, c in _CELLS]
+
+    def run(rows):
+        hashes, starts, strings = _windows(rows.column("word").to_pylist())
+        _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        sums = []
+        for cell in cells:
+            n = np.zeros(len(first), np.int64)
+            np.add.at(n, at, np.repeat(rows.column(cell).to_numpy(), np.diff(starts, append=len(hashes))))
+            sums.append(pa.array(n))
+        return pa.RecordBatch.from_arrays([pa.array(strings(first), pa.string()), *sums], names=["gram", *cells])
+
+    parts = map_slices(words.select("word", *cells, F.col("word").alias("text")), run, "gram string, " + ", ".join(f"{c} long" for c in cells))
+    return written(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in cells]), "grams")
+
+
 def _count(sample: DataFrame) -> Tables:
     """Count whole texts. Words are counted first, n-grams once for each different word."""
 
     def run(rows):
-        texts_with, times = Counter(), Counter()
+        counts = {cell: (Counter(), Counter()) for cell in _CELLS}
         for fold, label, text in zip(rows.column("fold").to_pylist(), rows.column("label").to_pylist(), texts(rows)):
-            for word, n in Counter(words_of(text)).items():
-                texts_with[word, fold, label] += 1
-                times[word, fold, label] += n
-        if not times:
+            texts_with, times = counts[fold, label]
+            words = words_of(text)
+            texts_with.update(set(words))
+            times.update(words)
+        found = [(w, *cell, texts_with[w], n) for cell, (texts_with, times) in counts.items() for w, n in times.items()]
+        if not found:
             return None
-        word, fold, label = zip(*times)
-        kinds = {"key": pa.int64(), "word": pa.string(), "fold": pa.int32(), "label": pa.int32(), "t": pa.int64(), "n": pa.int64()}
-        columns = [[_key(w) for w in word], word, fold, label, [texts_with[x] for x in times], list(times.values())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=[*kinds])
+        kinds = {"word": pa.string(), "fold": pa.int32(), "label": pa.int32(), "t": pa.int64(), "n": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds.values())], names=[*kinds])
 
-    parts = map_slices(plain(sample, "fold", "label", "text"), run, "key long, word string, fold int, label int, t long, n long")
+    parts = map_slices(plain(sample, "fold", "label", "text"), run, "word string, fold int, label int, t long, n long")
     sums = [
         F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col(x))), F.lit(0)).alias(f"{x}{f}{c}") for x in "tn" for f, c in _CELLS
     ]
-    words = written(parts.groupBy("key").agg(F.min("word").alias("word"), *sums), "words")
-    spelled = _grams_of(words).join(words, "key")
-    found = written(spelled.groupBy("gram").agg(*[F.sum(F.col("k") * F.col(f"n{f}{c}")).alias(f"n{f}{c}") for f, c in _CELLS]), "grams")
+    words = parts.groupBy("word").agg(*sums)
+
+    def keyed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(map(_key, rows.column("word").to_pylist()), pa.int64()), *rows.columns[:-1]], names=["key", *rows.schema.names[:-1]])
+
+    cells = ", ".join(f"{x}{f}{c} long" for x in "tn" for f, c in _CELLS)
+    words = written(map_slices(words.select("*", F.col("word").alias("text")), keyed, f"key long, word string, {cells}"), "words")
+    found = _counted_grams(words)
     kinds = [(m, c) for m in (0, 1, 2) for c in (0, 1)]
     mass = [F.coalesce(F.sum(_of_model("t", m, c)), F.lit(0)).alias(f"mass{m}{c}") for m, c in kinds]
     given = [F.coalesce(F.sum(F.least(_of_model("t", m, c).cast("double"), F.lit(WORD_DISCOUNT))), F.lit(0.0)).alias(f"free{m}{c}") for m, c in kinds]
@@ -216,40 +272,41 @@ def _count(sample: DataFrame) -> Tables:
 
 
 def _spelled(wanted: DataFrame, counted: DataFrame) -> DataFrame:
-    """``m, gram, s0, s1``: for each n-gram of ``wanted`` (m, gram) the logarithm of its last letter's probability in both classes, as
-    :class:`KneserNey` has it, by joins, from the shortest context to the longest. ``counted``: ``m, gram, n0, n1``."""
-    left = F.expr("substring(gram, 1, length(gram) - 1)")
-    shorter = F.expr("substring(gram, 2)").alias("gram")
-    levels = [counted]
+    """``m, gram, s0, s1``: for each n-gram of ``wanted`` and ``counted`` the logarithm of its last letter's probability in both classes, as
+    :class:`KneserNey` has it, from the shortest context to the longest. ``wanted``: ``m, gram``; ``counted``: ``m, gram, n0, n1``."""
+    none = F.lit(0).cast("long")
+    both = counted.select("m", "gram", "n0", "n1").unionByName(wanted.select("m", "gram", none.alias("n0"), none.alias("n1")))
+    levels = [written(both.groupBy("m", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "level")]
+    shorter = F.expr("substring(gram, 2)")
     while len(levels) < ORDER:
-        levels.append(levels[-1].groupBy("m", shorter).agg(F.count(F.lit(1)).alias("n")))
+        seen = F.count_if(F.col("n0") + F.col("n1") > 0) if len(levels) == 1 else F.count_if(F.col("n") > 0)
+        levels.append(written(levels[-1].groupBy("m", shorter.alias("gram")).agg(seen.alias("n")), "level"))
+    context = Window.partitionBy("m", F.expr("substring(gram, 1, length(gram) - 1)"))
+
+    def share(n: str) -> Column:
+        total, kinds = F.sum(n).over(context), F.count_if(F.col(n) > 0).over(context)
+        p = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("p")) / F.nullif(total, F.lit(0))
+        return F.coalesce(p, F.col("p"))
+
     back = None
-    for size in range(1, ORDER):
-        level = levels[ORDER - size]
-        contexts = level.groupBy("m", left.alias("left")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        asked = wanted.select("m", F.expr(f"right(gram, {size})").alias("gram")).distinct().withColumn("left", left)
-        rows = asked.join(level, ["m", "gram"], "left").join(contexts, ["m", "left"], "left")
-        rows = rows.withColumn("p", F.lit(LETTERS)) if back is None else rows.withColumn("short", shorter).join(back, ["m", "short"])
-        p = (F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")
-        back = rows.select("m", F.col("gram").alias("short"), F.when(F.col("total") > 0, p).otherwise(F.col("p")).alias("p"))
-    sums = [x for c in (0, 1) for x in (F.sum(f"n{c}").alias(f"total{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}"))]
-    contexts = counted.groupBy("m", left.alias("left")).agg(*sums)
-    rows = wanted.withColumn("left", left).withColumn("short", shorter).join(counted, ["m", "gram"], "left").join(contexts, ["m", "left"], "left").join(back, ["m", "short"])
+    for level in reversed(levels[1:]):
+        rows = level.withColumn("p", F.lit(LETTERS)) if back is None else level.withColumn("short", shorter).join(back, ["m", "short"])
+        back = written(rows.select("m", F.col("gram").alias("short"), share("n").alias("p")), "shorter")
+    rows = levels[0].withColumn("short", shorter).join(back, ["m", "short"])
+    return rows.select("m", "gram", *[F.log(share(f"n{c}")).alias(f"s{c}") for c in (0, 1)])
 
-    def side(c: int) -> Column:
-        p = (F.greatest(F.coalesce(f"n{c}", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{c}") * F.col("p")) / F.col(f"total{c}")
-        return F.log(F.when(F.col(f"total{c}") > 0, p).otherwise(F.col("p"))).alias(f"s{c}")
 
-    return rows.select("m", "gram", side(0), side(1))
+def _letters(found: DataFrame, tables: Tables, models: tuple[int, ...]) -> DataFrame:
+    """``m, gram, s0, s1`` (:func:`_spelled`) of the n-grams of ``found`` (gram), and of those that are counted, in the models."""
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("m"), _of_model("n", m, 0).alias("n0"), _of_model("n", m, 1).alias("n1")) for m in models]))
+    counted = tables.grams.select("gram", each).where("n0 + n1 > 0")
+    return _spelled(found.select("gram", F.explode(F.array(*map(F.lit, models))).alias("m")), counted)
 
 
 def word_values(words: DataFrame, tables: Tables, models: tuple[int, ...]) -> DataFrame:
-    """``key, v<m>…``: of each word (key, word) toxic minus ordinary log-likelihood in the models, as :class:`KneserNey` has it."""
+    """``key, v<m>…``: of each word (key, word) toxic minus ordinary log-likelihood in the models, as :class:`KneserNey` has it, by joins."""
     spelling = _grams_of(words)
-    each = F.inline(F.array(*[F.struct(F.lit(m).alias("m"), _of_model("n", m, 0).alias("n0"), _of_model("n", m, 1).alias("n1")) for m in models]))
-    counted = tables.grams.select("gram", each).where("n0 + n1 > 0")
-    wanted = spelling.select("gram").distinct().select("gram", F.explode(F.array(*map(F.lit, models))).alias("m"))
-    letters = spelling.join(_spelled(wanted, counted), "gram")
+    letters = spelling.join(_letters(written(spelling.select("gram").distinct(), "wanted"), tables, models), "gram")
     sums = [F.sum(F.when(F.col("m") == m, F.col("k") * F.col(f"s{c}"))).alias(f"l{m}{c}") for m in models for c in (0, 1)]
     rows = letters.groupBy("key").agg(*sums).join(tables.words.drop("word"), "key", "left")
 
@@ -261,34 +318,127 @@ def word_values(words: DataFrame, tables: Tables, models: tuple[int, ...]) -> Da
     return rows.select("key", *[(side(m, 1) - side(m, 0)).alias(f"v{m}") for m in models])
 
 
-def _featured(rows: DataFrame, tables: Tables, models: tuple[int, ...], keep: dict[str, str], most: int, depth: int = 0, before: int = 0) -> DataFrame:
-    """The columns ``keep`` (with their types) of ``rows`` and ``x``, the features of each whole text.
+@dataclass
+class _Model:
+    """What the values of words come from, in memory: ``grams``, sorted hashes, with ``letters``: the logarithms of their last letters' probabilities, and ``keys``,
+    sorted, of the words that occur in more texts than the discount takes, with the numbers of ``texts``; both by model and class."""
+
+    grams: np.ndarray
+    letters: dict[tuple[int, int], np.ndarray]
+    keys: np.ndarray
+    texts: dict[tuple[int, int], np.ndarray]
+    mass: dict[tuple[int, int], float]
+    free: dict[tuple[int, int], float]
+    models: tuple[int, ...]
+
+    def __post_init__(self):
+        self.known: list[dict[str, float]] = [{} for _ in self.models]
+
+    def values(self, words: set[str]) -> list[dict[str, float]]:
+        """For each model word -> toxic minus ordinary log-likelihood, as :class:`KneserNey` has it; of these words at least."""
+        if len(self.known[0]) > TASK_WORDS - len(words):
+            for table in self.known:
+                table.clear()
+        new = list(words.difference(self.known[0]))
+        for table, found in zip(self.known, self._worked_out(new) if new else ()):
+            table.update(zip(new, found.tolist()))
+        return self.known
+
+    def _worked_out(self, words: list[str]) -> list[np.ndarray]:
+        hashes, starts, _ = _windows(words)
+        place = np.searchsorted(self.grams, hashes)
+        keys = np.fromiter(map(_key, words), np.int64, len(words))
+        row = np.searchsorted(self.keys, keys)
+        row[row == len(self.keys)] = 0
+        often = np.flatnonzero(self.keys[row] == keys) if len(self.keys) else np.array([], np.int64)
+
+        def side(m: int, c: int) -> np.ndarray:
+            out = log(self.free[m, c]) + np.add.reduceat(self.letters[m, c][place], starts)
+            seen = (self.texts[m, c][row[often]] - WORD_DISCOUNT) / self.mass[m, c]
+            which, seen = often[seen > 0], seen[seen > 0]
+            rest = out[which]
+            out[which] = np.where(rest > -600, rest + np.log1p(seen * np.exp(-np.maximum(rest, -600))), np.log(seen))
+            return out
+
+        return [side(m, 1) - side(m, 0) for m in self.models]
+
+
+def _different_grams(rows: DataFrame) -> DataFrame:
+    """``gram``: the n-grams of the rows' words; a task skips words that it has met."""
+    met: set[str] = set()
 
-    The values of all words of the rows are broadcast, sorted by key; where these are more than ``most``, the rows are split
-    by a hash and done in rounds, each with its own words, down to groups that one text's words fill. A row with ``fold`` is looked at by the model of the other fold.
-    """
+    def run(part):
+        new = {w for t in texts(part) for w in words_of(t)} - met
+        if len(met) > TASK_WORDS:
+            met.clear()
+        met.update(w for w in new if len(w) <= 64)
+        if new:
+            hashes, _, strings = _windows(list(new))
+            return pa.RecordBatch.from_arrays([pa.array(strings(np.unique(hashes, return_index=True)[1]), pa.string())], names=["gram"])
+
+    return written(map_slices(plain(rows, "text"), run, "gram string").distinct(), "wanted")
+
+
+def _in_memory(rows: DataFrame, tables: Tables, models: tuple[int, ...], most: int, counted: bool) -> _Model | None:
+    """What the words of the rows need; None where that are more than ``MOST_GRAMS`` n-grams or more than ``most`` words of many texts.
+    ``counted``: the tables come from the same rows, so they have all n-grams."""
+    pairs = [(m, c) for m in models for c in (0, 1)]
+    often = tables.words.where(F.greatest(*[_of_model("t", m, c) for m, c in pairs]) > WORD_DISCOUNT)
+    if often.count() > most or tables.grams.count() > MOST_GRAMS:
+        return None
+    spelled = _letters(tables.grams if counted else _different_grams(rows), tables, models)
+    each = [F.max(F.when(F.col("m") == m, F.col(f"s{c}"))).alias(f"l{m}{c}") for m, c in pairs]
+    spelled = written(spelled.groupBy("gram").agg(*each), "letters")
+    if spelled.count() > MOST_GRAMS:
+        return None
+    spelled = spelled.toArrow()  # at most ``MOST_GRAMS``
+    hashes = _hashes_of(spelled.column("gram").to_pylist())
+    order = np.argsort(hashes)
+    letters = {(m, c): spelled.column(f"l{m}{c}").to_numpy()[order] for m, c in pairs}
+    counts = often.select("key", *[_of_model("t", m, c).cast("int").alias(f"t{m}{c}") for m, c in pairs]).orderBy("key").toArrow()  # at most ``most``
+    numbers = {(m, c): counts.column(f"t{m}{c}").to_numpy() for m, c in pairs}
+    return _Model(hashes[order], letters, counts.column("key").to_numpy(), numbers, tables.mass, tables.free, models)
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    """``key, word``: the different words of the rows."""
 
-    def vocabulary(part):
+    def run(part):
         words = list({w for t in texts(part) for w in words_of(t)})
         return pa.RecordBatch.from_arrays([pa.array(map(_key, words), pa.int64()), pa.array(words, pa.string())], names=["key", "word"])
 
-    words = map_slices(plain(rows, "text"), vocabulary, "key long, word string")
-    words = written(words.groupBy("key").agg(F.min("word").alias("word")), "vocabulary")
-    n = words.count()
-    if n > most and n != before and depth < 16:
-        ways = min(64, -(-2 * n // most))
-        place = F.pmod(F.xxhash64(F.lit(depth), "doc_id", "text"), F.lit(ways))
-        return reduce(DataFrame.unionByName, [_featured(rows.where(place == i), tables, models, keep, most, depth + 1, n) for i in range(ways)])
-    table = written(word_values(words, tables, models), "values").orderBy("key").toArrow()  # at most ``most`` words, or those of one text
-    known = table.column("key").to_numpy(), [table.column(f"v{m}").to_numpy() for m in models]
-    held = rows.sparkSession.sparkContext.broadcast(known)
+    return written(map_slices(plain(rows, "text"), run, "key long, word string").distinct(), "vocabulary")
+
+
+def _featured(rows: DataFrame, tables: Tables, models: tuple[int, ...], keep: dict[str, str], most: int, depth: int = 0, before: int = 0) -> DataFrame:
+    """The columns ``keep`` (with their types) of ``rows`` and ``x``, the features of each whole text.
+
+    The probabilities of all n-grams of the rows and the words of many texts are broadcast, and each task works out its words.
+    Where either are too many (``MOST_GRAMS``, ``most``), the values of all words come from joins and are broadcast, sorted by
+    key; where these are more than ``most``, the rows are split by a hash and done in rounds, each with its own words, down to
+    groups that one text's words fill. A row with ``fold`` is looked at by the model of the other fold.
+    """
+    model = _in_memory(rows, tables, models, most, "fold" in keep) if depth == 0 else None
+    if model is None:
+        words = _vocabulary(rows)
+        n = words.count()
+        if n > most and n != before and depth < 16:
+            ways = min(64, -(-2 * n // most))
+            place = F.pmod(F.xxhash64(F.lit(depth), "doc_id", "text"), F.lit(ways))
+            return reduce(DataFrame.unionByName, [_featured(rows.where(place == i), tables, models, keep, most, depth + 1, n) for i in range(ways)])
+        table = written(word_values(words, tables, models), "values").orderBy("key").toArrow()  # at most ``most`` words, or those of one text
+        model = table.column("key").to_numpy(), [table.column(f"v{m}").to_numpy() for m in models]
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(part):
-        keys, values = held.value
         lists = [words_of(t) for t in texts(part)]
-        words = list({w for some in lists for w in some})
-        at = np.searchsorted(keys, np.fromiter(map(_key, words), np.int64, len(words)))
-        by_model = [dict(zip(words, v[at].tolist())) for v in values]
+        words = {w for some in lists for w in some}
+        if isinstance(held.value, _Model):
+            by_model = held.value.values(words)
+        else:
+            (keys, values), words = held.value, list(words)
+            at = np.searchsorted(keys, np.fromiter(map(_key, words), np.int64, len(words)))
+            by_model = [dict(zip(words, v[at].tolist())) for v in values]
         which = [1 - f for f in part.column("fold").to_pylist()] if "fold" in keep else [0] * len(lists)
         x = [features(some, by_model[i].__getitem__) for some, i in zip(lists, which)]
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])

@@ -165,3 +165,20 @@ def test_calibration_in_passes_equals_the_one_in_memory(spark):
     passes = fitted_over(spark.createDataFrame(rows, "label int, x array<double>"), {0: 900, 1: 100})
     whole = fitted(np.array([x for _, x in rows]), np.array([y for y, _ in rows]), {0: 900, 1: 100})
     assert passes.w == pytest.approx(whole.w, abs=1e-7)
+
+
+def test_ngrams_of_words_are_not_written_word_by_word(spark, monkeypatch):
+    docs = [(i, " ".join("".join("abcd"[(40 * i + j) * 7919 >> 2 * k & 3] for k in range(10)) for j in range(40))) for i in range(1000)]
+    docs = [(i, f"{'vile' if i % 2 else 'kind'} {text}") for i, text in docs] + [(2000, None), (2001, "\u4e2d\u6587 new\U00010400"), (2002, "vile " + "x" * 5000)]
+    labels = spark.range(800).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = []
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "written", lambda df, label: rows.append(df.count()) or df.localCheckpoint())
+        model = train_toxicity(docs, labels)
+        some = {r.doc_id: r.score for r in toxicity_scores(docs, model).collect()}
+    words = len({w for r in docs.collect() for w in toxicity.words_of(r.text or "")})
+    assert words > 30_000 and max(rows) <= words  # an n-gram for each letter of each word would be a dozen times as many
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 100)
+    joined = {r.doc_id: r.score for r in toxicity_scores(docs, train_toxicity(docs, labels)).collect()}
+    assert len(some) == 1003 and some == pytest.approx(joined, abs=1e-9)
