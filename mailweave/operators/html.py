@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
-from ..schemas import DOM_FIELDS
+from ..functions.text import let
+from ..schemas import DOM_FIELDS, NODE
 
 # fixed values: elements that never have content, and elements whose text is not shown
 VOID = frozenset(
@@ -32,6 +34,9 @@ HIDDEN = frozenset("script style template rt rp".split())
 ABOVE = {"tr": 0, "table": 1, "ul": 2, "ol": 2, "div": 3, "span": 3, "p": 3}
 COMMENT = "#comment"
 TEXT = "#text"
+# shared by all entries without attributes or classes; never written to
+_NO_ATTRS: dict[str, str] = {}
+_NO_CLASSES: list[str] = []
 
 
 class _DomRows(HTMLParser):
@@ -46,6 +51,7 @@ class _DomRows(HTMLParser):
         self.chunks: list[str] = []
         self.clean: list[str] = []
         self.above: list[list[int]] = [[-1], [-1], [-1], [-1]]
+        self.nearest = [-1, -1, -1, -1]
         self.open: list[int] = []
         self.open_tags: Counter = Counter()
         self.last_child: dict[int, int] = {}
@@ -66,11 +72,11 @@ class _DomRows(HTMLParser):
             self.rows[before][9] = node
         self.last_child[parent] = node
         shown, clean = len(self.chunks), len(self.clean)
-        classes = (attrs.get("class") or "").split()
+        classes = attrs["class"].split() if attrs.get("class") else _NO_CLASSES
         self.rows.append(
             [
                 node, parent, len(self.open), tag, attrs.get("id"), classes, attrs, None, before, -1, text, shown, shown, node,
-                clean, clean, *[ids[-1] for ids in self.above],
+                clean, clean, *self.nearest,
             ]
         )
         return node
@@ -86,7 +92,7 @@ class _DomRows(HTMLParser):
             text = "\n" if "\n" in text else " "
         if self.hidden:
             return
-        node = self._add(TEXT, {}, text)
+        node = self._add(TEXT, _NO_ATTRS, text)
         self.chunks.append(text)
         self.rows[node][12] = len(self.chunks)
         trimmed = text.strip()
@@ -101,19 +107,22 @@ class _DomRows(HTMLParser):
         row[13] = len(self.rows) - 1
         row[15] = len(self.clean)
         if row[3] in ABOVE:
-            self.above[ABOVE[row[3]]].pop()
+            kind = ABOVE[row[3]]
+            self.above[kind].pop()
+            self.nearest[kind] = self.above[kind][-1]
         if row[3] in HIDDEN:
             self.hidden -= 1
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         # the last of repeated attributes wins; a bare attribute has the empty value
-        node = self._add(tag, {k: v or "" for k, v in attrs}, None)
+        node = self._add(tag, {k: v or "" for k, v in attrs} if attrs else _NO_ATTRS, None)
         if tag not in VOID:
             self.open.append(node)
             self.open_tags[tag] += 1
             if tag in ABOVE:
                 self.above[ABOVE[tag]].append(node)
+                self.nearest[ABOVE[tag]] = node
             if tag in HIDDEN:
                 self.hidden += 1
 
@@ -136,46 +145,51 @@ class _DomRows(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
-        self._add(COMMENT, {}, None)
+        self._add(COMMENT, _NO_ATTRS, None)
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
+    def updatepos(self, i, j):
+        # lines and columns of the markup are not kept
+        return j
+
 
 def _offsets(sizes) -> pa.Array:
-    out, total = [0], 0
-    for n in sizes:
-        total += n
-        out.append(total)
-    return pa.array(out, pa.int32())
+    return pa.array(list(accumulate(sizes, initial=0)), pa.int32())
 
 
 def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(map(len, values)), pa.array([x for v in values for x in v], kind))
 
 
-def _node_array(pages: list[list[list]]) -> pa.Array:
+#: Where a DOM entry's field stands in the parser's rows
+_PLACES = {
+    "node_id": 0, "parent_id": 1, "pos": 0, "depth": 2, "tag": 3, "id_attr": 4, "classes": 5, "attrs": 6, "text": 10, "prev_id": 8, "next_id": 9,
+    "last_id": 13, "t_from": 11, "t_to": 12, "c_from": 14, "c_to": 15, "row_id": 16, "table_id": 17, "list_id": 18, "box_id": 19,
+}
+
+
+def _node_array(pages: list[list[list]], fields=tuple(_PLACES)) -> pa.Array:
     """All pages' DOM entries as one list column, built field by field."""
     rows = [row for page in pages for row in page]
     col = list(zip(*rows)) if rows else [[]] * 20
-    attrs = col[6]
-    attr_map = pa.MapArray.from_arrays(
-        _offsets(map(len, attrs)),
-        pa.array([k for a in attrs for k in a], pa.string()),
-        pa.array([v for a in attrs for v in a.values()], pa.string()),
-    )
-    ints = {i: pa.array(col[i], pa.int32()) for i in (0, 1, 2, 8, 9, *range(11, 20))}
-    fields = {
-        "node_id": ints[0], "parent_id": ints[1], "pos": ints[0], "depth": ints[2],
-        "tag": pa.array(col[3], pa.string()), "id_attr": pa.array(col[4], pa.string()),
-        "classes": _lists(col[5], pa.string()), "attrs": attr_map, "text": pa.array(col[10], pa.string()),
-        "prev_id": ints[8], "next_id": ints[9], "last_id": ints[13],
-        "t_from": ints[11], "t_to": ints[12], "c_from": ints[14], "c_to": ints[15],
-        "row_id": ints[16], "table_id": ints[17], "list_id": ints[18], "box_id": ints[19],
-    }
-    return pa.ListArray.from_arrays(_offsets(map(len, pages)), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
+    def built(name: str) -> pa.Array:
+        values = col[_PLACES[name]]
+        if name == "attrs":
+            return pa.MapArray.from_arrays(
+                _offsets(map(len, values)),
+                pa.array([k for a in values for k in a], pa.string()),
+                pa.array([v for a in values for v in a.values()], pa.string()),
+            )
+        if name == "classes":
+            return _lists(values, pa.string())
+        return pa.array(values, pa.string() if name in ("tag", "id_attr", "text") else pa.int32())
 
-def _dom_batch(htmls: list[str | None], parts) -> list[pa.Array]:
+    return pa.ListArray.from_arrays(_offsets(map(len, pages)), pa.StructArray.from_arrays([built(f) for f in fields], names=list(fields)))
+
+
+def _dom_batch(htmls: list[str | None], parts, fields=tuple(_PLACES)) -> list[pa.Array]:
     """Parse one Arrow batch into the wanted DOM columns."""
     parser = _DomRows()
     pages, chunk_lists, clean_lists, errors = [], [], [], []
@@ -193,7 +207,7 @@ def _dom_batch(htmls: list[str | None], parts) -> list[pa.Array]:
         clean_lists.append(clean)
         errors.append(error)
     make = {
-        "nodes": lambda: _node_array(pages),
+        "nodes": lambda: _node_array(pages, fields),
         "chunks": lambda: _lists(chunk_lists, pa.string()),
         "clean": lambda: _lists(clean_lists, pa.string()),
         "_error": lambda: pa.array(errors, pa.string()),
@@ -201,15 +215,19 @@ def _dom_batch(htmls: list[str | None], parts) -> list[pa.Array]:
     return [make[part]() for part in parts]
 
 
-def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean")) -> DataFrame:
+def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean"), fields=None) -> DataFrame:
     """Add the DOM columns and ``_error`` to each page; the HTML itself is dropped.
 
     A Python step's output cannot be pruned by the optimizer, so callers that need
-    only some of ``nodes``, ``chunks`` and ``clean`` say so in ``parts``. Pages are parsed where they are read:
+    only some of ``nodes``, ``chunks`` and ``clean`` say so in ``parts``, and those that need only some of a DOM entry's
+    fields in ``fields``. Pages are parsed where they are read:
     a caller whose small input lies in few files deals it out first.
     """
     keep = [c for c in pages.columns if c != html]
     wanted = [f for f in DOM_FIELDS if f.name in (*parts, "_error")]
+    fields = [f.name for f in NODE.fields if fields is None or f.name in fields]
+    entry = T.ArrayType(T.StructType([NODE[f] for f in fields]))
+    wanted = [T.StructField("nodes", entry) if f.name == "nodes" else f for f in wanted]
     names = [f.name for f in wanted]
     schema = T.StructType([pages.schema[c] for c in keep] + wanted)
 
@@ -224,7 +242,7 @@ def dom(pages: DataFrame, html: str = "html", parts=("nodes", "chunks", "clean")
                     budget -= len(htmls[stop] or "")
                     stop += 1
                 part = batch.slice(start, stop - start)
-                columns = [part.column(c) for c in keep] + _dom_batch(htmls[start:stop], names)
+                columns = [part.column(c) for c in keep] + _dom_batch(htmls[start:stop], names, fields)
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
                 start = stop
 
@@ -251,11 +269,6 @@ def visible_text(sep: str = " ", chunks: Column | None = None) -> Column:
     return F.array_join(F.col("chunks") if chunks is None else chunks, sep)
 
 
-def let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``; lambda bodies have no common-subexpression step."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def rows_of(df: DataFrame, keys, array: Column, required: str) -> DataFrame:
     """One row per struct of ``array``.
 
@@ -463,6 +476,8 @@ def numbered(branches: list[Column], fields: tuple[str, ...]) -> Column:
 # -- anchors ------------------------------------------------------------------------
 
 
+#: What :func:`anchor_structs` reads of a DOM entry
+LINK_FIELDS = ("pos", "tag", "attrs", "c_from", "c_to")
 #: the ampersand comes last, so that nothing is decoded twice
 _REFERENCES = (("quot", '"'), ("apos", "'"), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
 

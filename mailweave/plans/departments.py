@@ -26,12 +26,13 @@ def _usable(pages: DataFrame) -> DataFrame:
     return X.usable_pages(pages).select("page_id", "url", "html")
 
 
-def _read(pages: DataFrame, urls: DataFrame, parts=("nodes", "chunks", "clean"), column: str = "url", **facts: Column) -> DataFrame:
+def _read(pages: DataFrame, urls: DataFrame, parts=("nodes", "chunks", "clean"), column: str = "url", fields=None, **facts: Column) -> DataFrame:
     """Parse the pages among ``urls`` in one scan and write down what is wanted of them: ``page_id, url, _error, …facts``.
 
-    The look-up goes below the Python step, where the optimizer cannot move it. HTML and DOM stay behind.
+    The look-up goes below the Python step, where the optimizer cannot move it. HTML and DOM stay behind; of a DOM entry's
+    fields those leave the parser that ``fields`` names.
     """
-    doc = H.dom(X.pages_among(pages, urls, column), parts=parts)
+    doc = H.dom(X.pages_among(pages, urls, column), parts=parts, fields=fields)
     return cut_lineage(doc.select("page_id", "url", "_error", *[fact.alias(name) for name, fact in facts.items()]))
 
 
@@ -50,7 +51,7 @@ def _host_read(pages: DataFrame, starts: DataFrame, hits: Column) -> DataFrame:
     """
     hosts = starts.select(u.netloc(F.col("web")).alias("_host"))
     pages = pages.withColumn("_host", u.netloc(F.col("url")))
-    return _read(pages, hosts, column="_host", links=H.anchor_structs(""), hits=hits)
+    return _read(pages, hosts, column="_host", fields=(*H.LINK_FIELDS, *A.CONTACT_FIELDS), links=H.anchor_structs(""), hits=hits)
 
 
 @dataclass
@@ -63,7 +64,7 @@ class StructureRun:
 def contacts_by_structure(pages: DataFrame, list_urls: DataFrame, directory_urls: DataFrame | None, site: SiteProfile) -> StructureRun:
     """Q4 by page layout, in three scans: lists, then department and guessed pages, then staff and directory pages."""
     pages = _usable(pages)
-    lists = _read(pages, list_urls, ("nodes", "clean"), links=H.anchor_structs(" "))
+    lists = _read(pages, list_urls, ("nodes", "clean"), fields=H.LINK_FIELDS, links=H.anchor_structs(" "))
     depts = cut_lineage(DP.keyword_links(_links(lists, "page_id"), site))
     ranked = depts.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no"))
     guessed = DP.guessed_pages(depts, site).select(F.col("staff_url").alias("url"))
@@ -118,7 +119,7 @@ def _sites(pages: DataFrame, depts: DataFrame, site: SiteProfile) -> tuple[DataF
 def contacts_by_walk(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_pages: int | None = 40) -> DepartmentRun:
     """Q5: every mailto link and every new text address of each department's web, mailboxes first."""
     pages = _usable(pages)
-    lists = _read(pages, list_urls, ("nodes", "clean"), links=H.anchor_structs(""))
+    lists = _read(pages, list_urls, ("nodes", "clean"), fields=H.LINK_FIELDS, links=H.anchor_structs(""))
     depts = DP.marker_links(_links(lists, "page_id"), site)
     # the id names the department; the second-last segment only where there is no id
     label = F.coalesce(u.department_id(F.col("dept_url"), site.department_marker), u.second_last_segment(F.col("dept_url")))
@@ -141,7 +142,7 @@ def contacts_by_walk(pages: DataFrame, list_urls: DataFrame, site: SiteProfile,
 def contacts_clean(pages: DataFrame, list_urls: DataFrame, site: SiteProfile, max_pages: int = 50) -> DepartmentRun:
     """Q6: one contact per address over all departments, names normalised or inferred."""
     pages = _usable(pages)
-    lists = _read(pages, list_urls, ("nodes", "clean"), links=H.anchor_structs(""))
+    lists = _read(pages, list_urls, ("nodes", "clean"), fields=H.LINK_FIELDS, links=H.anchor_structs(""))
     named = DP.marker_links_named(_links(lists, "page_id"), site)
     depts, cards = _sites(pages, named.select("dept_url", "dept_name", F.struct("page_id", "pos").alias("dept_no")), site)
     facts = _host_read(pages, depts, A.near_hits(site.email_domains, site.strict))

@@ -56,10 +56,14 @@ def dealt(df: DataFrame, sf_dir: str, *tables: str, parts: int | None = None) ->
 
     Decided on the files' lengths. Larger tables keep their splits, so that no HTML is moved.
     """
-    spark = df.sparkSession
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts or cores) if _bytes(df.sparkSession, sf_dir, *tables) < cores * _FEW else df
+
+
+def _bytes(spark: SparkSession, sf_dir: str, *tables: str) -> int:
+    """Length of the tables' files."""
     files = spark.read.format("binaryFile").load([f"{sf_dir}/{table}.parquet" for table in tables]).select("length")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(parts or cores) if (files.groupBy().sum("length").first()[0] or 0) < cores * _FEW else df
+    return files.groupBy().sum("length").first()[0] or 0
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +72,17 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame], table: str = "customer") -> DataFrame:
-    """Pages that ``make`` derives from the given tables, written once for an application and read from there."""
+    """Pages that ``make`` derives from the given tables, written once for an application and read from there.
+
+    Rows of a narrow table become pages of many times their size, so the pages of a large table, too, lie where few tasks
+    read its few row groups. They are dealt out at every size, to a multiple of all cores that grows with ``table``.
+    """
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _STORED:
         path = scratch(spark)
-        dealt(make(spark, sf_dir), sf_dir, table).write.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        parts = cores * (_bytes(spark, sf_dir, table) // (cores * _FEW) + 1)
+        make(spark, sf_dir).repartition(parts).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

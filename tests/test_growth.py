@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailweave.functions import urls as u
 from mailweave.operators import dedup, domains, html, report, robots, walk
 from mailweave.plans import departments, directory, email_index
-from mailweave.registry import core, streams
+from mailweave.registry import core, streams, webs
 from mailweave.siteprofile import SiteProfile
 from mailweave.sources import sinks, tables
 from mailweave.streaming import first_seen, upsert
@@ -258,3 +258,15 @@ def test_robots_rules_of_one_host_are_rows(spark):
     assert ready.count() == len({r[2] for r in rules if r[0] == "h" and r[2] is not None}) + 2  # no host has a list
     got = robots.allowed_by(spark.createDataFrame([(u,) for u in urls], "url string"), ready)
     assert sorted(r.url for r in got.collect()) == sorted(u for u in urls if allowed(u))
+
+
+def test_derived_pages_of_large_tables_lie_in_equal_parts(spark, tmp_path, monkeypatch):
+    for name, columns in (("customer", "id AS c_custkey, id % 3 AS c_nationkey"), ("supplier", "id AS s_suppkey"), ("nation", "id AS n_nationkey, 'N' AS n_name")):
+        rows = spark.range({"customer": 900, "supplier": 60, "nation": 3}[name]).selectExpr(*columns.split(", "))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    size = sum(f.stat().st_size for f in (tmp_path / "customer.parquet").glob("part-*"))
+    monkeypatch.setattr(core, "_FEW", size // (2 * spark.sparkContext.defaultParallelism))  # a large table: twice as much for each core
+    pages = webs.everything(spark, str(tmp_path))
+    parts = [r["count"] for r in pages.groupBy(F.input_file_name()).count().collect()]
+    assert len(parts) > spark.sparkContext.defaultParallelism and max(parts) < 2 * sum(parts) / len(parts)
+    assert pages.count() == webs.everything.make(spark, str(tmp_path)).count()

@@ -189,3 +189,14 @@ def test_usable_pages(spark):
     rows = [(1, 200, "text/html; x"), (2, 404, "text/html"), (3, 200, "application/pdf")]
     df = spark.createDataFrame(rows, "page_id int, status int, content_type string")
     assert [r["page_id"] for r in X.usable_pages(df).collect()] == [1]
+
+
+def test_contacts_need_few_fields_of_an_entry(spark):
+    page = '<table><tr><td>Ana Gil</td><td>ANA@uc3m.es</td></tr></table><p>Eva Ruiz <a href="mailto:eva@uc3m.es">e-mail</a></p><div class="x"><h3>José Mas</h3> <i>jo@uc3m.es</i></div>'
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", None)], "page_id long, url string, html string")
+    hits = A.near_hits(("uc3m.es",))
+    whole = H.dom(pages).select("url", "_error", H.anchor_structs(""), hits).collect()
+    few = H.dom(pages, fields=(*H.LINK_FIELDS, *A.CONTACT_FIELDS))
+    assert few.select("url", "_error", H.anchor_structs(""), hits).collect() == whole and len(whole[0][3]) == 3
+    assert H.dom(pages, parts=("nodes", "clean"), fields=H.LINK_FIELDS).select("url", "_error", H.anchor_structs("")).collect() == [r[:3] for r in whole]
+    assert set(few.schema["nodes"].dataType.elementType.names) == {*H.LINK_FIELDS, *A.CONTACT_FIELDS}

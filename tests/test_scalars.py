@@ -50,6 +50,19 @@ def test_white_space(evaluate):
     assert evaluate(t.word_count, NAMES) == [None if n is None else len(n.split()) for n in NAMES] or evaluate(t.word_count, NAMES)[13] in (None, -1)
 
 
+def test_runs_of_white_space(evaluate):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    mixed = ["".join(spaces), "a" + "".join(spaces) + "b", *[f"{s}{s}a {s}b{s} c {s}\n" for s in spaces], "a \u200bb", "\u180ea", "", " ", "x" + " \t" * 50_000 + "y z"]
+    assert evaluate(t.collapse_ws, mixed) == [re.sub(r"\s+", " ", m) for m in mixed]
+    assert evaluate(t.strip, mixed) == [m.strip() for m in mixed]
+    assert evaluate(t.words, mixed) == [m.split() for m in mixed]
+
+
+def test_a_name_is_trimmed_once(spark):
+    plan = spark.range(1).select(t.normalize_name(F.col("id").cast("string")).alias("name"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_symbols_and_words(evaluate):
     values = ["Ana: (Pérez)", "x_y-z., é", "¡Hola!", "a/b\\c", "Nº 5", "日本 語*"]
     assert evaluate(t.strip_symbols, values) == [re.sub(r"[^\w\s\-.,]", "", v).strip() for v in values]
