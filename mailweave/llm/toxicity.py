@@ -6,8 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from hashlib import blake2b
+from functools import cache, cached_property, reduce
 from math import exp, log, log1p
 
 import numpy as np
@@ -39,6 +38,34 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """For each code point whether words consist of it."""
+    out = np.zeros(0x110000, bool)
+    for run in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[run.start() : run.end()] = True
+    return out
+
+
+def split(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`words_of` finds in the texts, many at a time: the different words; which of them the words are, text after text; and where each text's words
+    begin and the last ones end."""
+    lower = [t.lower() for t in some]
+    letters = np.frombuffer("\n".join(["", *lower, ""]).encode("utf-32-le"), np.uint32)
+    inside = _is_letter()[letters]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # a word begins, ends, the next begins
+    begins, sizes = edges[::2], edges[1::2] - edges[::2]
+    texts_begin = np.cumsum([1, *(len(t) + 1 for t in lower)])
+    letters = letters[inside]
+    spelled = letters.tobytes().decode("utf-32-le").encode()
+    if len(spelled) > len(letters):
+        longer = (letters >= 0x80).view(np.uint8) + (letters >= 0x800) + (letters >= 0x10000)
+        sizes = sizes + np.add.reduceat(longer, np.cumsum(sizes) - sizes, dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(spelled)).dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False), words.indices.to_numpy(), np.searchsorted(begins, texts_begin)
+
+
 def grams(word: str, order: int = ORDER) -> list[str]:
     """The word's letter n-grams, with its begin and end marked."""
     padded = "^" * (order - 1) + word + "$"
@@ -135,26 +162,40 @@ class KneserNey(dict):
 
 def features(words: list[str], value: Callable[[str], float]) -> list[float]:
     """What :meth:`KneserNey.features` says, from the values of the words."""
-    if not words:
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return _features(np.array([number[w] for w in words], np.int64), np.fromiter(map(value, words), float, len(words)))
+
+
+def _features(words: np.ndarray, values: np.ndarray) -> list[float]:
+    """:func:`features` of a text, from numbers that stand for its words, and the words' values."""
+    if not len(words):
         return [0.0] * (len(WINDOWS) + 3)
     so_far = np.zeros(len(words) + 1)
-    values = np.fromiter(map(value, words), float, len(words))
     np.cumsum(values, out=so_far[1:])
-    strongest: dict[str, float] = {}
-    for i in np.argsort(-values).tolist():
-        strongest[words[i]] = float(values[i])
-        if len(strongest) == 3:
-            break
-    best = [sum(strongest.values()) / 3]
+    strongest, others = [], values
+    while len(strongest) < 3 and others[i := others.argmax()] > -np.inf:
+        strongest.append(float(values[i]))
+        others = np.where(words == words[i], -np.inf, others)
+    best = [sum(strongest) / 3]
     for size in WINDOWS:
         n = min(size, len(words))
         best.append(float((so_far[n:] - so_far[:-n]).max()) / size)
     return [so_far[-1] / len(words), *best, log(1 + len(words))]
 
 
+def _keys(words: list[str]) -> np.ndarray:
+    """64 bits of a hash of each word; they stand for the words in tables."""
+    return _sums_of(*_windows(words)[:2])
+
+
+def _sums_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`_keys` from the hashes of the words' n-grams."""
+    place = np.arange(len(hashes)) - np.repeat(starts, np.diff(starts, append=len(hashes)))
+    return np.add.reduceat(_mixed(hashes + place.astype(np.uint64)), starts).view(np.int64) if len(starts) else np.array([], np.int64)
+
+
 def _key(word: str) -> int:
-    """64 bits of a hash; stands for the word in tables."""
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int(_keys([word])[0])
 
 
 @dataclass
@@ -205,11 +246,18 @@ def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, Callable[[np.nda
 
 def _hashes(letters: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(letters[0]), np.uint64)
-    for column in letters:
-        h = (h ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+    for at in range(0, len(letters), 3):  # three letters of 21 bits
+        for i, column in enumerate(letters[at : at + 3]):
+            h ^= column.astype(np.uint64) << np.uint64(21 * i)
+        h = _mixed(h)
+    return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return h
 
 
@@ -239,17 +287,17 @@ def _count(sample: DataFrame) -> Tables:
     """Count whole texts. Words are counted first, n-grams once for each different word."""
 
     def run(rows):
-        counts = {cell: (Counter(), Counter()) for cell in _CELLS}
-        for fold, label, text in zip(rows.column("fold").to_pylist(), rows.column("label").to_pylist(), texts(rows)):
-            texts_with, times = counts[fold, label]
-            words = words_of(text)
-            texts_with.update(set(words))
-            times.update(words)
-        found = [(w, *cell, texts_with[w], n) for cell, (texts_with, times) in counts.items() for w, n in times.items()]
-        if not found:
+        words, which, begins = split(texts(rows))
+        if not len(words):
             return None
-        kinds = {"word": pa.string(), "fold": pa.int32(), "label": pa.int32(), "t": pa.int64(), "n": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds.values())], names=[*kinds])
+        cells = rows.column("fold").to_numpy().astype(np.int64) * 2 + rows.column("label").to_numpy()  # as in _CELLS
+        text = np.repeat(np.arange(len(cells)), np.diff(begins))
+        once = np.unique(text * len(words) + which)
+        times, texts_with = (np.bincount(w * 4 + cells[t], minlength=4 * len(words)) for t, w in ((text, which), (once // len(words), once % len(words))))
+        found = np.flatnonzero(times)
+        fold, label = (pa.array(x, pa.int32()) for x in (found % 4 // 2, found % 2))
+        columns = [pa.array(words[found // 4], pa.string()), fold, label, pa.array(texts_with[found]), pa.array(times[found])]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "fold", "label", "t", "n"])
 
     parts = map_slices(plain(sample, "fold", "label", "text"), run, "word string, fold int, label int, t long, n long")
     sums = [
@@ -258,7 +306,7 @@ def _count(sample: DataFrame) -> Tables:
     words = parts.groupBy("word").agg(*sums)
 
     def keyed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(map(_key, rows.column("word").to_pylist()), pa.int64()), *rows.columns[:-1]], names=["key", *rows.schema.names[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(_keys(rows.column("word").to_pylist())), *rows.columns[:-1]], names=["key", *rows.schema.names[:-1]])
 
     cells = ", ".join(f"{x}{f}{c} long" for x in "tn" for f, c in _CELLS)
     words = written(map_slices(words.select("*", F.col("word").alias("text")), keyed, f"key long, word string, {cells}"), "words")
@@ -334,20 +382,30 @@ class _Model:
     def __post_init__(self):
         self.known: list[dict[str, float]] = [{} for _ in self.models]
 
-    def values(self, words: set[str]) -> list[dict[str, float]]:
-        """For each model word -> toxic minus ordinary log-likelihood, as :class:`KneserNey` has it; of these words at least."""
+    @cached_property
+    def first(self) -> tuple[np.uint64, np.ndarray]:
+        """Where in ``grams`` to look for a hash: from the place that its first bits have, all but those shifted out."""
+        bits = len(self.grams).bit_length()
+        shift = np.uint64(64 - bits)
+        return shift, np.searchsorted(self.grams, np.arange(1 << bits, dtype=np.uint64) << shift)
+
+    def values(self, words: list[str]) -> list[np.ndarray]:
+        """For each model the different words' toxic minus ordinary log-likelihoods, as :class:`KneserNey` has them."""
         if len(self.known[0]) > TASK_WORDS - len(words):
             for table in self.known:
                 table.clear()
-        new = list(words.difference(self.known[0]))
+        new = [w for w in words if w not in self.known[0]]
         for table, found in zip(self.known, self._worked_out(new) if new else ()):
             table.update(zip(new, found.tolist()))
-        return self.known
+        return [np.fromiter(map(table.__getitem__, words), float, len(words)) for table in self.known]
 
     def _worked_out(self, words: list[str]) -> list[np.ndarray]:
         hashes, starts, _ = _windows(words)
-        place = np.searchsorted(self.grams, hashes)
-        keys = np.fromiter(map(_key, words), np.int64, len(words))
+        shift, first = self.first
+        place = first[hashes >> shift]
+        while len(off := np.flatnonzero(self.grams[place] != hashes)):
+            place[off] += 1
+        keys = _sums_of(hashes, starts)
         row = np.searchsorted(self.keys, keys)
         row[row == len(self.keys)] = 0
         often = np.flatnonzero(self.keys[row] == keys) if len(self.keys) else np.array([], np.int64)
@@ -368,13 +426,16 @@ def _different_grams(rows: DataFrame) -> DataFrame:
     met: set[str] = set()
 
     def run(part):
-        new = {w for t in texts(part) for w in words_of(t)} - met
+        new = [w for w in split(texts(part))[0].tolist() if w not in met]
         if len(met) > TASK_WORDS:
             met.clear()
         met.update(w for w in new if len(w) <= 64)
         if new:
-            hashes, _, strings = _windows(list(new))
-            return pa.RecordBatch.from_arrays([pa.array(strings(np.unique(hashes, return_index=True)[1]), pa.string())], names=["gram"])
+            hashes, _, strings = _windows(new)
+            at = np.asarray(pa.array(hashes).dictionary_encode().indices)
+            last = np.zeros(at.max() + 1, np.int64)
+            last[at] = np.arange(len(at))
+            return pa.RecordBatch.from_arrays([pa.array(strings(last), pa.string())], names=["gram"])
 
     return written(map_slices(plain(rows, "text"), run, "gram string").distinct(), "wanted")
 
@@ -404,8 +465,8 @@ def _vocabulary(rows: DataFrame) -> DataFrame:
     """``key, word``: the different words of the rows."""
 
     def run(part):
-        words = list({w for t in texts(part) for w in words_of(t)})
-        return pa.RecordBatch.from_arrays([pa.array(map(_key, words), pa.int64()), pa.array(words, pa.string())], names=["key", "word"])
+        words = split(texts(part))[0]
+        return pa.RecordBatch.from_arrays([pa.array(_keys(words.tolist())), pa.array(words, pa.string())], names=["key", "word"])
 
     return written(map_slices(plain(rows, "text"), run, "key long, word string").distinct(), "vocabulary")
 
@@ -431,16 +492,17 @@ def _featured(rows: DataFrame, tables: Tables, models: tuple[int, ...], keep: di
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(part):
-        lists = [words_of(t) for t in texts(part)]
-        words = {w for some in lists for w in some}
+        words, which, begins = split(texts(part))
+        words = words.tolist()
         if isinstance(held.value, _Model):
             by_model = held.value.values(words)
         else:
-            (keys, values), words = held.value, list(words)
-            at = np.searchsorted(keys, np.fromiter(map(_key, words), np.int64, len(words)))
-            by_model = [dict(zip(words, v[at].tolist())) for v in values]
-        which = [1 - f for f in part.column("fold").to_pylist()] if "fold" in keep else [0] * len(lists)
-        x = [features(some, by_model[i].__getitem__) for some, i in zip(lists, which)]
+            keys, values = held.value
+            at = np.searchsorted(keys, _keys(words))
+            by_model = [v[at] for v in values]
+        models = [1 - f for f in part.column("fold").to_pylist()] if "fold" in keep else [0] * part.num_rows
+        own = [which[a:b] for a, b in zip(begins[:-1], begins[1:])]
+        x = [_features(some, by_model[m][some]) for some, m in zip(own, models)]
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     return map_slices(plain(rows, *keep, "text"), run, ", ".join(f"{c} {t}" for c, t in keep.items()) + ", x array<double>")

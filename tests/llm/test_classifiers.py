@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,31 @@ def test_ngrams_of_words_are_not_written_word_by_word(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_GRAMS", 100)
     joined = {r.doc_id: r.score for r in toxicity_scores(docs, train_toxicity(docs, labels)).collect()}
     assert len(some) == 1003 and some == pytest.approx(joined, abs=1e-9)
+
+
+def test_texts_are_split_many_at_a_time(spark, monkeypatch):
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    odd = ["", "Ab_c1d2 \u00c9 \u00df \u0130x \u0391\u03a3 \u0391\u03a3. \u03a3\u0391", "\u4e2d\u6587 new\U00010400 x\U0001d7d8y \u00b2b \u2167 \u0663a", "x" * 5000, "\n", "a", "1", "a a b", every, " ".join(every)]
+    for texts in ([], [""], ["", "1"], odd, odd[::-1]):
+        words, which, begins = toxicity.split(texts)
+        assert [words[which[a:b]].tolist() for a, b in zip(begins[:-1], begins[1:])] == [toxicity.words_of(t) for t in texts] and len(set(words)) == len(words)
+    docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    real, passes = toxicity.map_slices, []
+    monkeypatch.setattr(toxicity, "map_slices", lambda df, fn, schema: passes.append((set(df.columns), fn)) or real(df, fn, schema))
+    toxicity_scores(docs, train_toxicity(docs, labels))
+    monkeypatch.setattr(toxicity, "words_of", lambda text: pytest.fail("one text at a time"))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["good words", None], "fold": [0, 1], "label": [1, 0]})
+    over_texts = [fn for columns, fn in passes if columns <= {*rows.schema.names}]
+    assert len(over_texts) == 4 and all(fn(rows).num_rows for fn in over_texts)  # counting, features of both halves, n-grams, features
+
+
+def test_features_from_numbers_are_those_of_words():
+    words = "to be or not to be that is the question that is to be".split()
+    value = {w: (-1) ** i * len(w) / (i + 1) for i, w in enumerate(dict.fromkeys(words))}.get
+    strongest = sorted(map(value, set(words)), reverse=True)[:3]
+    runs = [max(sum(map(value, words[i : i + n])) for i in range(len(words) - n + 1)) / size for size in toxicity.WINDOWS for n in [min(size, len(words))]]
+    for some, best in ((words, strongest), (["to"] * 3, [value("to")]), ([], [])):
+        found = toxicity.features(some, value)
+        assert found[1] == pytest.approx(sum(best) / 3) and len(found) == 6
+    assert toxicity.features(words, value) == pytest.approx([sum(map(value, words)) / len(words), sum(strongest) / 3, *runs, np.log(1 + len(words))])
