@@ -261,6 +261,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different hash, and which of them each hash is."""
+    coded = pa.array(hashes).dictionary_encode()
+    which = coded.indices.to_numpy()
+    places = np.zeros(len(coded.dictionary), np.int64)
+    places[which] = np.arange(len(which))
+    return places, which
+
+
 def _hashes_of(found: list[str]) -> np.ndarray:
     return _hashes(list(np.array(found, f"<U{ORDER}").view(np.uint32).reshape(len(found), ORDER).T)) if found else np.array([], np.uint64)
 
@@ -271,13 +280,13 @@ def _counted_grams(words: DataFrame) -> DataFrame:
 
     def run(rows):
         hashes, starts, strings = _windows(rows.column("word").to_pylist())
-        _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        each, at = _different(hashes)
         sums = []
         for cell in cells:
-            n = np.zeros(len(first), np.int64)
+            n = np.zeros(len(each), np.int64)
             np.add.at(n, at, np.repeat(rows.column(cell).to_numpy(), np.diff(starts, append=len(hashes))))
             sums.append(pa.array(n))
-        return pa.RecordBatch.from_arrays([pa.array(strings(first), pa.string()), *sums], names=["gram", *cells])
+        return pa.RecordBatch.from_arrays([pa.array(strings(each), pa.string()), *sums], names=["gram", *cells])
 
     parts = map_slices(words.select("word", *cells, F.col("word").alias("text")), run, "gram string, " + ", ".join(f"{c} long" for c in cells))
     return written(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in cells]), "grams")
@@ -292,7 +301,8 @@ def _count(sample: DataFrame) -> Tables:
             return None
         cells = rows.column("fold").to_numpy().astype(np.int64) * 2 + rows.column("label").to_numpy()  # as in _CELLS
         text = np.repeat(np.arange(len(cells)), np.diff(begins))
-        once = np.unique(text * len(words) + which)
+        once = np.sort(text * len(words) + which)
+        once = once[np.flatnonzero(np.diff(once, prepend=-1))]
         times, texts_with = (np.bincount(w * 4 + cells[t], minlength=4 * len(words)) for t, w in ((text, which), (once // len(words), once % len(words))))
         found = np.flatnonzero(times)
         fold, label = (pa.array(x, pa.int32()) for x in (found % 4 // 2, found % 2))
@@ -432,10 +442,7 @@ def _different_grams(rows: DataFrame) -> DataFrame:
         met.update(w for w in new if len(w) <= 64)
         if new:
             hashes, _, strings = _windows(new)
-            at = np.asarray(pa.array(hashes).dictionary_encode().indices)
-            last = np.zeros(at.max() + 1, np.int64)
-            last[at] = np.arange(len(at))
-            return pa.RecordBatch.from_arrays([pa.array(strings(last), pa.string())], names=["gram"])
+            return pa.RecordBatch.from_arrays([pa.array(strings(_different(hashes)[0]), pa.string())], names=["gram"])
 
     return written(map_slices(plain(rows, "text"), run, "gram string").distinct(), "wanted")
 
